@@ -12,6 +12,8 @@ report the failing stage; callers filter.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +21,23 @@ from keelson.operators.order import require_seq
 from keelson.plans.joins import join_checked
 
 
-def repeated_ids(df: DataFrame, id_col: str = "event_id", seq_col: str = "seq") -> DataFrame:
+def _keys(id_col: str | Sequence[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def repeated_ids(df: DataFrame, id_col: str | Sequence[str] = "event_id", seq_col: str = "seq") -> DataFrame:
     """Ids occurring more than once, with the seq of their first occurrence."""
-    return (df.groupBy(id_col)
+    keys = _keys(id_col)
+    return (df.groupBy(*keys)
             .agg(F.min(seq_col).alias("_first_seq"), F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") > 1)
-            .select(id_col, "_first_seq"))
+            .select(*keys, "_first_seq"))
 
 
-def dedup_first(df: DataFrame, id_col: str = "event_id", seq_col: str = "seq",
+def dedup_first(df: DataFrame, id_col: str | Sequence[str] = "event_id", seq_col: str = "seq",
                 out_col: str = "dedup_ok") -> DataFrame:
-    """Flag the first arrival of each id (Q1)."""
+    """Flag the first arrival of each id (Q1); ``id_col`` may list several key columns."""
     require_seq(df, seq_col)
-    flagged = join_checked(df, repeated_ids(df, id_col, seq_col), on=[id_col], how="left")
+    flagged = join_checked(df, repeated_ids(df, id_col, seq_col), on=_keys(id_col), how="left")
     ok = F.col("_first_seq").isNull() | (F.col(seq_col) == F.col("_first_seq"))
     return flagged.withColumn(out_col, ok).drop("_first_seq")
