@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from keelson.plans.joins import join_checked
 
-ROWS_PER_RANGE = 4_000_000
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 200_000
 
 
 def require_seq(df: DataFrame, seq_col: str) -> None:
@@ -53,12 +54,22 @@ def dense_index(df: DataFrame, seq_col: str = "seq", partition_cols: Sequence[st
     pcols = list(partition_cols)
     if n_rows is None:
         n_rows = df.count()
+    if n_rows <= rows_per_range:
+        # one range: a single bounded sort (at most rows_per_range rows per partition key)
+        w1 = Window.partitionBy(*pcols).orderBy(seq_col) if pcols else Window.orderBy(seq_col)
+        return df.withColumn(out_col, F.row_number().over(w1) - 1)
     ranged = seq_ranges(df, seq_col, n_rows, rows_per_range)
     keys = pcols + ["_rng"]
     counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*pcols).orderBy("_rng") if pcols else Window.orderBy("_rng")
     offsets = counts.select(*keys, (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_off"))
-    with_off = join_checked(ranged, offsets, on=keys, how="inner")
+    if pcols:
+        with_off = join_checked(ranged, offsets, on=keys, how="inner")
+    else:
+        # K = ceil(n / rows_per_range) rows, known before the plan runs: a proven bound
+        k = -(-n_rows // rows_per_range)
+        right = F.broadcast(offsets) if k <= MAX_RANGES else offsets
+        with_off = ranged.join(right, on=keys, how="inner")
     inner = Window.partitionBy(*keys).orderBy(seq_col)
     return with_off.withColumn(out_col, F.col("_off") + F.row_number().over(inner) - 1) \
         .drop("_off", "_rng")

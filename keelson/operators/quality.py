@@ -84,6 +84,7 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
     flagged = flag_platform(verify_hmac(df, secret))
     if not keep_payload:
         flagged = flagged.drop("payload")
+    # dedup flags feed the survivor count, the drift fold and the duplicate branch: cut here
     flagged = materialize(dedup(flagged))
     dups = flagged.where(~F.col("dedup_ok")).withColumn("median", F.lit(None).cast("bigint")) \
         .withColumn("window_rows", F.lit(None).cast("int")).withColumn("drift_ok", F.lit(None).cast("boolean"))

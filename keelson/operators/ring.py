@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.fnv import fnv1a64_hex
-from keelson.plans.joins import materialize_small
+from keelson.plans.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize
+from keelson.plans.parallel import ensure_parallelism
 from keelson.schema import VIRTUAL_NODES
 
 MAX_HASH = "FFFFFFFFFFFFFFFF"
@@ -55,6 +56,7 @@ def build_ring(ring_members: DataFrame, node_col: str = "node", virtual: int = V
     """Ring points (hash, node, vnode).  Duplicate member names give duplicate points."""
     pts = ring_members.select(F.col(node_col).alias("node"),
                               F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))).alias("vnode"))
+    pts = ensure_parallelism(pts)
     label = F.concat(F.col("node"), F.lit("#"), F.col("vnode").cast("string"))
     return pts.select(fnv1a64_hex(label).alias("hash"), "node", "vnode")
 
@@ -91,12 +93,21 @@ def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
 
 
 def prepare_ring(ring: DataFrame) -> tuple[DataFrame, int, bool]:
-    """Materialize and measure the segment table once; reuse it for many lookups."""
+    """Count the ring once and build its segment table (lazy; reused by many lookups).
+
+    A membership-scale ring is cheap to hash, so the segments stay a plan that
+    the broadcast exchange evaluates once per query.
+    """
     n_points = ring.count()
     if n_points > MAX_RING_POINTS:
         raise ValueError(f"ring has {n_points} points; the lookup table is meant for membership-scale rings")
     digits = _bucket_digits(n_points)
-    segs, small = materialize_small(ring_segments(ring, digits))
+    segs = ring_segments(ring, digits)
+    # segments <= points + one wrap segment + one split per bucket boundary: a proven bound
+    bound = n_points + 1 + 16 ** digits
+    small = bound <= BROADCAST_MAX_ROWS and bound * 80 <= BROADCAST_MAX_BYTES
+    if not small:
+        segs = materialize(segs)
     return segs, digits, small
 
 

@@ -57,8 +57,7 @@ def _wire(spark, sf) -> DataFrame:
 
 def _routed(spark, sf, wire: bool = False) -> DataFrame:
     src = _wire(spark, sf) if wire else _arr(spark, sf)
-    out = run_batch(src, SECRET, wire_col="wire" if wire else None, hot_write_ok=F.expr(HOT_STORE_UP_SQL))
-    return materialize(out)
+    return run_batch(src, SECRET, wire_col="wire" if wire else None, hot_write_ok=F.expr(HOT_STORE_UP_SQL))
 
 
 # ---------------------------------------------------------------- ingest

@@ -15,9 +15,20 @@ BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in spark.checkpoint.dir."""
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    ``Dataset.checkpoint`` computes its input once for the eager count and
+    again to write the files, so the input is persisted for the duration: the
+    plan runs once, the files land on shared storage (a lost executor re-reads
+    them instead of recomputing lineage), and the cache is released after.
+    """
+    from pyspark import StorageLevel
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def row_bytes_estimate(df: DataFrame) -> int:
@@ -30,8 +41,13 @@ def row_bytes_estimate(df: DataFrame) -> int:
 
 def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                       max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
-    """Checkpoint ``df`` and report whether it is safe to broadcast."""
-    small = materialize(df)
+    """Compute ``df`` once (kept in cache), count it, and report whether it may be broadcast.
+
+    The cached side has a short lineage (typically one aggregate); if an
+    executor holding it is lost, Spark recomputes the lost blocks.
+    """
+    from pyspark import StorageLevel
+    small = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
     ok = n <= max_rows and n * row_bytes_estimate(small) <= max_bytes
     return small, ok

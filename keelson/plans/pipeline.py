@@ -17,6 +17,7 @@ from keelson.operators.breaker import breaker_timeline
 from keelson.operators.quality import quality_verdict
 from keelson.operators.ring import assign_tenant, build_ring, members
 from keelson.operators.route import classify_path, hot_with_fallback
+from keelson.plans.joins import materialize
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD, BREAKER_TIMEOUT_MS,
                             DEFAULT_TENANTS, EVENT_FIELDS)
 from keelson.sources.codec import decode_events
@@ -55,10 +56,10 @@ def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAU
     rejects = None
     if wire_col is not None:
         keep = tuple(c for c in df.columns if c != wire_col)
-        decoded = decode_events(df, wire_col, keep=keep)
+        decoded = materialize(decode_events(df, wire_col, keep=keep))   # decode once
         rejects = decoded.where(~F.col("decode_ok")).select(seq_col)
         df = decoded.where(F.col("decode_ok")).drop("decode_ok")
-    verdict = quality_verdict(df, secret, seq_col=seq_col, **verdict_kw)
+    verdict = materialize(quality_verdict(df, secret, seq_col=seq_col, **verdict_kw))
     ring = build_ring(members(spark, tenants))
     passed = verdict.where(F.col("passed"))
     routed = classify_path(assign_tenant(passed, ring, "user_id", "tenant"))

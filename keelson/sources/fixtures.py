@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions.mac import _pads, hmac_sha256, signed_message, utf8
+from keelson.plans.parallel import ensure_parallelism
 
 TEST_SECRET = "test_secret"          # test value only; production keys come from config
 BASE_TS_MS = 1704067200000           # 2024-01-01T00:00:00Z
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if spread else df
 
 
 def _mod(c: Column, m: int) -> Column:
@@ -29,7 +31,7 @@ def _mod(c: Column, m: int) -> Column:
 # ---------------------------------------------------------------------------
 
 def arrivals(spark: SparkSession, sf_dir: str, secret: str = TEST_SECRET) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    ev = table(spark, sf_dir, "events", spread=True).select("event_id", "user_id", "event_type", "props")
     n = F.col("event_id")
     platform = (F.when(_mod(n, 10) < 4, "ios").when(_mod(n, 10) < 7, "android")
                 .when(_mod(n, 10) < 9, "web").otherwise("tv"))

@@ -40,7 +40,7 @@ def dedup_stream(stream: DataFrame, id_col: str = "event_id", ts_col: str = "ts"
         .withWatermark(et, watermark).dropDuplicatesWithinWatermark([id_col]).drop(et)
 
 
-def _drift_processor(window: int, warmup: int, tolerance_ms: int, ts_col: str, seq_col: str):
+def _drift_processor(window: int, warmup: int, tolerance_ms: int, ts_col: str, seq_col: str, key_col: str):
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class DriftProcessor(StatefulProcessor):
@@ -56,6 +56,7 @@ def _drift_processor(window: int, warmup: int, tolerance_ms: int, ts_col: str, s
             med = _rolling_upper_median(both, window)[len(prior):]
             filled = np.minimum(np.arange(len(prior) + 1, len(both) + 1), window)
             out = batch.copy()
+            out[key_col] = key[0]
             out["median"] = med
             out["window_rows"] = filled.astype("int32")
             out["drift_ok"] = (filled < warmup) | (np.abs(ts - med) <= tolerance_ms)
@@ -79,7 +80,7 @@ def drift_stream(stream: DataFrame, shard_col: str | None = None, ts_col: str =
         T.StructField("median", T.LongType()), T.StructField("window_rows", T.IntegerType()),
         T.StructField("drift_ok", T.BooleanType())])
     out = src.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_drift_processor(window, warmup, tolerance_ms, ts_col, seq_col),
+        statefulProcessor=_drift_processor(window, warmup, tolerance_ms, ts_col, seq_col, key),
         outputStructType=schema, outputMode="Append", timeMode="None")
     return out if shard_col else out.drop("_shard")
 
