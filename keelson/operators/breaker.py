@@ -11,17 +11,36 @@ Every transition zeroes both counts.  A denied call records no outcome.
 
 Each output row is the input row plus ``allowed``, ``state`` (after the call),
 ``failure_count``, ``success_count``.  Ordered per sink by ``seq``; ``t`` is the
-call time in milliseconds and must not decrease with ``seq``.
+call time in milliseconds.
+
+Two exact plans:
+* ``fold`` - one streamed ordered pass per sink (hash exchange on the sink).
+  Used when every sink has at most ``block_rows`` calls.
+* ``blocks`` - for hot sinks.  A sink's calls get a dense index and are cut into
+  blocks of ``block_rows``.  Pass 1 summarises each block independently: a
+  backward DP gives the exit state for every finite entry state (CLOSED with
+  f failures, HALF_OPEN with s successes) and, for an OPEN entry with last
+  failure ``lf``, a run-compressed list of breakpoints over the block's
+  prefix-max times (the first call with ``t >= lf + timeout`` re-enters
+  HALF_OPEN).  Pass 2 folds the block summaries in order (one row per block,
+  streamed) to get each block's true entry state.  Pass 3 re-simulates every
+  block from its entry state in parallel.  No task ever holds more than one
+  block, however hot the sink.
 """
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.operators.order import dense_index
 from keelson.plans.fold import ordered_fold
+from keelson.plans.joins import join_checked, materialize
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD,
                             BREAKER_TIMEOUT_MS)
 
@@ -50,11 +69,34 @@ def _step(state, fc, sc, last_fail, t, ok, fth, timeout, sth):
     return True, state, fc, sc, last_fail
 
 
+BLOCK_ROWS = 65536
+
+
 def breaker_timeline(calls: DataFrame, sink_col: str = "sink", seq_col: str = "seq",
                      t_col: str = "t", ok_col: str = "ok",
                      failure_threshold: int = BREAKER_FAILURE_THRESHOLD,
                      timeout_ms: int = BREAKER_TIMEOUT_MS,
-                     success_threshold: int = BREAKER_SUCCESS_THRESHOLD) -> DataFrame:
+                     success_threshold: int = BREAKER_SUCCESS_THRESHOLD,
+                     method: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """R8 replay; ``method`` is "auto" (measure the largest sink), "fold" or "blocks"."""
+    args = (sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms, success_threshold)
+    if method == "auto":
+        largest = calls.groupBy(sink_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
+        method = "fold" if (largest["m"] or 0) <= block_rows else "blocks"
+    if method == "fold":
+        return _timeline_fold(calls, *args)
+    return _timeline_blocks(calls, *args, block_rows=block_rows)
+
+
+def _out_fields():
+    return [T.StructField("allowed", T.BooleanType(), False),
+            T.StructField("state", T.StringType(), False),
+            T.StructField("failure_count", T.IntegerType(), False),
+            T.StructField("success_count", T.IntegerType(), False)]
+
+
+def _timeline_fold(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms,
+                   success_threshold) -> DataFrame:
     fth, timeout, sth = failure_threshold, timeout_ms, success_threshold
     schema = T.StructType(list(calls.schema.fields) + [
         T.StructField("allowed", T.BooleanType(), False),
@@ -95,3 +137,168 @@ def breaker_totals(timeline: DataFrame, sink_col: str = "sink", ok_col: str = "o
         F.count_if(c("allowed") & c(ok_col)).alias("total_successes"),
         F.count_if(c("allowed") & ~c(ok_col)).alias("total_failures"),
         F.count_if(~c("allowed")).alias("denied"))
+
+
+# --------------------------------------------------------------------------- blocks
+# finite states are coded 0..F-1 (CLOSED with f failures) and F..F+S-1
+# (HALF_OPEN with s successes); code F+S is OPEN and carries the last failure time.
+
+def _code_of(state: str, fc: int, sc: int, fth: int) -> int:
+    if state == CLOSED:
+        return fc
+    if state == HALF_OPEN:
+        return fth + sc
+    return -1
+
+
+def _state_of(code: int, fth: int, sth: int) -> tuple[str, int, int]:
+    if code < fth:
+        return CLOSED, code, 0
+    if code < fth + sth:
+        return HALF_OPEN, 0, code - fth
+    return OPEN, 0, 0
+
+
+def _summarize(ts: np.ndarray, oks: np.ndarray, fth: int, timeout: int, sth: int):
+    """Backward DP over one block; returns (exits, breakpoints)."""
+    n, k = len(ts), fth + sth
+    open_code = k
+    g_code = np.empty((n + 1, k), dtype=np.int64)
+    g_lf = np.zeros((n + 1, k), dtype=np.int64)
+    g_code[n] = np.arange(k)
+    # monotonic stack of later calls whose t beats every call between (nearest first at the end)
+    stack_idx: list[int] = []
+    stack_negt: list[int] = []
+    for i in range(n - 1, -1, -1):
+        nxt = i + 1
+        if nxt < n:
+            tn = int(ts[nxt])
+            while stack_idx and int(ts[stack_idx[-1]]) <= tn:
+                stack_idx.pop()
+                stack_negt.pop()
+            stack_idx.append(nxt)
+            stack_negt.append(-tn)
+        ti = int(ts[i])
+        pos = bisect.bisect_right(stack_negt, -(ti + timeout)) - 1
+        if pos >= 0:
+            j = stack_idx[pos]
+            oc, olf = g_code[j, fth], g_lf[j, fth]
+        else:
+            oc, olf = open_code, ti
+        ok = bool(oks[i])
+        for e in range(k):
+            if e < fth:
+                if ok:
+                    c, lf = g_code[i + 1, e], g_lf[i + 1, e]
+                elif e + 1 >= fth:
+                    c, lf = oc, olf
+                else:
+                    c, lf = g_code[i + 1, e + 1], g_lf[i + 1, e + 1]
+            else:
+                if not ok:
+                    c, lf = oc, olf
+                elif e - fth + 1 >= sth:
+                    c, lf = g_code[i + 1, 0], g_lf[i + 1, 0]
+                else:
+                    c, lf = g_code[i + 1, e + 1], g_lf[i + 1, e + 1]
+            g_code[i, e], g_lf[i, e] = c, lf
+    exits = [(int(g_code[0, e]), int(g_lf[0, e])) for e in range(k)]
+    # OPEN entry with last failure lf0: the first call with t >= lf0 + timeout (a prefix-max record)
+    bps: list[tuple[int, int, int]] = []
+    run_max = None
+    for i in range(n):
+        ti = int(ts[i])
+        if run_max is None or ti > run_max:
+            run_max = ti
+            ex = (int(g_code[i, fth]), int(g_lf[i, fth]))
+            if bps and (bps[-1][1], bps[-1][2]) == ex:
+                bps[-1] = (ti, ex[0], ex[1])        # keep the last record of a run of equal exits
+            else:
+                bps.append((ti, ex[0], ex[1]))
+    return exits, bps
+
+
+def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms,
+                     success_threshold, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    fth, timeout, sth = failure_threshold, timeout_ms, success_threshold
+    k = fth + sth
+    idx = dense_index(calls, seq_col, [sink_col])
+    blocked = materialize(idx.withColumn("_blk", F.floor(F.col("_idx") / block_rows).cast("bigint"))
+                          .repartition(sink_col, "_blk"))
+    exit_t = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("lf", T.LongType())])
+    bp_t = T.StructType([T.StructField("m", T.LongType()), T.StructField("code", T.IntegerType()),
+                         T.StructField("lf", T.LongType())])
+    sum_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()),
+                               T.StructField("exits", T.ArrayType(exit_t)), T.StructField("bps", T.ArrayType(bp_t))])
+
+    def summarize(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_idx")
+        ts = table.column(t_col).to_numpy(zero_copy_only=False).astype("int64")
+        oks = table.column(ok_col).to_numpy(zero_copy_only=False)
+        exits, bps = _summarize(ts, oks, fth, timeout, sth)
+        exit_pa = pa.struct([("code", pa.int32()), ("lf", pa.int64())])
+        bp_pa = pa.struct([("m", pa.int64()), ("code", pa.int32()), ("lf", pa.int64())])
+        return pa.table([
+            table.column(sink_col).slice(0, 1),
+            pa.array([table.column("_blk")[0].as_py()], pa.int64()),
+            pa.array([[{"code": c, "lf": lf} for c, lf in exits]], pa.list_(pa.field("element", exit_pa))),
+            pa.array([[{"m": m, "code": c, "lf": lf} for m, c, lf in bps]], pa.list_(pa.field("element", bp_pa))),
+        ], names=[sink_col, "_blk", "exits", "bps"])
+
+    summaries = blocked.select(sink_col, "_blk", "_idx", t_col, ok_col) \
+        .groupBy(sink_col, "_blk").applyInArrow(summarize, schema=sum_schema)
+
+    entry_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()),
+                                 T.StructField("_entry_code", T.IntegerType()),
+                                 T.StructField("_entry_lf", T.LongType())])
+
+    def chain(batch: pa.RecordBatch, st: dict) -> pa.RecordBatch:
+        sinks, blks = batch.column(sink_col).to_pylist(), batch.column("_blk").to_pylist()
+        exits_l, bps_l = batch.column("exits").to_pylist(), batch.column("bps").to_pylist()
+        key, code, lf = st.get("key", object()), st.get("code", 0), st.get("lf", 0)
+        out_c, out_lf = [], []
+        for sk, exits, bps in zip(sinks, exits_l, bps_l):
+            if sk != key:
+                key, code, lf = sk, 0, 0
+            out_c.append(code)
+            out_lf.append(lf)
+            if code < k:
+                ex = exits[code]
+                code, lf = ex["code"], ex["lf"]
+            else:
+                x = lf + timeout
+                ms = [b["m"] for b in bps]
+                pos = bisect.bisect_left(ms, x)
+                if pos < len(bps):
+                    code, lf = bps[pos]["code"], bps[pos]["lf"]
+        st.update(key=key, code=code, lf=lf)
+        return pa.RecordBatch.from_arrays([batch.column(sink_col), batch.column("_blk"),
+                                           pa.array(out_c, pa.int32()), pa.array(out_lf, pa.int64())],
+                                          names=[sink_col, "_blk", "_entry_code", "_entry_lf"])
+
+    entries = ordered_fold(summaries, [sink_col], ["_blk"], chain, entry_schema)
+    with_entry = join_checked(blocked, entries, on=[sink_col, "_blk"], how="inner")
+    out_schema = T.StructType([f for f in calls.schema.fields] + _out_fields())
+    names = [f.name for f in out_schema.fields]
+
+    def simulate(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_idx")
+        code = int(table.column("_entry_code")[0].as_py())
+        lf = int(table.column("_entry_lf")[0].as_py())
+        s, fc, sc = _state_of(code, fth, sth)
+        ts = table.column(t_col).to_pylist()
+        oks = table.column(ok_col).to_pylist()
+        allowed, states, fcs, scs = [], [], [], []
+        for t, ok in zip(ts, oks):
+            a, s, fc, sc, lf = _step(s, fc, sc, lf, t, bool(ok), fth, timeout, sth)
+            allowed.append(a)
+            states.append(s)
+            fcs.append(fc)
+            scs.append(sc)
+        table = table.append_column("allowed", pa.array(allowed, pa.bool_())) \
+            .append_column("state", pa.array(states, pa.string())) \
+            .append_column("failure_count", pa.array(fcs, pa.int32())) \
+            .append_column("success_count", pa.array(scs, pa.int32()))
+        return table.select(names)
+
+    return with_entry.groupBy(sink_col, "_blk").applyInArrow(simulate, schema=out_schema)

@@ -85,17 +85,60 @@ def drift_stream(stream: DataFrame, shard_col: str | None = None, ts_col: str =
     return out if shard_col else out.drop("_shard")
 
 
+def _read_tail(spark: SparkSession, tail_root: str, batch_id: int) -> DataFrame | None:
+    """Tail (last window-1 survivors) written by the latest batch before ``batch_id``."""
+    from pyspark.errors import AnalysisException
+    try:
+        tails = spark.read.parquet(tail_root)
+    except AnalysisException:
+        return None
+    prev = tails.where(F.col("batch_id") < batch_id).agg(F.max("batch_id").alias("b")).first()["b"]
+    if prev is None:
+        return None
+    return tails.where(F.col("batch_id") == prev).drop("batch_id")
+
+
+def drift_micro_batch(batch: DataFrame, batch_id: int, tail_root: str, ts_col: str = "ts",
+                      seq_col: str = "seq", window: int = DRIFT_WINDOW, warmup: int = DRIFT_WARMUP,
+                      tolerance_ms: int = DRIFT_TOLERANCE_MS) -> DataFrame:
+    """Q7 inside ``foreachBatch``, parallel: the global window across micro-batches.
+
+    The previous batch's last ``window - 1`` rows (seq, ts) are kept as a small
+    table per batch id; they join this batch as a halo, the batch block-halo
+    operator runs on the union, and this batch's tail is written for the next.
+    Re-running a batch reads the same previous tail and overwrites its own, so
+    replays are idempotent.  Returns the batch rows with median, window_rows,
+    drift_ok (the result is materialized before the tail is written).
+    """
+    from keelson.operators.drift import drift_filter
+    from keelson.plans.joins import materialize
+    spark = batch.sparkSession
+    tail = _read_tail(spark, tail_root, batch_id)
+    own = batch.withColumn("_halo", F.lit(False))
+    both = own if tail is None else own.unionByName(tail.withColumn("_halo", F.lit(True)),
+                                                    allowMissingColumns=True)
+    flagged = materialize(drift_filter(both, ts_col, seq_col, window, warmup, tolerance_ms))
+    new_tail = flagged.select(seq_col, ts_col).orderBy(F.col(seq_col).desc()).limit(max(window - 1, 0))
+    new_tail.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(tail_root)
+    return flagged.where(~F.col("_halo")).drop("_halo")
+
+
 def micro_batches(writer, interval: str = FLUSH_INTERVAL, available_now: bool = False):
     """K5: periodic flush as a processing-time trigger (availableNow for tests)."""
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
 
 def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint: str,
-               tenants=None, available_now: bool = False, watermark: str = "1 hour"):
+               tenants=None, available_now: bool = False, watermark: str = "1 hour",
+               drift: str = "blocks"):
     """Start the streaming pipeline; returns the StreamingQuery.
 
     Output folders under ``out_root``: ``verdict`` (every row with its verdict),
     ``hot`` and ``cold`` (sinks), each partitioned by micro-batch id.
+    ``drift="blocks"`` evaluates the global window inside each micro-batch in
+    parallel (tail state under ``out_root/_drift_tail``); ``drift="state"`` uses
+    the keyed stateful processor (one task per shard).
     """
     from keelson.operators.quality import verdict_columns, verify_hmac
     from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
@@ -108,9 +151,14 @@ def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint
     prepared = prepare_ring(ring)
     flagged = verify_hmac(stream, secret).drop("payload")
     deduped = dedup_stream(flagged, watermark=watermark)
-    drifted = drift_stream(deduped).withColumn("dedup_ok", F.lit(True))
+    if drift == "state":
+        drifted = drift_stream(deduped).withColumn("dedup_ok", F.lit(True))
+    else:
+        drifted = deduped.withColumn("dedup_ok", F.lit(True))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if drift != "state":
+            batch = drift_micro_batch(batch, batch_id, f"{out_root}/_drift_tail")
         v = verdict_columns(batch).persist()
         try:
             _write_partition(v.select("event_id", "seq", "passed", "stage", "reason"), f"{out_root}/verdict",

@@ -42,3 +42,19 @@ def test_random_vs_model(spark):
     assert _run(spark, rows, 3, 2000, 2) == _model(rows, 3, 2000, 2)
     states = {r[3] for r in _model(rows, 3, 2000, 2)}
     assert states == {"CLOSED", "OPEN", "HALF_OPEN"}
+
+
+def test_blocks_plan_equals_model(spark):
+    rnd = random.Random(12)
+    rows, t = [], 0
+    for i in range(3000):
+        t += rnd.randrange(0, 700)
+        jitter = rnd.choice([0, 0, 0, -1500, 2500])     # some calls out of time order
+        sink = "hot" if rnd.random() < 0.8 else f"s{rnd.randrange(3)}"
+        rows.append((sink, i, t + jitter, rnd.random() < 0.55))
+    df = spark.createDataFrame(rows, "sink string, seq bigint, t bigint, ok boolean")
+    for fth, timeout, sth in ((3, 2000, 2), (1, 500, 1), (5, 30000, 3)):
+        tl = breaker_timeline(df, failure_threshold=fth, timeout_ms=timeout, success_threshold=sth,
+                              method="blocks", block_rows=97)
+        got = sorted((r.sink, r.seq, r.allowed, r.state, r.failure_count, r.success_count) for r in tl.collect())
+        assert got == _model(rows, fth, timeout, sth)

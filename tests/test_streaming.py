@@ -9,7 +9,11 @@ from keelson.schema import EVENT
 from conftest import SF_SMALL
 
 
-def test_stream_equals_batch(spark):
+import pytest
+
+
+@pytest.mark.parametrize("drift", ["blocks", "state"])
+def test_stream_equals_batch(spark, drift):
     arr = arrivals(spark, SF_SMALL)
     src = scratch_path(spark, "stream-src")
     # files in seq order: one micro-batch per file
@@ -18,7 +22,7 @@ def test_stream_equals_batch(spark):
     schema = T.StructType(list(EVENT.fields) + [T.StructField("seq", T.LongType())])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    q = run_stream(stream, TEST_SECRET, out, ck, available_now=True, watermark="5 hours")
+    q = run_stream(stream, TEST_SECRET, out, ck, available_now=True, watermark="5 hours", drift=drift)
     q.awaitTermination(600)
     got = {r.seq: (r.passed, r.stage) for r in spark.read.parquet(f"{out}/verdict").collect()}
     batch = quality_verdict(arr, TEST_SECRET)
