@@ -19,13 +19,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators.order import dense_index, require_seq
 from keelson.schema import DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW
+from keelson.session import default_parallelism
 
 BLOCK_ROWS = 65536
 
@@ -42,14 +42,20 @@ def _rolling_upper_median(ts: np.ndarray, window: int) -> np.ndarray:
 
 def rolling_median(df: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
                    window: int = DRIFT_WINDOW, partition_cols: Sequence[str] = (),
-                   block_rows: int = BLOCK_ROWS, n_rows: int | None = None,
+                   block_rows: int | None = None, n_rows: int | None = None,
                    rows_per_range: int | None = None, out_col: str = "median",
                    count_col: str = "window_rows") -> DataFrame:
     """Add the rolling upper median ``out_col`` and the window fill ``count_col``."""
     require_seq(df, seq_col)
+    pcols = list(partition_cols)
+    if n_rows is None:
+        n_rows = df.count()
+    if block_rows is None:
+        # about one block per core on small inputs, BLOCK_ROWS at scale; halo overhead <= 25%
+        per_core = -(-n_rows // default_parallelism(df.sparkSession))
+        block_rows = max(4 * window, min(BLOCK_ROWS, per_core))
     if block_rows < window:
         raise ValueError("block_rows must be at least the window length")
-    pcols = list(partition_cols)
     kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
     idx = dense_index(df, seq_col, pcols, n_rows=n_rows, **kw)
     halo = window - 1
@@ -57,7 +63,8 @@ def rolling_median(df: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
     in_halo = (F.col("_idx") % block_rows) >= (block_rows - halo)
     targets = F.when(in_halo & F.lit(halo > 0), F.array(blk, blk + 1)).otherwise(F.array(blk))
     spread = idx.withColumn("_blk", F.explode(targets)) \
-        .withColumn("_own", F.col("_blk") == blk)
+        .withColumn("_own", F.col("_blk") == blk) \
+        .repartition(*pcols, "_blk")          # blocks in parallel, whatever the index plan's partitioning
 
     out_schema = T.StructType(
         [f for f in spread.schema.fields if f.name != "_own"]

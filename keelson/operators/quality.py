@@ -19,7 +19,7 @@ from keelson.functions.mac import hmac_sha256, signed_message, verify_expr
 from keelson.operators.dedup import dedup_first
 from keelson.operators.drift import drift_filter
 from keelson.operators.order import require_seq
-from keelson.plans.joins import materialize
+from keelson.plans.joins import materialize_observed
 from keelson.schema import (DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, KNOWN_PLATFORMS,
                             MAC_BYTES, REASON_DUPLICATE_PREFIX, REASON_HMAC, REASON_WATERMARK,
                             STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK)
@@ -85,11 +85,11 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
     if not keep_payload:
         flagged = flagged.drop("payload")
     # dedup flags feed the survivor count, the drift fold and the duplicate branch: cut here
-    flagged = materialize(dedup(flagged))
+    flagged, seen = materialize_observed(dedup(flagged), "dedup", survivors=F.count_if(F.col("dedup_ok")))
     dups = flagged.where(~F.col("dedup_ok")).withColumn("median", F.lit(None).cast("bigint")) \
         .withColumn("window_rows", F.lit(None).cast("int")).withColumn("drift_ok", F.lit(None).cast("boolean"))
     survivors = flagged.where(F.col("dedup_ok"))
-    n_surv = survivors.count()
+    n_surv = int(seen["survivors"])
     drifted = drift_filter(survivors, "ts", seq_col, window, warmup, tolerance_ms, partition_cols,
                            n_rows=n_surv, **drift_kw)
     return verdict_columns(drifted.unionByName(dups))

@@ -92,13 +92,15 @@ def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
     return segs.withColumn("bucket", F.explode(F.sequence(lo_b, b(F.col("hi")))))
 
 
-def prepare_ring(ring: DataFrame) -> tuple[DataFrame, int, bool]:
+def prepare_ring(ring: DataFrame, n_points: int | None = None) -> tuple[DataFrame, int, bool]:
     """Count the ring once and build its segment table (lazy; reused by many lookups).
 
     A membership-scale ring is cheap to hash, so the segments stay a plan that
-    the broadcast exchange evaluates once per query.
+    the broadcast exchange evaluates once per query.  ``n_points`` may be given
+    when the membership is known (members x virtual points).
     """
-    n_points = ring.count()
+    if n_points is None:
+        n_points = ring.count()
     if n_points > MAX_RING_POINTS:
         raise ValueError(f"ring has {n_points} points; the lookup table is meant for membership-scale rings")
     digits = _bucket_digits(n_points)

@@ -31,6 +31,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
         cached.unpersist()
 
 
+def materialize_observed(df: DataFrame, name: str = "stage", **metrics) -> tuple[DataFrame, dict]:
+    """``materialize`` plus aggregate metrics observed while the same job runs (no extra pass)."""
+    from pyspark.sql import Observation
+    obs = Observation(f"{name}-metrics")
+    out = materialize(df.observe(obs, *[m.alias(k) for k, m in metrics.items()]), name)
+    return out, obs.get
+
+
 def row_bytes_estimate(df: DataFrame) -> int:
     size = 0
     for f in df.schema.fields:

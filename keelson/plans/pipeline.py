@@ -13,13 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators.breaker import breaker_timeline
+from keelson.operators.breaker import BLOCK_ROWS, breaker_timeline
 from keelson.operators.quality import quality_verdict
-from keelson.operators.ring import assign_tenant, build_ring, members
+from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
 from keelson.operators.route import classify_path, hot_with_fallback
-from keelson.plans.joins import materialize
+from keelson.plans.joins import materialize, materialize_observed
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD, BREAKER_TIMEOUT_MS,
-                            DEFAULT_TENANTS, EVENT_FIELDS)
+                            DEFAULT_TENANTS, EVENT_FIELDS, HOT_EVENT_TYPES, VIRTUAL_NODES)
 from keelson.sources.codec import decode_events
 
 STAGE_DECODE = "decode"
@@ -28,7 +28,7 @@ STAGE_DECODE = "decode"
 def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col: str = "seq",
                  sink: str = "hot", failure_threshold: int = BREAKER_FAILURE_THRESHOLD,
                  timeout_ms: int = BREAKER_TIMEOUT_MS,
-                 success_threshold: int = BREAKER_SUCCESS_THRESHOLD) -> DataFrame:
+                 success_threshold: int = BREAKER_SUCCESS_THRESHOLD, n_calls: int | None = None) -> DataFrame:
     """Hot writes through the breaker: ``delivered`` = allowed and the write succeeded.
 
     ``write_ok`` is the outcome the hot store would give each hot row.  Cold and
@@ -38,9 +38,11 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
     calls = routed.where(is_call).withColumn("_sink", F.lit(sink)) \
         .withColumn("_t", F.col(t_col)).withColumn("_ok", write_ok)
     # rows pass through the fold whole, so no join back is needed
+    # one sink receives every call: the call count is the largest-sink size
+    method = "auto" if n_calls is None else ("fold" if n_calls <= BLOCK_ROWS else "blocks")
     tl = breaker_timeline(calls, sink_col="_sink", seq_col=seq_col, t_col="_t", ok_col="_ok",
                           failure_threshold=failure_threshold, timeout_ms=timeout_ms,
-                          success_threshold=success_threshold)
+                          success_threshold=success_threshold, method=method)
     done = tl.withColumn("delivered", F.col("allowed") & F.col("_ok")) \
         .drop("_sink", "_t", "_ok", "state", "failure_count", "success_count")
     others = routed.where(~is_call).withColumn("allowed", F.lit(None).cast("boolean")) \
@@ -50,7 +52,8 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
 
 def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAULT_TENANTS,
               wire_col: str | None = None, hot_write_ok: Column | None = None,
-              hot_sink_available: bool = True, seq_col: str = "seq", **verdict_kw) -> DataFrame:
+              hot_sink_available: bool = True, seq_col: str = "seq",
+              hot_types: Sequence[str] = HOT_EVENT_TYPES, **verdict_kw) -> DataFrame:
     """P1 over a table of events (or of wire bytes when ``wire_col`` is given)."""
     spark = df.sparkSession
     rejects = None
@@ -59,12 +62,15 @@ def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAU
         decoded = materialize(decode_events(df, wire_col, keep=keep))   # decode once
         rejects = decoded.where(~F.col("decode_ok")).select(seq_col)
         df = decoded.where(F.col("decode_ok")).drop("decode_ok")
-    verdict = materialize(quality_verdict(df, secret, seq_col=seq_col, **verdict_kw))
+    hot = F.col("passed") & F.col("event_type").isin(list(hot_types))
+    verdict, seen = materialize_observed(quality_verdict(df, secret, seq_col=seq_col, **verdict_kw), "verdict",
+                                         hot_calls=F.count_if(hot))
     ring = build_ring(members(spark, tenants))
+    prepared = prepare_ring(ring, n_points=len(tuple(tenants)) * VIRTUAL_NODES)
     passed = verdict.where(F.col("passed"))
-    routed = classify_path(assign_tenant(passed, ring, "user_id", "tenant"))
+    routed = classify_path(assign_tenant(passed, ring, "user_id", "tenant", prepared=prepared), hot_types)
     if hot_write_ok is not None and hot_sink_available:
-        routed = hot_delivery(routed, hot_write_ok, seq_col=seq_col)
+        routed = hot_delivery(routed, hot_write_ok, seq_col=seq_col, n_calls=int(seen["hot_calls"]))
         routed = hot_with_fallback(routed, "delivered")
     else:
         routed = hot_with_fallback(routed, None, sink_available=hot_sink_available)
