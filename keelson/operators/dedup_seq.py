@@ -20,8 +20,14 @@ given arrival times ``t`` that do not decrease with ``seq``:
 Q3 ``dedup_last_n`` - a FIFO of the last N accepted ids per shard; duplicates
 do not refresh.  While a shard has at most N distinct ids nothing is ever
 evicted, which is exactly first-arrival dedup per shard (checked with an
-aggregate, fully parallel).  Otherwise an ordered fold per shard streams the
-shard's rows with the FIFO (N ids) as its only state.
+aggregate, fully parallel).  Otherwise the rows are cut into blocks of B in
+seq order and replayed speculatively in parallel: each block starts from an
+empty FIFO at the beginning of a halo of the previous H >= 2N rows and records
+a hash of its FIFO at its own first row and after its last row.  Block 0 is
+exact; block j is exact when its start hash equals block j-1's end hash, so
+if every boundary agrees all decisions are exact.  A mismatch anywhere falls
+back to the streamed ordered fold (one key's rows streamed, FIFO as the only
+state), so the result is exact either way.
 """
 
 from __future__ import annotations
@@ -29,13 +35,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators.dedup import dedup_first
-from keelson.operators.order import require_seq
+from keelson.operators.order import dense_index, require_seq
 from keelson.plans.fold import ordered_fold
 from keelson.plans.joins import join_checked, materialize, materialize_small
 from keelson.plans.scan import running_max
@@ -92,14 +101,86 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
 
 
 def dedup_last_n(df: DataFrame, n: int = DEDUP_LAST_N, shard_cols: Sequence[str] = (),
-                 id_col: str = "event_id", seq_col: str = "seq", out_col: str = "dedup_ok") -> DataFrame:
+                 id_col: str = "event_id", seq_col: str = "seq", out_col: str = "dedup_ok",
+                 method: str = "auto", block_rows: int | None = None, halo_rows: int | None = None) -> DataFrame:
+    """Q3; ``method`` is "auto" (fast path, else speculative blocks), "blocks" or "fold"."""
     require_seq(df, seq_col)
     shards = list(shard_cols)
-    distinct_ids = df.groupBy(*shards, id_col).agg(F.lit(1).alias("_one")) \
-        .groupBy(*shards).agg(F.count(F.lit(1)).alias("_ids"))
-    worst = distinct_ids.agg(F.max("_ids").alias("m")).first()["m"] or 0
-    if worst <= n:
-        return dedup_first(df, id_col=[*shards, id_col], seq_col=seq_col, out_col=out_col)
+    if method == "auto":
+        distinct_ids = df.groupBy(*shards, id_col).agg(F.lit(1).alias("_one")) \
+            .groupBy(*shards).agg(F.count(F.lit(1)).alias("_ids"))
+        worst = distinct_ids.agg(F.max("_ids").alias("m")).first()["m"] or 0
+        if worst <= n:
+            return dedup_first(df, id_col=[*shards, id_col], seq_col=seq_col, out_col=out_col)
+        method = "blocks"
+    if method == "blocks":
+        out = _last_n_speculative(df, n, shards, id_col, seq_col, out_col, block_rows, halo_rows)
+        if out is not None:
+            return out
+    return _last_n_fold(df, n, shards, id_col, seq_col, out_col)
+
+
+def _fifo_hash(fifo) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for i in fifo:
+        h.update(repr(i).encode("utf-8"))
+        h.update(b"\x00")
+    return int.from_bytes(h.digest(), "big", signed=True)
+
+
+def _last_n_speculative(df: DataFrame, n: int, shards: list[str], id_col: str, seq_col: str, out_col: str,
+                        block_rows: int | None, halo_rows: int | None) -> DataFrame | None:
+    halo = halo_rows if halo_rows is not None else 2 * n
+    block = block_rows if block_rows is not None else max(4 * halo, 1_000_000)
+    if halo > block:
+        raise ValueError("halo_rows must not exceed block_rows")
+    idx = dense_index(df, seq_col, shards)
+    blk = F.floor(F.col("_idx") / block).cast("bigint")
+    in_halo = (F.col("_idx") % block) >= (block - halo)
+    targets = F.when(in_halo & F.lit(halo > 0), F.array(blk, blk + 1)).otherwise(F.array(blk))
+    spread = idx.withColumn("_blk", F.explode(targets)).withColumn("_own", F.col("_blk") == blk) \
+        .repartition(*shards, "_blk")
+    out_schema = T.StructType([f for f in spread.schema.fields if f.name != "_own"] + [
+        T.StructField(out_col, T.BooleanType(), False), T.StructField("_h0", T.LongType(), False),
+        T.StructField("_h1", T.LongType(), False)])
+    names = [f.name for f in out_schema.fields]
+
+    def replay(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_idx", "ascending"), ("_own", "ascending")])
+        ids = table.column(id_col).to_pylist()
+        own = table.column("_own").to_pylist()
+        fifo, seen, flags = deque(), set(), []
+        h0 = None
+        for i, mine in zip(ids, own):
+            if mine and h0 is None:
+                h0 = _fifo_hash(fifo)
+            if i in seen:
+                flags.append(False)
+                continue
+            seen.add(i)
+            fifo.append(i)
+            if len(fifo) > n:
+                seen.discard(fifo.popleft())
+            flags.append(True)
+        h1 = _fifo_hash(fifo)
+        table = table.append_column(out_col, pa.array(flags, pa.bool_()))
+        table = table.filter(table.column("_own"))
+        k = table.num_rows
+        table = table.append_column("_h0", pa.array(np.full(k, h0 if h0 is not None else 0), pa.int64())) \
+            .append_column("_h1", pa.array(np.full(k, h1), pa.int64()))
+        return table.select(names)
+
+    done = materialize(spread.groupBy(*shards, "_blk").applyInArrow(replay, schema=out_schema))
+    summary = done.select(*shards, "_blk", "_h0", "_h1").distinct()
+    w = Window.partitionBy(*shards).orderBy("_blk") if shards else Window.orderBy("_blk")
+    bad = summary.withColumn("_prev_h1", F.lag("_h1").over(w)) \
+        .where(F.col("_prev_h1").isNotNull() & (F.col("_prev_h1") != F.col("_h0"))).limit(1).count()
+    if bad:
+        return None
+    return done.drop("_idx", "_blk", "_h0", "_h1")
+
+
+def _last_n_fold(df: DataFrame, n: int, shards: list[str], id_col: str, seq_col: str, out_col: str) -> DataFrame:
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.BooleanType(), False)])
 

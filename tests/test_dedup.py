@@ -2,7 +2,7 @@ import random
 from collections import deque
 
 from keelson.operators.dedup import dedup_first
-from keelson.operators.dedup_seq import dedup_idle_ttl, dedup_last_n
+from keelson.operators.dedup_seq import _last_n_speculative, dedup_idle_ttl, dedup_last_n
 
 
 def _last_n_model(ids, n):
@@ -83,3 +83,21 @@ def test_idle_ttl_random_vs_model(spark):
         df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)],
                                    "event_id string, seq bigint, t bigint")
         assert _flags(dedup_idle_ttl(df, 1000)) == _idle_model(rows, 1000)
+
+
+def test_last_n_speculative_blocks_vs_model(spark):
+    rnd = random.Random(21)
+    ids = [f"id{rnd.randrange(400)}" if rnd.random() < 0.5 else f"u{i}" for i in range(4000)]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "event_id string, seq bigint")
+    spec = _last_n_speculative(df, 20, [], "event_id", "seq", "dedup_ok", 300, 60)
+    assert spec is not None                      # every block boundary verified
+    assert _flags(spec) == _last_n_model(ids, 20)
+
+
+def test_last_n_speculation_mismatch_falls_back(spark):
+    # a long run of repeats of few ids: a short halo cannot rebuild the FIFO, the fold takes over
+    ids = [f"id{i % 7}" for i in range(600)] + [f"id{i % 13}" for i in range(600)]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "event_id string, seq bigint")
+    assert _last_n_speculative(df, 10, [], "event_id", "seq", "dedup_ok", 100, 3) is None
+    got = _flags(dedup_last_n(df, 10, method="blocks", block_rows=100, halo_rows=3))
+    assert got == _last_n_model(ids, 10)
