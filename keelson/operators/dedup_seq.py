@@ -4,7 +4,8 @@ Q2 ``dedup_idle_ttl`` - a shared id set that expires as a whole ``ttl`` after
 the last *added* id (a duplicate does not renew it).  Exact parallel plan,
 given arrival times ``t`` that do not decrease with ``seq``:
 
-* ``prev`` = seq of the previous occurrence of the same id (window per id).
+* ``prev`` = seq of the previous occurrence of the same id (window per id, or a
+  per-id dense index and self-join when one id is too large for a task).
   Inside an epoch that starts at row b, a row is accepted iff prev < b.
 * First-ever occurrences are always accepted, so the set can only expire at a
   row that comes >= ttl after the latest first-ever occurrence before it
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators.dedup import dedup_first
-from keelson.operators.order import dense_index, require_seq
+from keelson.operators.order import dense_index, previous_seq, require_seq
 from keelson.plans.fold import ordered_fold
 from keelson.plans.joins import join_checked, materialize, materialize_small
 from keelson.plans.scan import running_max
@@ -52,11 +53,10 @@ from keelson.schema import DEDUP_LAST_N, DEDUP_TTL_MS
 
 
 def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t", id_col: str = "event_id",
-                   seq_col: str = "seq", out_col: str = "dedup_ok") -> DataFrame:
+                   seq_col: str = "seq", out_col: str = "dedup_ok", max_key_rows: int = 1_000_000) -> DataFrame:
     require_seq(df, seq_col)
     c = F.col
-    by_id = Window.partitionBy(id_col).orderBy(seq_col)
-    base = materialize(df.withColumn("_prev", F.lag(seq_col).over(by_id)))
+    base = materialize(previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows))
     n = base.count()
     first_t = F.when(c("_prev").isNull(), c(t_col))
     scanned = running_max(base.withColumn("_ft", first_t), "_ft", seq_col, "_g", inclusive=False, n_rows=n)

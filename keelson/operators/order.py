@@ -73,3 +73,21 @@ def dense_index(df: DataFrame, seq_col: str = "seq", partition_cols: Sequence[st
     inner = Window.partitionBy(*keys).orderBy(seq_col)
     return with_off.withColumn(out_col, F.col("_off") + F.row_number().over(inner) - 1) \
         .drop("_off", "_rng")
+
+
+def previous_seq(df: DataFrame, key_cols: Sequence[str], seq_col: str = "seq", out_col: str = "_prev",
+                 max_key_rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """seq of the previous row with the same key (NULL for the first), skew-safe.
+
+    The largest key is measured with a partial aggregate.  When it fits one task
+    (<= ``max_key_rows``) a ``lag`` window per key is used; otherwise each key
+    gets a dense index (hot keys are split across seq ranges) and the previous
+    row is found by an equi self-join on (key, idx - 1), which spreads evenly.
+    """
+    keys = list(key_cols)
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
+    if biggest <= max_key_rows:
+        return df.withColumn(out_col, F.lag(seq_col).over(Window.partitionBy(*keys).orderBy(seq_col)))
+    idx = dense_index(df, seq_col, keys, out_col="_kidx", rows_per_range=max_key_rows)
+    prev = idx.select(*keys, (F.col("_kidx") + 1).alias("_kidx"), F.col(seq_col).alias(out_col))
+    return idx.join(prev, on=keys + ["_kidx"], how="left").drop("_kidx")

@@ -84,9 +84,11 @@ def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
         F.row_number().over(w).alias("_pos"),
         F.count(F.lit(1)).over(whole).alias("_n"),
         F.first("node").over(whole).alias("_first"))
-    wrap = seg.where(F.col("_pos") == F.col("_n")).select(
-        F.col("hi").alias("lo"), F.lit(MAX_HASH).alias("hi"), F.col("_first").alias("node"))
-    segs = seg.select("lo", "hi", "node").unionByName(wrap)
+    # the last point also emits the wrap segment (last hash, max] -> first node, in the same pass
+    own = F.struct(F.col("lo"), F.col("hi"), F.col("node"))
+    wrap = F.struct(F.col("hi").alias("lo"), F.lit(MAX_HASH).alias("hi"), F.col("_first").alias("node"))
+    segs = seg.select(F.explode(F.when(F.col("_pos") == F.col("_n"), F.array(own, wrap))
+                                .otherwise(F.array(own))).alias("s")).select("s.*")
     b = lambda c: F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
     lo_b = F.when(F.col("lo") == "", F.lit(0)).otherwise(b(F.col("lo")))
     return segs.withColumn("bucket", F.explode(F.sequence(lo_b, b(F.col("hi")))))

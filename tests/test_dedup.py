@@ -101,3 +101,14 @@ def test_last_n_speculation_mismatch_falls_back(spark):
     assert _last_n_speculative(df, 10, [], "event_id", "seq", "dedup_ok", 100, 3) is None
     got = _flags(dedup_last_n(df, 10, method="blocks", block_rows=100, halo_rows=3))
     assert got == _last_n_model(ids, 10)
+
+
+def test_idle_ttl_hot_id_path_vs_model(spark):
+    rnd = random.Random(33)
+    t, rows = 0, []
+    for _ in range(1200):
+        t += rnd.choice([1, 3, 40, 700, 1500])
+        rows.append(("hot" if rnd.random() < 0.4 else f"id{rnd.randrange(50)}", t))
+    df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)], "event_id string, seq bigint, t bigint")
+    # max_key_rows below the hot id's size forces the dense-index + self-join path
+    assert _flags(dedup_idle_ttl(df, 1000, max_key_rows=100)) == _idle_model(rows, 1000)
