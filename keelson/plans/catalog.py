@@ -280,3 +280,59 @@ def q_interval(spark, sf):
 def q_run_batch(spark, sf):
     return _routed(spark, sf, wire=True).select("seq", "event_id", "passed", "stage", "tenant", "path",
                                                 "effective_path")
+
+
+# ---------------------------------------------------------------- streaming
+STREAM_WATERMARK = "5 hours"     # wider than the fixture's +-2 h drifted rows, so nothing is late
+STREAM_RANGES = 4
+
+
+def _arrivals_stream(spark, sf):
+    """Arrivals written as seq-ordered file groups; one group per micro-batch (availableNow)."""
+    from keelson.session import default_parallelism
+    arr = _arr(spark, sf)
+    src = scratch_path(spark, "stream-src")
+    top = arr.agg(F.max("seq").alias("m")).first()["m"] or 0
+    step = top // STREAM_RANGES + 1
+    files = default_parallelism(spark)
+    for i in range(STREAM_RANGES):
+        part = arr.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step))
+        part.repartition(files).write.mode("append").parquet(src)
+    return spark.readStream.schema(arr.schema).option("maxFilesPerTrigger", files).parquet(src)
+
+
+def _drain(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@query("dedup_stream")
+def q_dedup_stream(spark, sf):
+    from keelson.streaming.ops import dedup_stream
+    out, ck = scratch_path(spark, "q4-out"), scratch_path(spark, "q4-ck")
+    kept = dedup_stream(_arrivals_stream(spark, sf), watermark=STREAM_WATERMARK) \
+        .select("event_id", "user_id", "event_type", "platform", "ts")
+    _drain(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+           .trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@query("drift_stream")
+def q_drift_stream(spark, sf):
+    from keelson.streaming.ops import dedup_stream, drift_stream
+    out, ck = scratch_path(spark, "q7-out"), scratch_path(spark, "q7-ck")
+    kept = dedup_stream(_arrivals_stream(spark, sf).select("event_id", "ts", "seq"), watermark=STREAM_WATERMARK)
+    flagged = drift_stream(kept).select("event_id", "drift_ok")
+    _drain(flagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+           .trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@query("run_stream")
+def q_run_stream(spark, sf):
+    from keelson.streaming.ops import run_stream
+    out, ck = scratch_path(spark, "p2-out"), scratch_path(spark, "p2-ck")
+    _drain(run_stream(_arrivals_stream(spark, sf), SECRET, out, ck, available_now=True,
+                      watermark=STREAM_WATERMARK))
+    return spark.read.parquet(f"{out}/verdict").select("event_id", "passed", "stage", "reason")

@@ -268,4 +268,11 @@ ORACLES: dict[str, str] = {
       SELECT seq, event_id, passed, stage, tenant, path, effective_path FROM routed
       UNION ALL SELECT seq, event_id, passed, stage, NULL, NULL, NULL FROM verdict WHERE NOT passed
       UNION ALL SELECT seq, NULL, false, 'decode', NULL, NULL, NULL FROM wire_src WHERE truncated""",
+    "dedup_stream": _w(ARR) + """
+      SELECT event_id, user_id, event_type, platform, ts
+      FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS rn FROM arrivals) WHERE rn = 1""",
+    "drift_stream": _w(ARR, verdict_ctes()) + """
+      SELECT event_id, drift_ok FROM v_drift WHERE dedup_ok""",
+    "run_stream": _w(ARR, verdict_ctes()) + """
+      SELECT event_id, passed, stage, reason FROM verdict WHERE stage <> 'dedup'""",
 }
