@@ -19,7 +19,7 @@ from keelson.operators.dedup_seq import dedup_idle_ttl, dedup_last_n
 from keelson.operators.drift import drift_filter, rolling_median
 from keelson.operators.quality import (flag_platform, quality_counters, quality_verdict, sign_events,
                                        split_payload_cols, verify_hmac)
-from keelson.operators.ring import assign_tenant, build_ring, members, moved_keys, remove_tenant, ring_lookup
+from keelson.operators.ring import assign_tenant, build_ring, members, moved_keys, ring_lookup
 from keelson.operators.route import classify_path, route_stats
 from keelson.plans.joins import materialize
 from keelson.plans.pipeline import run_batch

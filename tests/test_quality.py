@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from keelson.operators.drift import drift_filter, rolling_median, rolling_median_native
