@@ -28,7 +28,8 @@ STAGE_DECODE = "decode"
 def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col: str = "seq",
                  sink: str = "hot", failure_threshold: int = BREAKER_FAILURE_THRESHOLD,
                  timeout_ms: int = BREAKER_TIMEOUT_MS,
-                 success_threshold: int = BREAKER_SUCCESS_THRESHOLD, n_calls: int | None = None) -> DataFrame:
+                 success_threshold: int = BREAKER_SUCCESS_THRESHOLD, n_calls: int | None = None,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Hot writes through the breaker: ``delivered`` = allowed and the write succeeded.
 
     ``write_ok`` is the outcome the hot store would give each hot row.  Cold and
@@ -39,10 +40,10 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
         .withColumn("_t", F.col(t_col)).withColumn("_ok", write_ok)
     # rows pass through the fold whole, so no join back is needed
     # one sink receives every call: the call count is the largest-sink size
-    method = "auto" if n_calls is None else ("fold" if n_calls <= BLOCK_ROWS else "blocks")
+    method = "auto" if n_calls is None else ("fold" if n_calls <= block_rows else "blocks")
     tl = breaker_timeline(calls, sink_col="_sink", seq_col=seq_col, t_col="_t", ok_col="_ok",
                           failure_threshold=failure_threshold, timeout_ms=timeout_ms,
-                          success_threshold=success_threshold, method=method)
+                          success_threshold=success_threshold, method=method, block_rows=block_rows)
     done = tl.withColumn("delivered", F.col("allowed") & F.col("_ok")) \
         .drop("_sink", "_t", "_ok", "state", "failure_count", "success_count")
     others = routed.where(~is_call).withColumn("allowed", F.lit(None).cast("boolean")) \
@@ -53,7 +54,8 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
 def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAULT_TENANTS,
               wire_col: str | None = None, hot_write_ok: Column | None = None,
               hot_sink_available: bool = True, seq_col: str = "seq",
-              hot_types: Sequence[str] = HOT_EVENT_TYPES, **verdict_kw) -> DataFrame:
+              hot_types: Sequence[str] = HOT_EVENT_TYPES, breaker_block_rows: int = BLOCK_ROWS,
+              **verdict_kw) -> DataFrame:
     """P1 over a table of events (or of wire bytes when ``wire_col`` is given)."""
     spark = df.sparkSession
     rejects = None
@@ -70,7 +72,8 @@ def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAU
     passed = verdict.where(F.col("passed"))
     routed = classify_path(assign_tenant(passed, ring, "user_id", "tenant", prepared=prepared), hot_types)
     if hot_write_ok is not None and hot_sink_available:
-        routed = hot_delivery(routed, hot_write_ok, seq_col=seq_col, n_calls=int(seen["hot_calls"]))
+        routed = hot_delivery(routed, hot_write_ok, seq_col=seq_col, n_calls=int(seen["hot_calls"]),
+                              block_rows=breaker_block_rows)
         routed = hot_with_fallback(routed, "delivered")
     else:
         routed = hot_with_fallback(routed, None, sink_available=hot_sink_available)
