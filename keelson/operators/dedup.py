@@ -6,7 +6,7 @@ report the failing stage; callers filter.
 * ``dedup_first`` - the first arrival (lowest ``seq``) of each id passes.
   Plan: a partial/final aggregate finds ids seen more than once and their first
   seq (map-side combine, so a hot id costs one row per task, not a third of the
-  table in one task); that table is checkpointed, measured, and joined back -
+  table in one task); that table is computed once, counted, and joined back -
   broadcast when small, otherwise sort-merge with AQE skew splitting.
 """
 

@@ -8,7 +8,8 @@ the smaller node name.  An empty ring gives "".
 Lookup is a range join made into an equi join: ring segments ``(lo, hi]`` are
 split by the leading hex digits of the hash (the bucket), so every key probes
 one bucket by hash-equality and checks the range as a residual.  The segment
-table grows only with ring membership; it is measured before it is broadcast.
+table grows only with ring membership; it is broadcast only under a bound
+computed from the point count (points + bucket splits + 1).
 The probe side is never shuffled.
 """
 

@@ -1,9 +1,10 @@
 """Join helpers that broadcast only behind a measured size bound.
 
-``materialize_small`` writes a (presumed small) side once to the shared
-checkpoint folder and counts it; ``join_checked`` broadcasts it only when the
-count and the estimated bytes are under the limits, and otherwise leaves the
-choice to Catalyst/AQE (sort-merge join with skew splitting).
+``materialize_small`` computes a (presumed small) side once, keeps it in cache
+and counts it; ``join_checked`` broadcasts it only when the count and the
+estimated bytes are under the limits, and otherwise leaves the choice to
+Catalyst/AQE (sort-merge join with skew splitting).  ``materialize`` cuts
+lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations

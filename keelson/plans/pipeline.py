@@ -1,7 +1,8 @@
 """Batch pipeline (P1): decode -> verdict -> tenant -> path -> hot fallback.
 
-``run_batch`` is lazy except for the measured steps (checkpointed dedup
-flags, ring segments).  Every output row keeps its verdict; routing columns
+``run_batch`` is lazy except for its eager cut points: the decoded input, the
+dedup flags and the verdict are checkpointed once each (counts for the next
+plan choices are observed while those jobs run).  Every output row keeps its verdict; routing columns
 are NULL on rejected rows.  Sinks are separate (``keelson.sinks``) so one
 routed frame can feed both outputs.
 """
@@ -19,7 +20,7 @@ from keelson.operators.ring import assign_tenant, build_ring, members, prepare_r
 from keelson.operators.route import classify_path, hot_with_fallback
 from keelson.plans.joins import materialize, materialize_observed
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD, BREAKER_TIMEOUT_MS,
-                            DEFAULT_TENANTS, EVENT_FIELDS, HOT_EVENT_TYPES, VIRTUAL_NODES)
+                            DEFAULT_TENANTS, HOT_EVENT_TYPES, VIRTUAL_NODES)
 from keelson.sources.codec import decode_events
 
 STAGE_DECODE = "decode"
@@ -84,6 +85,3 @@ def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAU
         out = out.unionByName(bad, allowMissingColumns=True)
     return out
 
-
-def event_columns() -> list[str]:
-    return list(EVENT_FIELDS)
