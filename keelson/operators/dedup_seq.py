@@ -12,8 +12,10 @@ given arrival times ``t`` that do not decrease with ``seq``:
   (running max, two-level scan): the *candidates*.
 * A candidate c ends the epoch that started at b iff t_c - t_b >= ttl and every
   row in the ttl before c is a duplicate inside the epoch, i.e. the minimum
-  ``prev`` over that time window is >= b.  That minimum ``P(c)`` is computed for
-  all candidates at once with a time-bucketed join (candidates measured).
+  ``prev`` over that time window is >= b.  The window is a contiguous index
+  range [lo(c), c); its minimum ``P(c)`` comes from a running count (lo), block
+  prefix/suffix minima and a sparse table over block minima - equi-joins only,
+  no row-candidate pairs.
 * The only sequential step is a fold over candidates with two scalars
   (epoch start seq and time), streamed in one ordered pass.
 * Each row's epoch start is a running max over boundary rows; then the flag.
@@ -48,56 +50,134 @@ from keelson.operators.dedup import dedup_first
 from keelson.operators.order import dense_index, previous_seq, require_seq
 from keelson.plans.fold import ordered_fold
 from keelson.plans.joins import join_checked, materialize, materialize_small
-from keelson.plans.scan import running_max
+from keelson.plans.scan import range_min_table, running_max, running_sum
 from keelson.schema import DEDUP_LAST_N, DEDUP_TTL_MS
 
 
 def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t", id_col: str = "event_id",
-                   seq_col: str = "seq", out_col: str = "dedup_ok", max_key_rows: int = 1_000_000) -> DataFrame:
+                   seq_col: str = "seq", out_col: str = "dedup_ok", max_key_rows: int = 1_000_000,
+                   block_rows: int = 65536) -> DataFrame:
     require_seq(df, seq_col)
     c = F.col
     base = materialize(previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows))
     n = base.count()
     first_t = F.when(c("_prev").isNull(), c(t_col))
     scanned = running_max(base.withColumn("_ft", first_t), "_ft", seq_col, "_g", inclusive=False, n_rows=n)
-    scanned = materialize(scanned.drop("_ft"))
+    rows = materialize(dense_index(scanned.drop("_ft"), seq_col, n_rows=n)
+                       .withColumn("_blk", F.floor(c("_idx") / block_rows).cast("bigint")))
     # candidates: rows >= ttl after the latest first-ever occurrence; the first row starts epoch 0
-    cand = scanned.where(c("_g").isNull() | (c(t_col) - c("_g") >= ttl_ms)).select(
-        c(seq_col).alias("_cseq"), c(t_col).alias("_ct"), c("_g").isNull().alias("_start"))
-    cand, small = materialize_small(cand)
-    # P(c): min prev over rows q with seq_q < seq_c and t_q > t_c - ttl (time buckets of width ttl)
-    bucket = F.floor(c(t_col) / ttl_ms)
-    rows = scanned.select(bucket.alias("_b"), c(t_col).alias("_qt"), c(seq_col).alias("_qseq"), "_prev")
-    probes = cand.select("*", F.explode(F.array(F.floor(c("_ct") / ttl_ms) - 1,
-                                                F.floor(c("_ct") / ttl_ms))).alias("_b"))
-    probes = F.broadcast(probes) if small else probes
-    win = rows.join(probes, "_b").where((c("_qseq") < c("_cseq")) & (c("_qt") > c("_ct") - ttl_ms))
-    pmin = win.groupBy("_cseq").agg(F.min("_prev").alias("_pmin"), F.count(F.lit(1)).alias("_nwin"))
-    cand_p = cand.join(pmin, "_cseq", "left")
+    cand = rows.where(c("_g").isNull() | (c(t_col) - c("_g") >= ttl_ms)).select(
+        c("_idx").alias("_cidx"), c(seq_col).alias("_cseq"), c(t_col).alias("_ct"),
+        c("_g").isNull().alias("_start"))
+    cand, _ = materialize_small(cand)
+    pmin = _window_min_prev(rows, cand, t_col, ttl_ms, block_rows, n)
 
     schema = T.StructType([T.StructField("_bseq", T.LongType(), False)])
 
     def step(batch: pa.RecordBatch, st: dict) -> pa.RecordBatch:
         out = []
         bseq, bt = st.get("bseq"), st.get("bt")
-        for s, t, start, pmin, nwin in zip(*(batch.column(k).to_pylist()
-                                             for k in ("_cseq", "_ct", "_start", "_pmin", "_nwin"))):
+        for s_, t, start, pm, empty in zip(*(batch.column(k).to_pylist()
+                                              for k in ("_cseq", "_ct", "_start", "_pmin", "_empty"))):
             if start or bseq is None:
-                bseq, bt = s, t
-                out.append(s)
-            elif t - bt >= ttl_ms and (not nwin or pmin >= bseq):
-                bseq, bt = s, t
-                out.append(s)
+                bseq, bt = s_, t
+                out.append(s_)
+            elif t - bt >= ttl_ms and (empty or pm >= bseq):
+                bseq, bt = s_, t
+                out.append(s_)
         st.update(bseq=bseq, bt=bt)
         return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_bseq"])
 
-    bounds = ordered_fold(cand_p.select("_cseq", "_ct", "_start", "_pmin", "_nwin"), [], ["_cseq"], step, schema)
-    flagged = join_checked(scanned, bounds.withColumn("_is_b", F.lit(True)),
-                           on=scanned[seq_col] == c("_bseq"), how="left")
+    bounds = ordered_fold(pmin.select("_cseq", "_ct", "_start", "_pmin", "_empty"), [], ["_cseq"], step, schema)
+    flagged = join_checked(rows, bounds.withColumn("_is_b", F.lit(True)),
+                           on=rows[seq_col] == c("_bseq"), how="left")
     flagged = flagged.withColumn("_bmark", F.when(c("_is_b"), c(seq_col))).drop("_bseq", "_is_b")
     epochs = running_max(flagged, "_bmark", seq_col, "epoch_start", inclusive=True, n_rows=n)
     ok = c("_prev").isNull() | (c("_prev") < c("epoch_start"))
-    return epochs.withColumn(out_col, ok).drop("_prev", "_g", "_bmark")
+    return epochs.withColumn(out_col, ok).drop("_prev", "_g", "_bmark", "_idx", "_blk")
+
+
+_INF = np.iinfo(np.int64).max
+
+
+def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int, block_rows: int,
+                     n_rows: int) -> DataFrame:
+    """For each candidate c: min ``_prev`` over rows q with idx_q in [lo(c), idx_c), where
+    lo(c) = number of rows with t <= t_c - ttl (t does not decrease with seq).
+
+    No pairs are formed: lo(c) comes from one running count over rows and
+    probes; the range minimum is split into (a) the suffix of lo's block, (b)
+    whole blocks between, read from a sparse table over block minima, and (c)
+    the prefix of c's block, or one in-block range minimum when lo and c share
+    a block.  (a), (c) and the in-block case come from one Arrow fold per block.
+    """
+    c = F.col
+    events = rows.select((c(t_col) * 2).alias("_ord"), F.lit(1).alias("_isrow"),
+                         F.lit(None).cast("bigint").alias("_cidx")) \
+        .unionByName(cand.select(((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"), F.lit(0).alias("_isrow"), "_cidx"))
+    counted = running_sum(events, "_isrow", "_ord", "_lo", n_rows=n_rows + cand.count())
+    lo = counted.where(c("_isrow") == 0).select("_cidx", c("_lo").cast("bigint").alias("_lo"))
+    cq = join_checked(cand, lo, on=["_cidx"], how="inner") \
+        .withColumn("_kl", F.floor(c("_lo") / block_rows).cast("bigint")) \
+        .withColumn("_kc", F.floor(c("_cidx") / block_rows).cast("bigint"))
+    cq = materialize(cq)
+
+    # (a), (c) and same-block minima: one fold per block
+    same = cq.where(c("_kl") == c("_kc")).select(c("_cidx").alias("_idx"), c("_lo").alias("_same_lo"))
+    per_block = join_checked(rows.select("_blk", "_idx", "_prev"), same, on=["_idx"], how="left")
+    fold_schema = T.StructType([T.StructField("_idx", T.LongType()), T.StructField("_pre", T.LongType()),
+                                T.StructField("_suf", T.LongType()), T.StructField("_inb", T.LongType())])
+
+    def block_minima(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_idx")
+        idx = table.column("_idx").to_numpy(zero_copy_only=False).astype(np.int64)
+        prev = table.column("_prev").to_numpy(zero_copy_only=False)
+        v = np.where(np.isnan(prev.astype("float64")), _INF, np.nan_to_num(prev.astype("float64"))).astype(np.int64) \
+            if prev.dtype.kind == "f" else np.asarray(prev, dtype=np.int64)
+        k = len(v)
+        pre = np.minimum.accumulate(np.concatenate([[_INF], v[:-1]])) if k else v
+        suf = np.minimum.accumulate(v[::-1])[::-1] if k else v
+        sparse = [v]
+        span = 1
+        while span * 2 <= k:
+            last = sparse[-1]
+            sparse.append(np.minimum(last[:-span], last[span:]))
+            span *= 2
+        inb = np.full(k, _INF, dtype=np.int64)
+        same_lo = table.column("_same_lo").to_pylist()
+        base_idx = int(idx[0]) if k else 0
+        for pos, lo_abs in enumerate(same_lo):
+            if lo_abs is None:
+                continue
+            a, b = int(lo_abs) - base_idx, pos          # half-open [a, b)
+            if a < b:
+                lvl = (b - a).bit_length() - 1
+                inb[pos] = min(sparse[lvl][a], sparse[lvl][b - (1 << lvl)])
+        return pa.table([pa.array(idx), pa.array(pre), pa.array(suf), pa.array(inb)],
+                        names=["_idx", "_pre", "_suf", "_inb"])
+
+    minima = materialize(per_block.groupBy("_blk").applyInArrow(block_minima, schema=fold_schema))
+    blocks = rows.groupBy("_blk").agg(F.min("_prev").alias("_bm"))
+    table = range_min_table(blocks, "_blk", "_bm")
+
+    # (b): whole blocks strictly between kl and kc, two lookups in the sparse table
+    span = c("_kc") - c("_kl") - 1
+    lvl = F.when(span > 0, F.floor(F.log2(span.cast("double")))).cast("int")
+    mid = cq.where(span > 0).select("_cidx", lvl.alias("_lv"), (c("_kl") + 1).alias("_p1"),
+                                    (c("_kc") - 1 - F.pow(F.lit(2), lvl).cast("bigint") + 1).alias("_p2"))
+    t1 = table.select(c("level").alias("_lv"), c("pos").alias("_p1"), c("m").alias("_m1"))
+    t2 = table.select(c("level").alias("_lv"), c("pos").alias("_p2"), c("m").alias("_m2"))
+    mid = mid.join(t1, ["_lv", "_p1"], "left").join(t2, ["_lv", "_p2"], "left") \
+        .select("_cidx", F.least("_m1", "_m2").alias("_mid"))
+
+    a_part = minima.select(c("_idx").alias("_lo"), c("_suf").alias("_a"))
+    c_part = minima.select(c("_idx").alias("_cidx"), c("_pre").alias("_c"), c("_inb").alias("_inb"))
+    out = cq.join(c_part, "_cidx", "left").join(a_part, "_lo", "left").join(mid, "_cidx", "left")
+    inf = F.lit(int(_INF))
+    cross = F.least(F.coalesce(c("_a"), inf), F.coalesce(c("_mid"), inf), F.coalesce(c("_c"), inf))
+    p = F.when(c("_kl") == c("_kc"), c("_inb")).otherwise(cross)
+    return out.select("_cseq", "_ct", "_start", F.when(p < inf, p).alias("_pmin"),
+                      (c("_lo") >= c("_cidx")).alias("_empty"))
 
 
 def dedup_last_n(df: DataFrame, n: int = DEDUP_LAST_N, shard_cols: Sequence[str] = (),

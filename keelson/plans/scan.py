@@ -29,3 +29,42 @@ def running_max(df: DataFrame, value_col: str, seq_col: str = "seq", out_col: st
     w = Window.partitionBy("_rng").orderBy(seq_col).rowsBetween(Window.unboundedPreceding, end)
     return joined.withColumn(out_col, F.greatest(F.col("_pmax"), F.max(value_col).over(w))) \
         .drop("_pmax", "_rng")
+
+
+def running_sum(df: DataFrame, value_col: str, order_col: str, out_col: str = "running_sum",
+                inclusive: bool = True, n_rows: int | None = None,
+                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """sum(value) over rows ordered before (and with inclusive, at) each row; two-level, no single task."""
+    if n_rows is None:
+        n_rows = df.count()
+    ranged = seq_ranges(df, order_col, n_rows, rows_per_range)
+    totals = ranged.groupBy("_rng").agg(F.sum(value_col).alias("_rsum"))
+    before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select("_rng", F.coalesce(F.sum("_rsum").over(before), F.lit(0)).alias("_psum"))
+    joined = ranged.join(F.broadcast(prefix), "_rng")
+    end = 0 if inclusive else -1
+    w = Window.partitionBy("_rng").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    return joined.withColumn(out_col, F.col("_psum") + F.coalesce(F.sum(value_col).over(w), F.lit(0))) \
+        .drop("_psum", "_rng")
+
+
+def range_min_table(blocks: DataFrame, pos_col: str, value_col: str) -> DataFrame:
+    """Sparse table over a (small) per-block table: rows (level, pos, m) with
+    m = min(value over [pos, pos + 2^level)).  log2(#blocks) levels, each one
+    equi self-join; queries then need two equi lookups and no pairs."""
+    from keelson.plans.joins import materialize
+    n = blocks.count()
+    level = blocks.select(F.lit(0).alias("level"), F.col(pos_col).alias("pos"), F.col(value_col).alias("m"))
+    levels = [level]
+    span = 1
+    while span * 2 <= n:
+        nxt = level.alias("a").join(level.alias("b"), F.col("b.pos") == F.col("a.pos") + span, "inner") \
+            .select((F.col("a.level") + 1).alias("level"), F.col("a.pos").alias("pos"),
+                    F.least(F.col("a.m"), F.col("b.m")).alias("m"))
+        level = materialize(nxt)
+        levels.append(level)
+        span *= 2
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out

@@ -112,3 +112,16 @@ def test_idle_ttl_hot_id_path_vs_model(spark):
     df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)], "event_id string, seq bigint, t bigint")
     # max_key_rows below the hot id's size forces the dense-index + self-join path
     assert _flags(dedup_idle_ttl(df, 1000, max_key_rows=100)) == _idle_model(rows, 1000)
+
+
+def test_idle_ttl_small_blocks_vs_model(spark):
+    """Windows spanning several blocks: suffix, sparse-table middle and prefix pieces."""
+    rnd = random.Random(44)
+    for trial in range(2):
+        t, rows = 0, []
+        for _ in range(1500):
+            t += rnd.choice([1, 2, 5, 50, 400, 1200]) if rnd.random() < 0.7 else rnd.randrange(0, 3)
+            rows.append((f"id{rnd.randrange(80)}", t))
+        df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)],
+                                   "event_id string, seq bigint, t bigint")
+        assert _flags(dedup_idle_ttl(df, 3000, block_rows=4)) == _idle_model(rows, 3000)
