@@ -115,7 +115,8 @@ def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int,
     events = rows.select((c(t_col) * 2).alias("_ord"), F.lit(1).alias("_isrow"),
                          F.lit(None).cast("bigint").alias("_cidx")) \
         .unionByName(cand.select(((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"), F.lit(0).alias("_isrow"), "_cidx"))
-    counted = running_sum(events, "_isrow", "_ord", "_lo", n_rows=n_rows + cand.count())
+    # candidates are a subset of rows, so 2n bounds the event count for range sizing
+    counted = running_sum(events, "_isrow", "_ord", "_lo", n_rows=2 * n_rows)
     lo = counted.where(c("_isrow") == 0).select("_cidx", c("_lo").cast("bigint").alias("_lo"))
     cq = join_checked(cand, lo, on=["_cidx"], how="inner") \
         .withColumn("_kl", F.floor(c("_lo") / block_rows).cast("bigint")) \
@@ -158,7 +159,7 @@ def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int,
 
     minima = materialize(per_block.groupBy("_blk").applyInArrow(block_minima, schema=fold_schema))
     blocks = rows.groupBy("_blk").agg(F.min("_prev").alias("_bm"))
-    table = range_min_table(blocks, "_blk", "_bm")
+    table = range_min_table(blocks, "_blk", "_bm", n=-(-n_rows // block_rows))
 
     # (b): whole blocks strictly between kl and kc, two lookups in the sparse table
     span = c("_kc") - c("_kl") - 1

@@ -48,12 +48,13 @@ def running_sum(df: DataFrame, value_col: str, order_col: str, out_col: str = "r
         .drop("_psum", "_rng")
 
 
-def range_min_table(blocks: DataFrame, pos_col: str, value_col: str) -> DataFrame:
+def range_min_table(blocks: DataFrame, pos_col: str, value_col: str, n: int | None = None) -> DataFrame:
     """Sparse table over a (small) per-block table: rows (level, pos, m) with
     m = min(value over [pos, pos + 2^level)).  log2(#blocks) levels, each one
     equi self-join; queries then need two equi lookups and no pairs."""
     from keelson.plans.joins import materialize
-    n = blocks.count()
+    if n is None:
+        n = blocks.count()
     level = blocks.select(F.lit(0).alias("level"), F.col(pos_col).alias("pos"), F.col(value_col).alias("m"))
     levels = [level]
     span = 1
