@@ -39,8 +39,10 @@ def _write_partition(df: DataFrame, path: str, batch_id: int | str, fmt: str = "
 
 def write_hot(df: DataFrame, path: str, batch_id: int | str) -> None:
     """K2: append to the hot log; entry id = (batch_id, seq), in append order."""
-    hot = project_hot(df).withColumn("log_id", F.concat(F.lit(f"{batch_id}-"), F.col("seq").cast("string"))) \
-        if "seq" in df.columns else project_hot(df)
+    hot = project_hot(df)
+    if "seq" in df.columns:
+        log_id = F.concat(F.lit(f"{batch_id}-"), F.col("seq").cast("string")).alias("log_id")
+        hot = df.select(*[F.col(c).cast("string").alias(c) for c in COLD_FIELDS], log_id)
     _write_partition(hot, path, batch_id)
 
 
