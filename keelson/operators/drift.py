@@ -44,7 +44,7 @@ def rolling_median(df: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
                    window: int = DRIFT_WINDOW, partition_cols: Sequence[str] = (),
                    block_rows: int | None = None, n_rows: int | None = None,
                    rows_per_range: int | None = None, out_col: str = "median",
-                   count_col: str = "window_rows") -> DataFrame:
+                   count_col: str = "window_rows", splits: list[float] | None | str = "compute") -> DataFrame:
     """Add the rolling upper median ``out_col`` and the window fill ``count_col``."""
     require_seq(df, seq_col)
     pcols = list(partition_cols)
@@ -57,7 +57,7 @@ def rolling_median(df: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
     if block_rows < window:
         raise ValueError("block_rows must be at least the window length")
     kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
-    idx = dense_index(df, seq_col, pcols, n_rows=n_rows, **kw)
+    idx = dense_index(df, seq_col, pcols, n_rows=n_rows, splits=splits, **kw)
     halo = window - 1
     blk = F.floor(F.col("_idx") / block_rows).cast("bigint")
     in_halo = (F.col("_idx") % block_rows) >= (block_rows - halo)

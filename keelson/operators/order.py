@@ -31,16 +31,28 @@ def require_seq(df: DataFrame, seq_col: str) -> None:
         raise ValueError(f"order-dependent operator needs a total-order column '{seq_col}'")
 
 
-def seq_ranges(df: DataFrame, seq_col: str, n_rows: int,
-               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add ``_rng``: the index of the seq range holding each row."""
+def range_splits(df: DataFrame, seq_col: str, n_rows: int,
+                 rows_per_range: int = ROWS_PER_RANGE) -> list[float] | None:
+    """Split points of ~``rows_per_range`` rows each (approximate quantiles), or None for one range.
+
+    Splits taken on a superset stay valid for any subset (each range only shrinks),
+    so callers compute them once on the input and reuse them downstream.
+    """
     k = max(1, -(-n_rows // max(1, rows_per_range)))
     if k == 1:
-        return df.withColumn("_rng", F.lit(0))
+        return None
     probs = [i / k for i in range(1, k)]
     qs = df.approxQuantile(seq_col, probs, 1.0 / (20 * k))
-    splits = sorted({float(q) for q in qs if q is not None})
-    splits = [float("-inf")] + splits + [float("inf")]
+    return [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
+
+
+def seq_ranges(df: DataFrame, seq_col: str, n_rows: int,
+               rows_per_range: int = ROWS_PER_RANGE, splits: list[float] | None | str = "compute") -> DataFrame:
+    """Add ``_rng``: the index of the seq range holding each row."""
+    if isinstance(splits, str):
+        splits = range_splits(df, seq_col, n_rows, rows_per_range)
+    if splits is None:
+        return df.withColumn("_rng", F.lit(0))
     tmp = df.withColumn("_seq_d", F.col(seq_col).cast("double"))
     b = Bucketizer(splits=splits, inputCol="_seq_d", outputCol="_rng_d")
     return b.transform(tmp).withColumn("_rng", F.col("_rng_d").cast("int")).drop("_seq_d", "_rng_d")
@@ -48,17 +60,17 @@ def seq_ranges(df: DataFrame, seq_col: str, n_rows: int,
 
 def dense_index(df: DataFrame, seq_col: str = "seq", partition_cols: Sequence[str] = (),
                 n_rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE,
-                out_col: str = "_idx") -> DataFrame:
+                out_col: str = "_idx", splits: list[float] | None | str = "compute") -> DataFrame:
     """Add a 0-based dense index in ``seq`` order within ``partition_cols``."""
     require_seq(df, seq_col)
     pcols = list(partition_cols)
     if n_rows is None:
         n_rows = df.count()
-    if n_rows <= rows_per_range:
+    if n_rows <= rows_per_range or splits is None:
         # one range: a single bounded sort (at most rows_per_range rows per partition key)
         w1 = Window.partitionBy(*pcols).orderBy(seq_col) if pcols else Window.orderBy(seq_col)
         return df.withColumn(out_col, F.row_number().over(w1) - 1)
-    ranged = seq_ranges(df, seq_col, n_rows, rows_per_range)
+    ranged = seq_ranges(df, seq_col, n_rows, rows_per_range, splits)
     keys = pcols + ["_rng"]
     counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*pcols).orderBy("_rng") if pcols else Window.orderBy("_rng")

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from keelson.functions.mac import hmac_sha256, signed_message, verify_expr
 from keelson.operators.dedup import dedup_first
 from keelson.operators.drift import drift_filter
-from keelson.operators.order import require_seq
-from keelson.plans.joins import materialize_observed
+from keelson.operators.order import ROWS_PER_RANGE, range_splits, require_seq
 from keelson.schema import (DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, KNOWN_PLATFORMS,
                             MAC_BYTES, REASON_DUPLICATE_PREFIX, REASON_HMAC, REASON_WATERMARK,
                             STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK)
@@ -71,27 +70,34 @@ def verdict_columns(df: DataFrame) -> DataFrame:
 def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
                     dedup=None, window: int = DRIFT_WINDOW, warmup: int = DRIFT_WARMUP,
                     tolerance_ms: int = DRIFT_TOLERANCE_MS, partition_cols: Sequence[str] = (),
-                    keep_payload: bool = False, **drift_kw) -> DataFrame:
+                    keep_payload: bool = False, n_rows: int | None = None, **drift_kw) -> DataFrame:
     """All stages; returns every input row with flags and the verdict.
 
     ``dedup`` is a function ``DataFrame -> DataFrame`` adding ``dedup_ok``
     (default ``dedup_first``; ``dedup_last_n`` / ``dedup_idle_ttl`` plug in).
     The MAC is checked first in the plan because it is a pure function of the
-    row; only its flag travels on, so the payload is not shuffled.
+    row; only its flag travels on, so the payload is not shuffled.  An input
+    that already carries ``hmac_ok`` (checked at decode time) is not re-verified.
     """
     require_seq(df, seq_col)
     dedup = dedup or dedup_first
-    flagged = flag_platform(verify_hmac(df, secret))
-    if not keep_payload:
+    flagged = df if "hmac_ok" in df.columns else verify_hmac(df, secret)
+    flagged = flag_platform(flagged)
+    if not keep_payload and "payload" in flagged.columns:
         flagged = flagged.drop("payload")
-    # dedup flags feed the survivor count, the drift fold and the duplicate branch: cut here
-    flagged, seen = materialize_observed(dedup(flagged), "dedup", survivors=F.count_if(F.col("dedup_ok")))
+    # sizes and seq ranges come from the input: survivors are a subset, so the
+    # ranges stay valid and no extra pass over the dedup result is needed
+    if n_rows is None:
+        n_rows = df.count()
+    rpr = drift_kw.pop("rows_per_range", ROWS_PER_RANGE)
+    splits = None if partition_cols else range_splits(df, seq_col, n_rows, rpr)
+    flagged = dedup(flagged)
     dups = flagged.where(~F.col("dedup_ok")).withColumn("median", F.lit(None).cast("bigint")) \
         .withColumn("window_rows", F.lit(None).cast("int")).withColumn("drift_ok", F.lit(None).cast("boolean"))
     survivors = flagged.where(F.col("dedup_ok"))
-    n_surv = int(seen["survivors"])
     drifted = drift_filter(survivors, "ts", seq_col, window, warmup, tolerance_ms, partition_cols,
-                           n_rows=n_surv, **drift_kw)
+                           n_rows=n_rows, rows_per_range=rpr,
+                           splits=splits if not partition_cols else "compute", **drift_kw)
     return verdict_columns(drifted.unionByName(dups))
 
 

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.breaker import BLOCK_ROWS, breaker_timeline
-from keelson.operators.quality import quality_verdict
+from keelson.operators.quality import quality_verdict, verify_hmac
 from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
 from keelson.operators.route import classify_path, hot_with_fallback
-from keelson.plans.joins import materialize, materialize_observed
+from keelson.plans.joins import materialize_observed
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD, BREAKER_TIMEOUT_MS,
                             DEFAULT_TENANTS, HOT_EVENT_TYPES, VIRTUAL_NODES)
 from keelson.sources.codec import decode_events
@@ -60,14 +60,18 @@ def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAU
     """P1 over a table of events (or of wire bytes when ``wire_col`` is given)."""
     spark = df.sparkSession
     rejects = None
+    n_rows = None
     if wire_col is not None:
         keep = tuple(c for c in df.columns if c != wire_col)
-        decoded = materialize(decode_events(df, wire_col, keep=keep))   # decode once
+        # decode once, check the MAC while the payload is at hand, then cut with narrow rows only
+        decoded = verify_hmac(decode_events(df, wire_col, keep=keep), secret).drop("payload")
+        decoded, seen_dec = materialize_observed(decoded, "decoded", ok=F.count_if(F.col("decode_ok")))
+        n_rows = int(seen_dec["ok"])
         rejects = decoded.where(~F.col("decode_ok")).select(seq_col)
         df = decoded.where(F.col("decode_ok")).drop("decode_ok")
     hot = F.col("passed") & F.col("event_type").isin(list(hot_types))
-    verdict, seen = materialize_observed(quality_verdict(df, secret, seq_col=seq_col, **verdict_kw), "verdict",
-                                         hot_calls=F.count_if(hot))
+    verdict, seen = materialize_observed(quality_verdict(df, secret, seq_col=seq_col, n_rows=n_rows, **verdict_kw),
+                                         "verdict", hot_calls=F.count_if(hot))
     ring = build_ring(members(spark, tenants))
     prepared = prepare_ring(ring, n_points=len(tuple(tenants)) * VIRTUAL_NODES)
     passed = verdict.where(F.col("passed"))

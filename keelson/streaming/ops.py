@@ -85,9 +85,20 @@ def drift_stream(stream: DataFrame, shard_col: str | None = None, ts_col: str =
     return out if shard_col else out.drop("_shard")
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    except Exception:          # no JVM access (Spark Connect): let the read decide
+        return True
+
+
 def _read_tail(spark: SparkSession, tail_root: str, batch_id: int) -> DataFrame | None:
     """Tail (last window-1 survivors) written by the latest batch before ``batch_id``."""
     from pyspark.errors import AnalysisException
+    if not _path_exists(spark, tail_root):
+        return None
     try:
         tails = spark.read.parquet(tail_root)
     except AnalysisException:
