@@ -68,3 +68,37 @@ def test_decode_rules():
         decode_one(bytes([1 << 3 | 2, 2, 0xff, 0xfe]))
     assert decode_one(b"") == {"event_id": "", "user_id": "", "platform": "", "event_type": "", "ts": 0,
                                "payload": b""}
+
+
+def test_vectorized_decoder_fuzz_equals_reference():
+    import pyarrow as pa
+    from keelson.sources.codec import _varint, decode_arrow
+    rnd = random.Random(3)
+    msgs = []
+    for i in range(3000):
+        ev = (f"e{i}", rnd.choice(["", "u1", "é日"]), rnd.choice(["ios", ""]), "click",
+              rnd.choice([0, 5, -1, 2**63 - 1, -(2**63)]), bytes(rnd.randrange(256) for _ in range(rnd.randrange(50))))
+        b = encode_one(*ev)
+        k = rnd.random()
+        if k < 0.15:
+            b = b[:rnd.randrange(0, len(b) + 1)]                      # truncated
+        elif k < 0.25:
+            b = bytes(rnd.randrange(256) for _ in range(rnd.randrange(20)))   # garbage
+        elif k < 0.35:
+            b += _varint((9 << 3) | rnd.choice([0, 1, 2, 5])) + bytes(rnd.randrange(256) for _ in range(rnd.randrange(10)))
+        elif k < 0.45:
+            b += _varint((1 << 3) | 2) + _varint(2) + b"zz"             # repeated field: last wins
+        elif k < 0.5:
+            b += _varint((2 << 3) | 2) + _varint(2) + b"\xff\xfe"       # bad UTF-8
+        msgs.append(b)
+    msgs.append(None)
+    got = decode_arrow(pa.array(msgs, pa.binary())).to_pylist()
+    for m, g in zip(msgs, got):
+        try:
+            exp = None if m is None else dict(decode_one(m), decode_ok=True)
+        except Malformed:
+            exp = None
+        if exp is None:
+            assert g["decode_ok"] is False and g["event_id"] is None and g["payload"] is None
+        else:
+            assert g == exp
