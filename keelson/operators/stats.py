@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.operators.order import seq_ranges
+from keelson.plans.joins import materialize_observed
 
 # fixed values: (output name, p as a literal fraction of the top share)
 PERCENTILES = (("p50", "0.5"), ("p95", "0.05"), ("p99", "0.01"), ("p999", "0.001"))
@@ -70,8 +71,9 @@ def interval_stats(routed: DataFrame, t_col: str = "ts", interval_ms: int = 5000
             F.count_if(c("passed") & (c("effective_path") == "cold")).alias("cold"),
             F.count_if(~c("passed")).alias("rejected"))
     metrics = ["routed", "hot", "cold", "rejected"]
-    n = per.count()
-    ranged = seq_ranges(per, "interval_start", n, rows_per_range)
+    # one row per interval: computed once (the upstream plan runs once), counted while it is written
+    per, seen = materialize_observed(per, "intervals", n=F.count(F.lit(1)))
+    ranged = seq_ranges(per, "interval_start", int(seen["n"]), rows_per_range)
     totals = ranged.groupBy("_rng").agg(*[F.sum(m).alias(f"_t_{m}") for m in metrics])
     wr = Window.orderBy("_rng")
     prefix = totals.select("_rng", *[(F.sum(f"_t_{m}").over(wr) - c(f"_t_{m}")).alias(f"_p_{m}") for m in metrics])
