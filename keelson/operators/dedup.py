@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.order import require_seq
-from keelson.plans.joins import join_checked
+from keelson.plans.joins import join_checked, materialize_small
 
 
 def _keys(id_col: str | Sequence[str]) -> list[str]:
@@ -35,9 +35,15 @@ def repeated_ids(df: DataFrame, id_col: str | Sequence[str] = "event_id", seq_co
 
 
 def dedup_first(df: DataFrame, id_col: str | Sequence[str] = "event_id", seq_col: str = "seq",
-                out_col: str = "dedup_ok") -> DataFrame:
-    """Flag the first arrival of each id (Q1); ``id_col`` may list several key columns."""
+                out_col: str = "dedup_ok", with_plan_info: bool = False):
+    """Flag the first arrival of each id (Q1); ``id_col`` may list several key columns.
+
+    With ``with_plan_info`` returns ``(df, map_only)``: whether the repeated ids
+    were small enough to broadcast, i.e. the input is not shuffled.
+    """
     require_seq(df, seq_col)
-    flagged = join_checked(df, repeated_ids(df, id_col, seq_col), on=_keys(id_col), how="left")
+    repeated, small = materialize_small(repeated_ids(df, id_col, seq_col))
+    flagged = join_checked(df, repeated, on=_keys(id_col), how="left", already_checked=small)
     ok = F.col("_first_seq").isNull() | (F.col(seq_col) == F.col("_first_seq"))
-    return flagged.withColumn(out_col, ok).drop("_first_seq")
+    out = flagged.withColumn(out_col, ok).drop("_first_seq")
+    return (out, small) if with_plan_info else out

@@ -19,6 +19,7 @@ from keelson.functions.mac import hmac_sha256, signed_message, verify_expr
 from keelson.operators.dedup import dedup_first
 from keelson.operators.drift import drift_filter
 from keelson.operators.order import ROWS_PER_RANGE, range_splits, require_seq
+from keelson.plans.joins import materialize
 from keelson.schema import (DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, KNOWN_PLATFORMS,
                             MAC_BYTES, REASON_DUPLICATE_PREFIX, REASON_HMAC, REASON_WATERMARK,
                             STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK)
@@ -91,7 +92,14 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
         n_rows = df.count()
     rpr = drift_kw.pop("rows_per_range", ROWS_PER_RANGE)
     splits = None if partition_cols else range_splits(df, seq_col, n_rows, rpr)
-    flagged = dedup(flagged)
+    if dedup is dedup_first:
+        flagged, map_only = dedup_first(flagged, seq_col=seq_col, with_plan_info=True)
+    else:
+        flagged, map_only = dedup(flagged), False
+    if not map_only:
+        # the duplicate branch would turn the dedup join into an inner join and shuffle
+        # the input a second time; cut once instead
+        flagged = materialize(flagged, "dedup")
     dups = flagged.where(~F.col("dedup_ok")).withColumn("median", F.lit(None).cast("bigint")) \
         .withColumn("window_rows", F.lit(None).cast("int")).withColumn("drift_ok", F.lit(None).cast("boolean"))
     survivors = flagged.where(F.col("dedup_ok"))
