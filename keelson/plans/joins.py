@@ -34,8 +34,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def materialize_observed(df: DataFrame, name: str = "stage", **metrics) -> tuple[DataFrame, dict]:
     """``materialize`` plus aggregate metrics observed while the same job runs (no extra pass)."""
+    import uuid
+
     from pyspark.sql import Observation
-    obs = Observation(f"{name}-metrics")
+    obs = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
     out = materialize(df.observe(obs, *[m.alias(k) for k, m in metrics.items()]), name)
     return out, obs.get
 

@@ -64,7 +64,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="keelson-ckpt-")
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; point it at a folder every executor shares")
+        root = tempfile.mkdtemp(prefix="keelson-ckpt-")      # local mode only (tests)
         spark.conf.set("spark.checkpoint.dir", root)
     try:
         if spark.sparkContext.getCheckpointDir() is None:
