@@ -336,3 +336,10 @@ def q_run_stream(spark, sf):
     _drain(run_stream(_arrivals_stream(spark, sf), SECRET, out, ck, available_now=True,
                       watermark=STREAM_WATERMARK))
     return spark.read.parquet(f"{out}/verdict").select("event_id", "passed", "stage", "reason")
+
+
+@query("engine_counters")
+def q_engine_counters(spark, sf):
+    """Q14 at engine level: quality counters plus decode failures (wire input with truncated rows)."""
+    routed = _routed(spark, sf, wire=True)
+    return quality_counters(routed.where(F.col("stage") != "decode"), routed.where(F.col("stage") == "decode"))

@@ -275,4 +275,14 @@ ORACLES: dict[str, str] = {
       SELECT event_id, drift_ok FROM v_drift WHERE dedup_ok""",
     "run_stream": _w(ARR, verdict_ctes()) + """
       SELECT event_id, passed, stage, reason FROM verdict WHERE stage <> 'dedup'""",
+    "engine_counters": _w(_WIRE, "decoded AS (SELECT * EXCLUDE (truncated) FROM wire_src WHERE NOT truncated)",
+                          verdict_ctes("decoded")) + """
+      SELECT count(*) AS total, count(*) FILTER (WHERE NOT passed) AS rejected,
+             count(*) FILTER (WHERE stage = 'dedup') AS dedup_rejected,
+             count(*) FILTER (WHERE stage = 'watermark') AS watermark_rejected,
+             count(*) FILTER (WHERE stage = 'hmac') AS hmac_rejected,
+             count(*) FILTER (WHERE passed) AS passed,
+             (SELECT count(*) FROM wire_src WHERE truncated) AS decode_rejected,
+             count(*) FILTER (WHERE NOT passed) + (SELECT count(*) FROM wire_src WHERE truncated) AS engine_rejected
+      FROM verdict""",
 }
