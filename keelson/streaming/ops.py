@@ -197,3 +197,40 @@ def interval_stats_stream(routed_stream: DataFrame, ts_col: str = "ts", interval
             F.count_if(c("passed") & (c("path") == "cold")).alias("cold"),
             F.count_if(~c("passed")).alias("rejected")) \
         .select(F.unix_millis(c("w.start")).alias("interval_start"), "routed", "hot", "cold", "rejected")
+
+
+class ProgressStats:
+    """T3 for running streams: a listener that keeps each micro-batch's progress.
+
+    ``rows`` holds (batch_id, input rows, processed rows per second); ``totals``
+    gives cumulative counts, the streaming counterpart of the periodic stats line.
+    """
+
+    def __init__(self, spark: SparkSession):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        rows = self.rows = []
+
+        class _Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                p = event.progress
+                rows.append((p.batchId, p.numInputRows, p.processedRowsPerSecond))
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self._listener = _Listener()
+        self._spark = spark
+        spark.streams.addListener(self._listener)
+
+    def totals(self) -> dict:
+        return {"batches": len(self.rows), "input_rows": sum(r[1] for r in self.rows)}
+
+    def close(self) -> None:
+        self._spark.streams.removeListener(self._listener)

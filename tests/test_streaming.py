@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 from keelson.operators.quality import quality_verdict
 from keelson.session import scratch_path
 from keelson.sources.fixtures import TEST_SECRET, arrivals
-from keelson.streaming.ops import run_stream
+from keelson.streaming.ops import ProgressStats, run_stream
 from keelson.schema import EVENT
 from conftest import SF_SMALL
 
@@ -22,8 +22,13 @@ def test_stream_equals_batch(spark, drift):
     schema = T.StructType(list(EVENT.fields) + [T.StructField("seq", T.LongType())])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    stats = ProgressStats(spark)
     q = run_stream(stream, TEST_SECRET, out, ck, available_now=True, watermark="5 hours", drift=drift)
     q.awaitTermination(600)
+    import time
+    time.sleep(2)                      # listener events arrive asynchronously
+    stats.close()
+    assert stats.totals()["input_rows"] == arr.count()
     got = {r.seq: (r.passed, r.stage) for r in spark.read.parquet(f"{out}/verdict").collect()}
     batch = quality_verdict(arr, TEST_SECRET)
     exp = {r.seq: (r.passed, r.stage) for r in batch.collect() if r.stage != "dedup"}
