@@ -49,7 +49,8 @@ from pyspark.sql import types as T
 from keelson.operators.dedup import dedup_first
 from keelson.operators.order import dense_index, previous_seq, require_seq
 from keelson.plans.fold import ordered_fold
-from keelson.plans.joins import join_checked, materialize, materialize_small
+from keelson.plans.joins import (fits_broadcast, join_checked, materialize, materialize_counted,
+                                 materialize_observed, materialize_small)
 from keelson.plans.scan import range_min_table, running_max, running_sum
 from keelson.schema import DEDUP_LAST_N, DEDUP_TTL_MS
 
@@ -59,8 +60,9 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
                    block_rows: int = 65536) -> DataFrame:
     require_seq(df, seq_col)
     c = F.col
-    base = materialize(previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows))
-    n = base.count()
+    base, seen = materialize_observed(previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows),
+                                      "prev", n=F.count(F.lit(1)))
+    n = int(seen["n"])
     first_t = F.when(c("_prev").isNull(), c(t_col))
     scanned = running_max(base.withColumn("_ft", first_t), "_ft", seq_col, "_g", inclusive=False, n_rows=n)
     rows = materialize(dense_index(scanned.drop("_ft"), seq_col, n_rows=n)
@@ -69,8 +71,8 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
     cand = rows.where(c("_g").isNull() | (c(t_col) - c("_g") >= ttl_ms)).select(
         c("_idx").alias("_cidx"), c(seq_col).alias("_cseq"), c(t_col).alias("_ct"),
         c("_g").isNull().alias("_start"))
-    cand, _ = materialize_small(cand)
-    pmin = _window_min_prev(rows, cand, t_col, ttl_ms, block_rows, n)
+    cand, n_cand = materialize_counted(cand)
+    pmin = _window_min_prev(rows, cand, t_col, ttl_ms, block_rows, n, n_cand)
 
     schema = T.StructType([T.StructField("_bseq", T.LongType(), False)])
 
@@ -89,8 +91,9 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
         return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_bseq"])
 
     bounds = ordered_fold(pmin.select("_cseq", "_ct", "_start", "_pmin", "_empty"), [], ["_cseq"], step, schema)
-    flagged = join_checked(rows, bounds.withColumn("_is_b", F.lit(True)),
-                           on=rows[seq_col] == c("_bseq"), how="left")
+    marks = bounds.withColumn("_is_b", F.lit(True))       # boundaries are a subset of candidates
+    flagged = join_checked(rows, marks, on=rows[seq_col] == c("_bseq"), how="left",
+                           already_checked=fits_broadcast(n_cand, marks))
     flagged = flagged.withColumn("_bmark", F.when(c("_is_b"), c(seq_col))).drop("_bseq", "_is_b")
     epochs = running_max(flagged, "_bmark", seq_col, "epoch_start", inclusive=True, n_rows=n)
     ok = c("_prev").isNull() | (c("_prev") < c("epoch_start"))
@@ -101,7 +104,7 @@ _INF = np.iinfo(np.int64).max
 
 
 def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int, block_rows: int,
-                     n_rows: int) -> DataFrame:
+                     n_rows: int, n_cand: int) -> DataFrame:
     """For each candidate c: min ``_prev`` over rows q with idx_q in [lo(c), idx_c), where
     lo(c) = number of rows with t <= t_c - ttl (t does not decrease with seq).
 
@@ -116,16 +119,18 @@ def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int,
                          F.lit(None).cast("bigint").alias("_cidx")) \
         .unionByName(cand.select(((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"), F.lit(0).alias("_isrow"), "_cidx"))
     # candidates are a subset of rows, so 2n bounds the event count for range sizing
-    counted = running_sum(events, "_isrow", "_ord", "_lo", n_rows=2 * n_rows)
+    counted = running_sum(events, "_isrow", "_ord", "_lo", n_rows=n_rows + n_cand)
     lo = counted.where(c("_isrow") == 0).select("_cidx", c("_lo").cast("bigint").alias("_lo"))
-    cq = join_checked(cand, lo, on=["_cidx"], how="inner") \
+    # lo has one row per candidate: the candidate count is its size bound
+    cq = join_checked(cand, lo, on=["_cidx"], how="inner", already_checked=fits_broadcast(n_cand, lo)) \
         .withColumn("_kl", F.floor(c("_lo") / block_rows).cast("bigint")) \
         .withColumn("_kc", F.floor(c("_cidx") / block_rows).cast("bigint"))
     cq = materialize(cq)
 
     # (a), (c) and same-block minima: one fold per block
     same = cq.where(c("_kl") == c("_kc")).select(c("_cidx").alias("_idx"), c("_lo").alias("_same_lo"))
-    per_block = join_checked(rows.select("_blk", "_idx", "_prev"), same, on=["_idx"], how="left")
+    per_block = join_checked(rows.select("_blk", "_idx", "_prev"), same, on=["_idx"], how="left",
+                             already_checked=fits_broadcast(n_cand, same))
     fold_schema = T.StructType([T.StructField("_idx", T.LongType()), T.StructField("_pre", T.LongType()),
                                 T.StructField("_suf", T.LongType()), T.StructField("_inb", T.LongType())])
 

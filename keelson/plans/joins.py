@@ -64,6 +64,19 @@ def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return small, ok
 
 
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute ``df`` once (cached) and return it with its row count; derived tables
+    of at most that many rows inherit the count as their size bound."""
+    from pyspark import StorageLevel
+    small = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return small, small.count()
+
+
+def fits_broadcast(n_rows: int, df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    return n_rows <= max_rows and n_rows * row_bytes_estimate(df) <= max_bytes
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left",
                  max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
                  already_checked: bool | None = None) -> DataFrame:
