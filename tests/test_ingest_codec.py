@@ -102,3 +102,17 @@ def test_vectorized_decoder_fuzz_equals_reference():
             assert g["decode_ok"] is False and g["event_id"] is None and g["payload"] is None
         else:
             assert g == exp
+
+
+def test_vectorized_encoder_equals_reference():
+    import pyarrow as pa
+    from keelson.sources.codec import encode_arrow
+    rnd = random.Random(8)
+    rows = [(rnd.choice([f"e{i}", "", "é日本" * rnd.randrange(60)]), rnd.choice(["u1", ""]), rnd.choice(["ios", "", None]),
+             "click", rnd.choice([0, 1, -1, 127, 128, 2**63 - 1, -(2**63), None]),
+             rnd.choice([b"", None, bytes(rnd.randrange(256) for _ in range(rnd.randrange(300)))])) for i in range(3000)]
+    cols = list(zip(*rows))
+    types = [pa.string()] * 4 + [pa.int64(), pa.binary()]
+    got = encode_arrow(*[pa.array(c, t) for c, t in zip(cols, types)]).to_pylist()
+    exp = [encode_one(a or "", b or "", c or "", d or "", int(e or 0), f or b"") for a, b, c, d, e, f in rows]
+    assert got == exp
