@@ -1,10 +1,11 @@
 """Batch pipeline (P1): decode -> verdict -> tenant -> path -> hot fallback.
 
-``run_batch`` is lazy except for its eager cut points: the decoded input, the
-dedup flags and the verdict are checkpointed once each (counts for the next
-plan choices are observed while those jobs run).  Every output row keeps its verdict; routing columns
-are NULL on rejected rows.  Sinks are separate (``keelson.sinks``) so one
-routed frame can feed both outputs.
+``run_batch`` is lazy except for its cut points: the decoded input (narrow,
+MAC already checked) and the verdict are checkpointed once each, and the
+dedup flags too when the dedup join has to shuffle.  Counts that steer later
+plan choices are observed while those jobs run.  Every output row keeps its
+verdict; routing columns are NULL on rejected rows.  Sinks are separate
+(``keelson.sinks``) so one routed frame can feed both outputs.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
     is_call = F.col("passed") & (F.col("path") == "hot")
     calls = routed.where(is_call).withColumn("_sink", F.lit(sink)) \
         .withColumn("_t", F.col(t_col)).withColumn("_ok", write_ok)
-    # rows pass through the fold whole, so no join back is needed
-    # one sink receives every call: the call count is the largest-sink size
+    # rows pass through the fold whole (no join back); one sink receives every
+    # call, so the call count is the largest-sink size that picks the plan
     method = "auto" if n_calls is None else ("fold" if n_calls <= block_rows else "blocks")
     tl = breaker_timeline(calls, sink_col="_sink", seq_col=seq_col, t_col="_t", ok_col="_ok",
                           failure_threshold=failure_threshold, timeout_ms=timeout_ms,
