@@ -10,7 +10,7 @@ States CLOSED / OPEN / HALF_OPEN; defaults 5 failures, 30 s, 2 successes.
 Every transition zeroes both counts.  A denied call records no outcome.
 
 Each output row is the input row plus ``allowed``, ``state`` (after the call),
-``failure_count``, ``success_count``.  Ordered per sink by ``seq``; ``t`` is the
+``failure_count``, ``success_count`` and ``last_failure``.  Ordered per sink by ``seq``; ``t`` is the
 call time in milliseconds.
 
 Two exact plans:
@@ -77,54 +77,81 @@ def breaker_timeline(calls: DataFrame, sink_col: str = "sink", seq_col: str = "s
                      failure_threshold: int = BREAKER_FAILURE_THRESHOLD,
                      timeout_ms: int = BREAKER_TIMEOUT_MS,
                      success_threshold: int = BREAKER_SUCCESS_THRESHOLD,
-                     method: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """R8 replay; ``method`` is "auto" (measure the largest sink), "fold" or "blocks"."""
+                     method: str = "auto", block_rows: int = BLOCK_ROWS,
+                     initial: DataFrame | None = None) -> DataFrame:
+    """R8 replay; ``method`` is "auto" (measure the largest sink), "fold" or "blocks".
+
+    ``initial`` optionally gives each sink's state before its first call
+    (columns sink, state, failure_count, success_count, last_failure), e.g. the
+    ``breaker_final_state`` of the previous micro-batch; sinks not in it start CLOSED.
+    """
+    if initial is not None:
+        init = initial.select(F.col("sink").alias(sink_col),
+                              F.col("state").alias("_i_state"), F.col("failure_count").alias("_i_fc"),
+                              F.col("success_count").alias("_i_sc"), F.col("last_failure").alias("_i_lf"))
+        calls = join_checked(calls, init, on=[sink_col], how="left")      # one row per sink, measured
     args = (sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms, success_threshold)
     if method == "auto":
         largest = calls.groupBy(sink_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
         method = "fold" if (largest["m"] or 0) <= block_rows else "blocks"
-    if method == "fold":
-        return _timeline_fold(calls, *args)
-    return _timeline_blocks(calls, *args, block_rows=block_rows)
+    out = _timeline_fold(calls, *args) if method == "fold" else _timeline_blocks(calls, *args, block_rows=block_rows)
+    return out.drop("_i_state", "_i_fc", "_i_sc", "_i_lf") if initial is not None else out
+
+
+def breaker_final_state(timeline: DataFrame, sink_col: str = "sink", seq_col: str = "seq") -> DataFrame:
+    """State of each sink after its last call (input for the next batch's ``initial``)."""
+    last = F.max_by(F.struct("state", "failure_count", "success_count", "last_failure"), F.col(seq_col))
+    return timeline.groupBy(sink_col).agg(last.alias("_s")) \
+        .select(F.col(sink_col).alias("sink"), "_s.*")
 
 
 def _out_fields():
     return [T.StructField("allowed", T.BooleanType(), False),
             T.StructField("state", T.StringType(), False),
             T.StructField("failure_count", T.IntegerType(), False),
-            T.StructField("success_count", T.IntegerType(), False)]
+            T.StructField("success_count", T.IntegerType(), False),
+            T.StructField("last_failure", T.LongType(), False)]
+
+
+def _initial_of(batch_or_table, i: int):
+    """(state, fc, sc, lf) from the optional ``_i_*`` columns of row i, or None."""
+    names = batch_or_table.schema.names
+    if "_i_state" not in names:
+        return None
+    s = batch_or_table.column("_i_state")[i].as_py()
+    if s is None:
+        return None
+    return (s, int(batch_or_table.column("_i_fc")[i].as_py()), int(batch_or_table.column("_i_sc")[i].as_py()),
+            int(batch_or_table.column("_i_lf")[i].as_py()))
 
 
 def _timeline_fold(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms,
                    success_threshold) -> DataFrame:
     fth, timeout, sth = failure_threshold, timeout_ms, success_threshold
-    schema = T.StructType(list(calls.schema.fields) + [
-        T.StructField("allowed", T.BooleanType(), False),
-        T.StructField("state", T.StringType(), False),
-        T.StructField("failure_count", T.IntegerType(), False),
-        T.StructField("success_count", T.IntegerType(), False),
-    ])
+    schema = T.StructType(list(calls.schema.fields) + _out_fields())
 
     def step_batch(batch: pa.RecordBatch, st: dict) -> pa.RecordBatch:
         sinks = batch.column(sink_col).to_pylist()
         ts = batch.column(t_col).to_pylist()
         oks = batch.column(ok_col).to_pylist()
-        allowed, states, fcs, scs = [], [], [], []
+        allowed, states, fcs, scs, lfs = [], [], [], [], []
         key = st.get("key", object())
         s, fc, sc, lf = st.get("s", CLOSED), st.get("fc", 0), st.get("sc", 0), st.get("lf", 0)
-        for k, t, ok in zip(sinks, ts, oks):
+        for i, (k, t, ok) in enumerate(zip(sinks, ts, oks)):
             if k != key:
-                key, s, fc, sc, lf = k, CLOSED, 0, 0, 0
+                key = k
+                s, fc, sc, lf = _initial_of(batch, i) or (CLOSED, 0, 0, 0)
             a, s, fc, sc, lf = _step(s, fc, sc, lf, t, bool(ok), fth, timeout, sth)
             allowed.append(a)
             states.append(s)
             fcs.append(fc)
             scs.append(sc)
+            lfs.append(lf)
         st.update(key=key, s=s, fc=fc, sc=sc, lf=lf)
         cols = [batch.column(i) for i in range(batch.num_columns)]
         cols += [pa.array(allowed, pa.bool_()), pa.array(states, pa.string()),
-                 pa.array(fcs, pa.int32()), pa.array(scs, pa.int32())]
-        names = list(batch.schema.names) + ["allowed", "state", "failure_count", "success_count"]
+                 pa.array(fcs, pa.int32()), pa.array(scs, pa.int32()), pa.array(lfs, pa.int64())]
+        names = list(batch.schema.names) + ["allowed", "state", "failure_count", "success_count", "last_failure"]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     return ordered_fold(calls, [sink_col], [seq_col], step_batch, schema)
@@ -247,6 +274,9 @@ def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure
 
     summaries = blocked.select(sink_col, "_blk", "_idx", t_col, ok_col) \
         .groupBy(sink_col, "_blk").applyInArrow(summarize, schema=sum_schema)
+    if "_i_state" in calls.columns:
+        first = blocked.select(sink_col, "_i_state", "_i_fc", "_i_sc", "_i_lf").dropDuplicates([sink_col])
+        summaries = join_checked(summaries, first, on=[sink_col], how="left")
 
     entry_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()),
                                  T.StructField("_entry_code", T.IntegerType()),
@@ -257,9 +287,15 @@ def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure
         exits_l, bps_l = batch.column("exits").to_pylist(), batch.column("bps").to_pylist()
         key, code, lf = st.get("key", object()), st.get("code", 0), st.get("lf", 0)
         out_c, out_lf = [], []
-        for sk, exits, bps in zip(sinks, exits_l, bps_l):
+        for i, (sk, exits, bps) in enumerate(zip(sinks, exits_l, bps_l)):
             if sk != key:
-                key, code, lf = sk, 0, 0
+                key = sk
+                init = _initial_of(batch, i)
+                if init is None:
+                    code, lf = 0, 0
+                else:
+                    c0 = _code_of(init[0], init[1], init[2], fth)
+                    code, lf = (k if c0 < 0 else c0), init[3]
             out_c.append(code)
             out_lf.append(lf)
             if code < k:
@@ -288,17 +324,19 @@ def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure
         s, fc, sc = _state_of(code, fth, sth)
         ts = table.column(t_col).to_pylist()
         oks = table.column(ok_col).to_pylist()
-        allowed, states, fcs, scs = [], [], [], []
+        allowed, states, fcs, scs, lfs = [], [], [], [], []
         for t, ok in zip(ts, oks):
             a, s, fc, sc, lf = _step(s, fc, sc, lf, t, bool(ok), fth, timeout, sth)
             allowed.append(a)
             states.append(s)
             fcs.append(fc)
             scs.append(sc)
+            lfs.append(lf)
         table = table.append_column("allowed", pa.array(allowed, pa.bool_())) \
             .append_column("state", pa.array(states, pa.string())) \
             .append_column("failure_count", pa.array(fcs, pa.int32())) \
-            .append_column("success_count", pa.array(scs, pa.int32()))
+            .append_column("success_count", pa.array(scs, pa.int32())) \
+            .append_column("last_failure", pa.array(lfs, pa.int64()))
         return table.select(names)
 
     return with_entry.groupBy(sink_col, "_blk").applyInArrow(simulate, schema=out_schema)

@@ -15,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators.breaker import BLOCK_ROWS, breaker_timeline
+from keelson.operators.breaker import BLOCK_ROWS, breaker_final_state, breaker_timeline
 from keelson.operators.quality import quality_verdict, verify_hmac
 from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
 from keelson.operators.route import classify_path, hot_with_fallback
-from keelson.plans.joins import materialize_observed
+from keelson.plans.joins import materialize, materialize_observed
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD, BREAKER_TIMEOUT_MS,
                             DEFAULT_TENANTS, HOT_EVENT_TYPES, VIRTUAL_NODES)
 from keelson.sources.codec import decode_events
@@ -31,11 +31,14 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
                  sink: str = "hot", failure_threshold: int = BREAKER_FAILURE_THRESHOLD,
                  timeout_ms: int = BREAKER_TIMEOUT_MS,
                  success_threshold: int = BREAKER_SUCCESS_THRESHOLD, n_calls: int | None = None,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS, initial: DataFrame | None = None,
+                 return_state: bool = False):
     """Hot writes through the breaker: ``delivered`` = allowed and the write succeeded.
 
     ``write_ok`` is the outcome the hot store would give each hot row.  Cold and
-    rejected rows make no call.
+    rejected rows make no call.  ``initial`` continues from an earlier breaker
+    state; with ``return_state`` the breaker state after the last call is
+    returned too, as ``(rows, state)``.
     """
     is_call = F.col("passed") & (F.col("path") == "hot")
     calls = routed.where(is_call).withColumn("_sink", F.lit(sink)) \
@@ -45,12 +48,18 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
     method = "auto" if n_calls is None else ("fold" if n_calls <= block_rows else "blocks")
     tl = breaker_timeline(calls, sink_col="_sink", seq_col=seq_col, t_col="_t", ok_col="_ok",
                           failure_threshold=failure_threshold, timeout_ms=timeout_ms,
-                          success_threshold=success_threshold, method=method, block_rows=block_rows)
+                          success_threshold=success_threshold, method=method, block_rows=block_rows,
+                          initial=initial)
+    if return_state:
+        tl = materialize(tl, "hot-calls")
     done = tl.withColumn("delivered", F.col("allowed") & F.col("_ok")) \
-        .drop("_sink", "_t", "_ok", "state", "failure_count", "success_count")
+        .drop("_sink", "_t", "_ok", "state", "failure_count", "success_count", "last_failure")
     others = routed.where(~is_call).withColumn("allowed", F.lit(None).cast("boolean")) \
         .withColumn("delivered", F.lit(None).cast("boolean"))
-    return done.unionByName(others)
+    rows = done.unionByName(others)
+    if return_state:
+        return rows, breaker_final_state(tl, "_sink", seq_col)
+    return rows
 
 
 def run_batch(df: DataFrame, secret: str | bytes, tenants: Sequence[str] = DEFAULT_TENANTS,

@@ -94,19 +94,24 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
         return True
 
 
-def _read_tail(spark: SparkSession, tail_root: str, batch_id: int) -> DataFrame | None:
-    """Tail (last window-1 survivors) written by the latest batch before ``batch_id``."""
+def _read_latest(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """Per-batch state written by the latest batch before ``batch_id`` (None if none)."""
     from pyspark.errors import AnalysisException
-    if not _path_exists(spark, tail_root):
+    if not _path_exists(spark, root):
         return None
     try:
-        tails = spark.read.parquet(tail_root)
+        tables = spark.read.parquet(root)
     except AnalysisException:
         return None
-    prev = tails.where(F.col("batch_id") < batch_id).agg(F.max("batch_id").alias("b")).first()["b"]
+    prev = tables.where(F.col("batch_id") < batch_id).agg(F.max("batch_id").alias("b")).first()["b"]
     if prev is None:
         return None
-    return tails.where(F.col("batch_id") == prev).drop("batch_id")
+    return tables.where(F.col("batch_id") == prev).drop("batch_id")
+
+
+def _write_state(df: DataFrame, root: str, batch_id: int) -> None:
+    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
 
 
 def drift_micro_batch(batch: DataFrame, batch_id: int, tail_root: str, ts_col: str = "ts",
@@ -124,14 +129,13 @@ def drift_micro_batch(batch: DataFrame, batch_id: int, tail_root: str, ts_col: s
     from keelson.operators.drift import drift_filter
     from keelson.plans.joins import materialize
     spark = batch.sparkSession
-    tail = _read_tail(spark, tail_root, batch_id)
+    tail = _read_latest(spark, tail_root, batch_id)
     own = batch.withColumn("_halo", F.lit(False))
     both = own if tail is None else own.unionByName(tail.withColumn("_halo", F.lit(True)),
                                                     allowMissingColumns=True)
     flagged = materialize(drift_filter(both, ts_col, seq_col, window, warmup, tolerance_ms))
     new_tail = flagged.select(seq_col, ts_col).orderBy(F.col(seq_col).desc()).limit(max(window - 1, 0))
-    new_tail.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(tail_root)
+    _write_state(new_tail, tail_root, batch_id)
     return flagged.where(~F.col("_halo")).drop("_halo")
 
 
@@ -142,18 +146,22 @@ def micro_batches(writer, interval: str = FLUSH_INTERVAL, available_now: bool =
 
 def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint: str,
                tenants=None, available_now: bool = False, watermark: str = "1 hour",
-               drift: str = "blocks"):
+               drift: str = "blocks", hot_write_ok=None):
     """Start the streaming pipeline; returns the StreamingQuery.
 
     Output folders under ``out_root``: ``verdict`` (every row with its verdict),
     ``hot`` and ``cold`` (sinks), each partitioned by micro-batch id.
     ``drift="blocks"`` evaluates the global window inside each micro-batch in
     parallel (tail state under ``out_root/_drift_tail``); ``drift="state"`` uses
-    the keyed stateful processor (one task per shard).
+    the keyed stateful processor (one task per shard).  With ``hot_write_ok``
+    (the hot store's outcome per hot row) hot writes go through the breaker,
+    whose state is carried from batch to batch under ``out_root/_breaker``;
+    failed or denied hot rows fall back to cold.
     """
     from keelson.operators.quality import verdict_columns, verify_hmac
     from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
-    from keelson.operators.route import classify_path
+    from keelson.operators.route import classify_path, hot_with_fallback
+    from keelson.plans.pipeline import hot_delivery
     from keelson.schema import DEFAULT_TENANTS
     from keelson.sinks.writers import _write_partition, project_cold, project_hot
 
@@ -175,8 +183,18 @@ def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint
             _write_partition(v.select("event_id", "seq", "passed", "stage", "reason"), f"{out_root}/verdict",
                              batch_id)
             routed = classify_path(assign_tenant(v.where("passed"), ring, prepared=prepared))
-            _write_partition(project_hot(routed.where(F.col("path") == "hot")), f"{out_root}/hot", batch_id)
-            _write_partition(project_cold(routed.where(F.col("path") == "cold")).sortWithinPartitions("ts", "event_type"),
+            if hot_write_ok is not None:
+                state_root = f"{out_root}/_breaker"
+                prior = _read_latest(routed.sparkSession, state_root, batch_id)
+                routed, state = hot_delivery(routed, hot_write_ok, initial=prior, return_state=True)
+                _write_state(state, state_root, batch_id)
+                routed = hot_with_fallback(routed, "delivered")
+            else:
+                routed = hot_with_fallback(routed, None)
+            path = F.col("effective_path")
+            _write_partition(routed.select("seq", "effective_path"), f"{out_root}/routes", batch_id)
+            _write_partition(project_hot(routed.where(path == "hot")), f"{out_root}/hot", batch_id)
+            _write_partition(project_cold(routed.where(path == "cold")).sortWithinPartitions("ts", "event_type"),
                              f"{out_root}/cold", batch_id)
         finally:
             v.unpersist()

@@ -58,3 +58,24 @@ def test_blocks_plan_equals_model(spark):
                               method="blocks", block_rows=97)
         got = sorted((r.sink, r.seq, r.allowed, r.state, r.failure_count, r.success_count) for r in tl.collect())
         assert got == _model(rows, fth, timeout, sth)
+
+
+def test_initial_state_continues_replay(spark):
+    """Second half started from the first half's final state = one replay of everything."""
+    from keelson.operators.breaker import breaker_final_state
+    rnd = random.Random(17)
+    rows, t = [], 0
+    for i in range(2000):
+        t += rnd.randrange(0, 600)
+        rows.append(("hot" if rnd.random() < 0.7 else "s1", i, t, rnd.random() < 0.5))
+    full = _model(rows, 3, 1500, 2)
+    df = spark.createDataFrame(rows, "sink string, seq bigint, t bigint, ok boolean")
+    for method, blk in (("fold", 65536), ("blocks", 113)):
+        first = breaker_timeline(df.where("seq < 1000"), failure_threshold=3, timeout_ms=1500, success_threshold=2,
+                                 method=method, block_rows=blk)
+        state = breaker_final_state(first)
+        second = breaker_timeline(df.where("seq >= 1000"), failure_threshold=3, timeout_ms=1500, success_threshold=2,
+                                  method=method, block_rows=blk, initial=state)
+        got = sorted((r.sink, r.seq, r.allowed, r.state, r.failure_count, r.success_count)
+                     for r in first.unionByName(second).collect())
+        assert got == full, method

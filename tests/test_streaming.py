@@ -36,3 +36,24 @@ def test_stream_equals_batch(spark, drift):
     cold = spark.read.parquet(f"{out}/cold").count()
     hot = spark.read.parquet(f"{out}/hot").count()
     assert hot + cold == sum(1 for p, _ in got.values() if p)
+
+
+def test_stream_breaker_state_equals_batch(spark):
+    from keelson.plans.catalog import HOT_STORE_UP_SQL
+    from keelson.plans.pipeline import run_batch
+    arr = arrivals(spark, SF_SMALL)
+    src = scratch_path(spark, "stream-src-b")
+    # the hot store is down for the first 3 minutes (n < 180): batch 2 starts inside the outage
+    for lo, hi in [(0, 200), (200, 1400), (1400, 10**9)]:
+        arr.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(src)
+    schema = T.StructType(list(EVENT.fields) + [T.StructField("seq", T.LongType())])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ck = scratch_path(spark, "stream-out-b"), scratch_path(spark, "stream-ck-b")
+    q = run_stream(stream, TEST_SECRET, out, ck, available_now=True, watermark="5 hours",
+                   hot_write_ok=F.expr(HOT_STORE_UP_SQL))
+    q.awaitTermination(600)
+    got = {r.seq: r.effective_path for r in spark.read.parquet(f"{out}/routes").collect()}
+    batch = run_batch(arr, TEST_SECRET, hot_write_ok=F.expr(HOT_STORE_UP_SQL)).where("passed")
+    exp = {r.seq: r.effective_path for r in batch.collect()}
+    assert got == exp
+    assert sum(1 for p in exp.values() if p == "cold") > 0
