@@ -74,14 +74,15 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
                     keep_payload: bool = False, n_rows: int | None = None, **drift_kw) -> DataFrame:
     """All stages; returns every input row with flags and the verdict.
 
-    ``dedup`` is a function ``DataFrame -> DataFrame`` adding ``dedup_ok``
-    (default ``dedup_first``; ``dedup_last_n`` / ``dedup_idle_ttl`` plug in).
+    ``dedup`` is a function ``DataFrame -> DataFrame`` adding ``dedup_ok``, or one
+    of the names "first" (default), "last_n" (FIFO of the last 100,000 accepted
+    ids) and "idle_ttl" (shared set with idle expiry; needs arrival time ``t``).
     The MAC is checked first in the plan because it is a pure function of the
     row; only its flag travels on, so the payload is not shuffled.  An input
     that already carries ``hmac_ok`` (checked at decode time) is not re-verified.
     """
     require_seq(df, seq_col)
-    dedup = dedup or dedup_first
+    dedup = _dedup_by_name(dedup)
     flagged = df if "hmac_ok" in df.columns else verify_hmac(df, secret)
     flagged = flag_platform(flagged)
     if not keep_payload and "payload" in flagged.columns:
@@ -109,6 +110,20 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
     return verdict_columns(drifted.unionByName(dups))
 
 
+def _dedup_by_name(dedup):
+    if dedup is None or dedup == "first":
+        return dedup_first
+    if dedup == "last_n":
+        from keelson.operators.dedup_seq import dedup_last_n
+        return dedup_last_n
+    if dedup == "idle_ttl":
+        from keelson.operators.dedup_seq import dedup_idle_ttl
+        return dedup_idle_ttl
+    if callable(dedup):
+        return dedup
+    raise ValueError(f"unknown dedup form {dedup!r}")
+
+
 def quality_counters(verdict: DataFrame, decode_failures: DataFrame | None = None) -> DataFrame:
     """Q14: total, rejected, dedup_rejected (+ engine rejects incl. decode failures)."""
     c = F.col
