@@ -42,6 +42,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,9 +138,9 @@ def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int,
     def block_minima(table: pa.Table) -> pa.Table:
         table = table.sort_by("_idx")
         idx = table.column("_idx").to_numpy(zero_copy_only=False).astype(np.int64)
-        prev = table.column("_prev").to_numpy(zero_copy_only=False)
-        v = np.where(np.isnan(prev.astype("float64")), _INF, np.nan_to_num(prev.astype("float64"))).astype(np.int64) \
-            if prev.dtype.kind == "f" else np.asarray(prev, dtype=np.int64)
+        # first-ever rows (NULL prev) never bound a window: fill with +inf in int64, no float round trip
+        prev = pc.fill_null(table.column("_prev").cast(pa.int64()), pa.scalar(_INF, pa.int64()))
+        v = prev.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
         k = len(v)
         pre = np.minimum.accumulate(np.concatenate([[_INF], v[:-1]])) if k else v
         suf = np.minimum.accumulate(v[::-1])[::-1] if k else v
