@@ -16,8 +16,11 @@ given arrival times ``t`` that do not decrease with ``seq``:
   range [lo(c), c); its minimum ``P(c)`` comes from a running count (lo), block
   prefix/suffix minima and a sparse table over block minima - equi-joins only,
   no row-candidate pairs.
-* The only sequential step is a fold over candidates with two scalars
-  (epoch start seq and time), streamed in one ordered pass.
+* Epoch boundaries: up to ``FOLD_MAX_CANDIDATES`` candidates, one streamed
+  ordered fold with two scalars (epoch start seq and time).  Above that, the
+  parallel chain: the qualifying test is monotone in the epoch start, so each
+  candidate's successor boundary is a running maximum, and the chain from the
+  first row is marked by pointer doubling (log2 rounds of equi-joins).
 * Each row's epoch start is a running max over boundary rows; then the flag.
 
 Q3 ``dedup_last_n`` - a FIFO of the last N accepted ids per shard; duplicates
@@ -58,7 +61,9 @@ from keelson.schema import DEDUP_LAST_N, DEDUP_TTL_MS
 
 def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t", id_col: str = "event_id",
                    seq_col: str = "seq", out_col: str = "dedup_ok", max_key_rows: int = 1_000_000,
-                   block_rows: int = 65536) -> DataFrame:
+                   block_rows: int = 65536, method: str = "auto") -> DataFrame:
+    """Q2; ``method`` picks the epoch-boundary step: "auto" (streamed fold up to
+    ``FOLD_MAX_CANDIDATES`` candidates, else the parallel chain), "fold" or "chain"."""
     require_seq(df, seq_col)
     c = F.col
     base, seen = materialize_observed(previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows),
@@ -91,7 +96,11 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
         st.update(bseq=bseq, bt=bt)
         return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_bseq"])
 
-    bounds = ordered_fold(pmin.select("_cseq", "_ct", "_start", "_pmin", "_empty"), [], ["_cseq"], step, schema)
+    cols = pmin.select("_cseq", "_ct", "_start", "_pmin", "_empty")
+    if method == "fold" or (method == "auto" and n_cand <= FOLD_MAX_CANDIDATES):
+        bounds = ordered_fold(cols, [], ["_cseq"], step, schema)
+    else:
+        bounds = _epoch_chain(cols, ttl_ms, n_cand)
     marks = bounds.withColumn("_is_b", F.lit(True))       # boundaries are a subset of candidates
     flagged = join_checked(rows, marks, on=rows[seq_col] == c("_bseq"), how="left",
                            already_checked=fits_broadcast(n_cand, marks))
@@ -102,6 +111,72 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
 
 
 _INF = np.iinfo(np.int64).max
+# the streamed candidate fold does about a million candidates a second in one task;
+# above this the boundaries come from the parallel chain instead
+FOLD_MAX_CANDIDATES = 1_000_000
+
+
+def _epoch_chain(cands: DataFrame, ttl_ms: int, n_cand: int) -> DataFrame:
+    """Epoch boundaries without a sequential pass (same result as the candidate fold).
+
+    Whether candidate k starts an epoch after boundary j is monotone in j: it
+    needs t_k - t_j >= ttl and (empty window or P(k) >= seq_j), and t and seq
+    both grow with j.  So k qualifies iff j <= theta_k, the last candidate
+    meeting both bounds, and the boundary after j is next(j) = min{k : theta_k
+    >= j} (theta_k < k, so k > j).  theta and next are running maxima over
+    candidate-sized tables (two-level scans); the chain from the first row is
+    then marked by pointer doubling: jump tables next^(2^r) and the chain
+    prefix of 2^r boundaries double together, log2(#boundaries) equi-join rounds.
+    """
+    c = F.col
+    null = F.lit(None).cast("bigint")
+    cands = materialize(cands)
+    n_ev = 2 * n_cand
+
+    def last_before(points: DataFrame, probes: DataFrame, out: str) -> DataFrame:
+        # points (_ord = 2x, _v) and probes (_ord = 2y + 1, _q): max _v over points with x <= y
+        ev = points.select("_ord", "_v", null.alias("_q")).unionByName(probes.select("_ord", null.alias("_v"), "_q"))
+        return running_max(ev, "_v", "_ord", out, inclusive=True, n_rows=n_ev) \
+            .where(c("_q").isNotNull()).select(c("_q").alias("_cseq"), out)
+
+    a = last_before(cands.select((c("_ct") * 2).alias("_ord"), c("_cseq").alias("_v")),
+                    cands.select(((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"), c("_cseq").alias("_q")), "_a")
+    b = last_before(cands.select((c("_cseq") * 2).alias("_ord"), c("_cseq").alias("_v")),
+                    cands.where(~c("_empty") & c("_pmin").isNotNull())
+                    .select((c("_pmin") * 2 + 1).alias("_ord"), c("_cseq").alias("_q")), "_b")
+    both = F.when(c("_a").isNotNull() & c("_b").isNotNull(), F.least("_a", "_b"))
+    theta = cands.join(a, "_cseq", "left").join(b, "_cseq", "left") \
+        .select("_cseq", "_start", F.when(c("_start"), null).when(c("_empty"), c("_a")).otherwise(both).alias("_th"))
+    theta = materialize(theta)
+
+    # next(j) = min{k : theta_k >= j}: order by value descending (points before queries
+    # at equal value) and keep the running max of -k
+    pts = theta.where(c("_th").isNotNull()).select((-2 * c("_th")).alias("_ord"), (-c("_cseq")).alias("_v"),
+                                                   null.alias("_q"))
+    qs = theta.select((-2 * c("_cseq") + 1).alias("_ord"), null.alias("_v"), c("_cseq").alias("_q"))
+    nxt = running_max(pts.unionByName(qs), "_v", "_ord", "_nv", inclusive=True, n_rows=n_ev) \
+        .where(c("_q").isNotNull() & c("_nv").isNotNull()).select(c("_q").alias("_j"), (-c("_nv")).alias("_nxt"))
+    jump, n_jump = _cut_counted(nxt)
+
+    chain, n_chain = _cut_counted(theta.where(c("_start")).select(c("_cseq").alias("_j")))
+    while n_jump:
+        # chain holds the boundaries at distances [0, 2^r); one jump of 2^r extends it to [0, 2^(r+1))
+        ahead = join_checked(jump, chain, on="_j", how="inner", already_checked=fits_broadcast(n_chain, chain)) \
+            .select(c("_nxt").alias("_j"))
+        ahead, n_ahead = _cut_counted(ahead)
+        if n_ahead == 0:
+            break
+        chain, n_chain = _cut_counted(chain.unionByName(ahead))
+        x, y = jump.alias("x"), jump.alias("y")
+        jump, n_jump = _cut_counted(
+            x.join(y, c("x._nxt") == c("y._j"), "inner").select(c("x._j").alias("_j"), c("y._nxt").alias("_nxt")))
+    return chain.select(c("_j").alias("_bseq"))
+
+
+def _cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint (lineage cut, one pass) and the row count observed while writing."""
+    out, seen = materialize_observed(df, "chain", n=F.count(F.lit(1)))
+    return out, int(seen["n"])
 
 
 def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int, block_rows: int,

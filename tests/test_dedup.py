@@ -125,3 +125,33 @@ def test_idle_ttl_small_blocks_vs_model(spark):
         df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)],
                                    "event_id string, seq bigint, t bigint")
         assert _flags(dedup_idle_ttl(df, 3000, block_rows=4)) == _idle_model(rows, 3000)
+
+
+def test_idle_ttl_parallel_chain_vs_model(spark):
+    """The pointer-doubling epoch chain (used above FOLD_MAX_CANDIDATES candidates) equals the model."""
+    rnd = random.Random(55)
+    for trial in range(3):
+        t, rows = 0, []
+        for _ in range(1500):
+            t += rnd.choice([1, 2, 5, 50, 400, 1200]) if rnd.random() < 0.7 else rnd.randrange(0, 3)
+            rows.append((f"id{rnd.randrange(40 + 40 * trial)}", t))
+        df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)],
+                                   "event_id string, seq bigint, t bigint")
+        assert _flags(dedup_idle_ttl(df, 1000, method="chain")) == _idle_model(rows, 1000)
+    # boundaries: duplicate at ttl - 1 does not renew; expiry exactly at ttl after the last add
+    ttl = 1000
+    rows = [("a", 0), ("b", 10), ("b", 10 + ttl - 1), ("a", 10 + ttl), ("a", 10 + ttl + 1)]
+    df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)], "event_id string, seq bigint, t bigint")
+    assert _flags(dedup_idle_ttl(df, ttl, method="chain")) == [True, True, False, True, False]
+
+
+def test_idle_ttl_chain_many_epochs_small_blocks(spark):
+    """Long chains (many doubling rounds) with windows spanning several blocks."""
+    rnd = random.Random(66)
+    t, rows = 0, []
+    for _ in range(2000):
+        t += rnd.choice([1, 3, 700, 1100, 2500])
+        rows.append((f"id{rnd.randrange(12)}", t))
+    df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)], "event_id string, seq bigint, t bigint")
+    exp = _idle_model(rows, 1000)
+    assert _flags(dedup_idle_ttl(df, 1000, block_rows=8, method="chain")) == exp
