@@ -133,11 +133,15 @@ def _epoch_chain(cands: DataFrame, ttl_ms: int, n_cand: int) -> DataFrame:
     cands = materialize(cands)
     n_ev = 2 * n_cand
 
-    def last_before(points: DataFrame, probes: DataFrame, out: str) -> DataFrame:
-        # points (_ord = 2x, _v) and probes (_ord = 2y + 1, _q): max _v over points with x <= y
-        ev = points.select("_ord", "_v", null.alias("_q")).unionByName(probes.select("_ord", null.alias("_v"), "_q"))
-        return running_max(ev, "_v", "_ord", out, inclusive=True, n_rows=n_ev) \
-            .where(c("_q").isNotNull()).select(c("_q").alias("_cseq"), out)
+    def last_before(points: DataFrame, probes: DataFrame, out: str, key: str = "_cseq") -> DataFrame:
+        # points (_ord = 2x, _v) and probes (_ord = 2y + 1, _q): max _v over points with x <= y.
+        # Scan keys are made unique first (max per point value, one probe per value), so a
+        # run of equal values never lands whole in one range; answers join back per value.
+        pts = points.groupBy("_ord").agg(F.max("_v").alias("_v")).withColumn("_isq", F.lit(False))
+        qry = probes.select("_ord").distinct().select("_ord", null.alias("_v"), F.lit(True).alias("_isq"))
+        ans = running_max(pts.unionByName(qry), "_v", "_ord", out, inclusive=True, n_rows=n_ev) \
+            .where(c("_isq")).select("_ord", out)
+        return probes.join(ans, "_ord", "left").select(c("_q").alias(key), out)
 
     a = last_before(cands.select((c("_ct") * 2).alias("_ord"), c("_cseq").alias("_v")),
                     cands.select(((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"), c("_cseq").alias("_q")), "_a")
@@ -151,11 +155,9 @@ def _epoch_chain(cands: DataFrame, ttl_ms: int, n_cand: int) -> DataFrame:
 
     # next(j) = min{k : theta_k >= j}: order by value descending (points before queries
     # at equal value) and keep the running max of -k
-    pts = theta.where(c("_th").isNotNull()).select((-2 * c("_th")).alias("_ord"), (-c("_cseq")).alias("_v"),
-                                                   null.alias("_q"))
-    qs = theta.select((-2 * c("_cseq") + 1).alias("_ord"), null.alias("_v"), c("_cseq").alias("_q"))
-    nxt = running_max(pts.unionByName(qs), "_v", "_ord", "_nv", inclusive=True, n_rows=n_ev) \
-        .where(c("_q").isNotNull() & c("_nv").isNotNull()).select(c("_q").alias("_j"), (-c("_nv")).alias("_nxt"))
+    nxt = last_before(theta.where(c("_th").isNotNull()).select((-2 * c("_th")).alias("_ord"), (-c("_cseq")).alias("_v")),
+                      theta.select((-2 * c("_cseq") + 1).alias("_ord"), c("_cseq").alias("_q")), "_nv", key="_j") \
+        .where(c("_nv").isNotNull()).select("_j", (-c("_nv")).alias("_nxt"))
     jump, n_jump = _cut_counted(nxt)
 
     chain, n_chain = _cut_counted(theta.where(c("_start")).select(c("_cseq").alias("_j")))
