@@ -193,12 +193,15 @@ def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int,
     a block.  (a), (c) and the in-block case come from one Arrow fold per block.
     """
     c = F.col
-    events = rows.select((c(t_col) * 2).alias("_ord"), F.lit(1).alias("_isrow"),
-                         F.lit(None).cast("bigint").alias("_cidx")) \
-        .unionByName(cand.select(((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"), F.lit(0).alias("_isrow"), "_cidx"))
+    # rows counted per time value and one probe per distinct value: unique scan keys, so
+    # many rows sharing one arrival time never form one range; answers join back per value
+    per_t = rows.groupBy((c(t_col) * 2).alias("_ord")).agg(F.count(F.lit(1)).alias("_isrow"))
+    probe = cand.select("_cidx", ((c("_ct") - ttl_ms) * 2 + 1).alias("_ord"))
+    events = per_t.unionByName(probe.select("_ord").distinct().select("_ord", F.lit(0).cast("bigint").alias("_isrow")))
     # candidates are a subset of rows, so 2n bounds the event count for range sizing
     counted = running_sum(events, "_isrow", "_ord", "_lo", n_rows=n_rows + n_cand)
-    lo = counted.where(c("_isrow") == 0).select("_cidx", c("_lo").cast("bigint").alias("_lo"))
+    answers = counted.where(F.pmod(c("_ord"), F.lit(2)) == 1).select("_ord", "_lo")
+    lo = probe.join(answers, "_ord", "left").select("_cidx", c("_lo").cast("bigint").alias("_lo"))
     # lo has one row per candidate: the candidate count is its size bound
     cq = join_checked(cand, lo, on=["_cidx"], how="inner", already_checked=fits_broadcast(n_cand, lo)) \
         .withColumn("_kl", F.floor(c("_lo") / block_rows).cast("bigint")) \

@@ -155,3 +155,19 @@ def test_idle_ttl_chain_many_epochs_small_blocks(spark):
     df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)], "event_id string, seq bigint, t bigint")
     exp = _idle_model(rows, 1000)
     assert _flags(dedup_idle_ttl(df, 1000, block_rows=8, method="chain")) == exp
+
+
+def test_idle_ttl_burst_at_one_time_vs_model(spark):
+    """A third of the rows share one arrival time (a batch stamped at once); both boundary plans."""
+    rnd = random.Random(88)
+    t, rows = 0, []
+    for i in range(1800):
+        if 600 <= i < 1200:
+            rows.append((f"id{rnd.randrange(50)}", t))           # burst: same t
+            continue
+        t += rnd.choice([1, 5, 400, 1200, 2500])
+        rows.append((f"id{rnd.randrange(50)}", t))
+    df = spark.createDataFrame([(x, i, tt) for i, (x, tt) in enumerate(rows)], "event_id string, seq bigint, t bigint")
+    exp = _idle_model(rows, 1000)
+    assert _flags(dedup_idle_ttl(df, 1000, block_rows=16)) == exp
+    assert _flags(dedup_idle_ttl(df, 1000, block_rows=16, method="chain")) == exp
