@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf  # noqa: F401
 
 from keelson.llm.common import sha256_hex, string_array
 
@@ -214,11 +213,14 @@ def _joined(spans: Column) -> Column:
                                                                  x["end"].cast("string"))), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+
 def pii_digest(found: DataFrame) -> DataFrame:
     """Counts and digests of ``find_pii``'s rows: n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in BASE_KINDS]
+    counts = [_count(k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"),
                         _joined(F.col("spans")).alias("spans"))
 
