@@ -199,13 +199,14 @@ def _mask(t: str, min_score: float) -> str:
 def mask_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """Every row of ``docs`` with each span of its text replaced by ``<KIND>`` (a null text stays null);
     overlapping spans become the first one's placeholder. All other columns are unchanged."""
-    import pandas as pd
 
-    @F.pandas_udf("string")
-    def masked(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: x if x is None else _mask(x, min_score))
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts = [None if t is None else _mask(t, min_score) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _joined(spans: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelson.llm import bpe, pii
+from keelson.llm import bpe, decontam, fingerprint, pii, quality, toxicity
+from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -19,13 +21,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest_text(fingerprint.neighbour_fingerprints(_table(spark, sf_dir, "documents")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), *quality.FOLD).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), *toxicity.FOLD).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op5_pii": op5_pii, "op9_bpe": op9_bpe}
+QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_bpe": op9_bpe,
+}
 ORACLES: dict[str, str] = {}
