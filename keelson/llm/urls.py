@@ -105,16 +105,21 @@ def _resolved(target: Column, scheme: Column, host: Column, path: Column) -> Col
             .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target)))
 
 
-def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst: distinct edges between different nodes, from canonical links and refresh redirects."""
+def link_targets(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """url, target: what pages name as canonical or redirect to, as written."""
     html, url = F.col(html_col), F.col(url_col)
     marked = pages.where(html.rlike(r"(?i)canonical|refresh") & (F.instr(url, "://") > 0))
     targets = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    edges = marked.select(url.alias("url"), F.explode(targets).alias("target")).where("target <> ''")
-    edges = edges.withColumns({"scheme": F.substring_index("url", "://", 1), "host": url_host(F.col("url")),
-                               "path": url_path(F.col("url")), "target": F.regexp_replace("target", "&amp;", "&")})
+    return marked.select(url.alias("url"), F.explode(targets).alias("target")).where("target <> ''")
+
+
+def link_edges(targets: DataFrame) -> DataFrame:
+    """src, dst: distinct edges between different nodes. The named edges are written before they are filtered, since a
+    filter on them would be pushed into, and multiply, the expressions that make them."""
+    edges = targets.withColumns({"scheme": F.substring_index("url", "://", 1), "host": url_host(F.col("url")),
+                                 "path": url_path(F.col("url")), "target": F.regexp_replace("target", "&amp;", "&")})
     edges = edges.withColumn("absolute", _resolved(*(F.col(c) for c in ("target", "scheme", "host", "path"))))
-    named = with_node(with_node(edges, "url", "src"), "absolute", "dst").select("src", "dst")
+    named = scratch_table(with_node(with_node(edges, "url", "src"), "absolute", "dst").select("src", "dst"), "url-named")
     return named.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
 
 
@@ -147,11 +152,11 @@ def judge_pages(pages: DataFrame, rules: Sequence[str], id_col: str = "page_id",
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     judged = src.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))
     judged = judged.withColumn("own", longest_rule(F.col("host"), F.col("path"), parsed))
-    edges = scratch_table(link_edges(src), "url-links")
-    if edges.isEmpty():
+    targets = scratch_table(link_targets(src), "url-links")
+    if targets.isEmpty():
         verdict = F.coalesce(F.col("own.action"), F.lit("allow"))
         return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
-    labels = components(edges)
+    labels = components(link_edges(targets))
     host = F.regexp_extract("node", r"^([^/?#]*)", 1)
     path = F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)
     members = labels.select("node", "label", longest_rule(host, path, parsed)["action"].alias("action"))
