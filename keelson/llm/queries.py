@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, fingerprint, pii, quality, toxicity, urls
+from keelson.llm import bpe, decontam, fingerprint, jaccard, pii, quality, toxicity, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op4_urls": op4_urls,
@@ -66,5 +70,6 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {"op4_urls": urls.oracle_sql(URL_RULES)}

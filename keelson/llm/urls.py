@@ -7,10 +7,8 @@ lets the other pages take the decision of their equivalence class: pages and lin
 Precedence: a page's own rule decides for it. In a class, an explicit allow of any member beats a block of any other;
 without either, pages are allowed.
 
-Classes are connected components, found by rounds of minimum-label exchange over the edges followed by pointer
-jumping, so a chain of n aliases takes about log n rounds and a star two. Neighbour labels are combined by ``min``
-before they move, so a page with very many aliases costs one row per task. Each round is written to the shared folder. Only
-pages with edges take part; the label table is joined to the pages at the end.
+Classes are connected components (``graph.components``). Only pages with edges take part; the label table is joined
+to the pages at the end.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no aliases; a null html has no edges;
 equal urls are one node; relative targets are resolved against the page; a target that is no page still counts, with
@@ -26,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import scratch_table
+from keelson.llm.graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_EXPRESSION_RULES = 256
@@ -123,27 +122,6 @@ def link_edges(targets: DataFrame) -> DataFrame:
     return named.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: connected components of (src, dst), labelled by their smallest node."""
-    both = scratch_table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-                         .distinct(), "url-edges")
-    labels = scratch_table(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-                           .select("node", F.least("node", "low").alias("label")), "url-labels")
-    while True:
-        # the smallest label among a node's neighbours
-        near = (both.join(labels.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.min("label").alias("near"))
-                .withColumnRenamed("dst", "node"))
-        low = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("new"))
-        # pointer jumping: take the label of the label
-        up = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        stepped = scratch_table(low.join(up, "new", "left").select("node", F.col("label").alias("old"),
-                                                                   F.least("new", F.coalesce("up", "new")).alias("label")), "url-labels")
-        changed = stepped.where("old <> label").limit(1).count()
-        labels = stepped.select("node", "label")
-        if not changed:
-            return labels
-
-
 def judge_pages(pages: DataFrame, rules: Sequence[str], id_col: str = "page_id", url_col: str = "url",
                 html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
@@ -156,7 +134,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[str], id_col: str = "page_id",
     if targets.isEmpty():
         verdict = F.coalesce(F.col("own.action"), F.lit("allow"))
         return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
-    labels = components(link_edges(targets))
+    labels = components(link_edges(targets), "url")
     host = F.regexp_extract("node", r"^([^/?#]*)", 1)
     path = F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)
     members = labels.select("node", "label", longest_rule(host, path, parsed)["action"].alias("action"))
