@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, fingerprint, jaccard, pii, quality, toxicity, urls
+from keelson.llm import bpe, decontam, fingerprint, jaccard, pii, quality, suffix_dedup, toxicity, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -25,6 +25,12 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest_text(fingerprint.neighbour_fingerprints(_table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
 
 
@@ -64,6 +70,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_urls": op4_urls,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
