@@ -126,17 +126,19 @@ def _ask_keys(buckets: int):
     return run
 
 
-def _count_keys(t: pa.Table) -> pa.Table:
-    """Per block and bucket: 0 for keys of one document, 1 for repeated ones, 2 for very frequent ones."""
-    parts = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
-    docs = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("docs").to_pylist()]).astype(np.int64)
-    _, inv = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(inv, weights=docs)[inv]
-    flags = (total > 1).astype(np.uint8) + (total > HOT)
-    cut = np.cumsum([len(p) for p in parts])[:-1]
-    return pa.table([t.column("block"), t.column("bucket"),
-                     pa.array([_pack(f.astype(np.uint8)) for f in np.split(flags, cut)], pa.binary())],
-                    names=["block", "bucket", "flags"])
+def _count_keys(hot: int):
+    """Per block and bucket: 0 for keys of one document, 1 for repeated ones, 2 for those with over ``hot`` documents."""
+    def run(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
+        docs = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("docs").to_pylist()]).astype(np.int64)
+        _, inv = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(inv, weights=docs)[inv]
+        flags = (total > 1).astype(np.uint8) + (total > max(1, hot))
+        cut = np.cumsum([len(p) for p in parts])[:-1]
+        return pa.table([t.column("block"), t.column("bucket"),
+                         pa.array([_pack(f.astype(np.uint8)) for f in np.split(flags, cut)], pa.binary())],
+                        names=["block", "bucket", "flags"])
+    return run
 
 
 _PIECES = "block long, bucket int, keys binary, sizes binary, lows binary, text binary"
@@ -310,7 +312,7 @@ def _remove(packed: pa.Table, found: pa.Table) -> pa.Table:
 _RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes, end exclusive) and kept (binary) per row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -329,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     packed = scratch_table(rest.mapInArrow(_blocks, "block long, ids binary, sizes binary, text binary"), "dedup-blocks")
     asked = packed.mapInArrow(_ask_keys(buckets), "bucket int, block long, keys binary, docs binary").repartition(parts, "bucket")
-    flags = asked.groupBy("bucket").applyInArrow(_count_keys, "block long, bucket int, flags binary")
+    flags = asked.groupBy("bucket").applyInArrow(_count_keys(hot), "block long, bucket int, flags binary")
     pieces = scratch_table(packed.groupBy("block").cogroup(flags.groupBy("block"))
                            .applyInArrow(_cut_pieces(buckets), _PIECES), "dedup-pieces")
     answers = (pieces.where("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_answer, _PIECES))
