@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, fingerprint, jaccard, pii, quality, suffix_dedup, toxicity, urls
+from keelson.llm import bpe, decontam, fingerprint, jaccard, pii, quality, suffix_dedup, toxicity, training_order, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -31,6 +31,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots, _ = training_order.materialize(_table(spark, sf_dir, "documents"), key=ORDER_KEY)
+    return slots
+
+
+ORDER_KEY = 20_240_501
 URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
 
 
@@ -71,6 +77,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_training_order": op3_training_order,
     "op4_urls": op4_urls,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
