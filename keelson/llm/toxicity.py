@@ -84,8 +84,8 @@ class ToxicityModel:
         if len(some):
             for i, k in enumerate(self.kernels):
                 y = _convolve(x, k)
-                cut = begin[some]
-                top = np.maximum.reduceat(y, cut, axis=0)
+                cut = np.stack([begin[some], begin[some] + np.diff(first)[some]], axis=1).ravel()
+                top = np.maximum.reduceat(y, cut, axis=0)[::2]       # filters that start at a word of the text
                 sl = slice(i * FILTERS, (i + 1) * FILTERS)
                 out[some, sl] = np.maximum(top + self.offset[sl], 0)
         return out, begin
@@ -97,7 +97,7 @@ class ToxicityModel:
 def _padded(table: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Word vectors with zero rows after each text, so that no filter spans two texts."""
     gap = max(WIDTHS) - 1
-    x = np.zeros((len(ids) + gap * (len(first) - 1) + gap, table.shape[1]), np.float32)
+    x = np.zeros((len(ids) + gap * len(first) + 1, table.shape[1]), np.float32)
     at = np.arange(len(ids)) + gap * np.repeat(np.arange(len(first) - 1), np.diff(first))
     v = table[ids[:, 0]]
     for k in range(1, ids.shape[1]):
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_text_scores(string_array(b, "text"), held.value), pa.float64())],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(_text_scores(string_array(b, "text"), held.value), 6), pa.float64())],
                                              ["doc_id", "score"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
