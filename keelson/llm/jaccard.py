@@ -11,8 +11,14 @@ reach the size-derived bound are ever formed. All bounds are exact, so no link i
    packed arrays, a few bytes each; texts never move.
 3. *Candidates.* Survivors order their shingles from rare to common and keep the first ``n - ceil(t n) + 1``; linked
    sets share one of these. In the documents of one such shingle, a few probes are compared with all others;
-   components of verified links are formed; only documents still in different components go on to more probes, and
-   in the last round to all remaining comparisons. Groups of copies so take a linear number of products.
+   components of verified links are formed, and only documents still in different components go on. Shingles of up to
+   ``SMALL`` documents then compare all that is left.
+   The documents of larger ones form families (joined by shared candidate shingles). A family has a centre C, the
+   shingles of most of its sets, and each set A a difference D(A) to C. As sets, the difference of A and B has
+   ``d(A) + d(B) - 2 |D(A) n D(B)|`` shingles, and they are linked when that is at most ``(a + b) (1 - t) / (1 + t)``. So either
+   the sizes alone suffice: then both are also linked to the family's set that is nearest to the centre, and a star around it
+   finds them; or the differences overlap, and as they are sparse and mostly rare, a prefix filter over them, with
+   the exact bound of each pair, finds these. Groups of copies so take a near linear number of products.
 4. *Product.* Each candidate pair's overlap is accumulated over column blocks (hash ranges) and dropped as soon as the
    columns left cannot reach the bound ``o >= t (a + b - o)``.
 
@@ -36,7 +42,8 @@ SHINGLE = 5
 PERCENT = 80
 SIEVE = 0.4
 BLOCK_BYTES = 2 << 20
-PROBES = (4, 12)
+PROBES = 4
+SMALL = 64
 BROADCAST_IDS = 1_000_000
 _NON_BLANK = ~byte_class((0x09, 0x0D), (0x20, 0x20))
 _VALUES = lowered_values()
@@ -222,6 +229,14 @@ def _pairs(members: DataFrame, probes: DataFrame) -> DataFrame:
             .select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct())
 
 
+def _in_components(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``members`` with the component of each set as ``comp``."""
+    if comp is None:
+        return members.withColumn("comp", F.col("cid"))
+    named = comp.select(F.col("node").alias("cid"), "label")
+    return members.join(named, "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+
+
 def _links(sets: DataFrame) -> DataFrame | None:
     """All verified links that the components need, as (src, dst); None if there is no candidate."""
     rows = sets.select(F.explode("shingles").alias("h"), "cid", "n")
@@ -233,30 +248,77 @@ def _links(sets: DataFrame) -> DataFrame | None:
     # shingles of one set only come first in the order, so they use up places of the prefix
     places = F.expr(f"n - div({PERCENT} * n + 99, 100) + 1 - (n - shared)")
     prefix = scratch_table(ranked.where(F.col("rank") <= places).select("h", "cid", "n"), "jaccard-prefix")
-    found = None
-    comp = None
-    for round_, probes in enumerate((*PROBES, None)):
-        members = prefix.withColumn("comp", F.col("cid"))
-        if comp is not None:
-            members = (prefix.join(comp, prefix["cid"] == comp["node"], "left")
-                       .select("h", "cid", "n", F.coalesce("label", "cid").alias("comp")))
-            # only shingles whose documents are in more than one component
-            split = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-            members = scratch_table(members.join(split, "h"), "jaccard-members")
-            if members.isEmpty():
-                break
-        if probes is None:
-            chosen = members
-        else:
-            order = Window.partitionBy("h").orderBy(F.xxhash64("cid", F.lit(round_)), "cid")
-            chosen = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= probes).drop("r")
-        links = scratch_table(_verified(_pairs(members, chosen), sets), "jaccard-links")
-        found = links if found is None else found.unionByName(links)
-        if probes is not None:
-            if found.isEmpty():
-                continue
-            comp = components(found, "jaccard")
-    return found
+    members = _in_components(prefix, None)
+    order = Window.partitionBy("h").orderBy(F.xxhash64("cid"), "cid")
+    probes = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PROBES).drop("r")
+    links = scratch_table(_verified(_pairs(members, probes), sets), "jaccard-links")
+    if links.isEmpty():
+        comp = None
+    else:
+        comp = components(links, "jaccard")
+    # shingles whose documents are still in more than one component
+    members = _in_components(prefix, comp)
+    split = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    split = split.where((F.col("lo") < F.col("hi")) & (F.col("size") > PROBES)).select("h", "size")
+    open_ = scratch_table(members.join(split, "h"), "jaccard-open")
+    small, large = (open_.where(w).drop("size") for w in (f"size <= {SMALL}", f"size > {SMALL}"))
+    if not small.isEmpty():
+        links = links.unionByName(scratch_table(_verified(_pairs(small, small), sets), "jaccard-links"))
+    if not large.isEmpty():
+        links = _family_links(large, sets, links)
+    return links
+
+
+def _differences(batches):
+    """family, cid, n and the sorted difference of a set to its family's centre."""
+    for b in batches:
+        out = []
+        cols = [(np.asarray(b.column(k).values), np.asarray(b.column(k).offsets)) for k in (3, 4)]
+        for i in range(b.num_rows):
+            a, c = (v[o[i]:o[i + 1]] for v, o in cols)
+            out.append(np.setxor1d(a, c, assume_unique=True))
+        off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        values = np.concatenate(out) if out else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(off), pa.array(values.astype(np.int64)))],
+                                         ["family", "cid", "n", "diff"])
+
+
+def _family_links(large: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and the further ones inside families."""
+    hub = large.groupBy("h").agg(F.min("cid").alias("src"))
+    families = components(large.join(hub, "h").select("src", F.col("cid").alias("dst")).where("src <> dst"), "jaccard-family")
+    in_family = families.select(F.col("node").alias("cid"), F.col("label").alias("family"))
+    rows = scratch_table(sets.dropDuplicates(["cid"]).join(in_family, "cid"), "jaccard-families")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("members"))
+    centre = (rows.select("family", F.explode("shingles").alias("h")).groupBy("family", "h").agg(F.count("*").alias("df"))
+              .join(sizes, "family").where("2 * df > members").groupBy("family").agg(F.collect_list("h").alias("centre")))
+    centre = centre.select("family", F.array_sort("centre").alias("centre"))
+    dealt = rows.join(centre, "family", "left").select(
+        "family", "cid", "n", "shingles", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"))
+    diffs = scratch_table(dealt.mapInArrow(_differences, "family long, cid long, n long, diff array<long>")
+                          .withColumn("d", F.size("diff").cast("long")), "jaccard-differences")
+    # sizes alone: a star around the set nearest to the centre
+    slack = (100 + PERCENT) * F.col("d") - (100 - PERCENT) * F.col("n")
+    nearest = diffs.groupBy("family").agg(F.min_by("cid", F.struct(slack, "cid")).alias("p"))
+    star = diffs.join(nearest, "family").where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
+    links = links.unionByName(scratch_table(_verified(star, sets), "jaccard-links"))
+    comp = components(links, "jaccard") if not links.isEmpty() else None
+    # overlapping differences: rarest first, with the bound of each pair
+    flat = _in_components(diffs, comp).select("family", "cid", "n", "d", "comp", F.explode("diff").alias("h"))
+    common = flat.groupBy("family", "h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    by_set = Window.partitionBy("cid")
+    flat = flat.join(common.where("df > 1"), ["family", "h"])
+    flat = flat.select("family", "h", "cid", "n", "d", "comp", (F.col("lo") < F.col("hi")).alias("mixed"),
+                       (F.row_number().over(by_set.orderBy("df", "h")) - 1 + F.col("d") - F.count("*").over(by_set)).alias("place"))
+    flat = scratch_table(flat.where("mixed").drop("mixed"), "jaccard-sparse")
+    x, y = flat.alias("x"), flat.alias("y")
+    both = f"({100 + PERCENT} * (x.d + y.d) - {100 - PERCENT} * (x.n + y.n))"
+    need = f"div({both} + {2 * (100 + PERCENT) - 1}, {2 * (100 + PERCENT)})"       # least overlap of the differences
+    fits = (f"x.cid < y.cid AND x.comp <> y.comp AND {both} > 0 AND x.place <= x.d - {need} AND y.place <= y.d - {need} "
+            f"AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {PERCENT}")
+    pairs = x.join(y, F.expr(f"x.family = y.family AND x.h = y.h AND {fits}")).select(
+        F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    return links.unionByName(scratch_table(_verified(pairs, sets), "jaccard-links"))
 
 
 def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:

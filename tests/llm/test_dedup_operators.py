@@ -52,19 +52,21 @@ def test_jaccard_groups(spark, docs_small):
     assert _groups(documents(spark, rows, extra=True)) == shingle_groups(rows)
 
 
-def test_jaccard_made_cases(spark, monkeypatch):
+@pytest.mark.parametrize("probes, small", [(1, 2), (1, 10_000), (4, 64)])
+def test_jaccard_made_cases(spark, monkeypatch, probes, small):
     rnd = random.Random(5)
     base = [f"w{rnd.randint(0, 500)}" for _ in range(150)]
     rows = []
     for i in range(120):                                 # near copies around the bound, in one hot group
         w = list(base)
-        for _ in range(rnd.randint(0, 5)):
+        for _ in range(rnd.randint(0, 7)):
             w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 9999)}"
         rows.append((i, " ".join(w[rnd.randint(0, 8):])))
     shared = " ".join(f"s{k}" for k in range(30))
     rows += [(200 + i, shared + " " + " ".join(f"y{rnd.randint(0, 99999)}" for _ in range(rnd.randint(3, 60)))) for i in range(80)]
     rows += [(400, "a b c d"), (401, "A b  c d"), (402, "a b c"), (403, "a b c d e"), (404, "a b c d e f")]
-    monkeypatch.setattr(jaccard, "PROBES", (1, 2))
+    monkeypatch.setattr(jaccard, "PROBES", probes)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     got = _groups(documents(spark, rows))
     assert got == shingle_groups(rows)
     kept = sorted(r.doc_id for r in jaccard.keep_first(documents(spark, rows + [(400, "a b c d")], extra=True)).collect())
