@@ -27,23 +27,26 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import PrefixHash, mix64, scratch_table, string_array, text_chunks
 from keelson.llm.lyndon import ragged, suffix_arrays
+from keelson.session import scratch_path
 
 LENGTH = 50
 GRAM = 20
-HOT = 128
+HOT = 4096
+TRIM_OVER = 8
 BLOCK_BYTES = 2 << 20
-SORT_BYTES = 1 << 20
+SORT_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
 _U = np.uint64
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def _pack(a: np.ndarray | bytes) -> bytes:
     raw = a if isinstance(a, bytes) else a.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True) if raw else b""
 
 
 def _unpack(b: bytes) -> bytes:
-    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True) if b else b""
+    return _ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) if b else b""
 
 
 def _array(b: bytes, kind) -> np.ndarray:
@@ -99,7 +102,7 @@ def _sieve_keys(row: np.ndarray, key: np.ndarray, buckets: int):
     bucket = ((key & _U(0xFFFFFF)) % _U(buckets)).astype(np.int64)
     full = (bucket << 32) | short
     distinct, which = np.unique(full, return_inverse=True)
-    docs = np.bincount(np.unique(np.stack([which, row], axis=1), axis=0)[:, 0], minlength=len(distinct)) if len(row) else np.empty(0, np.int64)
+    docs = np.bincount(np.unique((which.astype(np.int64) << 32) | row) >> 32, minlength=len(distinct))
     return distinct, which, docs
 
 
@@ -166,7 +169,9 @@ def _cut_pieces(buckets: int):
             content = h.spans(start, start + size)
             key = np.concatenate([key[calm], mix64(content[len(content) - len(at_h):] + _U(1))])
             bucket = (mix64(key) % _U(buckets)).astype(np.int64)
-            # distinct pieces, ordered by bucket
+            # distinct pieces, ordered by bucket (a piece is named by its key's upper half: keys that share it only make a
+            # longer string to sort)
+            key = key >> _U(32) << _U(32)
             order = np.lexsort((size, content, key, bucket))
             same = ((key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1])
                     & (size[order][1:] == size[order][:-1]))
@@ -179,8 +184,8 @@ def _cut_pieces(buckets: int):
             used, cut = _by_bucket(bucket[rep], buckets)
             for k in used:
                 some = rep[cut[k]:cut[k + 1]]
-                cells = (r["block"], k, key[some].tobytes(), size[some].astype(np.int32).tobytes(),
-                         low[cut[k]:cut[k + 1]].tobytes(), _pack(buf[ragged(start[some], start[some] + size[some])].tobytes()))
+                cells = (r["block"], k, (key[some] >> _U(32)).astype(np.uint32).tobytes(), _pack(size[some].astype(np.int32)),
+                         _pack(low[cut[k]:cut[k + 1]]), _pack(buf[ragged(start[some], start[some] + size[some])].tobytes()))
                 for c, v in zip(_PIECE_NAMES, cells):
                     out[c].append(v)
             cells = (r["block"], -1, _pack(start.astype(np.int64)), _pack(size[rep].astype(np.int32)),
@@ -192,6 +197,54 @@ def _cut_pieces(buckets: int):
     return run
 
 
+def trimmed_answers(text: np.ndarray, size: np.ndarray, low: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """``window_answers``, where the pieces of a key with over ``TRIM_OVER`` of them are first cut down to the windows
+    that some other piece of the key has too (by hash; a window in one piece only has that piece's id as its answer).
+    What is left of many pieces is mostly one text, so the strings to sort stay short."""
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(head, len(key)))
+    big = np.repeat(count > TRIM_OVER, count)
+    if not big.any():
+        return window_answers(text, size, low, key)
+    windows = size - LENGTH + 1
+    begin = np.cumsum(size) - size
+    w_begin = np.cumsum(windows) - windows
+    out = np.repeat(low, windows)
+    calm = np.flatnonzero(~big)
+    if len(calm):
+        out[ragged(w_begin[calm], w_begin[calm] + windows[calm])] = window_answers(
+            text[ragged(begin[calm], begin[calm] + size[calm])], size[calm], low[calm], key[calm])
+    big = np.flatnonzero(big)
+    at = ragged(begin[big], begin[big] + windows[big])               # every window of the large keys
+    piece = np.repeat(big, windows[big])
+    hashes = PrefixHash(text).spans(at, at + LENGTH)
+    _, inv = np.unique(mix64(key[piece]) ^ hashes, return_inverse=True)
+    pairs = np.unique((inv.astype(np.int64) << 32) | piece)
+    shared = np.bincount(pairs >> 32)[inv] > 1
+    # maximal runs of shared windows are the new pieces
+    new = shared & np.append(True, ~shared[:-1] | (piece[1:] != piece[:-1]))
+    first = np.flatnonzero(new)
+    if not len(first):
+        return out
+    run = np.cumsum(new)[shared] - 1
+    length = np.bincount(run) + LENGTH - 1
+    start, owner = at[first], piece[first]
+    content = PrefixHash(text).spans(start, start + length)
+    order = np.lexsort((length, content, key[owner]))
+    k, c, n = key[owner][order], content[order], length[order]
+    lead = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1]))
+    rep = order[lead]
+    least = np.minimum.reduceat(low[owner][order], np.flatnonzero(lead))
+    answers = window_answers(text[ragged(start[rep], start[rep] + length[rep])], length[rep], least, key[owner][rep])
+    which = np.empty(len(first), np.int64)
+    which[order] = np.cumsum(lead) - 1
+    r_windows = length[rep] - LENGTH + 1
+    r_begin = np.cumsum(r_windows) - r_windows
+    cells = ragged(r_begin[which], r_begin[which] + r_windows[which])
+    out[ragged(w_begin[owner] + start - begin[owner], w_begin[owner] + start - begin[owner] + length - LENGTH + 1)] = answers[cells]
+    return out
+
+
 def window_answers(text: np.ndarray, size: np.ndarray, low: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For every window of every piece (in order) the smallest id among the pieces of its key that hold the same
     ``LENGTH`` bytes. Pieces of one key must be neighbours."""
@@ -239,9 +292,9 @@ def window_answers(text: np.ndarray, size: np.ndarray, low: np.ndarray, key: np.
 def _answer(t: pa.Table) -> pa.Table:
     """All pieces of one bucket: suffix arrays by key, answers per block in the order asked (run lengths and values)."""
     rows = t.to_pylist()
-    key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-    size = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
-    low = np.concatenate([np.frombuffer(r["lows"], np.int64) for r in rows])
+    key = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows]).astype(np.uint64)
+    size = np.concatenate([_array(r["sizes"], np.int32) for r in rows]).astype(np.int64)
+    low = np.concatenate([_array(r["lows"], np.int64) for r in rows])
     text = np.frombuffer(b"".join(_unpack(r["text"]) for r in rows), np.uint8)
     begin = np.cumsum(size) - size
     content = PrefixHash(text).spans(begin, begin + size)
@@ -252,13 +305,13 @@ def _answer(t: pa.Table) -> pa.Table:
     piece[order] = np.cumsum(first) - 1
     rep = order[first]
     least = np.minimum.reduceat(low[order], np.flatnonzero(first))
-    answers = window_answers(text[ragged(begin[rep], begin[rep] + size[rep])], size[rep], least, key[rep])
+    answers = trimmed_answers(text[ragged(begin[rep], begin[rep] + size[rep])], size[rep], least, key[rep])
     windows = size[rep] - LENGTH + 1
     w_begin = np.cumsum(windows) - windows
     lengths, values = [], []
     at = 0
     for r in rows:
-        mine = piece[at:at + len(r["keys"]) // 8]
+        mine = piece[at:at + len(r["keys"]) // 4]
         at += len(mine)
         v = answers[ragged(w_begin[mine], w_begin[mine] + windows[mine])]
         cut = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
@@ -309,6 +362,19 @@ def _remove(packed: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _bucketed(blocks: DataFrame, parts: int) -> DataFrame:
+    """The blocks written once, hash-bucketed, so that neither of the two steps that meet them by block moves them. The
+    catalog entry is only needed to write and open the files and goes at once; the files are in the scratch folder."""
+    spark = blocks.sparkSession
+    path = scratch_path(spark, "dedup-blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    blocks.write.bucketBy(parts, "block").option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.schema
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 _RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -316,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, spans (removed, in bytes, end exclusive) and kept (binary) per row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(1 << 14, 8 * parts)
+    buckets = min(1 << 14, 4 * parts)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     digest = scratch_table(src.where(F.octet_length("text") >= LENGTH).select(
@@ -329,7 +395,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         marks = F.broadcast(marks)
     rest = src.withColumn("mark", F.xxhash64("text")).join(marks, ["doc_id", "mark"], "left_anti").select("doc_id", "text")
 
-    packed = scratch_table(rest.mapInArrow(_blocks, "block long, ids binary, sizes binary, text binary"), "dedup-blocks")
+    packed = _bucketed(rest.mapInArrow(_blocks, "block long, ids binary, sizes binary, text binary"), parts)
     asked = packed.mapInArrow(_ask_keys(buckets), "bucket int, block long, keys binary, docs binary").repartition(parts, "bucket")
     flags = asked.groupBy("bucket").applyInArrow(_count_keys(hot), "block long, bucket int, flags binary")
     pieces = scratch_table(packed.groupBy("block").cogroup(flags.groupBy("block"))
