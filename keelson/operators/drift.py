@@ -34,10 +34,18 @@ def _rolling_upper_median(ts: np.ndarray, window: int) -> np.ndarray:
     import pandas as pd
     if len(ts) == 0:
         return ts.astype("int64")
-    base = int(ts.min())
-    rel = pd.Series((ts - base).astype("float64"))
-    med = rel.rolling(window, min_periods=1).quantile(0.5, interpolation="higher")
-    return med.to_numpy().astype("int64") + base
+    # roll over ranks, which float64 holds exactly whatever the timestamps' range
+    values, rank = np.unique(ts, return_inverse=True)
+    med = pd.Series(rank.astype("float64")).rolling(window, min_periods=1).quantile(0.5, interpolation="higher")
+    return values[med.to_numpy().astype("int64")]
+
+
+def near_median(ts: np.ndarray, median: np.ndarray, tolerance: int) -> np.ndarray:
+    """|ts - median| <= tolerance without overflow, for any int64."""
+    info = np.iinfo(np.int64)
+    low = np.where(median < info.min + tolerance, info.min, median - np.int64(tolerance))
+    high = np.where(median > info.max - tolerance, info.max, median + np.int64(tolerance))
+    return (ts >= low) & (ts <= high)
 
 
 def rolling_median(df: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
@@ -96,7 +104,10 @@ def drift_filter(df: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
     The first ``warmup - 1`` rows pass whatever their ts.  Nothing is dropped.
     """
     med = rolling_median(df, ts_col, seq_col, window, partition_cols, **kw)
-    ok = (F.col("window_rows") < warmup) | (F.abs(F.col(ts_col) - F.col("median")) <= tolerance_ms)
+    # the difference of two int64 can overflow: then it is certainly out of tolerance
+    apart = F.try_subtract(F.col(ts_col), F.col("median"))
+    near = F.coalesce((apart >= -tolerance_ms) & (apart <= tolerance_ms), F.lit(False))
+    ok = (F.col("window_rows") < warmup) | near
     return med.withColumn(out_col, ok)
 
 

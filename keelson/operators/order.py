@@ -34,6 +34,14 @@ def require_seq(df: DataFrame, seq_col: str) -> None:
         raise ValueError(f"order-dependent operator needs a total-order column '{seq_col}'")
 
 
+def checked_seq(df: DataFrame, seq_col: str) -> DataFrame:
+    """``df`` with a ``seq_col`` that raises on NULL: such a row has no place in the order, at any input size."""
+    require_seq(df, seq_col)
+    kind = df.schema[seq_col].dataType
+    missing = F.raise_error(F.lit(f"NULL in order column '{seq_col}'")).cast(kind)
+    return df.withColumn(seq_col, F.when(F.col(seq_col).isNull(), missing).otherwise(F.col(seq_col)))
+
+
 def range_splits(df: DataFrame, seq_col: str, n_rows: int,
                  rows_per_range: int = ROWS_PER_RANGE) -> list[float] | None:
     """Split points of ~``rows_per_range`` rows each (approximate quantiles), or None for one range.
@@ -54,6 +62,7 @@ def seq_ranges(df: DataFrame, seq_col: str, n_rows: int,
     """Add ``_rng``: the index of the seq range holding each row."""
     if isinstance(splits, str):
         splits = range_splits(df, seq_col, n_rows, rows_per_range)
+    df = checked_seq(df, seq_col)
     if splits is None:
         return df.withColumn("_rng", F.lit(0))
     tmp = df.withColumn("_seq_d", F.col(seq_col).cast("double"))
@@ -72,7 +81,7 @@ def dense_index(df: DataFrame, seq_col: str = "seq", partition_cols: Sequence[st
     if n_rows <= rows_per_range or splits is None:
         # one range: a single bounded sort (at most rows_per_range rows per partition key)
         w1 = Window.partitionBy(*pcols).orderBy(seq_col) if pcols else Window.orderBy(seq_col)
-        return df.withColumn(out_col, F.row_number().over(w1) - 1)
+        return checked_seq(df, seq_col).withColumn(out_col, F.row_number().over(w1) - 1)
     ranged = seq_ranges(df, seq_col, n_rows, rows_per_range, splits)
     keys = pcols + ["_rng"]
     counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))

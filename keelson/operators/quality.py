@@ -20,11 +20,18 @@ from keelson.operators.dedup import dedup_first
 from keelson.operators.drift import drift_filter
 from keelson.operators.order import ROWS_PER_RANGE, range_splits, require_seq
 from keelson.plans.joins import materialize
-from keelson.schema import (DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, KNOWN_PLATFORMS,
+from keelson.schema import (DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, EVENT, KNOWN_PLATFORMS,
                             MAC_BYTES, REASON_DUPLICATE_PREFIX, REASON_HMAC, REASON_WATERMARK,
                             STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK)
 
 
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Event columns with NULLs as the wire format's defaults (empty text or bytes, zero), as if read from the wire."""
+    given = {f.name: f.dataType for f in EVENT.fields}
+    fill = {"string": F.lit(""), "long": F.lit(0).cast("bigint"), "binary": F.lit(b"")}
+    return df.withColumns({c: F.coalesce(F.col(c), fill[t.typeName()]) for c, t in given.items() if c in df.columns})
+
+
 def sign_events(df: DataFrame, secret: str | bytes, body_col: str = "payload",
                 out_col: str = "payload") -> DataFrame:
     """Q9: payload := body || HMAC(id, user, type, ts, body)."""
@@ -58,13 +65,14 @@ def flag_platform(df: DataFrame, known: Sequence[str] = KNOWN_PLATFORMS,
 def verdict_columns(df: DataFrame) -> DataFrame:
     """Q13 from the three stage flags: first failing stage wins."""
     c = F.col
-    stage = (F.when(~c("dedup_ok"), F.lit(STAGE_DEDUP))
-             .when(~c("drift_ok"), F.lit(STAGE_WATERMARK))
-             .when(~c("hmac_ok"), F.lit(STAGE_HMAC)).otherwise(F.lit("")))
-    reason = (F.when(~c("dedup_ok"), F.concat(F.lit(REASON_DUPLICATE_PREFIX), c("event_id")))
-              .when(~c("drift_ok"), F.lit(REASON_WATERMARK))
-              .when(~c("hmac_ok"), F.lit(REASON_HMAC)).otherwise(F.lit("")))
-    return df.withColumn("passed", c("dedup_ok") & c("drift_ok") & c("hmac_ok")) \
+    # a flag that is not there is a failed one: ``passed`` is never NULL, so no row falls between the branches
+    dedup, drift, mac = (F.coalesce(c(k), F.lit(False)) for k in ("dedup_ok", "drift_ok", "hmac_ok"))
+    stage = (F.when(~dedup, F.lit(STAGE_DEDUP)).when(~drift, F.lit(STAGE_WATERMARK))
+             .when(~mac, F.lit(STAGE_HMAC)).otherwise(F.lit("")))
+    reason = (F.when(~dedup, F.concat(F.lit(REASON_DUPLICATE_PREFIX), F.coalesce(c("event_id"), F.lit(""))))
+              .when(~drift, F.lit(REASON_WATERMARK))
+              .when(~mac, F.lit(REASON_HMAC)).otherwise(F.lit("")))
+    return df.withColumn("passed", dedup & drift & mac) \
         .withColumn("stage", stage).withColumn("reason", reason)
 
 
@@ -82,7 +90,8 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
     that already carries ``hmac_ok`` (checked at decode time) is not re-verified.
     """
     require_seq(df, seq_col)
-    dedup = _dedup_by_name(dedup)
+    dedup = _dedup_by_name(dedup, seq_col)
+    df = with_defaults(df)
     flagged = df if "hmac_ok" in df.columns else verify_hmac(df, secret)
     flagged = flag_platform(flagged)
     if not keep_payload and "payload" in flagged.columns:
@@ -110,15 +119,15 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
     return verdict_columns(drifted.unionByName(dups))
 
 
-def _dedup_by_name(dedup):
+def _dedup_by_name(dedup, seq_col: str):
     if dedup is None or dedup == "first":
         return dedup_first
     if dedup == "last_n":
         from keelson.operators.dedup_seq import dedup_last_n
-        return dedup_last_n
+        return lambda rows: dedup_last_n(rows, seq_col=seq_col)
     if dedup == "idle_ttl":
         from keelson.operators.dedup_seq import dedup_idle_ttl
-        return dedup_idle_ttl
+        return lambda rows: dedup_idle_ttl(rows, seq_col=seq_col)
     if callable(dedup):
         return dedup
     raise ValueError(f"unknown dedup form {dedup!r}")

@@ -26,7 +26,6 @@ from keelson.plans.parallel import ensure_parallelism
 from keelson.schema import VIRTUAL_NODES
 
 MAX_HASH = "FFFFFFFFFFFFFFFF"
-MAX_RING_POINTS = 20_000_000
 
 
 def members(spark: SparkSession, nodes: Iterable[str]) -> DataFrame:
@@ -63,34 +62,35 @@ def build_ring(ring_members: DataFrame, node_col: str = "node", virtual: int = V
 
 
 def _bucket_digits(n_points: int) -> int:
-    if n_points <= 2_000:
-        return 2
-    if n_points <= 30_000:
-        return 3
-    return 4
+    """Leading hex digits that leave some ten points in a bucket, between 2 and 6."""
+    digits = 2
+    while digits < 6 and n_points > 8 * 16 ** digits:
+        digits += 1
+    return digits
 
 
 def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
     """Segments ``(lo, hi] -> node`` covering the whole hash space, split by bucket.
 
-    The ring is at most MAX_RING_POINTS rows (membership x virtual points), so
-    the ordering window below runs on a bounded table.
+    Points are ordered inside their bucket of leading digits only. The point before a bucket's first one is the last point
+    of the nearest bucket with points, carried over a table of bucket edges (at most 16^digits rows) in two levels:
+    inside groups of 256 buckets, then over the groups.
     """
-    first_per_hash = ring.groupBy("hash").agg(F.min("node").alias("node"))
-    w = Window.orderBy("hash")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seg = first_per_hash.select(
-        F.coalesce(F.lag("hash").over(w), F.lit("")).alias("lo"),
-        F.col("hash").alias("hi"), "node",
-        F.row_number().over(w).alias("_pos"),
-        F.count(F.lit(1)).over(whole).alias("_n"),
-        F.first("node").over(whole).alias("_first"))
-    # the last point also emits the wrap segment (last hash, max] -> first node, in the same pass
-    own = F.struct(F.col("lo"), F.col("hi"), F.col("node"))
-    wrap = F.struct(F.col("hi").alias("lo"), F.lit(MAX_HASH).alias("hi"), F.col("_first").alias("node"))
-    segs = seg.select(F.explode(F.when(F.col("_pos") == F.col("_n"), F.array(own, wrap))
-                                .otherwise(F.array(own))).alias("s")).select("s.*")
     b = lambda c: F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
+    points = ring.groupBy("hash").agg(F.min("node").alias("node")).withColumn("_b", b(F.col("hash")))
+    edges = points.groupBy("_b").agg(F.max("hash").alias("_last")).withColumn("_g", F.floor(F.col("_b") / 256))
+    groups = edges.groupBy("_g").agg(F.max("_last").alias("_glast"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)      # at most 16^digits / 256 rows
+    groups = groups.select("_g", F.max("_glast").over(before).alias("_gprev"))
+    inside = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.join(groups, "_g").select("_b", F.coalesce(F.max("_last").over(inside), "_gprev").alias("_edge"))
+    w = Window.partitionBy("_b").orderBy("hash")
+    own = points.join(edges, "_b").select(F.coalesce(F.lag("hash").over(w), "_edge", F.lit("")).alias("lo"),
+                                          F.col("hash").alias("hi"), "node")
+    # hashes above the last point wrap to the first one
+    wrap = points.agg(F.max("hash").alias("lo"), F.min(F.struct("hash", "node")).alias("f")).where("lo IS NOT NULL") \
+        .select("lo", F.lit(MAX_HASH).alias("hi"), F.col("f.node").alias("node"))
+    segs = own.unionByName(wrap)
     lo_b = F.when(F.col("lo") == "", F.lit(0)).otherwise(b(F.col("lo")))
     return segs.withColumn("bucket", F.explode(F.sequence(lo_b, b(F.col("hi")))))
 
@@ -98,14 +98,11 @@ def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
 def prepare_ring(ring: DataFrame, n_points: int | None = None) -> tuple[DataFrame, int, bool]:
     """Count the ring once and build its segment table (lazy; reused by many lookups).
 
-    A membership-scale ring is cheap to hash, so the segments stay a plan that
-    the broadcast exchange evaluates once per query.  ``n_points`` may be given
-    when the membership is known (members x virtual points).
+    ``n_points`` may be given when the membership is known (members x virtual points). A ring of any size works: the
+    segments are broadcast only under a proven bound, otherwise the lookup is a shuffled equi join on the bucket.
     """
     if n_points is None:
         n_points = ring.count()
-    if n_points > MAX_RING_POINTS:
-        raise ValueError(f"ring has {n_points} points; the lookup table is meant for membership-scale rings")
     digits = _bucket_digits(n_points)
     segs = ring_segments(ring, digits)
     # segments <= points + one wrap segment + one split per bucket boundary: a proven bound

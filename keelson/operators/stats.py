@@ -2,10 +2,7 @@
 
 Percentiles follow the reference's nearest-rank rule on ascending order:
 pXX = sorted[floor(n * XX / 100)], p99.9 = sorted[min(n-1, floor(n * 999/1000))].
-``percentile_disc(1 - p) WITHIN GROUP (ORDER BY x DESC)`` is exactly that
-element (rank ceil(n(1-p)) from the top), and Spark evaluates it with a
-value->count map that combines map-side, so memory follows distinct values,
-not rows.  ``exact=False`` switches to ``percentile_approx`` for huge domains.
+Values are counted, counts summed up in order, and the element picked by rank.
 """
 
 from __future__ import annotations
@@ -18,27 +15,44 @@ from pyspark.sql import functions as F
 from keelson.operators.order import seq_ranges
 from keelson.plans.joins import materialize_observed
 
-# fixed values: (output name, p as a literal fraction of the top share)
-PERCENTILES = (("p50", "0.5"), ("p95", "0.05"), ("p99", "0.01"), ("p999", "0.001"))
+# fixed values: (output name, rank numerator, rank denominator): element floor(n * num / den) of the ascending order
+PERCENTILES = (("p50", 50, 100), ("p95", 95, 100), ("p99", 99, 100), ("p999", 999, 1000))
 
 
 def latency_stats(df: DataFrame, value_col: str = "latency_us", group_cols: Sequence[str] = (),
-                  exact: bool = True) -> DataFrame:
-    """T1 over successful samples (value >= 0): n, avg, p50, p95, p99, p999, max; zeros when empty."""
-    ok = df.where(F.col(value_col) >= 0)
-    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.avg(value_col), 3).alias("avg")]
-    for name, top in PERCENTILES:
-        if exact:
-            aggs.append(F.expr(f"percentile_disc({top}) WITHIN GROUP (ORDER BY {value_col} DESC)").alias(name))
-        else:
-            q = 1.0 - float(top)
-            aggs.append(F.percentile_approx(value_col, q, 10000).alias(name))
-    aggs.append(F.max(value_col).alias("max"))
-    out = ok.groupBy(*group_cols).agg(*aggs)
-    fill = {"avg": 0.0, "p50": 0, "p95": 0, "p99": 0, "p999": 0, "max": 0}
-    sel = list(group_cols) + ["n"] + [F.coalesce(F.col(k), F.lit(v)).cast("double" if k == "avg" else "bigint")
-                                      .alias(k) for k, v in fill.items()]
-    return out.select(*sel)
+                  rows_per_range: int = 1_000_000) -> DataFrame:
+    """T1 over successful samples (value >= 0): n, avg, p50, p95, p99, p999, max; zeros when empty.
+
+    Equal values are counted first; each group's counts are then summed up in two levels (ranges of values, then
+    within a range), and the value at which the running count passes a rank is that percentile. No task holds a
+    group: memory follows the rows of a range.
+    """
+    c = F.col
+    keys = list(group_cols) or ["_all"]
+    ok = df.where(c(value_col) >= 0)
+    ok = (ok if group_cols else ok.withColumn("_all", F.lit(0))).select(*keys, c(value_col).alias("_v"))
+    by_value, seen = materialize_observed(ok.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "latency", n=F.count(F.lit(1)))
+    ranged = seq_ranges(by_value, "_v", int(seen["n"]), rows_per_range)
+    # at most groups x ranges rows
+    totals = ranged.groupBy(*keys, "_rng").agg(F.sum("_n").alias("_t"), F.sum(c("_n") * c("_v")).alias("_s"), F.max("_v").alias("_m"))
+    over_ranges = Window.partitionBy(*keys).orderBy("_rng")
+    before = totals.select(*keys, "_rng", (F.sum("_t").over(over_ranges) - c("_t")).alias("_before"))
+    whole = totals.groupBy(*keys).agg(F.sum("_t").alias("n"), F.sum("_s").alias("_sum"), F.max("_m").alias("max"))
+    rows = ranged.join(before, [*keys, "_rng"])
+    rows = rows.join(whole if group_cols else F.broadcast(whole), keys)       # without groups: one row
+    inside = Window.partitionBy(*keys, "_rng").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_to", c("_before") + F.sum("_n").over(inside))
+    picks = []
+    for name, num, den in PERCENTILES:
+        rank = F.least(c("n") - 1, F.expr(f"div(n * {num}, {den})"))
+        picks.append(F.max(F.when((rank < c("_to")) & (rank >= c("_to") - c("_n")), c("_v"))).alias(name))
+    found = rows.groupBy(*keys, "n", "_sum", "max").agg(*picks)
+    out = found.select(*keys, "n", F.round(c("_sum") / c("n"), 3).alias("avg"), *[p[0] for p in PERCENTILES], "max")
+    if not group_cols:        # without groups there is always one row
+        out = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(out, "_all", "left")
+    fill = {"n": 0, "avg": 0.0, "p50": 0, "p95": 0, "p99": 0, "p999": 0, "max": 0}
+    return out.select(*group_cols, *[F.coalesce(c(k), F.lit(v)).cast("double" if k == "avg" else "bigint").alias(k)
+                                     for k, v in fill.items()])
 
 
 def throughput(df: DataFrame, t_col: str = "t", value_col: str = "latency_us",

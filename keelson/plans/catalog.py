@@ -129,7 +129,7 @@ def q_drift(spark, sf):
 def q_hmac_sign(spark, sf):
     ev = fx.table(spark, sf, "events")
     unsigned = ev.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"),
-                         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
+                         F.concat(F.lit("acct-"), F.col("user_id").cast("string")).alias("user_id"),
                          "event_type",
                          (F.lit(fx.BASE_TS_MS) + F.col("event_id") * 1000).cast("bigint").alias("ts"),
                          F.encode("props", "utf-8").alias("payload"))

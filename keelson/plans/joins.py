@@ -4,7 +4,7 @@
 and counts it; ``join_checked`` broadcasts it only when the count and the
 estimated bytes are under the limits, and otherwise leaves the choice to
 Catalyst/AQE (sort-merge join with skew splitting).  ``materialize`` cuts
-lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+lineage with a Parquet table in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -17,19 +17,15 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+    """Cut lineage: write the rows once as Parquet under ``spark.checkpoint.dir`` and read them back.
 
-    ``Dataset.checkpoint`` computes its input once for the eager count and
-    again to write the files, so the input is persisted for the duration: the
-    plan runs once, the files land on shared storage (a lost executor re-reads
-    them instead of recomputing lineage), and the cache is released after.
+    The plan runs once, the files are on shared storage (a lost executor re-reads them instead of recomputing lineage),
+    and later readers prune columns.
     """
-    from pyspark import StorageLevel
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    from keelson.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_observed(df: DataFrame, name: str = "stage", **metrics) -> tuple[DataFrame, dict]:

@@ -168,7 +168,7 @@ ORACLES: dict[str, str] = {
     "drift_filter": _w(ARR, verdict_ctes()) + """
       SELECT seq, ts, drift_ok FROM v_drift WHERE dedup_ok""",
     "hmac_sign": _w("""
-      unsigned AS (SELECT 'e' || event_id AS event_id, 'user_' || user_id AS user_id, event_type,
+      unsigned AS (SELECT 'e' || event_id AS event_id, 'acct-' || user_id AS user_id, event_type,
                           CAST(1704067200000 + event_id * 1000 AS BIGINT) AS ts, encode(props) AS body
                    FROM events)""") + f"""
       SELECT event_id, hex(body || {duck_hmac("encode(event_id || user_id || event_type || CAST(ts AS VARCHAR)) || body")})

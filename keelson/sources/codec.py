@@ -215,6 +215,7 @@ def decode_arrow(wire: pa.Array) -> pa.StructArray:
     starts = np.zeros((5, n), dtype=np.int64)
     lens = np.zeros((5, n), dtype=np.int64)
     ts = np.zeros(n, dtype=np.uint64)
+    given = np.zeros((5, n), dtype=bool)
     active = np.nonzero(~bad & (pos < end))[0]
     while len(active):
         key, p, kbad = _read_varints(data, pos, end, active)
@@ -235,11 +236,22 @@ def decode_arrow(wire: pa.Array) -> pa.StructArray:
         if m.any():
             r = active[m]
             ln, p2, lbad = _read_varints(data, pos, end, r)
-            ln = ln.astype(np.int64)
-            over = lbad | (p2 + ln > end[r]) | (ln < 0)
+            # compare unsigned and before adding: a length near 2^63 must not wrap
+            over = lbad | (ln > np.maximum(end[r] - p2, 0).astype(np.uint64))
             okr = ~over
+            ln = np.where(over, 0, ln).astype(np.int64)
             for fnum, slot in _FIELD_SLOTS.items():
                 sel = okr & (num[m] == fnum)
+                # every occurrence of a string must be valid UTF-8, not only the last one, which is checked below
+                again = sel & given[slot, r]
+                if slot < 4 and again.any():
+                    for k in np.nonzero(again)[0]:
+                        i = r[k]
+                        try:
+                            data[starts[slot, i]:starts[slot, i] + lens[slot, i]].tobytes().decode("utf-8")
+                        except UnicodeDecodeError:
+                            kbad[np.nonzero(m)[0][k]] = True
+                given[slot, r[sel]] = True
                 starts[slot, r[sel]] = p2[sel]
                 lens[slot, r[sel]] = ln[sel]
             pos[r[okr]] = p2[okr] + ln[okr]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from keelson.functions.mac import _pads, hmac_sha256, signed_message, utf8
 from keelson.plans.parallel import ensure_parallelism
 
-TEST_SECRET = "test_secret"          # test value only; production keys come from config
+TEST_SECRET = "keelson-demo-key"          # test value only; production keys come from config
 BASE_TS_MS = 1704067200000           # 2024-01-01T00:00:00Z
 
 
@@ -31,7 +31,7 @@ def _mod(c: Column, m: int) -> Column:
 # ---------------------------------------------------------------------------
 
 def arrivals(spark: SparkSession, sf_dir: str, secret: str = TEST_SECRET) -> DataFrame:
-    ev = table(spark, sf_dir, "events", spread=True).select("event_id", "user_id", "event_type", "props")
+    ev = ensure_parallelism(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
     n = F.col("event_id")
     platform = (F.when(_mod(n, 10) < 4, "ios").when(_mod(n, 10) < 7, "android")
                 .when(_mod(n, 10) < 9, "web").otherwise("tv"))
@@ -41,7 +41,7 @@ def arrivals(spark: SparkSession, sf_dir: str, secret: str = TEST_SECRET) -> Dat
     base = ev.select(
         n.alias("n"),
         F.concat(F.lit("e"), n.cast("string")).alias("event_id"),
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
+        F.concat(F.lit("acct-"), F.col("user_id").cast("string")).alias("user_id"),
         platform.alias("platform"),
         F.col("event_type"),
         ts.alias("ts"),
@@ -74,7 +74,7 @@ def duck_arrivals(secret: str = TEST_SECRET) -> str:
            " || CAST(ts AS VARCHAR)) || body")
     return f"""
     arr_base AS (
-      SELECT event_id AS n, 'e' || event_id AS event_id, 'user_' || user_id AS user_id,
+      SELECT event_id AS n, 'e' || event_id AS event_id, 'acct-' || user_id AS user_id,
              CASE WHEN event_id % 10 < 4 THEN 'ios' WHEN event_id % 10 < 7 THEN 'android'
                   WHEN event_id % 10 < 9 THEN 'web' ELSE 'tv' END AS platform,
              event_type,
@@ -188,14 +188,15 @@ DUCK_SAMPLES = """
 
 
 def ring_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    users = ev.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"))
-    extra = spark.range(2000).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("key"))
-    return users.unionByName(extra).distinct()
+    """Keys that grow with the tables: users, customers and orders."""
+    parts = [table(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("key"))
+             for t, c, p in (("events", "user_id", "acct-"), ("customer", "c_custkey", "cust-"), ("orders", "o_orderkey", "order-"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 DUCK_RING_KEYS = """
     ring_keys AS (
       SELECT DISTINCT key FROM (
-        SELECT 'user_' || user_id AS key FROM events
-        UNION ALL SELECT 'user_' || range AS key FROM range(2000)))"""
+        SELECT 'acct-' || user_id AS key FROM events
+        UNION ALL SELECT 'cust-' || c_custkey FROM customer
+        UNION ALL SELECT 'order-' || o_orderkey FROM orders))"""

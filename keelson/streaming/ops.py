@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.operators.drift import _rolling_upper_median
+from keelson.operators.drift import _rolling_upper_median, near_median
 from keelson.schema import DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, FLUSH_INTERVAL
 
 
+MIN_TS_MS, MAX_TS_MS = -62_135_596_800_000, 253_402_300_799_000       # years 1 to 9999
+
+
 def enable_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -59,7 +62,7 @@ def _drift_processor(window: int, warmup: int, tolerance_ms: int, ts_col: str, s
             out[key_col] = key[0]
             out["median"] = med
             out["window_rows"] = filled.astype("int32")
-            out["drift_ok"] = (filled < warmup) | (np.abs(ts - med) <= tolerance_ms)
+            out["drift_ok"] = (filled < warmup) | near_median(ts, med, tolerance_ms)
             self.recent.update((both[-(window - 1):].tolist() if window > 1 else [],))
             yield out
 
@@ -206,7 +209,8 @@ def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint
 def interval_stats_stream(routed_stream: DataFrame, ts_col: str = "ts", interval: str = "5 seconds",
                           watermark: str = "1 minute") -> DataFrame:
     """T3 on a stream: tumbling event-time windows closed by the watermark."""
-    et = F.timestamp_millis(F.col(ts_col))
+    # any int64 may arrive: clamp to the representable instants, so that a hostile value cannot stop the stream
+    et = F.timestamp_millis(F.greatest(F.lit(MIN_TS_MS), F.least(F.lit(MAX_TS_MS), F.col(ts_col))))
     c = F.col
     return routed_stream.withColumn("_et", et).withWatermark("_et", watermark) \
         .groupBy(F.window("_et", interval).alias("w")).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keelson.functions.mac import hmac_sha256
 from keelson.operators.quality import sign_events, verify_hmac
 
-KEY = "test_secret"
+KEY = "own-test-key"
 
 
 def _event_rows(spark, rows):
@@ -18,7 +18,7 @@ def _event_rows(spark, rows):
 def test_hmac_matches_python(spark):
     rnd = random.Random(7)
     msgs = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(0, 300))) for _ in range(200)]
-    for key in (b"k", b"test_secret", bytes(range(64)), bytes(range(100)) * 2):
+    for key in (b"k", b"own-test-key", bytes(range(64)), bytes(range(100)) * 2):
         df = spark.createDataFrame([(m,) for m in msgs], "m binary")
         got = [bytes(r.h) for r in df.select(hmac_sha256(F.col("m"), key).alias("h")).collect()]
         exp = [hmac.new(key, m, hashlib.sha256).digest() for m in msgs]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from keelson.operators.drift import drift_filter, rolling_median, rolling_median_native
 from keelson.operators.quality import quality_counters, quality_verdict, sign_events
 
-KEY = "test_secret"
+KEY = "keelson-demo-key"
 SCHEMA = "event_id string, user_id string, platform string, event_type string, ts bigint, payload binary, seq bigint"
 
 
