@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from keelson.session import scratch_path
 
@@ -141,14 +140,26 @@ def text_chunks(arr: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         i = j
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, with the session's Arrow batches limited to ``rows`` rows (fewer if it is set so): a batch of long texts is
+    held several times over, by the JVM and by the Python worker."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
 
 
-def slim(df: DataFrame, *cols: str) -> DataFrame:
-    """Just the named columns (extra columns of the input never travel)."""
-    return df.select(*cols)
+def release_memory() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks, and what one operator needed for a
+    moment would otherwise stay with the executor during the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # not glibc
+        pass
 
 
-def arrow_schema(ddl: str) -> tuple[str, T.StructType]:
-    return ddl, T._parse_datatype_string(ddl)
+def sha256_hex(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import (PrefixHash, byte_class, lowered_values, mix64, scratch_table, sha256_hex, string_array,
+from keelson.llm.common import (bounded_batches, PrefixHash, byte_class, lowered_values, mix64, scratch_table, sha256_hex, string_array,
                                 text_chunks, word_spans)
 
 WINDOW = 13
@@ -249,7 +249,7 @@ def _columns(n_words: list[int], n_hit: list[int], names: list[list[str]], longe
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match per document."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     passes = _passes(benchmark, item_col, item_text_col)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"]
     ddl = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {_OUT}"
@@ -318,4 +318,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                 keep += [not is_contaminated(h, w) for h, w in zip(_hits(first, hit).tolist(), np.diff(first).tolist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import CHUNK_BYTES, scratch_table, string_array, text_chunks
+from keelson.llm.common import bounded_batches, CHUNK_BYTES, scratch_table, string_array, text_chunks
 
 BUCKETS = 256
 _BITS = 8
@@ -110,7 +110,7 @@ def text_digests(texts: list[bytes]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint (binary) of every document. Map-only."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -145,7 +145,7 @@ _ARROW = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "st
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every document and its edited copy, with the likenesses to that copy and to the next document."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = src.schema["doc_id"].dataType
     parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")

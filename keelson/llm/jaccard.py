@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import (PrefixHash, byte_class, lowered_values, mix64, scratch_table, string_array, text_chunks,
-                                word_spans)
+from keelson.llm.common import (PrefixHash, bounded_batches, byte_class, lowered_values, mix64, release_memory, scratch_table,
+                                string_array, text_chunks, word_spans)
 from keelson.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 80
 SIEVE = 0.4
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PROBES = 4
 SMALL = 64
 BROADCAST_IDS = 1_000_000
@@ -126,6 +126,7 @@ def _pass_one(buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int32()), pa.array([block] * len(names), pa.int64()), pa.array(rows, pa.binary()),
                      pa.array(blobs, pa.binary())], schema=schema)
+        release_memory()
 
     return run
 
@@ -181,6 +182,7 @@ def _set_rows(batches):
             sets = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed))
             some = pa.array(n > 0)
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), sets], ["cid", "n", "shingles"]).filter(some)
+    release_memory()
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, blocks: int = 4) -> bool:
@@ -211,6 +213,7 @@ def _linked(batches):
         (va, oa), (vb, ob) = sets
         ok = [overlap_reaches(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]) for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+    release_memory()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -329,7 +332,7 @@ def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id of the component) per row."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 14, 8 * parts)
     dealt = src.mapInArrow(_pass_one(buckets), "bucket int, block long, rows binary, keys binary").repartition(parts, "bucket")

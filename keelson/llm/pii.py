@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import sha256_hex, string_array
+from keelson.llm.common import bounded_batches, sha256_hex, string_array
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "phone_local")
@@ -167,7 +167,7 @@ SPAN_DDL = "array<struct<start:int,end:int,kind:string,score:double>>"
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: the id and its spans. Map-only: nothing is shuffled."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()),
                                     ("score", pa.float64())]))
 
@@ -206,7 +206,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
             texts = [None if t is None else _mask(t, min_score) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _joined(spans: Column) -> Column:

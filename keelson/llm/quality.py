@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import training
-from keelson.llm.common import PrefixHash, byte_class, string_array, text_chunks, word_spans
+from keelson.llm.common import bounded_batches, PrefixHash, byte_class, string_array, text_chunks, word_spans
 
 NGRAM = 3
 WORD_BUCKETS = 1 << 16
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (probability of label 1) per document. The model has a fixed size and is broadcast."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

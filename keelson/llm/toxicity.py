@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import training
-from keelson.llm.common import PrefixHash, byte_class, lowered_values, string_array, text_chunks, word_spans
+from keelson.llm.common import (PrefixHash, bounded_batches, byte_class, lowered_values, release_memory, string_array,
+                                text_chunks, word_spans)
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -263,13 +264,14 @@ def _text_scores(arr: pa.Array, model: ToxicityModel) -> np.ndarray:
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (probability of label 1) per document. The model has a fixed size and is broadcast."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(_text_scores(string_array(b, "text"), held.value), 6), pa.float64())],
                                              ["doc_id", "score"])
+        release_memory()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -286,5 +288,6 @@ def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_c
             langs = b.column(at).to_pylist() if at >= 0 else [None] * len(p)
             cut = np.array([m.by_lang.get(str(x), m.threshold) for x in langs])
             yield b.filter(pa.array(p < cut, pa.bool_()))
+        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import bounded_batches
+
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 48 << 20
 
@@ -33,7 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.dropDuplicates(["doc_id"])
     keep = [c for c in ("lang",) if c in docs.columns]
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    text = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     if not keep:
         text = text.withColumn("lang", F.lit(None).cast("string"))
     # at most max_rows ids: a bounded broadcast

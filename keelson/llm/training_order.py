@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import mix64, scratch_table, string_array
+from keelson.llm.common import bounded_batches, mix64, scratch_table, string_array
 from keelson.session import scratch_path
 
 LENGTH = 512
@@ -118,7 +118,7 @@ def materialize(docs: DataFrame, key: int, path: str | None = None, length: int
     """Writes the shards under ``path`` (a new folder of the shared scratch space by default). Returns the slot of every
     sequence (doc_id, part, seq, slot, shard, byte_offset, n_tokens) and the layout."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     numbered, total = _numbered(src, length)
     layout = Layout(path or scratch_path(spark, "shards"), total, length, shard_rows)
     if total:
