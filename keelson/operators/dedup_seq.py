@@ -73,6 +73,7 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
     scanned = running_max(base.withColumn("_ft", first_t), "_ft", seq_col, "_g", inclusive=False, n_rows=n)
     rows = materialize(dense_index(scanned.drop("_ft"), seq_col, n_rows=n)
                        .withColumn("_blk", F.floor(c("_idx") / block_rows).cast("bigint")))
+    _require_times_in_order(rows, t_col)
     # candidates: rows >= ttl after the latest first-ever occurrence; the first row starts epoch 0
     cand = rows.where(c("_g").isNull() | (c(t_col) - c("_g") >= ttl_ms)).select(
         c("_idx").alias("_cidx"), c(seq_col).alias("_cseq"), c(t_col).alias("_ct"),
@@ -110,6 +111,17 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
     return epochs.withColumn(out_col, ok).drop("_prev", "_g", "_bmark", "_idx", "_blk")
 
 
+def _require_times_in_order(rows: DataFrame, t_col: str) -> None:
+    """Raise if an arrival time is below its predecessor's: inside blocks by a window, between blocks by their edges."""
+    c = F.col
+    inside = Window.partitionBy("_blk").orderBy("_idx")
+    blocks = rows.select("_blk", t_col, F.lag(t_col).over(inside).alias("_lt")).groupBy("_blk").agg(
+        F.max(c("_lt") > c(t_col)).alias("back"), F.min(t_col).alias("lo"), F.max(t_col).alias("hi"))
+    edges = blocks.withColumn("_before", F.lag("hi").over(Window.orderBy("_blk")))       # one row per block
+    if not edges.where(c("back") | (c("_before") > c("lo"))).isEmpty():
+        raise ValueError(f"arrival times in '{t_col}' must not decrease in seq order")
+
+
 _INF = np.iinfo(np.int64).max
 # the streamed candidate fold does about a million candidates a second in one task;
 # above this the boundaries come from the parallel chain instead

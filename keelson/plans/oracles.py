@@ -8,7 +8,7 @@ folds.  Column names match the Spark queries exactly.
 from __future__ import annotations
 
 from keelson.functions.fnv import duckdb_fnv_sql
-from keelson.sources.fixtures import (DUCK_BATCHES, DUCK_BIG_PAYLOADS, DUCK_OUTCOMES, DUCK_RING_KEYS,
+from keelson.sources.fixtures import (DUCK_BATCHES, DUCK_BIG_PAYLOADS, DUCK_IDLE, DUCK_OUTCOMES, DUCK_RING_KEYS,
                                       DUCK_SAMPLES, DUCK_VERSIONS, TEST_SECRET, duck_arrivals, duck_hmac)
 
 ARR = duck_arrivals(TEST_SECRET)
@@ -159,9 +159,30 @@ ORACLES: dict[str, str] = {
     "dedup_first": _w(ARR) + """
       SELECT event_id, seq, row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1 AS dedup_ok
       FROM arrivals""",
-    "dedup_last_n": _w(ARR) + """
-      SELECT event_id, seq, row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1 AS dedup_ok
-      FROM arrivals""",
+    "dedup_idle_ttl": _w(ARR, DUCK_IDLE, """
+    i_rows AS MATERIALIZED (
+      SELECT event_id, seq, t, lag(seq) OVER (PARTITION BY event_id ORDER BY seq) AS prev FROM idle_arrivals),
+    epochs(b) AS (
+      SELECT min(seq) FROM i_rows
+      UNION ALL
+      SELECT * FROM (
+        SELECT min(seq) AS b FROM (
+          SELECT r.seq, r.t, max(CASE WHEN r.prev IS NULL OR r.prev < e.b THEN r.t END)
+                   OVER (ORDER BY r.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_add
+          FROM epochs e JOIN i_rows r ON r.seq >= e.b)
+        WHERE t - last_add >= 3600000) WHERE b IS NOT NULL)""") + """
+      SELECT event_id, seq, t, prev IS NULL OR prev < b AS dedup_ok
+      FROM i_rows ASOF JOIN epochs ON seq >= b""",
+    "dedup_last_n": _w(ARR, """
+    f_rows AS MATERIALIZED (SELECT event_id, seq, row_number() OVER (ORDER BY seq) AS rn FROM arrivals),
+    fifo(rn, seq, event_id, dedup_ok, ids) AS (
+      SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), CAST([] AS VARCHAR[])
+      UNION ALL
+      SELECT r.rn, r.seq, r.event_id, NOT list_contains(f.ids, r.event_id),
+             CASE WHEN list_contains(f.ids, r.event_id) THEN f.ids
+                  WHEN len(f.ids) = 100 THEN list_append(f.ids[2:], r.event_id) ELSE list_append(f.ids, r.event_id) END
+      FROM fifo f JOIN f_rows r ON r.rn = f.rn + 1)""") + """
+      SELECT event_id, seq, dedup_ok FROM fifo WHERE rn > 0""",
     "rolling_median": _w(ARR, verdict_ctes()) + """
       SELECT seq, ts, CAST(median AS BIGINT) AS median, CAST(window_rows AS INTEGER) AS window_rows
       FROM v_drift WHERE dedup_ok""",
@@ -269,12 +290,14 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT seq, event_id, passed, stage, NULL, NULL, NULL FROM verdict WHERE NOT passed
       UNION ALL SELECT seq, NULL, false, 'decode', NULL, NULL, NULL FROM wire_src WHERE truncated""",
     "dedup_stream": _w(ARR) + """
-      SELECT event_id, user_id, event_type, platform, ts
-      FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS rn FROM arrivals) WHERE rn = 1""",
+      SELECT event_id, seq, row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1 AS dedup_ok
+      FROM arrivals""",
     "drift_stream": _w(ARR, verdict_ctes()) + """
       SELECT event_id, drift_ok FROM v_drift WHERE dedup_ok""",
-    "run_stream": _w(ARR, verdict_ctes()) + """
-      SELECT event_id, passed, stage, reason FROM verdict WHERE stage <> 'dedup'""",
+    "run_stream": _w(_WIRE, "decoded AS (SELECT * EXCLUDE (truncated) FROM wire_src WHERE NOT truncated)",
+                     verdict_ctes("decoded")) + """
+      SELECT seq, event_id, passed, stage, reason FROM verdict
+      UNION ALL SELECT seq, '', false, 'decode', '' FROM wire_src WHERE truncated""",
     "engine_counters": _w(_WIRE, "decoded AS (SELECT * EXCLUDE (truncated) FROM wire_src WHERE NOT truncated)",
                           verdict_ctes("decoded")) + """
       SELECT count(*) AS total, count(*) FILTER (WHERE NOT passed) AS rejected,

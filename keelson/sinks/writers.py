@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,28 +68,32 @@ def write_with_dead_letter(df: DataFrame, write: Callable[[DataFrame, int], None
                            pause_s: float = SINK_RETRY_PAUSE_S) -> dict:
     """K6: try ``write`` up to ``retries`` times, ``pause_s`` apart; then dead-letter every row.
 
-    Returns an accounting dict (K9): rows, attempts, dead_lettered.
+    Only storage errors are retried and dead-lettered; anything else (a schema error, say) is raised. Returns an
+    accounting dict (K9): rows, attempts, dead_lettered and the last error.
     """
     rows = project_cold(df).persist()
+    error = None
     try:
         n = rows.count()
         for attempt in range(1, retries + 1):
             try:
                 write(rows, attempt)
-                return {"batch_id": batch_id, "rows": n, "attempts": attempt, "dead_lettered": 0}
-            except Exception:
+                return {"batch_id": batch_id, "rows": n, "attempts": attempt, "dead_lettered": 0, "error": error}
+            except (OSError, Py4JJavaError) as e:
+                error = str(e)[:500]
                 if attempt < retries:
                     time.sleep(pause_s)
         dl = to_dead_letter_json(rows)
         dl.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite") \
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").text(dead_letter_path)
-        return {"batch_id": batch_id, "rows": n, "attempts": retries, "dead_lettered": n}
+        return {"batch_id": batch_id, "rows": n, "attempts": retries, "dead_lettered": n, "error": error}
     finally:
         rows.unpersist()
 
 
 def read_dead_letters(spark: SparkSession, dead_letter_path: str) -> DataFrame:
-    return spark.read.schema(COLD_ROW).json(dead_letter_path).select(*COLD_FIELDS)
+    """Dead letters as cold rows; a corrupt line raises instead of becoming a row of NULLs."""
+    return spark.read.schema(COLD_ROW).option("mode", "FAILFAST").json(dead_letter_path).select(*COLD_FIELDS)
 
 
 def replay_dead_letter(spark: SparkSession, dead_letter_path: str, cold: DataFrame) -> DataFrame:

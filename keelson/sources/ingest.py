@@ -20,7 +20,8 @@ from keelson.schema import (ACK_OK, BATCH_ACK_PREFIX, BATCH_TOO_LARGE, COMPATIBL
 
 def read_event_topic(spark: SparkSession, brokers: str, topic: str, group_id: str,
                      fmt: str = "kafka", path: str | None = None, schema=None) -> DataFrame:
-    """Stream of raw event bytes in column ``value``, starting at the earliest offset.
+    """Stream of raw event bytes in column ``value``, starting at the earliest offset, with the topic's partition,
+    offset and arrival timestamp, from which order-dependent operators make their ``seq`` and arrival time.
 
     Offsets are tracked by the query checkpoint (the reference auto-commits).
     ``fmt`` other than "kafka" reads a file stream (for tests, where the Kafka
@@ -33,11 +34,12 @@ def read_event_topic(spark: SparkSession, brokers: str, topic: str, group_id: st
                 .option("kafka.group.id", group_id)
                 .option("startingOffsets", "earliest")
                 .load()
-                .select(F.col("value")))
+                .select("value", "partition", "offset", "timestamp"))
     reader = spark.readStream.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path).select("value")
+    rows = reader.load(path)
+    return rows.select("value", *[c for c in ("partition", "offset", "timestamp", "seq") if c in rows.columns])
 
 
 def read_event_files(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -1,8 +1,7 @@
 """Streaming forms of the quality stages and the pipeline.
 
-* ``dedup_stream`` (Q4): first arrival per id within an event-time watermark.
-  Differs from the batch forms by design: state per id expires by event time
-  (bounded state), not the whole set by idle arrival time.
+* ``dedup_stream`` (Q4): flags the first arrival per id; state per id expires by
+  arrival time (bounded state), event timestamps are not trusted.
 * ``drift_stream`` (Q7): the rolling-median drift filter as a stateful
   processor keyed by shard; the value state is the last ``window - 1`` ts.  One
   shard = one global window, as in a single reference process.  Rows of each
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators.drift import _rolling_upper_median, near_median
-from keelson.schema import DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, FLUSH_INTERVAL
+from keelson.schema import DEDUP_TTL_MS, DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, FLUSH_INTERVAL
 
 
 MIN_TS_MS, MAX_TS_MS = -62_135_596_800_000, 253_402_300_799_000       # years 1 to 9999
@@ -35,12 +34,61 @@ def enable_state_store(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def dedup_stream(stream: DataFrame, id_col: str = "event_id", ts_col: str = "ts",
-                 watermark: str = "1 hour") -> DataFrame:
-    """Q4: drop later copies of an id seen within the watermark (ts in epoch ms)."""
-    et = "_event_time"
-    return stream.withColumn(et, F.timestamp_millis(F.col(ts_col))) \
-        .withWatermark(et, watermark).dropDuplicatesWithinWatermark([id_col]).drop(et)
+def _first_arrival(columns: list[str], seq_col: str | None, ttl_ms: int):
+    """One id: its first row passes, later ones don't; the id is forgotten ``ttl_ms`` of arrival time after it. The state
+    travels with the rows in Arrow batches."""
+    def flag(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        unreadable = str(key[0]).startswith(_UNREADABLE)
+        until = state.get[0] if state.exists else None
+        if until is not None and until <= now:
+            until = None
+        first = None                            # the earliest row so far; only it is held back
+        for part in parts:
+            part = part.assign(dedup_ok=False)
+            if until is None and not unreadable and len(part):
+                pool = part if first is None else pd.concat([first, part], ignore_index=True)
+                at = 0 if seq_col is None else int(pool[seq_col].to_numpy().argmin())
+                first = pool.iloc[[at]]
+                part = pool.drop(pool.index[at])
+            if len(part):
+                yield part[columns]
+        if first is not None:
+            until = now + ttl_ms
+            yield first.assign(dedup_ok=True)[columns]
+        if until is not None:
+            state.update((until,))
+            state.setTimeoutTimestamp(until)
+
+    return flag
+
+
+_UNREADABLE = "\x00unreadable-"
+
+
+def dedup_stream(stream: DataFrame, id_col: str = "event_id", seq_col: str | None = "seq",
+                 ttl_ms: int = DEDUP_TTL_MS) -> DataFrame:
+    """Q4: every row with ``dedup_ok``: true for the first arrival of its id, false for later ones.
+
+    State is kept by id and expires by arrival (processing) time, ``ttl_ms`` after the id was accepted; event timestamps are
+    untrusted and play no part, so no row is late and none is dropped. Rows with ``decode_ok`` false pass through as
+    not accepted and leave no state. Inside a micro-batch the smallest ``seq_col`` is first.
+    """
+    enable_state_store(stream.sparkSession)
+    key = F.coalesce(F.col(id_col), F.lit(""))
+    if "decode_ok" in stream.columns:
+        spread = F.pmod(F.xxhash64(*[F.col(c) for c in stream.columns if c != "decode_ok"]), F.lit(1024)).cast("string")
+        key = F.when(F.coalesce(F.col("decode_ok"), F.lit(False)), key).otherwise(F.concat(F.lit(_UNREADABLE), spread))
+    schema = T.StructType([*stream.schema.fields, T.StructField("dedup_ok", T.BooleanType())])
+    flag = _first_arrival([f.name for f in schema.fields], seq_col if seq_col in stream.columns else None, ttl_ms)
+    # the watermark follows arrival time and lags it by the whole ttl, so no row can be late
+    arrived = stream.withColumns({"_key": key, "_arrived": F.current_timestamp()}) \
+        .withWatermark("_arrived", f"{ttl_ms} milliseconds")
+    return arrived.groupBy("_key").applyInPandasWithState(
+        flag, outputStructType=schema, stateStructType="until long", outputMode="append", timeoutConf="EventTimeTimeout")
 
 
 def _drift_processor(window: int, warmup: int, tolerance_ms: int, ts_col: str, seq_col: str, key_col: str):
@@ -88,33 +136,25 @@ def drift_stream(stream: DataFrame, shard_col: str | None = None, ts_col: str =
     return out if shard_col else out.drop("_shard")
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-    except Exception:          # no JVM access (Spark Connect): let the read decide
-        return True
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _read_latest(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """Per-batch state written by the latest batch before ``batch_id`` (None if none)."""
-    from pyspark.errors import AnalysisException
-    if not _path_exists(spark, root):
-        return None
-    try:
-        tables = spark.read.parquet(root)
-    except AnalysisException:
-        return None
-    prev = tables.where(F.col("batch_id") < batch_id).agg(F.max("batch_id").alias("b")).first()["b"]
-    if prev is None:
-        return None
-    return tables.where(F.col("batch_id") == prev).drop("batch_id")
+    """State written by the batch just before ``batch_id`` (None if there is none): one folder, opened by its path."""
+    path = f"{root}/batch_id={batch_id - 1}"
+    p, fs = _hadoop_path(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else None
 
 
 def _write_state(df: DataFrame, root: str, batch_id: int) -> None:
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
+    """State of a batch in a folder of its own. Folders older than the previous batch can't be asked for again and go."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+    p, fs = _hadoop_path(spark, f"{root}/batch_id={batch_id - 2}")
+    if fs.exists(p):
+        fs.delete(p, True)
 
 
 def drift_micro_batch(batch: DataFrame, batch_id: int, tail_root: str, ts_col: str = "ts",
@@ -134,6 +174,8 @@ def drift_micro_batch(batch: DataFrame, batch_id: int, tail_root: str, ts_col: s
     spark = batch.sparkSession
     tail = _read_latest(spark, tail_root, batch_id)
     own = batch.withColumn("_halo", F.lit(False))
+    if tail is not None:
+        tail = tail.select(seq_col, ts_col)
     both = own if tail is None else own.unionByName(tail.withColumn("_halo", F.lit(True)),
                                                     allowMissingColumns=True)
     flagged = materialize(drift_filter(both, ts_col, seq_col, window, warmup, tolerance_ms))
@@ -148,61 +190,67 @@ def micro_batches(writer, interval: str = FLUSH_INTERVAL, available_now: bool =
 
 
 def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint: str,
-               tenants=None, available_now: bool = False, watermark: str = "1 hour",
-               drift: str = "blocks", hot_write_ok=None):
-    """Start the streaming pipeline; returns the StreamingQuery.
-
-    Output folders under ``out_root``: ``verdict`` (every row with its verdict),
-    ``hot`` and ``cold`` (sinks), each partitioned by micro-batch id.
-    ``drift="blocks"`` evaluates the global window inside each micro-batch in
-    parallel (tail state under ``out_root/_drift_tail``); ``drift="state"`` uses
-    the keyed stateful processor (one task per shard).  With ``hot_write_ok``
-    (the hot store's outcome per hot row) hot writes go through the breaker,
-    whose state is carried from batch to batch under ``out_root/_breaker``;
-    failed or denied hot rows fall back to cold.
+               tenants=None, available_now: bool = False, hot_write_ok=None, wire_col: str | None = None,
+               ttl_ms: int = DEDUP_TTL_MS):
+    """Start the streaming pipeline over events (or over wire bytes in ``wire_col``); returns the StreamingQuery.
+
+    Output folders under ``out_root``: ``verdict`` (every input row with its verdict, duplicates and unreadable messages
+    included), ``routes``, ``hot`` and ``cold`` (sinks) and ``dead_letter`` (cold rows whose write failed), each partitioned
+    by micro-batch id, and ``accounting`` (rows, attempts and dead letters of each cold write).
+    The drift window is evaluated inside each micro-batch in parallel (tail state under ``out_root/_drift_tail``).
+    With ``hot_write_ok`` (the hot store's outcome per hot row) hot writes go through the breaker, whose state is
+    carried from batch to batch under ``out_root/_breaker``; failed or denied hot rows fall back to cold.
     """
-    from keelson.operators.quality import verdict_columns, verify_hmac
+    from keelson.operators.quality import verdict_columns, verify_hmac, with_defaults
     from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
     from keelson.operators.route import classify_path, hot_with_fallback
-    from keelson.plans.pipeline import hot_delivery
+    from keelson.plans.joins import materialize
+    from keelson.plans.pipeline import STAGE_DECODE, hot_delivery
     from keelson.schema import DEFAULT_TENANTS
-    from keelson.sinks.writers import _write_partition, project_cold, project_hot
+    from keelson.sinks.writers import _write_partition, write_cold, write_hot, write_with_dead_letter
+    from keelson.sources.codec import decode_events
 
     spark = stream.sparkSession
     ring = build_ring(members(spark, tenants or DEFAULT_TENANTS))
     prepared = prepare_ring(ring)
-    flagged = verify_hmac(stream, secret).drop("payload")
-    deduped = dedup_stream(flagged, watermark=watermark)
-    if drift == "state":
-        drifted = drift_stream(deduped).withColumn("dedup_ok", F.lit(True))
-    else:
-        drifted = deduped.withColumn("dedup_ok", F.lit(True))
+    if wire_col is not None:
+        stream = decode_events(stream, wire_col, keep=tuple(c for c in stream.columns if c != wire_col))
+    flagged = verify_hmac(with_defaults(stream), secret).drop("payload")
+    deduped = dedup_stream(flagged, ttl_ms=ttl_ms)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if drift != "state":
-            batch = drift_micro_batch(batch, batch_id, f"{out_root}/_drift_tail")
-        v = verdict_columns(batch).persist()
-        try:
-            _write_partition(v.select("event_id", "seq", "passed", "stage", "reason"), f"{out_root}/verdict",
-                             batch_id)
-            routed = classify_path(assign_tenant(v.where("passed"), ring, prepared=prepared))
-            if hot_write_ok is not None:
-                state_root = f"{out_root}/_breaker"
-                prior = _read_latest(routed.sparkSession, state_root, batch_id)
-                routed, state = hot_delivery(routed, hot_write_ok, initial=prior, return_state=True)
-                _write_state(state, state_root, batch_id)
-                routed = hot_with_fallback(routed, "delivered")
-            else:
-                routed = hot_with_fallback(routed, None)
-            path = F.col("effective_path")
-            _write_partition(routed.select("seq", "effective_path"), f"{out_root}/routes", batch_id)
-            _write_partition(project_hot(routed.where(path == "hot")), f"{out_root}/hot", batch_id)
-            _write_partition(project_cold(routed.where(path == "cold")).sortWithinPartitions("ts", "event_type"),
-                             f"{out_root}/cold", batch_id)
-        finally:
-            v.unpersist()
-
-    writer = drifted.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
+        batch = materialize(batch, "stream-batch")          # the stateful plan runs once
+        fresh = batch.where("dedup_ok")
+        again = batch.where("NOT dedup_ok").withColumns({
+            "median": F.lit(None).cast("bigint"), "window_rows": F.lit(None).cast("int"), "drift_ok": F.lit(None).cast("boolean")})
+        drifted = drift_micro_batch(fresh, batch_id, f"{out_root}/_drift_tail")
+        v = verdict_columns(drifted.unionByName(again))
+        if "decode_ok" in v.columns:
+            lost = ~F.col("decode_ok")
+            v = v.withColumns({"stage": F.when(lost, STAGE_DECODE).otherwise(F.col("stage")),
+                               "reason": F.when(lost, "").otherwise(F.col("reason"))})
+        v = materialize(v, "stream-verdict")
+        _write_partition(v.select("event_id", "seq", "passed", "stage", "reason"), f"{out_root}/verdict", batch_id)
+        routed = classify_path(assign_tenant(v.where("passed"), ring, prepared=prepared))
+        if hot_write_ok is not None:
+            state_root = f"{out_root}/_breaker"
+            prior = _read_latest(spark, state_root, batch_id)
+            routed, state = hot_delivery(routed, hot_write_ok, initial=prior, return_state=True)
+            _write_state(state, state_root, batch_id)
+            routed = hot_with_fallback(routed, "delivered")
+        else:
+            routed = hot_with_fallback(routed, None)
+        routed = materialize(routed, "stream-routed")       # three writers follow
+        path = F.col("effective_path")
+        _write_partition(routed.select("seq", "tenant", "effective_path"), f"{out_root}/routes", batch_id)
+        write_hot(routed.where(path == "hot"), f"{out_root}/hot", batch_id)
+        done = write_with_dead_letter(routed.where(path == "cold"), lambda rows, _: write_cold(rows, f"{out_root}/cold", batch_id),
+                                      f"{out_root}/dead_letter", batch_id)
+        _write_partition(spark.createDataFrame([(done["rows"], done["attempts"], done["dead_lettered"], done["error"])],
+                                               "rows long, attempts int, dead_lettered long, error string"),
+                         f"{out_root}/accounting", batch_id)
+
+    writer = deduped.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
     return micro_batches(writer, available_now=available_now).start()
 
 
@@ -224,14 +272,16 @@ def interval_stats_stream(routed_stream: DataFrame, ts_col: str = "ts", interval
 class ProgressStats:
     """T3 for running streams: a listener that keeps each micro-batch's progress.
 
-    ``rows`` holds (batch_id, input rows, processed rows per second); ``totals``
+    ``rows`` holds the last (batch_id, input rows, processed rows per second); ``totals``
     gives cumulative counts, the streaming counterpart of the periodic stats line.
     """
 
     def __init__(self, spark: SparkSession):
         from pyspark.sql.streaming import StreamingQueryListener
 
-        rows = self.rows = []
+        from collections import deque
+        rows = self.rows = deque(maxlen=1000)       # the latest progress; totals are kept apart
+        sums = self.sums = {"batches": 0, "input_rows": 0}
 
         class _Listener(StreamingQueryListener):
             def onQueryStarted(self, event):
@@ -240,6 +290,8 @@ class ProgressStats:
             def onQueryProgress(self, event):
                 p = event.progress
                 rows.append((p.batchId, p.numInputRows, p.processedRowsPerSecond))
+                sums["batches"] += 1
+                sums["input_rows"] += p.numInputRows
 
             def onQueryIdle(self, event):
                 pass
@@ -252,7 +304,7 @@ class ProgressStats:
         spark.streams.addListener(self._listener)
 
     def totals(self) -> dict:
-        return {"batches": len(self.rows), "input_rows": sum(r[1] for r in self.rows)}
+        return dict(self.sums)
 
     def close(self) -> None:
         self._spark.streams.removeListener(self._listener)
