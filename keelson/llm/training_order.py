@@ -33,6 +33,9 @@ SHARD_ROWS = 1 << 16
 ROUNDS = 6
 END, PAD = 0xFE, 0xFF
 BROADCAST_ROWS = 1_000_000
+PACK_BYTES = 16 << 20               # text that is packed together by one task
+PACK_ROWS = 4096
+_ZSTD = pa.Codec("zstd", compression_level=3)
 _U = np.uint64
 
 
@@ -152,36 +155,71 @@ def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int) -> Non
 
     def cut(batches):
         for b in batches:
-            slot, payload = [], []
+            seq, payload = [], []
             held = 0
             for t, firsts in zip(string_array(b, "text"), b.column(1)):
                 raw = t.as_py().encode() + bytes([END])
                 pieces = [raw[i:i + length] for i in range(0, len(raw), length)]
                 pieces[-1] = pieces[-1].ljust(length, bytes([PAD]))
                 for f in firsts.as_py():
-                    slot.append(permute(np.arange(f, f + len(pieces)), total, key))
+                    seq.append((f, len(pieces)))
                     payload += pieces
                     held += len(raw)
-                if held > 4 << 20:
-                    yield _rows(slot, payload, shard_rows)
-                    slot, payload, held = [], [], 0
-            if slot:
-                yield _rows(slot, payload, shard_rows)
+                if held > PACK_BYTES:
+                    yield _packed(seq, payload, total, key, shard_rows)
+                    seq, payload, held = [], [], 0
+            if seq:
+                yield _packed(seq, payload, total, key, shard_rows)
 
     # rows that repeat (same id and text) carry the same list of numbers; each number is written once
     repeated = not numbered.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
     if repeated:
         dealt = dealt.dropDuplicates(["firsts"])
-    rows = dealt.mapInArrow(cut, "slot long, shard long, payload binary")
-    parts = max(1, min(-(-total // shard_rows), int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = rows.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(layout.path)
-
-
-def _rows(slot: list[np.ndarray], payload: list[bytes], shard_rows: int) -> pa.RecordBatch:
-    s = np.concatenate(slot)
-    return pa.RecordBatch.from_arrays([pa.array(s), pa.array(s // shard_rows), pa.array(payload, pa.binary())],
-                                      ["slot", "shard", "payload"])
+    spark = src.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(int(before), PACK_ROWS)))
+    try:
+        packs = dealt.mapInArrow(cut, "shard long, slots binary, payload binary")
+        shards = -(-total // shard_rows)
+        parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        # ranges of shards of equal length: known beforehand, so nothing is sampled
+        rows = packs.repartitionById(parts, F.expr(f"cast(div(shard * {parts}, {shards}) as int)")).mapInArrow(_unpacked(length), "shard long, slot long, payload binary")
+        ordered = rows.sortWithinPartitions("shard", "slot")
+        ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(layout.path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _packed(seq: list[tuple[int, int]], payload: list[bytes], total: int, key: int, shard_rows: int) -> pa.RecordBatch:
+    """Sequences of one task packed by shard, compressed together: what moves is far smaller than the sequences."""
+    first, n = np.array(seq, np.int64).T
+    s = permute(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), total, key)
+    order = np.argsort(s, kind="stable")
+    shard = s[order] // shard_rows
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    ends = np.append(cut[1:], len(s))
+    # within a shard the text order compresses better than the slot order
+    groups = [np.sort(order[a:b]) for a, b in zip(cut, ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard[cut]), pa.array([s[g].tobytes() for g in groups], pa.binary()),
+         pa.array([_ZSTD.compress(b"".join([payload[i] for i in g.tolist()]), asbytes=True) for g in groups], pa.binary())],
+        ["shard", "slots", "payload"])
+
+
+def _unpack(payload: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(payload, size, asbytes=True)
+
+
+def _unpacked(length: int):
+    def run(batches):
+        for b in batches:
+            for shard, slots, payload in zip(*(c.to_pylist() for c in b.columns)):
+                slot = np.frombuffer(slots, np.int64)
+                raw = _unpack(payload, len(slot) * length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(slot), shard)), pa.array(slot),
+                     pa.array([raw[i:i + length] for i in range(0, len(raw), length)], pa.binary())], ["shard", "slot", "payload"])
+    return run
 
 
 def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int | None = None) -> Iterator[bytes]:
