@@ -36,6 +36,15 @@ def as_key(secret: str | bytes) -> bytes:
     return secret.encode("utf-8") if isinstance(secret, str) else bytes(secret)
 
 
+def secret_from_env(name: str = "KEELSON_HMAC_KEY") -> str:
+    """The signing key from the environment of the driver; raises if it is not set."""
+    import os
+    key = os.environ.get(name)
+    if not key:
+        raise ValueError(f"set {name} to the signing key")
+    return key
+
+
 def hmac_sha256(message: Column, secret: str | bytes) -> Column:
     """32 raw bytes of HMAC-SHA256 over a BINARY column."""
     ipad, opad = _pads(as_key(secret))

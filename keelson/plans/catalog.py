@@ -353,3 +353,53 @@ def q_engine_counters(spark, sf):
     """Q14 at engine level: quality counters plus decode failures (wire input with truncated rows)."""
     routed = _routed(spark, sf, wire=True)
     return quality_counters(routed.where(F.col("stage") != "decode"), routed.where(F.col("stage") == "decode"))
+
+
+# ---------------------------------------------------------------- sources and sinks by file
+@query("event_files")
+def q_event_files(spark, sf):
+    """Events written and read back with the fixed schema, as a table."""
+    from keelson.sources.ingest import read_event_files
+    path = scratch_path(spark, "event-files")
+    _arr(spark, sf).drop("seq").write.parquet(path)
+    return read_event_files(spark, path).select("event_id", "user_id", "platform", "event_type", "ts", F.hex("payload").alias("payload_hex"))
+
+
+@query("event_topic")
+def q_event_topic(spark, sf):
+    """I1 in its file form: a stream of wire bytes, decoded."""
+    from keelson.sources.ingest import read_event_topic
+    src, out, ck = (scratch_path(spark, n) for n in ("i1-src", "i1-out", "i1-ck"))
+    wire = materialize(_wire(spark, sf).withColumnRenamed("wire", "value"))
+    wire.write.parquet(src)
+    stream = read_event_topic(spark, "", "", "", fmt="parquet", path=src, schema=wire.schema)
+    decoded = decode_events(stream, "value", keep=("seq",)).select("seq", "decode_ok", "event_id", "ts")
+    _drain(decoded.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+           .trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@query("split_paths")
+def q_split_paths(spark, sf):
+    """R2: the two branches of the router."""
+    from keelson.operators.route import split_paths
+    hot, cold = split_paths(classify_path(_arr(spark, sf)), "path")
+    return hot.select("seq", F.lit("hot").alias("branch")).unionByName(cold.select("seq", F.lit("cold").alias("branch")))
+
+
+@query("write_hot")
+def q_write_hot(spark, sf):
+    """K2: the hot log read back, entry ids included."""
+    from keelson.sinks.writers import write_hot
+    path = scratch_path(spark, "hot-log")
+    write_hot(_arr(spark, sf), path, 7)
+    return spark.read.parquet(path).select("log_id", "event_id", "user_id", "event_type", "platform", "ts")
+
+
+@query("flush_accounting")
+def q_flush_accounting(spark, sf):
+    """K9: rows counted by the write itself."""
+    from keelson.sinks.writers import flush_accounting
+    rows, seen = flush_accounting(_arr(spark, sf).select("seq", "event_type"), scratch_path(spark, "flush").rsplit("/", 1)[1])
+    rows.write.parquet(scratch_path(spark, "flushed"))
+    return spark.createDataFrame([(int(seen.get["rows"]),)], "rows_written long")

@@ -308,4 +308,17 @@ ORACLES: dict[str, str] = {
              (SELECT count(*) FROM wire_src WHERE truncated) AS decode_rejected,
              count(*) FILTER (WHERE NOT passed) + (SELECT count(*) FROM wire_src WHERE truncated) AS engine_rejected
       FROM verdict""",
+    "event_files": _w(ARR) + """
+      SELECT event_id, user_id, platform, event_type, ts, hex(payload) AS payload_hex FROM arrivals""",
+    "event_topic": _w(_WIRE) + """
+      SELECT seq, NOT truncated AS decode_ok, CASE WHEN NOT truncated THEN event_id END AS event_id,
+             CASE WHEN NOT truncated THEN ts END AS ts
+      FROM wire_src""",
+    "split_paths": _w(ARR) + """
+      SELECT seq, CASE WHEN event_type IN ('click', 'view', 'purchase', 'add_to_cart') THEN 'hot' ELSE 'cold' END AS branch
+      FROM arrivals""",
+    "write_hot": _w(ARR) + """
+      SELECT '7-' || seq AS log_id, event_id, user_id, event_type, platform, CAST(ts AS VARCHAR) AS ts FROM arrivals""",
+    "flush_accounting": _w(ARR) + """
+      SELECT count(*) AS rows_written FROM arrivals""",
 }

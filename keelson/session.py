@@ -77,6 +77,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers when they cannot see its folder: a zip of the sources is added
+    to the session once. A platform that installs the package everywhere needs none of this."""
+    import io
+    import zipfile
+    sc = spark.sparkContext
+    folder = os.path.dirname(os.path.abspath(__file__))
+    if any("keelson" in str(f) for f in sc.listFiles) or folder.startswith(tuple(
+            p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)):
+        return
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, dirs, names in os.walk(folder):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("keelson", os.path.relpath(full, folder)))
+    target = os.path.join(tempfile.mkdtemp(prefix="keelson-zip-"), "keelson.zip")     # on the driver; Spark sends it on
+    with open(target, "wb") as f:
+        f.write(raw.getvalue())
+    sc.addPyFile(target)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
