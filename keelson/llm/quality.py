@@ -91,7 +91,7 @@ class QualityModel:
 
 
 def train(rows: list, share: float, epochs: int = EPOCHS, seed: int = 5) -> QualityModel:
-    """Gradient descent over the sample; the bias is moved so that scores fit the class share of all labels."""
+    """Gradient descent over the sample; the bias is moved so that scores fit the class share of the labels outside the held-out fold."""
     rng = np.random.default_rng(seed)
     size = BUCKETS
     if not rows or len({r["label"] for r in rows}) < 2:
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[
         max_rows: int = training.SAMPLE_ROWS) -> QualityModel:
     rows = training.labelled_sample(docs, labels, label, fold, _sample_rows,
                                     "label int, lang string, pick long, ids binary, weights binary", max_rows=max_rows)
-    return train(rows, training.class_shares(labels, label))
+    return train(rows, training.class_shares(labels, label, fold))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

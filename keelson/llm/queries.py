@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, fingerprint, jaccard, pii, quality, suffix_dedup, toxicity, training_order, urls
+from keelson.llm import bpe, decontam, fingerprint, jaccard, oracles, pii, quality, suffix_dedup, toxicity, training_order, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -56,7 +56,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,9 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {"op4_urls": urls.oracle_sql(URL_RULES)}
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op4_urls": urls.oracle_sql(URL_RULES),
+    "op7_decontamination": oracles.DECONTAMINATION,
+    "op10_jaccard": oracles.JACCARD,
+}

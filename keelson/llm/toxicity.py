@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[in
         max_rows: int = training.SAMPLE_ROWS) -> ToxicityModel:
     rows = training.labelled_sample(docs, labels, label, fold, _sample_rows,
                                     "label int, lang string, pick long, ids binary", max_rows=max_rows)
-    return train(rows, training.class_shares(labels, label))
+    return train(rows, training.class_shares(labels, label, fold))
 
 
 def _text_scores(arr: pa.Array, model: ToxicityModel) -> np.ndarray:

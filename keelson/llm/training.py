@@ -50,7 +50,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     return out
 
 
-def class_shares(labels: DataFrame, label: str) -> float:
-    """Share of label 1 among all labelled rows (0.5 without labels), smoothed away from 0 and 1."""
-    n, ones = labels.select(F.count(label), F.sum(F.col(label).cast("int"))).first()
+def class_shares(labels: DataFrame, label: str, fold: tuple[int, int], id_col: str = "doc_id") -> float:
+    """Share of label 1 among the labelled rows outside the held-out fold (0.5 without any), smoothed away from 0 and 1."""
+    n, ones = labels.where(~held_out(F.col(id_col), *fold)).select(F.count(label), F.sum(F.col(label).cast("int"))).first()
     return ((ones or 0) + 1) / ((n or 0) + 2)

@@ -111,6 +111,19 @@ def test_pipeline_equals_stage_models(spark, tmp_path):
     assert len(after) == len(before)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = got.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
+
+
 def test_queries_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
