@@ -29,11 +29,11 @@ _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the session's checkpoint folder and return it as read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -150,6 +150,11 @@ def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
+def id_type(vocab_size: int) -> np.dtype:
+    """How token ids are packed: two bytes each where the vocabulary and two marks beyond it fit, else four."""
+    return np.dtype("<u2" if vocab_size + 2 <= 1 << 16 else "<i4")
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system. Python workers outlive their tasks, and what one operator needed for a
     moment would otherwise stay with the executor during the next one."""

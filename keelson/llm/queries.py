@@ -32,7 +32,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, _ = training_order.materialize(_table(spark, sf_dir, "documents"), key=ORDER_KEY)
+    tokenizer = tokenizer_path()
+    ids = bpe.packed_ids(_table(spark, sf_dir, "documents"), tokenizer)
+    slots, _ = training_order.materialize(ids, key=ORDER_KEY, tokens_col="ids", vocab_size=bpe.vocab_size(tokenizer))
     return slots
 
 

@@ -1,17 +1,20 @@
 """Training-order materialisation: every token sequence gets a global slot, and shards hold the slots in order.
 
-Documents become byte-level token ids (the UTF-8 bytes, then ``END``), cut into sequences of ``length`` tokens, the last
-one padded with ``PAD``; neither value occurs in UTF-8. Sequences are numbered in (doc_id, part) order, and a keyed
+Documents are token ids, then an end mark, cut into sequences of ``length`` tokens, the last one padded. The ids are those
+of a token column (``tokens_col``: an array, or binary packed as ``id_type``) of a vocabulary of ``vocab_size`` ids, packed in two or
+four bytes each; the end mark is the id ``vocab_size``, the padding the next one. Without a token column they are the UTF-8 bytes of the
+text, ended by ``END`` and padded with ``PAD``; neither value occurs in UTF-8. Sequences are numbered in (doc_id, part) order, and a keyed
 Feistel permutation of 0..n-1 sends each number to its slot: rounds of a keyed mixer over two halves of a domain of 4^k
 numbers, repeated on results outside 0..n-1 (cycle-walking). The order is a pseudo-random function of the key alone, needs
 no sort of random numbers and no state, and can be inverted.
 
-Slots are range-partitioned and written ``shard_rows`` to a shard, one file each, as records of ``length`` bytes and a
-line end: fixed stride, so slot s is at byte (s mod shard_rows) * stride of shard s div shard_rows, and a reader can
+Slots are range-partitioned and written ``shard_rows`` to a shard, one file each, as records of ``length`` ids and a
+line end as wide as an id: fixed stride, so slot s is at byte (s mod shard_rows) * stride of shard s div shard_rows, and a reader can
 stop anywhere and resume. Spark's own committer writes the files, so a lost or repeated task leaves no partial shard.
 
-Defined cases: a null or empty text is one sequence holding just ``END``; repeated rows get slots of their own (rows of one id
-are ordered by text hash); an empty table makes no shards; extra columns are ignored. Texts are kept whole.
+Defined cases: a null or empty text (or null or empty ids) is one sequence holding just ``END``; repeated rows get slots of their own (rows of one id
+are ordered by a hash of their tokens); an empty table makes no shards; extra columns are ignored; an id outside the vocabulary
+fails the run. Texts are kept whole.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from keelson.llm.common import bounded_batches, mix64, scratch_table, string_array
+from keelson.llm.common import bounded_batches, id_type, mix64, scratch_table
 from keelson.session import scratch_path
 
 LENGTH = 512
@@ -80,21 +84,51 @@ class Layout:
     sequences: int
     length: int
     shard_rows: int
+    vocab_size: int | None = None       # None: bytes
+
+    @property
+    def type(self) -> np.dtype:
+        return np.dtype(np.uint8) if self.vocab_size is None else id_type(self.vocab_size)
+
+    @property
+    def end(self) -> int:
+        return END if self.vocab_size is None else self.vocab_size
+
+    @property
+    def pad(self) -> int:
+        return PAD if self.vocab_size is None else self.vocab_size + 1
 
     @property
     def stride(self) -> int:
-        return self.length + 1
+        return (self.length + 1) * self.type.itemsize
+
+
+def _packed_column(docs: DataFrame, type_: np.dtype) -> DataFrame:
+    """doc_id and payload: the arrays of ids in the second column, packed."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for x in b.column(1):
+                if x.values is not None and x.values.null_count:
+                    raise ValueError("a token array holds a null")
+                ids = np.empty(0, np.int64) if x.values is None else x.values.to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(type_).max):
+                    raise ValueError("a token id is outside the vocabulary")
+                rows.append(ids.astype(type_).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "payload"])
+
+    return docs.mapInArrow(run, "doc_id long, payload binary")
 
 
 def _numbered(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
-    """doc_id, mark, n_bytes, parts and first number of every document, and the total: sums within ranges of ids, then
+    """doc_id, mark, n_ids, parts and first number of every document, and the total: sums within ranges of ids, then
     over the ranges (one row per partition)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("n_bytes"))
-    counts = counts.withColumn("parts", F.expr(f"div(n_bytes + {length}, {length})"))      # with END, rounded up
+    counts = docs.select("doc_id", "mark", "n_ids")
+    counts = counts.withColumn("parts", F.expr(f"div(n_ids + {length}, {length})"))      # with the end mark, rounded up
     dealt = counts.repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
-    names = ["doc_id", "mark", "n_bytes", "parts"]
+    names = ["doc_id", "mark", "n_ids", "parts"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -106,7 +140,7 @@ def _numbered(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
                                              [*names, "at", "range"])
             total = int(end[-1]) if len(end) else total
 
-    rows = scratch_table(dealt.mapInArrow(run, "doc_id long, mark long, n_bytes long, parts long, at long, range int"), "order-counts")
+    rows = scratch_table(dealt.mapInArrow(run, "doc_id long, mark long, n_ids long, parts long, at long, range int"), "order-counts")
     sums = rows.groupBy("range").agg(F.sum("parts").alias("size"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
@@ -117,13 +151,24 @@ def _numbered(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
 
 
 def materialize(docs: DataFrame, key: int, path: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS,
-                id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Layout]:
+                id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None,
+                vocab_size: int | None = None) -> tuple[DataFrame, Layout]:
     """Writes the shards under ``path`` (a new folder of the shared scratch space by default). Returns the slot of every
     sequence (doc_id, part, seq, slot, shard, byte_offset, n_tokens) and the layout."""
+    if (tokens_col is None) != (vocab_size is None):
+        raise ValueError("tokens_col and vocab_size go together")
     spark = docs.sparkSession
-    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bounded_batches(docs)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tokens_col or text_col).alias("payload"))
+    if isinstance(src.schema["payload"].dataType, ArrayType):
+        src = _packed_column(src, id_type(vocab_size))
+    src = src.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
+    width = 1 if vocab_size is None else id_type(vocab_size).itemsize
+    src = src.select("doc_id", F.xxhash64("payload").alias("mark"), F.expr(f"div(octet_length(payload), {width})").alias("n_ids"), "payload")
+    if tokens_col is not None:          # encoded once: the ids are read twice
+        src = scratch_table(src, "order-ids", "zstd")
     numbered, total = _numbered(src, length)
-    layout = Layout(path or scratch_path(spark, "shards"), total, length, shard_rows)
+    layout = Layout(path or scratch_path(spark, "shards"), total, length, shard_rows, vocab_size)
     if total:
         _write(src, numbered, layout, key)
 
@@ -139,7 +184,7 @@ def materialize(docs: DataFrame, key: int, path: str | None = None, length: int
                 tokens = np.minimum(np.repeat(size[sl] + 1, n) - part * length, length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[sl], n)), pa.array(part), pa.array(seq), pa.array(slot), pa.array(slot // shard_rows),
-                     pa.array(slot % shard_rows * (length + 1)), pa.array(tokens)],
+                     pa.array(slot % shard_rows * layout.stride), pa.array(tokens)],
                     ["doc_id", "part", "seq", "slot", "shard", "byte_offset", "n_tokens"])
 
     return numbered.mapInArrow(slots, "doc_id long, part long, seq long, slot long, shard long, byte_offset long, n_tokens long"), layout
@@ -151,16 +196,23 @@ def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int) -> Non
     if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
     # rows of one id and text have one entry with several numbers: the first row to come writes all of them
-    dealt = src.withColumn("mark", F.xxhash64("text")).join(first, ["doc_id", "mark"]).select("text", "firsts")
+    dealt = src.join(first, ["doc_id", "mark"]).select("payload", "firsts")
+    type_, vocab_size, record = layout.type, layout.vocab_size, length * layout.type.itemsize
+    end, pad = (np.array([x], type_).tobytes() for x in (layout.end, layout.pad))
 
     def cut(batches):
         for b in batches:
             seq, payload = [], []
             held = 0
-            for t, firsts in zip(string_array(b, "text"), b.column(1)):
-                raw = t.as_py().encode() + bytes([END])
-                pieces = [raw[i:i + length] for i in range(0, len(raw), length)]
-                pieces[-1] = pieces[-1].ljust(length, bytes([PAD]))
+            for t, firsts in zip(b.column(0), b.column(1)):
+                raw = t.as_py()
+                if vocab_size is not None and len(raw):
+                    ids = np.frombuffer(raw, type_)
+                    if ids.min() < 0 or ids.max() >= vocab_size:
+                        raise ValueError("a token id is outside the vocabulary")
+                raw += end
+                pieces = [raw[i:i + record] for i in range(0, len(raw), record)]
+                pieces[-1] += pad * ((record - len(pieces[-1])) // len(pad))
                 for f in firsts.as_py():
                     seq.append((f, len(pieces)))
                     payload += pieces
@@ -183,9 +235,10 @@ def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int) -> Non
         shards = -(-total // shard_rows)
         parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         # ranges of shards of equal length: known beforehand, so nothing is sampled
-        rows = packs.repartitionById(parts, F.expr(f"cast(div(shard * {parts}, {shards}) as int)")).mapInArrow(_unpacked(length), "shard long, slot long, payload binary")
+        rows = packs.repartitionById(parts, F.expr(f"cast(div(shard * {parts}, {shards}) as int)")).mapInArrow(_unpacked(record), "shard long, slot long, payload binary")
         ordered = rows.sortWithinPartitions("shard", "slot")
-        ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(layout.path)
+        ordered = ordered.select("shard", F.col("payload").cast("string").alias("value"))
+        ordered.write.partitionBy("shard").text(layout.path, lineSep="\n" * type_.itemsize)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
@@ -210,20 +263,21 @@ def _unpack(payload: bytes, size: int) -> bytes:
     return _ZSTD.decompress(payload, size, asbytes=True)
 
 
-def _unpacked(length: int):
+def _unpacked(record: int):
     def run(batches):
         for b in batches:
             for shard, slots, payload in zip(*(c.to_pylist() for c in b.columns)):
                 slot = np.frombuffer(slots, np.int64)
-                raw = _unpack(payload, len(slot) * length)
+                raw = _unpack(payload, len(slot) * record)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(slot), shard)), pa.array(slot),
-                     pa.array([raw[i:i + length] for i in range(0, len(raw), length)], pa.binary())], ["shard", "slot", "payload"])
+                     pa.array([raw[i:i + record] for i in range(0, len(raw), record)], pa.binary())], ["shard", "slot", "payload"])
     return run
 
 
-def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int | None = None) -> Iterator[bytes]:
-    """Token ids of the slots from ``start`` on, one shard at a time and in order, without padding. The files are opened
+def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int | None = None) -> Iterator[bytes | np.ndarray]:
+    """Token ids of the slots from ``start`` on (an array each; bytes for byte-level ids), one shard at a time and in order, without
+    padding. The files are opened
     through Spark's file system layer; each read begins at its byte, so a job resumes where it stopped."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -242,8 +296,9 @@ def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int |
                 n = min(end - slot, 1024)
                 raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
                     jvm.org.apache.commons.io.input.BoundedInputStream(stream, n * layout.stride)))
-                for k in range(n):
-                    yield raw[k * layout.stride:k * layout.stride + layout.length].rstrip(bytes([PAD]))
+                ids = np.frombuffer(raw, layout.type).reshape(n, layout.length + 1)[:, :-1]
+                for row, size in zip(ids, (ids != layout.pad).sum(axis=1).tolist()):
+                    yield row[:size].tobytes() if layout.vocab_size is None else row[:size]
                 slot += n
         finally:
             stream.close()
