@@ -158,7 +158,7 @@ def train(rows: list, share: float, epochs: int = EPOCHS, seed: int = 3) -> Toxi
         for s in range(0, len(order), BATCH):
             _step(model, squares, [fitting[i] for i in order[s:s + BATCH]])
     model.bias += float(np.log(share / (1 - share)) - np.log(ones / (1 - ones))) * 0.5
-    _calibrate(model, data)
+    _calibrate(model, data, share)
     return model
 
 
@@ -219,33 +219,37 @@ def _scores(model: ToxicityModel, ids: np.ndarray, first: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(model.logits(ids, first), -40, 40)))
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float | None:
-    """The cut with the best F1, half-way to the next lower score."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float | None:
+    """The cut with the best F1 of the weighted rows, half-way to the next lower score."""
     if len(p) < 10 or y.sum() < 3 or y.sum() == len(y):
         return None
     order = np.argsort(-p, kind="stable")
-    s, t = p[order], y[order]
-    hits = np.cumsum(t)
-    f1 = 2 * hits / (np.arange(1, len(t) + 1) + t.sum())
+    s, w = p[order], weight[order]
+    hits = np.cumsum(w * y[order])
+    f1 = 2 * hits / (np.cumsum(w) + hits[-1])
     f1[:-1][s[:-1] == s[1:]] = -1                        # a cut between equal scores is none
     i = int(np.argmax(f1))
     low = s[i + 1] if i + 1 < len(s) else 0.0
     return float(min(0.9, max(0.1, (s[i] + low) / 2)))
 
 
-def _calibrate(model: ToxicityModel, data: list[tuple[np.ndarray, int, str | None]]) -> None:
-    """Thresholds from the fifth of the sample that training left out (all of it where that fifth is too small)."""
+def _calibrate(model: ToxicityModel, data: list[tuple[np.ndarray, int, str | None]], share: float) -> None:
+    """Thresholds from the fifth of the sample that training left out (all of it where that fifth is too small). The
+    sample takes each class by itself, so its rows are weighted back to the ``share`` of label 1 in the table."""
+    ones = sum(y for _, y, _ in data) / len(data)
     for part in (data[::5], data):
         ids = np.concatenate([x for x, _, _ in part])
         first = np.concatenate([[0], np.cumsum([len(x) for x, _, _ in part])])
         p, y = _scores(model, ids, first), np.array([v for _, v, _ in part])
-        general = _best_threshold(p, y)
+        weight = np.where(y == 1, share / ones, (1 - share) / (1 - ones))
+        general = _best_threshold(p, y, weight)
         if general is not None:
             break
     model.threshold = general if general is not None else 0.5
     langs = np.array([str(v) for _, _, v in part])
     for lang in sorted(set(langs.tolist())):
-        cut = _best_threshold(p[langs == lang], y[langs == lang])
+        here = langs == lang
+        cut = _best_threshold(p[here], y[here], weight[here])
         if cut is not None:
             model.by_lang[lang] = cut
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import documents
 
-from keelson.llm import bpe, queries, training_order
+from keelson.llm import bpe, queries, toxicity, training_order
 
 
 @pytest.mark.parametrize("vocab_size", [50_257, 70_000])
@@ -66,3 +66,25 @@ def test_training_order_refuses_foreign_ids(spark):
     docs = spark.createDataFrame([(1, [3, 10])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
         training_order.materialize(docs, 5, tokens_col="ids", vocab_size=10)
+
+
+class _Known(toxicity.ToxicityModel):
+    """A model whose logit is the text's only word."""
+
+    def logits(self, ids, first):
+        return ids[:, 0] / 1000
+
+
+def test_toxicity_threshold_is_that_of_the_population():
+    """A balanced sample and a natural one of the same population give about the same cuts."""
+    rng = np.random.default_rng(11)
+
+    def cuts(clean, toxic):
+        logits = np.concatenate([rng.normal(-1.5, 1, clean), rng.normal(1, 1, toxic)])
+        data = [(np.array([[x * 1000, 0, 0, 0]], np.int32), int(k >= clean), ("en", "de")[k % 2]) for k, x in enumerate(logits)]
+        model = _Known(None, [], None, None, 0.0)
+        toxicity._calibrate(model, [data[i] for i in rng.permutation(len(data))], 0.1)
+        return [model.threshold, model.by_lang["en"], model.by_lang["de"]]
+
+    natural, balanced = cuts(90_000, 10_000), cuts(50_000, 50_000)
+    assert natural == pytest.approx(balanced, abs=0.07)
