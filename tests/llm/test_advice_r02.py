@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import documents
 
-from keelson.llm import bpe, queries, toxicity, training_order
+from keelson.llm import bpe, pii, queries, toxicity, training_order
 
 
 @pytest.mark.parametrize("vocab_size", [50_257, 70_000])
@@ -88,3 +88,21 @@ def test_toxicity_threshold_is_that_of_the_population():
 
     natural, balanced = cuts(90_000, 10_000), cuts(50_000, 50_000)
     assert natural == pytest.approx(balanced, abs=0.07)
+
+
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"])
+@pytest.mark.parametrize("after", ["", " ok", " The transfer", " BIC COBADEFF", " I paid", " 2024", " 12 A", ", X", " DE89 3704 0044 0532 0130 00"])
+def test_iban_ends_by_itself(iban, after):
+    text = f"to {iban}{after}"
+    spans = [text[s:e] for s, e, k, _ in pii.all_spans(text) if k == "iban"]
+    assert spans == [iban] + ([after[1:]] if after.startswith(" DE89") else [])
+    assert pii._mask(text, pii.MIN_SCORE).startswith(f"to <IBAN>{'' if after.startswith(' DE89') else after}")
+
+
+def test_iban_refusals_and_unknown_country():
+    kinds = lambda t: [k for _, _, k, _ in pii.all_spans(t)]
+    assert kinds("DE89 3704 0044 0532 0130 01 The") == [] and kinds("DE89370400440532013000x") == []
+    assert kinds("xDE89370400440532013000") == [] and kinds("DE89  370400440532013000") == []
+    code = next(f"ZZ{c:02d}" for c in range(2, 99) if pii.mod97(f"ZZ{c:02d}ABCD12345678901"))
+    assert kinds(f"{code} ABCD 1234 5678 901 Then") == ["iban"]
+    assert kinds("AA00 " * 40_000) == [] and kinds("ZZ00" + "A" * 200_000) == []
