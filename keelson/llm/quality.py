@@ -124,9 +124,12 @@ def train(rows: list, share: float, epochs: int = EPOCHS, seed: int = 5) -> Qual
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int] = FOLD,
-        max_rows: int = training.SAMPLE_ROWS) -> QualityModel:
+        max_rows: int = training.SAMPLE_ROWS, max_bytes: int = training.SAMPLE_BYTES) -> QualityModel:
+    """A model from at most ``max_rows`` labelled documents and ``max_bytes`` of their features (8 bytes a distinct bucket: a
+    document of any length takes less than a 32nd of the default; with a smaller bound, longer ones are left out)."""
     rows = training.labelled_sample(docs, labels, label, fold, _sample_rows,
-                                    "label int, lang string, pick long, ids binary, weights binary", max_rows=max_rows)
+                                    "label int, lang string, pick long, ids binary, weights binary", max_rows=max_rows,
+                                    max_bytes=max_bytes)
     return train(rows, training.class_shares(labels, label, fold))
 
 

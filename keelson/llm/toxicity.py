@@ -37,6 +37,7 @@ EPOCHS = 4
 RATE = 0.05
 BATCH = 32
 FOLD = (4, 2)
+RUN = 256                           # consecutive words kept together where a training document is thinned
 _WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _VALUES = lowered_values()
 TABLE_ROWS = WORD_BUCKETS + len(STEMS) * STEM_BUCKETS + 1       # the last row is zero: no such stem
@@ -54,15 +55,27 @@ def word_ids(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(cols, axis=1), first
 
 
-def _sample_rows(batches):
-    for b in batches:
-        for at, buf, off in text_chunks(string_array(b, "text")):
-            ids, first = word_ids(buf, off)
-            rows = [ids[x:y].tobytes() for x, y in zip(first, first[1:])]
-            k = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(at, k), b.column(1).slice(at, k), b.column(2).slice(at, k), pa.array(rows, pa.binary())],
-                ["label", "lang", "pick", "ids"])
+def _thinned(ids: np.ndarray, words: int) -> np.ndarray:
+    """At most ``words`` rows of a long document's ids: runs of consecutive words, spread evenly over all of it."""
+    if len(ids) <= words:
+        return ids
+    run = min(RUN, words)
+    start = np.linspace(0, len(ids) - run, words // run).astype(np.int64)
+    return ids[(start[:, None] + np.arange(run)).ravel()]
+
+
+def _sample_rows(words: int):
+    """Word ids of each row, thinned to ``words`` words."""
+    def run(batches):
+        for b in batches:
+            for at, buf, off in text_chunks(string_array(b, "text")):
+                ids, first = word_ids(buf, off)
+                rows = [_thinned(ids[x:y], words).tobytes() for x, y in zip(first, first[1:])]
+                k = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, k), b.column(1).slice(at, k), b.column(2).slice(at, k), pa.array(rows, pa.binary())],
+                    ["label", "lang", "pick", "ids"])
+    return run
 
 
 @dataclass
@@ -255,9 +268,12 @@ def _calibrate(model: ToxicityModel, data: list[tuple[np.ndarray, int, str | Non
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = FOLD,
-        max_rows: int = training.SAMPLE_ROWS) -> ToxicityModel:
-    rows = training.labelled_sample(docs, labels, label, fold, _sample_rows,
-                                    "label int, lang string, pick long, ids binary", max_rows=max_rows)
+        max_rows: int = training.SAMPLE_ROWS, max_bytes: int = training.SAMPLE_BYTES) -> ToxicityModel:
+    """A model from at most ``max_rows`` labelled documents and ``max_bytes`` of their features (16 bytes a word). Documents of
+    more than a 32nd of that are trained on evenly spread runs of their words; all are scored whole."""
+    words = max(1, training.row_bytes(max_bytes) // (4 * (1 + len(STEMS))))
+    rows = training.labelled_sample(docs, labels, label, fold, _sample_rows(words),
+                                    "label int, lang string, pick long, ids binary", max_rows=max_rows, max_bytes=max_bytes)
     return train(rows, training.class_shares(labels, label, fold))
 
 

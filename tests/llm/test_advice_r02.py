@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import documents
 
-from keelson.llm import bpe, pii, queries, toxicity, training_order
+from keelson.llm import bpe, pii, quality, queries, toxicity, training, training_order
 
 
 @pytest.mark.parametrize("vocab_size", [50_257, 70_000])
@@ -106,3 +106,42 @@ def test_iban_refusals_and_unknown_country():
     code = next(f"ZZ{c:02d}" for c in range(2, 99) if pii.mod97(f"ZZ{c:02d}ABCD12345678901"))
     assert kinds(f"{code} ABCD 1234 5678 901 Then") == ["iban"]
     assert kinds("AA00 " * 40_000) == [] and kinds("ZZ00" + "A" * 200_000) == []
+
+
+@pytest.mark.parametrize("module, max_bytes", [(quality, 10_000), (toxicity, 40_000)])
+def test_sample_over_its_bytes_is_no_prefix_of_the_table(spark, monkeypatch, module, max_bytes):
+    """Over the bound, both classes and all parts of the table stay in the sample, in any order of the table."""
+    seen = []
+    monkeypatch.setattr(module, "train", lambda rows, share: seen.append(rows))
+    rows = [(i, f"{'fair' if i < 200 else 'vile'} w{i} " * 30) for i in range(400)]         # first all of one class
+    labels = spark.createDataFrame([(i, int(i >= 200), int(i >= 200)) for i in range(400)], "doc_id long, quality int, toxic int")
+    for order in (rows, rows[::-1]):
+        module.fit(documents(spark, order).coalesce(1), labels, max_bytes=max_bytes)
+    plain = [sorted(map(tuple, s)) for s in seen]
+    assert plain[0] == plain[1] and 20 < len(plain[0]) < 200
+    ones = sum(r["label"] for r in seen[0])
+    assert abs(2 * ones - len(seen[0])) <= 1
+    assert sum(len(x) for r in seen[0] for x in r if isinstance(x, (bytes, bytearray))) <= max_bytes
+
+
+def test_long_text_does_not_end_the_sample(spark):
+    """One labelled text beyond the whole bound, first in the table: the model still learns both classes."""
+    rows = [(0, "what a nice day it is " * 20_000)] + [(i, "you vile fool go" if i % 2 else "what a nice day it is") for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = documents(spark, rows).coalesce(1)
+    kept = toxicity.reject(docs, toxicity.fit(docs, labels, max_bytes=1 << 16))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+
+
+def test_thinned_documents_keep_all_parts():
+    ids = np.arange(4000).reshape(1000, 4)
+    assert toxicity._thinned(ids, 1000) is ids
+    got = toxicity._thinned(ids, 600)
+    assert len(got) <= 600 and got[0, 0] == 0 and got[-1, 0] == 3996
+    assert toxicity._thinned(ids, 10).shape == (10, 4)
+
+
+def test_sample_takes_turns():
+    assert training._chosen([[(0, 1), (1, 1), (2, 9)], [(3, 1)]], 320) == [0, 3, 1, 2]
+    assert training._chosen([[(0, 9), (1, 9), (2, 9)], [(3, 11), (4, 9)]], 320) == [0, 4, 1, 2]
+    assert training._chosen([[(k, 10) for k in range(50)], []], 320) == list(range(32))
