@@ -69,7 +69,8 @@ def write_with_dead_letter(df: DataFrame, write: Callable[[DataFrame, int], None
     """K6: try ``write`` up to ``retries`` times, ``pause_s`` apart; then dead-letter every row.
 
     Only storage errors are retried and dead-lettered; anything else (a schema error, say) is raised. Returns an
-    accounting dict (K9): rows, attempts, dead_lettered and the last error.
+    accounting dict (K9): rows, attempts, dead_lettered and error (that of the last failed attempt, also where a later
+    one succeeded; None if none failed).
     """
     rows = project_cold(df).persist()
     error = None

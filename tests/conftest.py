@@ -14,7 +14,3 @@ def spark():
     from keelson.session import get_spark
     s = get_spark("local[4]", 4)
     yield s
-
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"

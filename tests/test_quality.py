@@ -82,7 +82,7 @@ def test_drift_warmup_and_tolerance_boundaries(spark):
 
 def test_verdict_counts_on_fixture(spark):
     from keelson.sources.fixtures import arrivals
-    from conftest import SF_MID
+    from event_tables import SF_MID
     v = quality_verdict(arrivals(spark, SF_MID), KEY, block_rows=3000, rows_per_range=4000)
     got = dict(v.groupBy("stage").count().collect())
     assert got == {"dedup": 500, "watermark": 506, "hmac": 337, "": 9157}
@@ -91,7 +91,7 @@ def test_verdict_counts_on_fixture(spark):
 def test_verdict_with_idle_ttl_dedup(spark):
     """The shared-set form (idle expiry) inside the verdict: 10,500 - 10,020 duplicates at sf0.01."""
     from keelson.sources.fixtures import idle_arrivals
-    from conftest import SF_MID
+    from event_tables import SF_MID
     v = quality_verdict(idle_arrivals(spark, SF_MID), KEY, dedup="idle_ttl")
     assert v.where("stage = 'dedup'").count() == 480
     assert v.count() == 10500

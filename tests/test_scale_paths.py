@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as E
-from conftest import SF_MID, SF_SMALL
+from event_tables import SF_MID, SF_SMALL
 from keelson.operators.drift import rolling_median, rolling_median_native
 from keelson.operators.order import dense_index
 from keelson.plans import catalog as C

@@ -31,7 +31,9 @@ def test_retry_dead_letter_replay_idempotent(spark):
         write_cold(d, cold, 1)
 
     acc = write_with_dead_letter(df.where("ts < 10"), flaky, dl, 1, pause_s=0)
-    assert acc == {"batch_id": 1, "rows": 10, "attempts": 3, "dead_lettered": 0}
+    assert acc == {"batch_id": 1, "rows": 10, "attempts": 3, "dead_lettered": 0, "error": "down"}
+    again = write_with_dead_letter(df.where("ts < 10"), lambda d, _: write_cold(d, cold, 1), dl, 1, pause_s=0)
+    assert again == {"batch_id": 1, "rows": 10, "attempts": 1, "dead_lettered": 0, "error": None}
 
     def dead(d, attempt):
         raise IOError("down")

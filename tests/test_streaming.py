@@ -6,7 +6,7 @@ from keelson.session import scratch_path
 from keelson.sources.fixtures import TEST_SECRET, arrivals
 from keelson.streaming.ops import ProgressStats, run_stream
 from keelson.schema import EVENT
-from conftest import SF_SMALL
+from event_tables import SF_SMALL
 
 
 def test_untrusted_times_lose_no_row(spark):
