@@ -8,8 +8,12 @@ own running value with a window partitioned by range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.operators.order import ROWS_PER_RANGE, seq_ranges
 
@@ -69,3 +73,58 @@ def range_min_table(blocks: DataFrame, pos_col: str, value_col: str, n: int | No
     for lv in levels[1:]:
         out = out.unionByName(lv)
     return out
+
+
+def block_entries(blocks: DataFrame, key_cols: list[str], idx_col: str, summary_col: str,
+                  combine: Callable[[list[bytes]], bytes], advance: Callable[[bytes, bytes], bytes], start: bytes,
+                  starts: DataFrame | None = None, fan: int = 256) -> DataFrame:
+    """The state in which each block is entered: (key, idx, entry), by an associative parallel prefix scan.
+
+    A block's ``summary`` is a function on states, as bytes: ``advance(state, summary)`` applies it, and
+    ``combine(summaries)`` composes consecutive ones. Up the tree, runs of ``fan`` blocks of a key become one summary;
+    down again, every run is walked from the state in which it is entered. So no task sees more than ``fan`` summaries of a
+    key, however many blocks it has. Blocks are ordered by ``idx`` (not negative, gaps allowed). Every key starts in ``start``, or in
+    the ``entry`` that ``starts`` (key columns, entry) has for it. Null keys are keys like any other.
+    """
+    from keelson.plans.joins import materialize
+    keys = [F.col(c) for c in key_cols]
+    level = materialize(blocks.select(*key_cols, F.col(idx_col).cast("long").alias("idx"), F.col(summary_col).alias("summary")), "scan")
+    kinds = [level.schema[c] for c in key_cols]
+    up = T.StructType([*kinds, T.StructField("idx", T.LongType()), T.StructField("summary", T.BinaryType())])
+    down = T.StructType([*kinds, T.StructField("idx", T.LongType()), T.StructField("entry", T.BinaryType())])
+
+    def fold(run: pa.Table) -> pa.Table:
+        run = run.sort_by("idx")
+        one = run.slice(0, 1)
+        whole = combine([bytes(b) for b in run.column("summary").to_pylist()])
+        return pa.table([*(one.column(c) for c in key_cols), pa.array([one.column("idx")[0].as_py() // fan], pa.int64()),
+                         pa.array([whole], pa.binary())], names=up.names)
+
+    def walk(run: pa.Table) -> pa.Table:
+        run = run.sort_by("idx")
+        first = run.column("entry")[0].as_py()
+        state, out = start if first is None else bytes(first), []
+        for b in run.column("summary").to_pylist():
+            out.append(state)
+            state = advance(state, bytes(b))
+        return pa.table([*(run.column(c) for c in key_cols), run.column("idx"), pa.array(out, pa.binary())], names=down.names)
+
+    top = level.agg(F.max("idx")).first()[0]
+    levels = [level]
+    while top is not None and top >= fan:
+        run = F.floor(F.col("idx") / fan)
+        levels.append(materialize(levels[-1].groupBy(*keys, run.alias("_run")).applyInArrow(fold, up), "scan"))
+        top //= fan
+    if starts is None:
+        entered = levels[-1].withColumn("entry", F.lit(None).cast("binary"))
+    else:
+        own = starts.select(*[F.col(c).alias(f"_s_{c}") for c in key_cols], "entry")
+        same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in key_cols]
+        entered = levels[-1].join(own, same, "left").select(*keys, "idx", "summary", "entry")
+    entries = entered.groupBy(*keys).applyInArrow(walk, down)
+    for below in reversed(levels[:-1]):
+        above = entries.select(*[F.col(c).alias(f"_s_{c}") for c in key_cols], F.col("idx").alias("_run"), "entry")
+        same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in key_cols]
+        met = below.join(above, [*same, F.floor(F.col("idx") / fan) == F.col("_run")])
+        entries = met.select(*keys, "_run", "idx", "summary", "entry").groupBy(*keys, "_run").applyInArrow(walk, down)
+    return entries
