@@ -62,3 +62,54 @@ reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, b.y FROM
 low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+REPAIR = """
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                 lambda crc, x: list_reduce(range(8), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, x)), 4294967295),
+                 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM c, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS t(copy) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             count(*) OVER (PARTITION BY conv_id) AS m, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS tail FROM d),
+r AS (SELECT *, substr(role, 1, 1) AS y, CASE WHEN tail = '' THEN 'blank'
+             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+             WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+forced(q, f) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+fits(y, q, f) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+ins AS (SELECT q, q AS e, 0 AS cost, '' AS audit FROM forced
+        UNION ALL SELECT ins.q, f, cost + 2, audit || 'I' FROM ins JOIN forced ON ins.e = forced.q WHERE cost < 6),
+v AS (SELECT conv_id, m + 1 AS i, q, CASE q WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost,
+             CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit FROM (SELECT DISTINCT conv_id, m FROM o), forced
+      UNION ALL
+      SELECT conv_id, i, q, best.cost, best.audit FROM (
+        SELECT r.conv_id, r.i, ins.q, min({'cost': ins.cost + e.cost + v.cost, 'audit': ins.audit || e.edit || v.audit}) AS best
+        FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i - 1
+        JOIN (SELECT 'D' AS edit, '' AS y, q, q AS f, 3 AS cost FROM forced
+              UNION ALL SELECT 'R', '', q, f, 2 FROM forced UNION ALL SELECT 'K', y, q, f, 0 FROM fits) AS w
+          ON w.f = v.q AND (w.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate') AND (w.edit = 'R' OR w.y = r.y))
+        JOIN (SELECT 0 AS t, 0 AS add UNION ALL SELECT 1, 1) AS p ON p.t = CAST(r.fault = 'truncated' AND w.edit <> 'D' AS INTEGER)
+        JOIN ins ON ins.e = w.q, LATERAL (SELECT w.edit AS edit, w.cost + p.add AS cost) AS e
+        GROUP BY ALL)),
+audit AS (SELECT conv_id, cost, audit FROM v WHERE i = 1 AND q = 0),
+step AS (SELECT conv_id, 0 AS pos, 0 AS i, 0 AS q, audit, '' AS edit FROM audit
+         UNION ALL SELECT step.conv_id, pos + 1, i + CAST(left(audit, 1) <> 'I' AS INTEGER),
+                CASE left(audit, 1) WHEN 'D' THEN step.q WHEN 'K' THEN (SELECT f FROM fits JOIN r ON r.y = fits.y
+                       WHERE r.conv_id IS NOT DISTINCT FROM step.conv_id AND r.i = step.i + 1 AND fits.q = step.q) ELSE f END,
+                substr(audit, 2), left(audit, 1) FROM step JOIN forced ON forced.q = step.q WHERE audit <> ''),
+fixed AS (SELECT step.conv_id, string_agg(CASE edit WHEN 'K' THEN r.role ELSE CASE step.q WHEN 2 THEN 'user' ELSE 'assistant' END END || ':'
+                 || CASE edit WHEN 'I' THEN '' ELSE r.text END, chr(10) ORDER BY pos) AS lines
+          FROM step LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM step.conv_id AND r.i = step.i WHERE edit IN ('K', 'R', 'I') GROUP BY step.conv_id),
+sums AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || y NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit.audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS ids
+LEFT JOIN audit ON audit.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""

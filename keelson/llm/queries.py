@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, fingerprint, jaccard, oracles, pii, quality, suffix_dedup, toxicity, training_order, urls
+from keelson.llm import bpe, decontam, fingerprint, jaccard, oracles, pii, quality, repair, suffix_dedup, toxicity, training_order, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -77,6 +77,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(_table(spark, sf_dir, "conversations")), live_col="live")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,10 +92,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_jaccard": op10_jaccard,
+    "op11_repair": op11_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op4_urls": urls.oracle_sql(URL_RULES),
     "op7_decontamination": oracles.DECONTAMINATION,
     "op10_jaccard": oracles.JACCARD,
+    "op11_repair": oracles.REPAIR,
 }
