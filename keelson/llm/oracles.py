@@ -113,3 +113,14 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS ids
 LEFT JOIN audit ON audit.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM ids.conv_id
 LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
+
+# for pages whose main text is one <article> of <h1> and <p>, as all given pages have it
+MAIN_TEXT = """
+WITH parts AS (SELECT page_id, url, list_filter(list_transform(
+                   string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'),
+                   lambda x: trim(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '[\\s]+', ' ', 'g'))),
+                   lambda x: x <> '') AS blocks FROM pages),
+text AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(array_to_string(blocks, chr(10)),
+                '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&') AS text FROM parts)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM text
+"""

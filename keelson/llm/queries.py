@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, fingerprint, jaccard, oracles, pii, quality, repair, suffix_dedup, toxicity, training_order, urls
+from keelson.llm import bpe, decontam, extraction, fingerprint, jaccard, oracles, pii, quality, repair, suffix_dedup, toxicity, training_order, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -81,6 +81,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(_table(spark, sf_dir, "conversations")), live_col="live")
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_jaccard": op10_jaccard,
     "op11_repair": op11_repair,
+    "op12_html": op12_html,
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
@@ -100,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": oracles.DECONTAMINATION,
     "op10_jaccard": oracles.JACCARD,
     "op11_repair": oracles.REPAIR,
+    "op12_html": oracles.MAIN_TEXT,
 }
