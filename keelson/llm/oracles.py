@@ -124,3 +124,26 @@ text AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(ar
                 '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&') AS text FROM parts)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM text
 """
+
+COLLOCATIONS = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '""" + _UP + "', '" + _LOW + """'),
+                  '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, size, count(*) AS f
+      FROM w, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, 6)) AS s(size) WHERE i + size - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, size, f AS a FROM g WHERE size > 1 AND f >= 100),
+inner_ AS (SELECT DISTINCT q.lang, array_to_string(q.w[i:i + m - 1], ' ') AS phrase, q.a AS f
+           FROM c AS q, unnest(range(1, 5)) AS t(i), unnest(range(2, 5)) AS s(m) WHERE m < q.size AND i + m - 1 <= q.size),
+cuts AS (SELECT c.*, k, array_to_string(c.w[1:k], ' ') AS head, array_to_string(c.w[k + 1:], ' ') AS tail
+         FROM c, unnest(range(1, 5)) AS t(k) WHERE k < size
+         AND NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.lang = c.lang AND inner_.phrase = c.phrase AND inner_.f >= c.a)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, gl.f AS l, gr.f AS r, CAST(n AS HUGEINT) AS n, k,
+                  (CAST(1000 AS HUGEINT) * a * CAST(n AS HUGEINT)) // (CAST(gl.f AS HUGEINT) * gr.f) AS score
+           FROM cuts JOIN n USING (lang) JOIN g AS gl ON gl.lang = cuts.lang AND gl.phrase = cuts.head
+           JOIN g AS gr ON gr.lang = cuts.lang AND gr.phrase = cuts.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontam, extraction, fingerprint, jaccard, oracles, pii, quality, repair, suffix_dedup, toxicity, training_order, urls
+from keelson.llm import bpe, collocations, decontam, extraction, fingerprint, jaccard, oracles, pii, quality, repair, suffix_dedup, toxicity, training_order, urls
 from keelson.llm.training import held_out
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -86,6 +86,10 @@ def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(pages, extraction.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(*collocations.frequent_phrases(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +103,7 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
     "op11_repair": op11_repair,
     "op12_html": op12_html,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
@@ -107,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op10_jaccard": oracles.JACCARD,
     "op11_repair": oracles.REPAIR,
     "op12_html": oracles.MAIN_TEXT,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
