@@ -10,22 +10,23 @@ States CLOSED / OPEN / HALF_OPEN; defaults 5 failures, 30 s, 2 successes.
 Every transition zeroes both counts.  A denied call records no outcome.
 
 Each output row is the input row plus ``allowed``, ``state`` (after the call),
-``failure_count``, ``success_count`` and ``last_failure``.  Ordered per sink by ``seq``; ``t`` is the
-call time in milliseconds.
+``failure_count``, ``success_count`` and ``last_failure`` (of an OPEN breaker, else 0: no other state asks for it).
+Ordered per sink by ``seq``; ``t`` is the call time in milliseconds.
 
 Two exact plans:
 * ``fold`` - one streamed ordered pass per sink (hash exchange on the sink).
   Used when every sink has at most ``block_rows`` calls.
 * ``blocks`` - for hot sinks.  A sink's calls get a dense index and are cut into
-  blocks of ``block_rows``.  Pass 1 summarises each block independently: a
-  backward DP gives the exit state for every finite entry state (CLOSED with
-  f failures, HALF_OPEN with s successes) and, for an OPEN entry with last
-  failure ``lf``, a run-compressed list of breakpoints over the block's
-  prefix-max times (the first call with ``t >= lf + timeout`` re-enters
-  HALF_OPEN).  Pass 2 folds the block summaries in order (one row per block,
-  streamed) to get each block's true entry state.  Pass 3 re-simulates every
-  block from its entry state in parallel.  No task ever holds more than one
-  block, however hot the sink.
+  blocks of ``block_rows``.  Pass 1 summarises each block independently as a
+  function of the state it is entered in: a backward DP gives the exit state for
+  every finite entry state (CLOSED with f failures, HALF_OPEN with s successes)
+  and, for an OPEN entry with last failure ``lf``, a run-compressed list of
+  breakpoints over the block's prefix-max times (the first call with
+  ``t >= lf + timeout`` re-enters HALF_OPEN).  Such functions compose, so pass 2
+  is a parallel prefix scan over them (``plans.scan.block_entries``) that gives
+  each block's true entry state; no task sees more than a few summaries.  Pass 3
+  re-simulates every block from its entry state in parallel.  No task ever holds
+  more than one block, however hot the sink.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from pyspark.sql import types as T
 from keelson.operators.order import dense_index
 from keelson.plans.fold import ordered_fold
 from keelson.plans.joins import join_checked, materialize
+from keelson.plans.scan import block_entries
 from keelson.schema import (BREAKER_FAILURE_THRESHOLD, BREAKER_SUCCESS_THRESHOLD,
                             BREAKER_TIMEOUT_MS)
 
@@ -85,17 +87,19 @@ def breaker_timeline(calls: DataFrame, sink_col: str = "sink", seq_col: str = "s
     (columns sink, state, failure_count, success_count, last_failure), e.g. the
     ``breaker_final_state`` of the previous micro-batch; sinks not in it start CLOSED.
     """
-    if initial is not None:
-        init = initial.select(F.col("sink").alias(sink_col),
-                              F.col("state").alias("_i_state"), F.col("failure_count").alias("_i_fc"),
-                              F.col("success_count").alias("_i_sc"), F.col("last_failure").alias("_i_lf"))
-        calls = join_checked(calls, init, on=[sink_col], how="left")      # one row per sink, measured
     args = (sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms, success_threshold)
     if method == "auto":
         largest = calls.groupBy(sink_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
         method = "fold" if (largest["m"] or 0) <= block_rows else "blocks"
-    out = _timeline_fold(calls, *args) if method == "fold" else _timeline_blocks(calls, *args, block_rows=block_rows)
-    return out.drop("_i_state", "_i_fc", "_i_sc", "_i_lf") if initial is not None else out
+    if method == "blocks":
+        return _timeline_blocks(calls, *args, block_rows=block_rows, initial=initial)
+    if initial is None:
+        return _timeline_fold(calls, *args)
+    init = initial.select(F.col("sink").alias("_i_sink"),
+                          F.col("state").alias("_i_state"), F.col("failure_count").alias("_i_fc"),
+                          F.col("success_count").alias("_i_sc"), F.col("last_failure").alias("_i_lf"))
+    met = join_checked(calls, init, on=F.col(sink_col).eqNullSafe(F.col("_i_sink")), how="left")      # one row per sink, measured
+    return _timeline_fold(met.drop("_i_sink"), *args).drop("_i_state", "_i_fc", "_i_sc", "_i_lf")
 
 
 def breaker_final_state(timeline: DataFrame, sink_col: str = "sink", seq_col: str = "seq") -> DataFrame:
@@ -146,7 +150,7 @@ def _timeline_fold(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure_t
             states.append(s)
             fcs.append(fc)
             scs.append(sc)
-            lfs.append(lf)
+            lfs.append(lf if s == OPEN else 0)
         st.update(key=key, s=s, fc=fc, sc=sc, lf=lf)
         cols = [batch.column(i) for i in range(batch.num_columns)]
         cols += [pa.array(allowed, pa.bool_()), pa.array(states, pa.string()),
@@ -170,12 +174,14 @@ def breaker_totals(timeline: DataFrame, sink_col: str = "sink", ok_col: str = "o
 # finite states are coded 0..F-1 (CLOSED with f failures) and F..F+S-1
 # (HALF_OPEN with s successes); code F+S is OPEN and carries the last failure time.
 
-def _code_of(state: str, fc: int, sc: int, fth: int) -> int:
-    if state == CLOSED:
-        return fc
-    if state == HALF_OPEN:
-        return fth + sc
-    return -1
+# A block's summary is such a function as int64 numbers: how many breakpoints; exit code and last failure for each
+# finite state; times, exit codes and last failures of the breakpoints.
+
+def _entry_bytes(initial: DataFrame, fth: int, sth: int):
+    """Column: the entry state as text, "code,last failure"."""
+    c = F.col
+    code = F.when(c("state") == CLOSED, c("failure_count")).when(c("state") == HALF_OPEN, fth + c("success_count")).otherwise(fth + sth)
+    return F.concat_ws(",", code.cast("string"), c("last_failure").cast("string")).cast("binary")
 
 
 def _state_of(code: int, fth: int, sth: int) -> tuple[str, int, int]:
@@ -186,141 +192,126 @@ def _state_of(code: int, fth: int, sth: int) -> tuple[str, int, int]:
     return OPEN, 0, 0
 
 
-def _summarize(ts: np.ndarray, oks: np.ndarray, fth: int, timeout: int, sth: int):
-    """Backward DP over one block; returns (exits, breakpoints)."""
+def _summarize(ts: list[int], oks: list[bool], fth: int, timeout: int, sth: int) -> bytes:
+    """Backward DP over one block."""
     n, k = len(ts), fth + sth
-    open_code = k
-    g_code = np.empty((n + 1, k), dtype=np.int64)
-    g_lf = np.zeros((n + 1, k), dtype=np.int64)
-    g_code[n] = np.arange(k)
+    now = [(e, 0) for e in range(k)]            # exit of every finite state entered before call i
+    half = [None] * (n + 1)                     # exit when call i is entered HALF_OPEN: how an open breaker comes back
+    half[n] = now[fth]
     # monotonic stack of later calls whose t beats every call between (nearest first at the end)
     stack_idx: list[int] = []
     stack_negt: list[int] = []
     for i in range(n - 1, -1, -1):
-        nxt = i + 1
-        if nxt < n:
-            tn = int(ts[nxt])
-            while stack_idx and int(ts[stack_idx[-1]]) <= tn:
-                stack_idx.pop()
-                stack_negt.pop()
-            stack_idx.append(nxt)
-            stack_negt.append(-tn)
-        ti = int(ts[i])
-        pos = bisect.bisect_right(stack_negt, -(ti + timeout)) - 1
-        if pos >= 0:
-            j = stack_idx[pos]
-            oc, olf = g_code[j, fth], g_lf[j, fth]
+        if oks[i]:
+            now = now[:fth] + now[fth + 1:] + now[:1]
         else:
-            oc, olf = open_code, ti
-        ok = bool(oks[i])
-        for e in range(k):
-            if e < fth:
-                if ok:
-                    c, lf = g_code[i + 1, e], g_lf[i + 1, e]
-                elif e + 1 >= fth:
-                    c, lf = oc, olf
-                else:
-                    c, lf = g_code[i + 1, e + 1], g_lf[i + 1, e + 1]
-            else:
-                if not ok:
-                    c, lf = oc, olf
-                elif e - fth + 1 >= sth:
-                    c, lf = g_code[i + 1, 0], g_lf[i + 1, 0]
-                else:
-                    c, lf = g_code[i + 1, e + 1], g_lf[i + 1, e + 1]
-            g_code[i, e], g_lf[i, e] = c, lf
-    exits = [(int(g_code[0, e]), int(g_lf[0, e])) for e in range(k)]
-    # OPEN entry with last failure lf0: the first call with t >= lf0 + timeout (a prefix-max record)
-    bps: list[tuple[int, int, int]] = []
-    run_max = None
-    for i in range(n):
-        ti = int(ts[i])
-        if run_max is None or ti > run_max:
-            run_max = ti
-            ex = (int(g_code[i, fth]), int(g_lf[i, fth]))
-            if bps and (bps[-1][1], bps[-1][2]) == ex:
-                bps[-1] = (ti, ex[0], ex[1])        # keep the last record of a run of equal exits
-            else:
-                bps.append((ti, ex[0], ex[1]))
-    return exits, bps
+            ti = ts[i]
+            pos = bisect.bisect_right(stack_negt, -(ti + timeout)) - 1
+            opened = half[stack_idx[pos]] if pos >= 0 else (k, ti)
+            now = now[1:fth] + [opened] * (1 + sth)
+        half[i] = now[fth]
+        t = ts[i]
+        while stack_idx and ts[stack_idx[-1]] <= t:
+            stack_idx.pop()
+            stack_negt.pop()
+        stack_idx.append(i)
+        stack_negt.append(-t)
+    # OPEN entry with last failure lf0: the first call with t >= lf0 + timeout (a prefix-max record); what is left of the stack, nearest first
+    points: list[tuple[int, int, int]] = []
+    for i in reversed(stack_idx):
+        if points and points[-1][1:] == half[i]:
+            points[-1] = (ts[i], *half[i])      # keep the last record of a run of equal exits
+        else:
+            points.append((ts[i], *half[i]))
+    flat = np.array(points, np.int64).reshape(-1, 3)
+    return np.concatenate([[len(points)], [x[0] for x in now], [x[1] for x in now], flat.T.ravel()]).astype(np.int64).tobytes()
+
+
+class _Function:
+    """A summary, opened."""
+
+    def __init__(self, blob: bytes, k: int):
+        a = np.frombuffer(blob, np.int64)
+        n = int(a[0])
+        self.k, self.code, self.lf = k, a[1:1 + k], a[1 + k:1 + 2 * k]
+        self.t, self.to, self.to_lf = a[1 + 2 * k:].reshape(3, n)
+
+    def apply(self, code: np.ndarray, lf: np.ndarray, timeout: int) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states of entry states."""
+        shut = code == self.k
+        safe = np.where(shut, 0, code)
+        out, out_lf = self.code[safe], self.lf[safe]
+        top = np.iinfo(np.int64).max
+        fits = lf <= top - timeout              # beyond that no time can reach it
+        at = np.where(fits, np.searchsorted(self.t, np.where(fits, lf, 0) + timeout), len(self.t))
+        back = shut & (at < len(self.t))
+        if len(self.t):
+            at = np.minimum(at, len(self.t) - 1)
+            out, out_lf = np.where(back, self.to[at], out), np.where(back, self.to_lf[at], out_lf)
+        stays = shut & ~back
+        return np.where(stays, self.k, out), np.where(stays, lf, out_lf)
+
+
+def _composed(f: _Function, g: _Function, timeout: int) -> _Function:
+    """``g`` after ``f``. An OPEN entry that ``f`` lets pass meets the breakpoints of ``g`` beyond those of ``f``."""
+    out = _Function.__new__(_Function)
+    out.k = f.k
+    out.code, out.lf = g.apply(f.code, f.lf, timeout)
+    later = slice(int(np.searchsorted(g.t, f.t[-1], side="right")) if len(f.t) else 0, None)
+    to, to_lf = g.apply(f.to, f.to_lf, timeout)
+    t, to, to_lf = (np.concatenate(x) for x in ((f.t, g.t[later]), (to, g.to[later]), (to_lf, g.to_lf[later])))
+    last = np.ones(len(t), bool)
+    last[:-1] = (to[1:] != to[:-1]) | (to_lf[1:] != to_lf[:-1])
+    out.t, out.to, out.to_lf = t[last], to[last], to_lf[last]
+    return out
+
+
+def _function_bytes(f: _Function) -> bytes:
+    return np.concatenate([[len(f.t)], f.code, f.lf, f.t, f.to, f.to_lf]).astype(np.int64).tobytes()
+
+
+SCAN_FAN = 16               # summaries in one step of the scan: breakpoints may be as many as the calls of a block
 
 
 def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms,
-                     success_threshold, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     success_threshold, block_rows: int = BLOCK_ROWS, initial: DataFrame | None = None) -> DataFrame:
     fth, timeout, sth = failure_threshold, timeout_ms, success_threshold
     k = fth + sth
     idx = dense_index(calls, seq_col, [sink_col])
     blocked = materialize(idx.withColumn("_blk", F.floor(F.col("_idx") / block_rows).cast("bigint"))
                           .repartition(sink_col, "_blk"))
-    exit_t = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("lf", T.LongType())])
-    bp_t = T.StructType([T.StructField("m", T.LongType()), T.StructField("code", T.IntegerType()),
-                         T.StructField("lf", T.LongType())])
-    sum_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()),
-                               T.StructField("exits", T.ArrayType(exit_t)), T.StructField("bps", T.ArrayType(bp_t))])
+    sum_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()), T.StructField("summary", T.BinaryType())])
 
     def summarize(table: pa.Table) -> pa.Table:
         table = table.sort_by("_idx")
-        ts = table.column(t_col).to_numpy(zero_copy_only=False).astype("int64")
-        oks = table.column(ok_col).to_numpy(zero_copy_only=False)
-        exits, bps = _summarize(ts, oks, fth, timeout, sth)
-        exit_pa = pa.struct([("code", pa.int32()), ("lf", pa.int64())])
-        bp_pa = pa.struct([("m", pa.int64()), ("code", pa.int32()), ("lf", pa.int64())])
-        return pa.table([
-            table.column(sink_col).slice(0, 1),
-            pa.array([table.column("_blk")[0].as_py()], pa.int64()),
-            pa.array([[{"code": c, "lf": lf} for c, lf in exits]], pa.list_(pa.field("element", exit_pa))),
-            pa.array([[{"m": m, "code": c, "lf": lf} for m, c, lf in bps]], pa.list_(pa.field("element", bp_pa))),
-        ], names=[sink_col, "_blk", "exits", "bps"])
+        blob = _summarize(table.column(t_col).to_pylist(), table.column(ok_col).to_pylist(), fth, timeout, sth)
+        return pa.table([table.column(sink_col).slice(0, 1), pa.array([table.column("_blk")[0].as_py()], pa.int64()),
+                         pa.array([blob], pa.binary())], names=[sink_col, "_blk", "summary"])
+
+    def combine(blobs: list[bytes]) -> bytes:
+        out = _Function(blobs[0], k)
+        for b in blobs[1:]:
+            out = _composed(out, _Function(b, k), timeout)
+        return _function_bytes(out)
+
+    def advance(state: bytes, blob: bytes) -> bytes:
+        code, lf = (np.array([int(x)], np.int64) for x in state.split(b","))
+        code, lf = _Function(blob, k).apply(code, lf, timeout)
+        return b"%d,%d" % (code[0], lf[0])
 
     summaries = blocked.select(sink_col, "_blk", "_idx", t_col, ok_col) \
         .groupBy(sink_col, "_blk").applyInArrow(summarize, schema=sum_schema)
-    if "_i_state" in calls.columns:
-        first = blocked.select(sink_col, "_i_state", "_i_fc", "_i_sc", "_i_lf").dropDuplicates([sink_col])
-        summaries = join_checked(summaries, first, on=[sink_col], how="left")
-
-    entry_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()),
-                                 T.StructField("_entry_code", T.IntegerType()),
-                                 T.StructField("_entry_lf", T.LongType())])
-
-    def chain(batch: pa.RecordBatch, st: dict) -> pa.RecordBatch:
-        sinks, blks = batch.column(sink_col).to_pylist(), batch.column("_blk").to_pylist()
-        exits_l, bps_l = batch.column("exits").to_pylist(), batch.column("bps").to_pylist()
-        key, code, lf = st.get("key", object()), st.get("code", 0), st.get("lf", 0)
-        out_c, out_lf = [], []
-        for i, (sk, exits, bps) in enumerate(zip(sinks, exits_l, bps_l)):
-            if sk != key:
-                key = sk
-                init = _initial_of(batch, i)
-                if init is None:
-                    code, lf = 0, 0
-                else:
-                    c0 = _code_of(init[0], init[1], init[2], fth)
-                    code, lf = (k if c0 < 0 else c0), init[3]
-            out_c.append(code)
-            out_lf.append(lf)
-            if code < k:
-                ex = exits[code]
-                code, lf = ex["code"], ex["lf"]
-            else:
-                x = lf + timeout
-                ms = [b["m"] for b in bps]
-                pos = bisect.bisect_left(ms, x)
-                if pos < len(bps):
-                    code, lf = bps[pos]["code"], bps[pos]["lf"]
-        st.update(key=key, code=code, lf=lf)
-        return pa.RecordBatch.from_arrays([batch.column(sink_col), batch.column("_blk"),
-                                           pa.array(out_c, pa.int32()), pa.array(out_lf, pa.int64())],
-                                          names=[sink_col, "_blk", "_entry_code", "_entry_lf"])
-
-    entries = ordered_fold(summaries, [sink_col], ["_blk"], chain, entry_schema)
-    with_entry = join_checked(blocked, entries, on=[sink_col, "_blk"], how="inner")
+    starts = None if initial is None else initial.select(F.col("sink").alias(sink_col), _entry_bytes(initial, fth, sth).alias("entry"))
+    entries = block_entries(summaries, [sink_col], "_blk", "summary", combine, advance, b"0,0", starts, SCAN_FAN)
+    entries = entries.select(F.col(sink_col).alias("_e_sink"), F.col("idx").alias("_e_blk"), F.col("entry").alias("_entry"))
+    with_entry = join_checked(blocked, entries, on=F.col(sink_col).eqNullSafe(F.col("_e_sink")) & (F.col("_blk") == F.col("_e_blk")),
+                              how="inner").drop("_e_sink", "_e_blk")
     out_schema = T.StructType([f for f in calls.schema.fields] + _out_fields())
     names = [f.name for f in out_schema.fields]
 
     def simulate(table: pa.Table) -> pa.Table:
         table = table.sort_by("_idx")
-        code = int(table.column("_entry_code")[0].as_py())
-        lf = int(table.column("_entry_lf")[0].as_py())
+        code, lf = (int(x) for x in table.column("_entry")[0].as_py().split(b","))
         s, fc, sc = _state_of(code, fth, sth)
         ts = table.column(t_col).to_pylist()
         oks = table.column(ok_col).to_pylist()
@@ -331,7 +322,7 @@ def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure
             states.append(s)
             fcs.append(fc)
             scs.append(sc)
-            lfs.append(lf)
+            lfs.append(lf if s == OPEN else 0)
         table = table.append_column("allowed", pa.array(allowed, pa.bool_())) \
             .append_column("state", pa.array(states, pa.string())) \
             .append_column("failure_count", pa.array(fcs, pa.int32())) \

@@ -29,11 +29,15 @@ evicted, which is exactly first-arrival dedup per shard (checked with an
 aggregate, fully parallel).  Otherwise the rows are cut into blocks of B in
 seq order and replayed speculatively in parallel: each block starts from an
 empty FIFO at the beginning of a halo of the previous H >= 2N rows and records
-a hash of its FIFO at its own first row and after its last row.  Block 0 is
-exact; block j is exact when its start hash equals block j-1's end hash, so
-if every boundary agrees all decisions are exact.  A mismatch anywhere falls
-back to the streamed ordered fold (one key's rows streamed, FIFO as the only
-state), so the result is exact either way.
+a hash of its FIFO at its own first row and after its last row, and the FIFO
+itself.  Block 0 is exact; block j is exact when its start hash equals block
+j-1's end hash and that block is exact.  Mismatched blocks are replayed from
+their predecessor's FIFO until every boundary agrees: all of them in the first
+rounds, then the first of each shard, which a round makes exact.  So the work is
+bounded by a few replays of every block, and no task ever holds more than one
+block and one FIFO.  Where FIFOs from different histories never meet (they need
+not), the rounds follow each other along the blocks: the problem is sequential
+there, its data are not moved.
 """
 
 from __future__ import annotations
@@ -51,7 +55,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators.dedup import dedup_first
-from keelson.operators.order import dense_index, previous_seq, require_seq
+from keelson.operators.order import (ROWS_PER_RANGE, dense_index, join_ranges, previous_seq, range_count, range_offsets,
+                                     range_table, require_seq)
 from keelson.plans.fold import ordered_fold
 from keelson.plans.joins import (fits_broadcast, join_checked, materialize, materialize_counted,
                                  materialize_observed, materialize_small)
@@ -61,25 +66,32 @@ from keelson.schema import DEDUP_LAST_N, DEDUP_TTL_MS
 
 def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t", id_col: str = "event_id",
                    seq_col: str = "seq", out_col: str = "dedup_ok", max_key_rows: int = 1_000_000,
-                   block_rows: int = 65536, method: str = "auto") -> DataFrame:
+                   block_rows: int = 65536, method: str = "auto", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Q2; ``method`` picks the epoch-boundary step: "auto" (streamed fold up to
     ``FOLD_MAX_CANDIDATES`` candidates, else the parallel chain), "fold" or "chain"."""
     require_seq(df, seq_col)
     c = F.col
-    base, seen = materialize_observed(previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows),
-                                      "prev", n=F.count(F.lit(1)))
-    n = int(seen["n"])
+    n = df.count()
+    prev = previous_seq(df, [id_col], seq_col, "_prev", max_key_rows=max_key_rows)
+    # one range partitioning by seq serves the scans and the index
+    if range_count(n, rows_per_range) == 1:
+        base = materialize(dense_index(prev, seq_col, n_rows=n, rows_per_range=rows_per_range), "prev") \
+            .withColumn("_rng", F.lit(0).cast("long"))
+    else:
+        base = range_table(prev, seq_col, n, rows_per_range)
+        base = join_ranges(base, range_offsets(base), range_count(n, rows_per_range)) \
+            .withColumn("_idx", c("_off") + c("_pos")).drop("_off", "_pos")
     first_t = F.when(c("_prev").isNull(), c(t_col))
-    scanned = running_max(base.withColumn("_ft", first_t), "_ft", seq_col, "_g", inclusive=False, n_rows=n)
-    rows = materialize(dense_index(scanned.drop("_ft"), seq_col, n_rows=n)
-                       .withColumn("_blk", F.floor(c("_idx") / block_rows).cast("bigint")))
+    scanned = running_max(base.withColumn("_ft", first_t), "_ft", seq_col, "_g", inclusive=False, n_rows=n,
+                          rows_per_range=rows_per_range)
+    rows = materialize(scanned.drop("_ft").withColumn("_blk", F.floor(c("_idx") / block_rows).cast("bigint")))
     _require_times_in_order(rows, t_col)
     # candidates: rows >= ttl after the latest first-ever occurrence; the first row starts epoch 0
     cand = rows.where(c("_g").isNull() | (c(t_col) - c("_g") >= ttl_ms)).select(
         c("_idx").alias("_cidx"), c(seq_col).alias("_cseq"), c(t_col).alias("_ct"),
         c("_g").isNull().alias("_start"))
     cand, n_cand = materialize_counted(cand)
-    pmin = _window_min_prev(rows, cand, t_col, ttl_ms, block_rows, n, n_cand)
+    pmin = _window_min_prev(rows.drop("_rng"), cand, t_col, ttl_ms, block_rows, n, n_cand)
 
     schema = T.StructType([T.StructField("_bseq", T.LongType(), False)])
 
@@ -106,9 +118,9 @@ def dedup_idle_ttl(df: DataFrame, ttl_ms: int = DEDUP_TTL_MS, t_col: str = "t",
     flagged = join_checked(rows, marks, on=rows[seq_col] == c("_bseq"), how="left",
                            already_checked=fits_broadcast(n_cand, marks))
     flagged = flagged.withColumn("_bmark", F.when(c("_is_b"), c(seq_col))).drop("_bseq", "_is_b")
-    epochs = running_max(flagged, "_bmark", seq_col, "epoch_start", inclusive=True, n_rows=n)
+    epochs = running_max(flagged, "_bmark", seq_col, "epoch_start", inclusive=True, n_rows=n, rows_per_range=rows_per_range)
     ok = c("_prev").isNull() | (c("_prev") < c("epoch_start"))
-    return epochs.withColumn(out_col, ok).drop("_prev", "_g", "_bmark", "_idx", "_blk")
+    return epochs.withColumn(out_col, ok).drop("_prev", "_g", "_bmark", "_idx", "_blk", "_rng")
 
 
 def _require_times_in_order(rows: DataFrame, t_col: str) -> None:
@@ -282,7 +294,7 @@ def _window_min_prev(rows: DataFrame, cand: DataFrame, t_col: str, ttl_ms: int,
 def dedup_last_n(df: DataFrame, n: int = DEDUP_LAST_N, shard_cols: Sequence[str] = (),
                  id_col: str = "event_id", seq_col: str = "seq", out_col: str = "dedup_ok",
                  method: str = "auto", block_rows: int | None = None, halo_rows: int | None = None) -> DataFrame:
-    """Q3; ``method`` is "auto" (fast path, else speculative blocks), "blocks" or "fold"."""
+    """Q3; ``method`` is "auto" (first arrivals while nothing can be evicted, else blocks) or "blocks"."""
     require_seq(df, seq_col)
     shards = list(shard_cols)
     if method == "auto":
@@ -291,12 +303,7 @@ def dedup_last_n(df: DataFrame, n: int = DEDUP_LAST_N, shard_cols: Sequence[str]
         worst = distinct_ids.agg(F.max("_ids").alias("m")).first()["m"] or 0
         if worst <= n:
             return dedup_first(df, id_col=[*shards, id_col], seq_col=seq_col, out_col=out_col)
-        method = "blocks"
-    if method == "blocks":
-        out = _last_n_speculative(df, n, shards, id_col, seq_col, out_col, block_rows, halo_rows)
-        if out is not None:
-            return out
-    return _last_n_fold(df, n, shards, id_col, seq_col, out_col)
+    return _last_n_blocks(df, n, shards, id_col, seq_col, out_col, block_rows, halo_rows)
 
 
 def _fifo_hash(fifo) -> int:
@@ -307,80 +314,112 @@ def _fifo_hash(fifo) -> int:
     return int.from_bytes(h.digest(), "big", signed=True)
 
 
-def _last_n_speculative(df: DataFrame, n: int, shards: list[str], id_col: str, seq_col: str, out_col: str,
-                        block_rows: int | None, halo_rows: int | None) -> DataFrame | None:
+# every mismatched block is replayed again in the first rounds; then only the first one of each shard, which a round makes exact
+EAGER_ROUNDS = 3
+
+
+def _last_n_blocks(df: DataFrame, n: int, shards: list[str], id_col: str, seq_col: str, out_col: str,
+                   block_rows: int | None, halo_rows: int | None) -> DataFrame:
+    """Blocks replayed in parallel, and again from their predecessor's FIFO until every boundary agrees."""
+    c = F.col
     halo = halo_rows if halo_rows is not None else 2 * n
     block = block_rows if block_rows is not None else max(4 * halo, 1_000_000)
     if halo > block:
         raise ValueError("halo_rows must not exceed block_rows")
-    idx = dense_index(df, seq_col, shards)
-    blk = F.floor(F.col("_idx") / block).cast("bigint")
-    in_halo = (F.col("_idx") % block) >= (block - halo)
-    targets = F.when(in_halo & F.lit(halo > 0), F.array(blk, blk + 1)).otherwise(F.array(blk))
-    spread = idx.withColumn("_blk", F.explode(targets)).withColumn("_own", F.col("_blk") == blk) \
-        .repartition(*shards, "_blk")
-    out_schema = T.StructType([f for f in spread.schema.fields if f.name != "_own"] + [
-        T.StructField(out_col, T.BooleanType(), False), T.StructField("_h0", T.LongType(), False),
-        T.StructField("_h1", T.LongType(), False)])
-    names = [f.name for f in out_schema.fields]
-
-    def replay(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_idx", "ascending"), ("_own", "ascending")])
+    idx = dense_index(df, seq_col, shards).withColumn("_blk", F.floor(c("_idx") / block).cast("bigint"))
+    # in block order, so that a filter on blocks skips row groups
+    blocked = materialize(idx.repartition(*shards, "_blk").sortWithinPartitions("_blk", *shards), "fifo-rows")
+    in_halo = (c("_idx") % block) >= (block - halo)
+    targets = F.when(in_halo & F.lit(halo > 0), F.array(c("_blk"), c("_blk") + 1)).otherwise(F.array("_blk"))
+    spread = blocked.withColumn("_to", F.explode(targets)).withColumn("_own", c("_to") == c("_blk")) \
+        .drop("_blk").withColumnRenamed("_to", "_blk")
+    id_type = df.schema[id_col].dataType
+    own = [f for f in blocked.schema.fields]
+    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in own] + [
+        T.StructField(out_col, T.BooleanType()), T.StructField("_h0", T.LongType()), T.StructField("_h1", T.LongType()),
+        T.StructField("_fifo", T.ArrayType(id_type))])
+    names = [f.name for f in own]
+
+    def replayed(table: pa.Table, entry) -> pa.Table:
+        """Rows of one block with their flags, and a last row with the block's FIFO hashes and its FIFO at the end. A halo (rows that
+        are not the block's own) is replayed before the entry hash is taken."""
+        table = table.sort_by([("_idx", "ascending"), *([("_own", "ascending")] if "_own" in table.column_names else [])])
         ids = table.column(id_col).to_pylist()
-        own = table.column("_own").to_pylist()
-        fifo, seen, flags = deque(), set(), []
-        h0 = None
-        for i, mine in zip(ids, own):
-            if mine and h0 is None:
+        mine = table.column("_own").to_pylist() if "_own" in table.column_names else [True] * len(ids)
+        fifo, flags, h0 = deque(entry), [], None
+        seen = set(fifo)
+        for i, here in zip(ids, mine):
+            if here and h0 is None:
                 h0 = _fifo_hash(fifo)
-            if i in seen:
-                flags.append(False)
-                continue
-            seen.add(i)
-            fifo.append(i)
-            if len(fifo) > n:
-                seen.discard(fifo.popleft())
-            flags.append(True)
-        h1 = _fifo_hash(fifo)
-        table = table.append_column(out_col, pa.array(flags, pa.bool_()))
-        table = table.filter(table.column("_own"))
+            fresh = i not in seen
+            if fresh:
+                seen.add(i)
+                fifo.append(i)
+                if len(fifo) > n:
+                    seen.discard(fifo.popleft())
+            flags.append(fresh)
+        table = table.append_column(out_col, pa.array(flags, pa.bool_())).filter(pa.array(mine))
+        if not table.num_rows:                              # a halo without a block: the rows of the last one
+            return _no_rows(table)
+        whole = pa.array(list(fifo), table.schema.field(id_col).type)
+        end = {k: table.column(k).slice(0, 1).combine_chunks() for k in (*shards, "_blk")}
         k = table.num_rows
-        table = table.append_column("_h0", pa.array(np.full(k, h0 if h0 is not None else 0), pa.int64())) \
-            .append_column("_h1", pa.array(np.full(k, h1), pa.int64()))
-        return table.select(names)
-
-    done = materialize(spread.groupBy(*shards, "_blk").applyInArrow(replay, schema=out_schema))
-    summary = done.select(*shards, "_blk", "_h0", "_h1").distinct()
-    w = Window.partitionBy(*shards).orderBy("_blk") if shards else Window.orderBy("_blk")
-    bad = summary.withColumn("_prev_h1", F.lag("_h1").over(w)) \
-        .where(F.col("_prev_h1").isNotNull() & (F.col("_prev_h1") != F.col("_h0"))).limit(1).count()
-    if bad:
-        return None
-    return done.drop("_idx", "_blk", "_h0", "_h1")
-
-
-def _last_n_fold(df: DataFrame, n: int, shards: list[str], id_col: str, seq_col: str, out_col: str) -> DataFrame:
-
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.BooleanType(), False)])
-
-    def step(batch: pa.RecordBatch, st: dict) -> pa.RecordBatch:
-        ids = batch.column(id_col).to_pylist()
-        keys = list(zip(*(batch.column(s).to_pylist() for s in shards))) if shards else [()] * batch.num_rows
-        flags = []
-        key, fifo, seen = st.get("key", object()), st.get("fifo"), st.get("seen")
-        for k, i in zip(keys, ids):
-            if k != key:
-                key, fifo, seen = k, deque(), set()
-            if i in seen:
-                flags.append(False)
-                continue
-            seen.add(i)
-            fifo.append(i)
-            if len(fifo) > n:
-                seen.discard(fifo.popleft())
-            flags.append(True)
-        st.update(key=key, fifo=fifo, seen=seen)
-        cols = [batch.column(j) for j in range(batch.num_columns)] + [pa.array(flags, pa.bool_())]
-        return pa.RecordBatch.from_arrays(cols, names=list(batch.schema.names) + [out_col])
-
-    return ordered_fold(df, shards, [seq_col], step, schema)
+        kind = pa.list_(whole.type)
+        parts = [pa.chunked_array([*table.column(f).chunks, *(_chunks(end[f]) if f in end else [pa.nulls(1, table.schema.field(f).type)])])
+                 for f in names]
+        return pa.table([*parts, pa.chunked_array([*table.column(out_col).chunks, pa.nulls(1, pa.bool_())]),
+                         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array([h0], pa.int64())]),
+                         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array([_fifo_hash(fifo)], pa.int64())]),
+                         pa.concat_arrays([pa.nulls(k, kind), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)])],
+                        names=[f.name for f in out_schema.fields])
+
+    def _chunks(a):
+        return a.chunks if isinstance(a, pa.ChunkedArray) else [a]
+
+    def _no_rows(table):
+        kinds = {f.name: f.type for f in table.schema}
+        kinds |= {"_h0": pa.int64(), "_h1": pa.int64(), "_fifo": pa.list_(table.schema.field(id_col).type)}
+        return pa.table([pa.array([], kinds[f.name]) for f in out_schema.fields], names=[f.name for f in out_schema.fields])
+
+    def again(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        return replayed(rows, entry.column("_entry")[0].as_py())
+
+    keys = [*shards, "_blk"]
+    rounds = [materialize(spread.groupBy(*keys).applyInArrow(lambda t: replayed(t, ()), schema=out_schema), "fifo-round")]
+    while True:
+        found = None
+        for r, rows in enumerate(rounds):
+            ends = rows.where("_fifo IS NOT NULL").select(*keys, F.lit(r).alias("_round"), "_h0", "_h1")
+            found = ends if found is None else found.unionByName(ends)
+        latest = materialize(found.groupBy(*keys).agg(F.max_by(F.struct("_round", "_h0", "_h1"), "_round").alias("_l"))
+                             .select(*keys, "_l.*"), "fifo-ends")
+        before = latest.select(*[c(k).alias(f"_p_{k}") for k in shards], (c("_blk") + 1).alias("_p__blk"), c("_h1").alias("_p_h1"),
+                               c("_round").alias("_p_round"))
+        same = [c(k).eqNullSafe(c(f"_p_{k}")) for k in keys]
+        dirty = latest.join(before, same).where(c("_h0") != c("_p_h1")).select(*keys, "_p_round")
+        if len(rounds) > EAGER_ROUNDS:
+            first = dirty.groupBy(*[c(k).alias(f"_p_{k}") for k in shards]).agg(F.min("_blk").alias("_p__blk"))
+            dirty = dirty.join(first, same).select(*keys, "_p_round") if shards else \
+                dirty.join(F.broadcast(first), same).select(*keys, "_p_round")
+        dirty = materialize(dirty, "fifo-dirty")
+        if dirty.isEmpty():
+            break
+        entries = None
+        for r, rows in enumerate(rounds):
+            ends = rows.where("_fifo IS NOT NULL").select(*[c(k).alias(f"_p_{k}") for k in shards], (c("_blk") + 1).alias("_p__blk"),
+                                                          c("_fifo").alias("_entry"))
+            one = dirty.where(c("_p_round") == r).join(ends, same).select(*keys, "_entry")
+            entries = one if entries is None else entries.unionByName(one)
+        rows = blocked
+        few = dirty.select("_blk").distinct().limit(101).collect()          # at most 101 numbers, to skip other row groups
+        if len(few) <= 100:
+            rows = rows.where(c("_blk").isin([r[0] for r in few]))
+        marks = dirty.select(*[c(k).alias(f"_p_{k}") for k in keys])
+        rows = rows.join(marks, same, "left_semi")
+        rounds.append(materialize(rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(again, schema=out_schema), "fifo-round"))
+    out = None
+    last = latest.select(*[c(k).alias(f"_p_{k}") for k in keys], c("_round").alias("_p_round"))
+    for r, rows in enumerate(rounds):
+        one = rows.where("_fifo IS NULL").join(last.where(c("_p_round") == r), same, "left_semi")
+        out = one if out is None else out.unionByName(one)
+    return out.select(*df.columns, out_col)

@@ -1,101 +1,101 @@
-"""Order helpers: every order-dependent operator takes an explicit ``seq``.
+"""Order helpers: every order-dependent operator takes an explicit order, one column (``seq``) or several.
 
-``dense_index`` numbers rows 0..n-1 in ``seq`` order (per ``partition_cols``)
-without a single-task global sort:
+``dense_index`` numbers rows 0..n-1 in that order (per ``partition_cols``) without a single-task sort:
 
-1. split the ``seq`` domain into K ranges at approximate quantiles, so each
-   range holds about the same number of rows however the values cluster;
-2. count rows per (partition, range) - a table of at most (#partitions x K)
-   rows - and turn the counts into running offsets;
-3. number rows inside each range with ``row_number`` and add the offset.
+1. ``range_table`` range-partitions the rows by (partition columns, order columns) into K = n / ``rows_per_range`` ranges, sorts each, and writes
+   them once with the range and the position in it. Both are stored, so later readers agree on them whatever is recomputed;
+2. rows are counted per range - K numbers - and turned into running offsets;
+3. a row's index is its range's offset plus its position, less the first index of its partition key.
 
-Step 3 is one hash exchange on the range id; each task sorts about n/K rows.
+One exchange moves the rows. Spark samples the range bounds; equal values share a range. A hot partition key spreads over as many ranges as its rows
+need. Row numbers within a range take 33 bits, so a range holds at most 8 * 10^9 rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.plans.joins import join_checked
+from keelson.plans.joins import BROADCAST_MAX_ROWS, join_checked, materialize
 
 ROWS_PER_RANGE = 1_000_000
-# The quantile sketch needs relative error ~1/(20K); 50,000 ranges keep it near
-# 10^-6 (about a million sketch entries per task).  Beyond 5 * 10^10 rows the
-# ranges grow instead (2 * 10^7 narrow rows per range at 10^12 rows; sorts spill).
-MAX_RANGES = 50_000
 
 
-def require_seq(df: DataFrame, seq_col: str) -> None:
-    if seq_col not in df.columns:
-        raise ValueError(f"order-dependent operator needs a total-order column '{seq_col}'")
+def order_columns(seq_col: str | Sequence[str]) -> list[str]:
+    return [seq_col] if isinstance(seq_col, str) else list(seq_col)
 
 
-def checked_seq(df: DataFrame, seq_col: str) -> DataFrame:
-    """``df`` with a ``seq_col`` that raises on NULL: such a row has no place in the order, at any input size."""
+def require_seq(df: DataFrame, seq_col: str | Sequence[str]) -> None:
+    for c in order_columns(seq_col):
+        if c not in df.columns:
+            raise ValueError(f"order-dependent operator needs a total-order column '{c}'")
+
+
+def checked_seq(df: DataFrame, seq_col: str | Sequence[str]) -> DataFrame:
+    """``df`` with order columns that raise on NULL: such a row has no place in the order, at any input size."""
     require_seq(df, seq_col)
-    kind = df.schema[seq_col].dataType
-    missing = F.raise_error(F.lit(f"NULL in order column '{seq_col}'")).cast(kind)
-    return df.withColumn(seq_col, F.when(F.col(seq_col).isNull(), missing).otherwise(F.col(seq_col)))
+    for c in order_columns(seq_col):
+        missing = F.raise_error(F.lit(f"NULL in order column '{c}'")).cast(df.schema[c].dataType)
+        df = df.withColumn(c, F.when(F.col(c).isNull(), missing).otherwise(F.col(c)))
+    return df
 
 
-def range_splits(df: DataFrame, seq_col: str, n_rows: int,
-                 rows_per_range: int = ROWS_PER_RANGE) -> list[float] | None:
-    """Split points of ~``rows_per_range`` rows each (approximate quantiles), or None for one range.
+def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    return max(1, -(-n_rows // max(1, rows_per_range)))
 
-    Splits taken on a superset stay valid for any subset (each range only shrinks),
-    so callers compute them once on the input and reuse them downstream.
-    """
-    k = min(MAX_RANGES, max(1, -(-n_rows // max(1, rows_per_range))))
-    if k == 1:
-        return None
-    probs = [i / k for i in range(1, k)]
-    qs = df.approxQuantile(seq_col, probs, 1.0 / (20 * k))
-    return [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
-
-
-def seq_ranges(df: DataFrame, seq_col: str, n_rows: int,
-               rows_per_range: int = ROWS_PER_RANGE, splits: list[float] | None | str = "compute") -> DataFrame:
-    """Add ``_rng``: the index of the seq range holding each row."""
-    if isinstance(splits, str):
-        splits = range_splits(df, seq_col, n_rows, rows_per_range)
-    df = checked_seq(df, seq_col)
-    if splits is None:
-        return df.withColumn("_rng", F.lit(0))
-    tmp = df.withColumn("_seq_d", F.col(seq_col).cast("double"))
-    b = Bucketizer(splits=splits, inputCol="_seq_d", outputCol="_rng_d")
-    return b.transform(tmp).withColumn("_rng", F.col("_rng_d").cast("int")).drop("_seq_d", "_rng_d")
-
-
-def dense_index(df: DataFrame, seq_col: str = "seq", partition_cols: Sequence[str] = (),
-                n_rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE,
-                out_col: str = "_idx", splits: list[float] | None | str = "compute") -> DataFrame:
-    """Add a 0-based dense index in ``seq`` order within ``partition_cols``."""
+
+def range_table(df: DataFrame, seq_col: str | Sequence[str], n_rows: int, rows_per_range: int = ROWS_PER_RANGE,
+                partition_cols: Sequence[str] = ()) -> DataFrame:
+    """The rows in range partitions of (``partition_cols``, order), written once, with ``_rng`` (ranges count from 0 in order; some may be
+    empty) and ``_pos`` (from 0 in each range)."""
+    cols = [*partition_cols, *order_columns(seq_col)]
+    ranges = checked_seq(df, seq_col).repartitionByRange(range_count(n_rows, rows_per_range), *cols).sortWithinPartitions(*cols)
+    written = materialize(ranges.withColumn("_mark", F.monotonically_increasing_id()), "ranges")
+    return written.withColumns({"_rng": F.shiftright("_mark", 33), "_pos": F.col("_mark").bitwiseAND((1 << 33) - 1)}).drop("_mark")
+
+
+def seq_ranges(df: DataFrame, seq_col: str | Sequence[str], n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add ``_rng``: the index of the range holding each row. Rows that carry it already keep it."""
+    if "_rng" in df.columns:
+        return df
+    if range_count(n_rows, rows_per_range) == 1:
+        return checked_seq(df, seq_col).withColumn("_rng", F.lit(0).cast("long"))
+    return range_table(df, seq_col, n_rows, rows_per_range).drop("_pos")
+
+
+def range_offsets(ranged: DataFrame) -> DataFrame:
+    """(``_rng``, ``_off``): rows in earlier ranges; one row per range."""
+    counts = ranged.groupBy("_rng").agg(F.count(F.lit(1)).alias("_cnt"))
+    return counts.select("_rng", (F.sum("_cnt").over(Window.orderBy("_rng")) - F.col("_cnt")).alias("_off"))
+
+
+def join_ranges(ranged: DataFrame, per_range: DataFrame, k: int) -> DataFrame:
+    """Rows with a value of their range; ``per_range`` has at most ``k`` rows, known before the plan runs."""
+    return ranged.join(F.broadcast(per_range) if k <= BROADCAST_MAX_ROWS else per_range, "_rng")
+
+
+def dense_index(df: DataFrame, seq_col: str | Sequence[str] = "seq", partition_cols: Sequence[str] = (),
+                n_rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE, out_col: str = "_idx") -> DataFrame:
+    """Add a 0-based dense index in order within ``partition_cols`` (NULL keys are one partition). ``n_rows`` may be an upper bound."""
     require_seq(df, seq_col)
     pcols = list(partition_cols)
     if n_rows is None:
         n_rows = df.count()
-    if n_rows <= rows_per_range or splits is None:
+    if n_rows <= rows_per_range:
         # one range: a single bounded sort (at most rows_per_range rows per partition key)
-        w1 = Window.partitionBy(*pcols).orderBy(seq_col) if pcols else Window.orderBy(seq_col)
-        return checked_seq(df, seq_col).withColumn(out_col, F.row_number().over(w1) - 1)
-    ranged = seq_ranges(df, seq_col, n_rows, rows_per_range, splits)
-    keys = pcols + ["_rng"]
-    counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*pcols).orderBy("_rng") if pcols else Window.orderBy("_rng")
-    offsets = counts.select(*keys, (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_off"))
-    if pcols:
-        with_off = join_checked(ranged, offsets, on=keys, how="inner")
-    else:
-        # at most MAX_RANGES rows, known before the plan runs: a proven bound
-        right = F.broadcast(offsets)
-        with_off = ranged.join(right, on=keys, how="inner")
-    inner = Window.partitionBy(*keys).orderBy(seq_col)
-    return with_off.withColumn(out_col, F.col("_off") + F.row_number().over(inner) - 1) \
-        .drop("_off", "_rng")
+        w = Window.partitionBy(*pcols).orderBy(*order_columns(seq_col)) if pcols else Window.orderBy(*order_columns(seq_col))
+        return checked_seq(df, seq_col).withColumn(out_col, F.row_number().over(w).cast("long") - 1)
+    ranged = range_table(df, seq_col, n_rows, rows_per_range, pcols)
+    indexed = join_ranges(ranged, range_offsets(ranged), range_count(n_rows, rows_per_range)) \
+        .withColumn(out_col, F.col("_off") + F.col("_pos")).drop("_off", "_pos", "_rng")
+    if not pcols:
+        return indexed
+    firsts = indexed.groupBy(*[F.col(c).alias(f"_k_{c}") for c in pcols]).agg(F.min(out_col).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in pcols]
+    return join_checked(indexed, firsts, on=same, how="inner").withColumn(out_col, F.col(out_col) - F.col("_first")) \
+        .drop("_first", *[f"_k_{c}" for c in pcols])
 
 
 def previous_seq(df: DataFrame, key_cols: Sequence[str], seq_col: str = "seq", out_col: str = "_prev",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from keelson.functions.mac import hmac_sha256, signed_message, verify_expr
 from keelson.operators.dedup import dedup_first
 from keelson.operators.drift import drift_filter
-from keelson.operators.order import ROWS_PER_RANGE, range_splits, require_seq
+from keelson.operators.order import ROWS_PER_RANGE, require_seq
 from keelson.plans.joins import materialize
 from keelson.schema import (DRIFT_TOLERANCE_MS, DRIFT_WARMUP, DRIFT_WINDOW, EVENT, KNOWN_PLATFORMS,
                             MAC_BYTES, REASON_DUPLICATE_PREFIX, REASON_HMAC, REASON_WATERMARK,
@@ -96,12 +96,10 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
     flagged = flag_platform(flagged)
     if not keep_payload and "payload" in flagged.columns:
         flagged = flagged.drop("payload")
-    # sizes and seq ranges come from the input: survivors are a subset, so the
-    # ranges stay valid and no extra pass over the dedup result is needed
+    # the input's size bounds that of the survivors: no extra pass over the dedup result is needed
     if n_rows is None:
         n_rows = df.count()
     rpr = drift_kw.pop("rows_per_range", ROWS_PER_RANGE)
-    splits = None if partition_cols else range_splits(df, seq_col, n_rows, rpr)
     if dedup is dedup_first:
         flagged, map_only = dedup_first(flagged, seq_col=seq_col, with_plan_info=True)
     else:
@@ -114,8 +112,7 @@ def quality_verdict(df: DataFrame, secret: str | bytes, seq_col: str = "seq",
         .withColumn("window_rows", F.lit(None).cast("int")).withColumn("drift_ok", F.lit(None).cast("boolean"))
     survivors = flagged.where(F.col("dedup_ok"))
     drifted = drift_filter(survivors, "ts", seq_col, window, warmup, tolerance_ms, partition_cols,
-                           n_rows=n_rows, rows_per_range=rpr,
-                           splits=splits if not partition_cols else "compute", **drift_kw)
+                           n_rows=n_rows, rows_per_range=rpr, **drift_kw)
     return verdict_columns(drifted.unionByName(dups))
 
 

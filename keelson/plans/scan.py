@@ -1,9 +1,10 @@
-"""Two-level prefix scans in ``seq`` order without a single-task window.
+"""Prefix scans without a single-task window.
 
-Rows are split into ~equal seq ranges (approximate quantiles); each range is
-reduced to one value, the range values are prefixed on a table of K rows
-(bounded by construction, so it is broadcast), and each range finishes its
-own running value with a window partitioned by range.
+``running_max`` and ``running_sum`` work in ``seq`` order on two levels: rows lie in ~equal ranges (``operators.order``); each range is
+reduced to one value, the range values are prefixed on a table of K rows, and each range finishes its own running value with a window
+partitioned by range. Rows that carry their range (``_rng``) keep it, so several scans over one order share one range partitioning.
+
+``block_entries`` scans any associative function of a state over blocks, on as many levels as the blocks need.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.operators.order import ROWS_PER_RANGE, seq_ranges
+from keelson.operators.order import ROWS_PER_RANGE, join_ranges, range_count, seq_ranges
 
 
 def running_max(df: DataFrame, value_col: str, seq_col: str = "seq", out_col: str = "running_max",
@@ -28,11 +29,11 @@ def running_max(df: DataFrame, value_col: str, seq_col: str = "seq", out_col: st
     totals = ranged.groupBy("_rng").agg(F.max(value_col).alias("_rmax"))
     before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select("_rng", F.max("_rmax").over(before).alias("_pmax"))
-    joined = ranged.join(F.broadcast(prefix), "_rng")
+    joined = join_ranges(ranged, prefix, range_count(n_rows, rows_per_range))
     end = 0 if inclusive else -1
     w = Window.partitionBy("_rng").orderBy(seq_col).rowsBetween(Window.unboundedPreceding, end)
     return joined.withColumn(out_col, F.greatest(F.col("_pmax"), F.max(value_col).over(w))) \
-        .drop("_pmax", "_rng")
+        .drop("_pmax", *([] if "_rng" in df.columns else ["_rng"]))
 
 
 def running_sum(df: DataFrame, value_col: str, order_col: str, out_col: str = "running_sum",
@@ -45,11 +46,11 @@ def running_sum(df: DataFrame, value_col: str, order_col: str, out_col: str = "r
     totals = ranged.groupBy("_rng").agg(F.sum(value_col).alias("_rsum"))
     before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select("_rng", F.coalesce(F.sum("_rsum").over(before), F.lit(0)).alias("_psum"))
-    joined = ranged.join(F.broadcast(prefix), "_rng")
+    joined = join_ranges(ranged, prefix, range_count(n_rows, rows_per_range))
     end = 0 if inclusive else -1
     w = Window.partitionBy("_rng").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
     return joined.withColumn(out_col, F.col("_psum") + F.coalesce(F.sum(value_col).over(w), F.lit(0))) \
-        .drop("_psum", "_rng")
+        .drop("_psum", *([] if "_rng" in df.columns else ["_rng"]))
 
 
 def range_min_table(blocks: DataFrame, pos_col: str, value_col: str, n: int | None = None) -> DataFrame:

@@ -79,3 +79,39 @@ def test_initial_state_continues_replay(spark):
         got = sorted((r.sink, r.seq, r.allowed, r.state, r.failure_count, r.success_count)
                      for r in first.unionByName(second).collect())
         assert got == full, method
+
+
+def test_prefix_scan_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few calls, several levels of the scan, times at the ends of int64: equal to the fold."""
+    from keelson.operators import breaker
+    monkeypatch.setattr(breaker, "SCAN_FAN", 3)
+    rnd = random.Random(31)
+    far = [2**63 - 1, -(2**63), 2**63 - 2000]
+    rows, t = [], 0
+    for i in range(1500):
+        t += rnd.randrange(0, 900)
+        rows.append((rnd.choice(["hot", "hot", "hot", "s1", None]), i, rnd.choice(far) if rnd.random() < 0.01 else t, rnd.random() < 0.5))
+    df = spark.createDataFrame(rows, "sink string, seq bigint, t bigint, ok boolean")
+    for fth, timeout, sth in ((3, 2000, 2), (1, 5000, 1), (4, 0, 3)):
+        kw = dict(failure_threshold=fth, timeout_ms=timeout, success_threshold=sth)
+        blocks = breaker_timeline(df, method="blocks", block_rows=7, **kw)
+        fold = breaker_timeline(df, method="fold", **kw)
+        assert {tuple(r) for r in blocks.collect()} == {tuple(r) for r in fold.collect()}
+
+
+def test_composed_summaries_equal_one_block():
+    from keelson.operators.breaker import _composed, _Function, _summarize
+    import numpy as np
+    rnd = random.Random(5)
+    for _ in range(200):
+        fth, sth, timeout = rnd.randint(1, 4), rnd.randint(1, 3), rnd.choice([0, 3, 10])
+        ts = [rnd.randrange(40) for _ in range(rnd.randint(2, 30))]
+        oks = [rnd.random() < 0.5 for _ in ts]
+        cut, k = rnd.randint(1, len(ts) - 1), fth + sth
+        whole = _Function(_summarize(ts, oks, fth, timeout, sth), k)
+        parts = [_Function(_summarize(a, b, fth, timeout, sth), k) for a, b in ((ts[:cut], oks[:cut]), (ts[cut:], oks[cut:]))]
+        both = _composed(*parts, timeout)
+        code = np.concatenate([np.arange(k), np.full(50, k)])
+        lf = np.concatenate([np.zeros(k), np.arange(50)]).astype(np.int64)
+        a, b = whole.apply(code, lf, timeout), both.apply(code, lf, timeout)
+        assert (a[0] == b[0]).all() and (a[1] == b[1])[a[0] == k].all()

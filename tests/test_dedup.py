@@ -2,7 +2,7 @@ import random
 from collections import deque
 
 from keelson.operators.dedup import dedup_first
-from keelson.operators.dedup_seq import _last_n_speculative, dedup_idle_ttl, dedup_last_n
+from keelson.operators.dedup_seq import _last_n_blocks, dedup_idle_ttl, dedup_last_n
 
 
 def _last_n_model(ids, n):
@@ -89,20 +89,36 @@ def test_last_n_speculative_blocks_vs_model(spark):
     rnd = random.Random(21)
     ids = [f"id{rnd.randrange(400)}" if rnd.random() < 0.5 else f"u{i}" for i in range(4000)]
     df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "event_id string, seq bigint")
-    spec = _last_n_speculative(df, 20, [], "event_id", "seq", "dedup_ok", 300, 60)
-    assert spec is not None                      # every block boundary verified
+    spec = _last_n_blocks(df, 20, [], "event_id", "seq", "dedup_ok", 300, 60)
     assert _flags(spec) == _last_n_model(ids, 20)
 
 
-def test_last_n_speculation_mismatch_falls_back(spark):
-    # a long run of repeats of few ids: a short halo cannot rebuild the FIFO, the fold takes over
+def test_last_n_mismatched_blocks_are_replayed(spark, monkeypatch):
+    """A short halo cannot rebuild the FIFO of a long run of few ids; no task gets the whole table instead."""
+    from pyspark.sql import DataFrame
+    plain = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *cols: _fail() if n == 1 else plain(self, n, *cols))
     ids = [f"id{i % 7}" for i in range(600)] + [f"id{i % 13}" for i in range(600)]
     df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "event_id string, seq bigint")
-    assert _last_n_speculative(df, 10, [], "event_id", "seq", "dedup_ok", 100, 3) is None
     got = _flags(dedup_last_n(df, 10, method="blocks", block_rows=100, halo_rows=3))
     assert got == _last_n_model(ids, 10)
 
 
+def _fail():
+    raise AssertionError("the whole table went to one task")
+
+
+def test_last_n_replays_per_shard(spark):
+    """Shards (a NULL one too) settle on their own; ids may be NULL."""
+    rnd = random.Random(22)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, *(f"id{k}" for k in range(14))]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "shard int, event_id string, seq bigint")
+    got = {r.seq: r.dedup_ok for r in dedup_last_n(df, 10, shard_cols=["shard"], method="blocks", block_rows=90, halo_rows=20).collect()}
+    for shard in (None, 1, 2):
+        mine = [(x, i) for s, x, i in rows if s == shard]
+        assert [got[i] for _, i in mine] == _last_n_model([x for x, _ in mine], 10)
+
+
 def test_idle_ttl_hot_id_path_vs_model(spark):
     rnd = random.Random(33)
     t, rows = 0, []

@@ -13,7 +13,6 @@ from keelson.plans.pipeline import run_batch
 from keelson.session import scratch_path
 from keelson.sources.codec import decode_events, encode_events
 from keelson.sources.ingest import read_event_topic
-from keelson.streaming.ops import interval_stats_stream
 from oracle_check import digest, duck
 
 
@@ -63,22 +62,30 @@ def test_topic_source_fallback_and_decode(spark):
     assert got.select("event_id").distinct().count() == arr.select("event_id").distinct().count()
 
 
-def test_interval_stats_stream_equals_batch(spark):
-    routed = E.queries()["run_batch"](spark, SF_SMALL).where(F.col("stage") != "decode")
-    base = C._arr(spark, SF_SMALL).select("seq", "ts")
-    rows = routed.join(base, "seq").select("seq", "ts", "passed", F.col("effective_path").alias("path"))
-    path = scratch_path(spark, "routed")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    out, ck = scratch_path(spark, "t3-out"), scratch_path(spark, "t3-ck")
-    q = interval_stats_stream(stream, watermark="1 second").writeStream.format("parquet").option("path", out) \
-        .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(out).collect()}
-    exp = rows.groupBy((F.col("ts") - F.pmod("ts", F.lit(5000))).alias("interval_start")).agg(
-        F.count_if("passed").alias("routed"), F.count_if(F.col("passed") & (F.col("path") == "hot")).alias("hot"),
-        F.count_if(F.col("passed") & (F.col("path") == "cold")).alias("cold"),
-        F.count_if(~F.col("passed")).alias("rejected"))
-    exp_rows = {tuple(r) for r in exp.collect()}
-    # append mode emits a window once the watermark passes it; the final windows stay open
-    assert got and got <= exp_rows
+def test_composite_order_over_ranges(spark):
+    """Three order columns, several ranges, a hot partition key and a NULL one."""
+    rnd = random.Random(8)
+    rows = list({(rnd.choice([None, 1, 1, 1, 2]), rnd.randrange(40), rnd.randrange(4), rnd.randrange(10**6)) for _ in range(4000)})
+    df = spark.createDataFrame(rows, "shard int, ts int, part int, off int")
+    got = dense_index(df, ["ts", "part", "off"], ["shard"], rows_per_range=300).collect()
+    for shard in (None, 1, 2):
+        mine = sorted(r[1:] for r in rows if r[0] == shard)
+        assert sorted((r._idx, r.ts, r.part, r.off) for r in got if r.shard == shard) == [(k, *r) for k, r in enumerate(mine)]
+    flat = dense_index(df.na.fill(0), ["ts", "part", "off", "shard"], rows_per_range=500)
+    assert sorted(r._idx for r in flat.collect()) == list(range(len(rows)))
+
+
+def test_many_ranges(spark):
+    """More ranges than rows are asked for: empty ranges count nothing."""
+    df = spark.range(50).select((F.col("id") * 7 % 50).alias("seq"))
+    got = dense_index(df, "seq", n_rows=10_000, rows_per_range=100).collect()
+    assert all(r.seq == r._idx for r in got)
+
+
+def test_idle_ttl_over_ranges(spark):
+    from keelson.operators.dedup_seq import dedup_idle_ttl
+    from keelson.sources.fixtures import idle_arrivals
+    rows = idle_arrivals(spark, SF_SMALL).select("event_id", "seq", "t")
+    whole = {r.seq: r.dedup_ok for r in dedup_idle_ttl(rows).collect()}
+    split = {r.seq: r.dedup_ok for r in dedup_idle_ttl(rows, rows_per_range=150, block_rows=100).collect()}
+    assert split == whole
