@@ -82,7 +82,10 @@ def q_codec(spark, sf):
 
 @query("filter_compatible")
 def q_filter_compatible(spark, sf):
-    return filter_compatible(fx.versions(spark, sf)).select("seq", "schema_version")
+    """The table form: versions seen, with their compatibility, met by a semi join."""
+    rows = fx.versions(spark, sf)
+    table = rows.select(F.col("schema_version").alias("version")).distinct().withColumn("compatible", F.col("version").between(1, 3))
+    return filter_compatible(rows, versions=table).select("seq", "schema_version")
 
 
 @query("union_sources")
@@ -211,6 +214,14 @@ def q_breaker(spark, sf):
     return tl.select("sink", "seq", "allowed", "state", "failure_count", "success_count")
 
 
+@query("breaker_blocks")
+def q_breaker_blocks(spark, sf):
+    """All calls on one hot sink, replayed in blocks whose entry states come from the parallel prefix scan."""
+    calls = fx.outcomes(spark, sf).withColumn("sink", F.lit("hot"))
+    tl = breaker_timeline(calls, failure_threshold=5, timeout_ms=86400000, success_threshold=2, method="blocks", block_rows=256)
+    return tl.select("sink", "seq", "allowed", "state", "failure_count", "success_count")
+
+
 @query("hot_with_fallback")
 def q_fallback(spark, sf):
     return _routed(spark, sf).where("passed").select("seq", "path", "fallback", "effective_path")
@@ -243,22 +254,16 @@ def q_dead_letter(spark, sf):
 
 @query("replay_dead_letter")
 def q_replay(spark, sf):
-    """Cold rows written in 8 batches; batch 3 fails every attempt and is dead-lettered, then replayed."""
-    cold = _effective(spark, sf, "cold").withColumn("_b", F.pmod(F.expr("seq div 2"), F.lit(8)).cast("int"))
+    """Cold rows of 8 batches, written in one job; batch 3 fails every attempt and is dead-lettered, then replayed."""
+    cold = materialize(_effective(spark, sf, "cold").withColumn("_b", F.pmod(F.expr("seq div 2"), F.lit(8)).cast("int")))
     cold_path, dl_path = scratch_path(spark, "cold"), scratch_path(spark, "dead-letter")
 
-    def writer_for(b):
-        def write(rows, attempt):
-            if b == 3:
-                raise IOError("cold store unavailable")
-            write_cold(rows, cold_path, b)
-        return write
+    def down(rows, attempt):
+        raise IOError("cold store unavailable")
 
-    for b in range(8):
-        part = cold.where(F.col("_b") == b).drop("_b")
-        write_with_dead_letter(part, writer_for(b), dl_path, b, pause_s=0.0)
-    table = spark.read.parquet(cold_path)
-    return replay_dead_letter(spark, dl_path, table)
+    write_cold(cold.where("_b <> 3"), cold_path, F.col("_b"))
+    write_with_dead_letter(cold.where("_b = 3"), down, dl_path, 3, pause_s=0.0)
+    return replay_dead_letter(spark, dl_path, spark.read.parquet(cold_path))
 
 
 # ---------------------------------------------------------------- stats
@@ -267,6 +272,20 @@ def q_latency(spark, sf):
     return stats.latency_stats(fx.samples(spark, sf), "latency_us", ["event_type"])
 
 
+SKETCH_ERROR = 0.005
+
+
+@query("latency_sketch")
+def q_latency_sketch(spark, sf):
+    """T1 from sketches of ten batches, merged: every percentile's true rank is within the stated error."""
+    samples = materialize(fx.samples(spark, sf))
+    batches = samples.withColumn("batch", F.pmod("seq", F.lit(10)))
+    merged = stats.merge_latency_sketches(stats.latency_sketch(batches, "latency_us", ["event_type", "batch"]), ["event_type"])
+    found = stats.latency_from_sketch(merged)
+    errors = stats.rank_errors(samples, found, "latency_us", ["event_type"])
+    return errors.select("event_type", "n", "avg", "max", *[(F.col(f"{p}_error") <= SKETCH_ERROR).alias(f"{p}_ok") for p, _, _ in stats.PERCENTILES])
+
+
 @query("throughput")
 def q_throughput(spark, sf):
     return stats.throughput(fx.samples(spark, sf), "t", "latency_us")
@@ -292,7 +311,7 @@ def _arrivals_stream(spark, sf):
     return _seq_stream(spark, _arr(spark, sf))
 
 
-def _seq_stream(spark, rows):
+def _seq_stream(spark, rows, drop: tuple[str, ...] = ()):
     """Rows written as seq-ordered file groups; one group per micro-batch (availableNow)."""
     from keelson.session import default_parallelism
     src = scratch_path(spark, "stream-src")
@@ -301,9 +320,9 @@ def _seq_stream(spark, rows):
     step = top // STREAM_RANGES + 1
     files = default_parallelism(spark)
     for i in range(STREAM_RANGES):
-        part = rows.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step))
+        part = rows.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).drop(*drop)
         part.repartition(files).write.mode("append").parquet(src)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(src)
+    return spark.readStream.schema(rows.drop(*drop).schema).option("maxFilesPerTrigger", files).parquet(src)
 
 
 def _drain(query) -> None:
@@ -312,14 +331,21 @@ def _drain(query) -> None:
         raise query.exception()
 
 
+def _run(spark, writer, name: str) -> None:
+    _drain(writer.option("checkpointLocation", scratch_path(spark, name)).trigger(availableNow=True).start())
+
+
 @query("dedup_stream")
 def q_dedup_stream(spark, sf):
+    from keelson.sinks.writers import _write_partition
     from keelson.streaming.ops import dedup_stream
-    out, ck = scratch_path(spark, "q4-out"), scratch_path(spark, "q4-ck")
-    flagged = dedup_stream(_arrivals_stream(spark, sf).select("event_id", "seq"))
-    _drain(flagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-           .trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    out, state = scratch_path(spark, "q4-out"), scratch_path(spark, "q4-state")
+
+    def sink(rows, batch_id):
+        _write_partition(rows.select("event_id", "seq", "dedup_ok"), out, batch_id)
+
+    _run(spark, dedup_stream(_arrivals_stream(spark, sf).select("event_id", "seq"), sink, state), "q4-ck")
+    return spark.read.parquet(out).select("event_id", "seq", "dedup_ok")
 
 
 @query("drift_stream")
@@ -327,18 +353,28 @@ def q_drift_stream(spark, sf):
     """The window over all micro-batches, each evaluated in parallel blocks."""
     from keelson.sinks.writers import _write_partition
     from keelson.streaming.ops import dedup_stream, drift_micro_batch
-    out, ck, tail = (scratch_path(spark, n) for n in ("q7-out", "q7-ck", "q7-tail"))
+    out, state = scratch_path(spark, "q7-out"), scratch_path(spark, "q7-state")
 
-    def sink(batch, batch_id):
-        kept = materialize(batch).where("dedup_ok").drop("dedup_ok")
-        flagged = drift_micro_batch(kept, batch_id, tail)
+    def sink(rows, batch_id):
+        flagged = drift_micro_batch(rows.where("dedup_ok").drop("dedup_ok"), batch_id, f"{state}/tail")
         _write_partition(flagged.select("event_id", "drift_ok"), out, batch_id)
 
-    flagged = dedup_stream(_arrivals_stream(spark, sf).select("event_id", "ts", "seq"))
-    _drain(flagged.writeStream.foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    _run(spark, dedup_stream(_arrivals_stream(spark, sf).select("event_id", "ts", "seq"), sink, state), "q7-ck")
     return spark.read.parquet(out).select("event_id", "drift_ok")
 
 
+@query("interval_stats_stream")
+def q_interval_stream(spark, sf):
+    """T3 by arrival on a stream of judged rows whose event times are hostile and whose batches overlap in arrival time."""
+    from keelson.streaming.ops import interval_stats_stream, interval_totals
+    judged = _routed(spark, sf).where(F.col("stage") != "decode").select(
+        "seq", "passed", "effective_path", F.when(F.pmod("seq", F.lit(50)) == 0, F.lit(2**62)).otherwise(F.col("ts")).alias("ts"),
+        (F.col("seq") * 100 - F.pmod("seq", F.lit(7)) * 9000).alias("t"))
+    root = scratch_path(spark, "t3")
+    _run(spark, interval_stats_stream(_seq_stream(spark, judged), root, arrived=F.col("t")), "t3-ck")
+    return interval_totals(spark, root)
+
+
 @query("run_stream")
 def q_run_stream(spark, sf):
     """From wire bytes to verdicts, with default arguments: every message in, one verdict out."""
@@ -348,6 +384,16 @@ def q_run_stream(spark, sf):
     return spark.read.parquet(f"{out}/verdict").select("seq", "event_id", "passed", "stage", "reason")
 
 
+@query("stream_counters")
+def q_stream_counters(spark, sf):
+    """Q14, R10 and K9 gathered by the running stream, batch by batch."""
+    from keelson.streaming.ops import run_stream, stream_counters
+    out, ck = scratch_path(spark, "q14-out"), scratch_path(spark, "q14-ck")
+    _drain(run_stream(_seq_stream(spark, _wire(spark, sf)), SECRET, out, ck, available_now=True, wire_col="wire",
+                      hot_write_ok=F.expr(HOT_STORE_UP_SQL)))
+    return stream_counters(spark, out)
+
+
 @query("engine_counters")
 def q_engine_counters(spark, sf):
     """Q14 at engine level: quality counters plus decode failures (wire input with truncated rows)."""
@@ -367,16 +413,17 @@ def q_event_files(spark, sf):
 
 @query("event_topic")
 def q_event_topic(spark, sf):
-    """I1 in its file form: a stream of wire bytes, decoded."""
+    """I1 in its file form: messages with the topic's partition, offset and timestamp, from which the stream makes its order."""
     from keelson.sources.ingest import read_event_topic
-    src, out, ck = (scratch_path(spark, n) for n in ("i1-src", "i1-out", "i1-ck"))
-    wire = materialize(_wire(spark, sf).withColumnRenamed("wire", "value"))
-    wire.write.parquet(src)
-    stream = read_event_topic(spark, "", "", "", fmt="parquet", path=src, schema=wire.schema)
-    decoded = decode_events(stream, "value", keep=("seq",)).select("seq", "decode_ok", "event_id", "ts")
-    _drain(decoded.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-           .trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    from keelson.streaming.ops import run_stream
+    out, ck = scratch_path(spark, "i1-out"), scratch_path(spark, "i1-ck")
+    messages = _wire(spark, sf).select(
+        F.col("wire").alias("value"), F.pmod(F.expr("seq div 2"), F.lit(4)).cast("int").alias("partition"), F.col("seq").alias("offset"),
+        F.timestamp_millis(F.lit(fx.BASE_TS_MS) + F.expr("seq div 8") * 1000).alias("timestamp"), "seq")
+    files = _seq_stream(spark, messages, drop=("seq",))
+    stream = read_event_topic(spark, "", "", "", fmt="parquet", rows=files)
+    _drain(run_stream(stream, SECRET, out, ck, available_now=True, wire_col="value", order_cols=("timestamp", "partition", "offset")))
+    return spark.read.parquet(f"{out}/verdict").select("seq", "event_id", "passed", "stage")
 
 
 @query("split_paths")

@@ -238,6 +238,10 @@ ORACLES: dict[str, str] = {
       SELECT sink, seq, allowed, state, CAST(fc AS INTEGER) AS failure_count,
              CAST(sc AS INTEGER) AS success_count
       FROM bk WHERE rn > 0""",
+    "breaker_blocks": _w(DUCK_OUTCOMES, "one_sink AS (SELECT 'hot' AS sink, seq, t, ok FROM outcomes)", breaker_ctes("one_sink", 5, 86400000, 2)) + """
+      SELECT sink, seq, allowed, state, CAST(fc AS INTEGER) AS failure_count,
+             CAST(sc AS INTEGER) AS success_count
+      FROM bk WHERE rn > 0""",
     "hot_with_fallback": _w(ARR, routed_ctes()) + """
       SELECT seq, path, fallback, effective_path FROM routed""",
     "route_stats": _w(ARR, routed_ctes()) + """
@@ -310,10 +314,42 @@ ORACLES: dict[str, str] = {
       FROM verdict""",
     "event_files": _w(ARR) + """
       SELECT event_id, user_id, platform, event_type, ts, hex(payload) AS payload_hex FROM arrivals""",
-    "event_topic": _w(_WIRE) + """
-      SELECT seq, NOT truncated AS decode_ok, CASE WHEN NOT truncated THEN event_id END AS event_id,
-             CASE WHEN NOT truncated THEN ts END AS ts
-      FROM wire_src""",
+    "event_topic": _w(_WIRE, "decoded AS (SELECT * EXCLUDE (truncated) FROM wire_src WHERE NOT truncated)",
+                      verdict_ctes("decoded")) + """
+      , numbered AS (SELECT seq, truncated, row_number() OVER (ORDER BY seq) - 1 AS place FROM wire_src)
+      SELECT place AS seq, event_id, passed, stage FROM verdict JOIN numbered USING (seq)
+      UNION ALL SELECT place, '', false, 'decode' FROM numbered WHERE truncated""",
+    "stream_counters": _w(_WIRE, "decoded AS (SELECT * EXCLUDE (truncated) FROM wire_src WHERE NOT truncated)",
+                          routed_ctes("decoded")) + """
+      SELECT (SELECT count(*) FROM verdict) AS total, (SELECT count(*) FROM verdict WHERE NOT passed) AS rejected,
+             (SELECT count(*) FROM verdict WHERE stage = 'dedup') AS dedup_rejected,
+             (SELECT count(*) FROM verdict WHERE stage = 'watermark') AS watermark_rejected,
+             (SELECT count(*) FROM verdict WHERE stage = 'hmac') AS hmac_rejected,
+             (SELECT count(*) FROM verdict WHERE passed) AS passed,
+             (SELECT count(*) FROM wire_src WHERE truncated) AS decode_rejected,
+             (SELECT count(*) FROM verdict WHERE NOT passed) + (SELECT count(*) FROM wire_src WHERE truncated) AS engine_rejected,
+             count(*) FILTER (WHERE path = 'hot') AS hot_count, count(*) FILTER (WHERE path = 'cold') AS cold_count,
+             count(*) FILTER (WHERE path = 'hot' AND effective_path = 'cold') AS hot_fallback_cold,
+             count(*) FILTER (WHERE effective_path = 'cold') AS rows_flushed, CAST(0 AS BIGINT) AS rows_dead_lettered
+      FROM routed""",
+    "interval_stats_stream": _w(ARR, routed_ctes(), """
+    allrows AS (SELECT seq, passed, effective_path FROM routed
+                UNION ALL SELECT seq, passed, NULL FROM verdict WHERE NOT passed),
+    arrived AS (SELECT *, seq * 100 - (seq % 7) * 9000 AS t FROM allrows),
+    per AS (SELECT t - ((t % 5000) + 5000) % 5000 AS interval_start,
+                   count(*) FILTER (WHERE passed) AS routed,
+                   count(*) FILTER (WHERE passed AND effective_path = 'hot') AS hot,
+                   count(*) FILTER (WHERE passed AND effective_path = 'cold') AS cold,
+                   count(*) FILTER (WHERE NOT passed) AS rejected
+            FROM arrived GROUP BY 1)""") + """
+      SELECT interval_start, routed, hot, cold, rejected,
+             CAST(sum(routed) OVER w AS BIGINT) AS total_routed, CAST(sum(hot) OVER w AS BIGINT) AS total_hot,
+             CAST(sum(cold) OVER w AS BIGINT) AS total_cold, CAST(sum(rejected) OVER w AS BIGINT) AS total_rejected
+      FROM per WINDOW w AS (ORDER BY interval_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "latency_sketch": _w(DUCK_SAMPLES) + """
+      SELECT event_type, count(*) AS n, round(avg(latency_us), 3) AS avg, max(latency_us) AS max,
+             true AS p50_ok, true AS p95_ok, true AS p99_ok, true AS p999_ok
+      FROM samples WHERE latency_us >= 0 GROUP BY event_type""",
     "split_paths": _w(ARR) + """
       SELECT seq, CASE WHEN event_type IN ('click', 'view', 'purchase', 'add_to_cart') THEN 'hot' ELSE 'cold' END AS branch
       FROM arrivals""",

@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -101,12 +104,51 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(target)
 
 
+_SCOPE = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared checkpoint root."""
-    root = checkpoint_root(spark).rstrip("/")
+    """A fresh folder name under the shared checkpoint root, or under the folder of the ``scratch_scope`` around it."""
+    root = getattr(_SCOPE, "root", None) or checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Scratch folders made inside by this thread lie in ``folder`` and go at the end, after a failure too: for work that repeats, like
+    micro-batches. DataFrames that read them must not outlive the scope."""
+    before = getattr(_SCOPE, "root", None)
+    _SCOPE.root = f"{folder.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    try:
+        yield
+    finally:
+        delete_folder(spark, _SCOPE.root)
+        _SCOPE.root = before
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) of a folder, wherever it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop_path(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    p, fs = hadoop_path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def default_parallelism(spark: SparkSession) -> int:
     try:
         return int(spark.sparkContext.defaultParallelism)

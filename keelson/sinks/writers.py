@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.plans.joins import materialize_small
@@ -47,11 +47,19 @@ def write_hot(df: DataFrame, path: str, batch_id: int | str) -> None:
     _write_partition(hot, path, batch_id)
 
 
-def write_cold(df: DataFrame, path: str, batch_id: int | str,
+def write_cold(df: DataFrame, path: str, batch_id: int | str | Column,
                max_records_per_file: int | None = None) -> None:
-    """K4: create-if-missing then append, physical order (ts, event_type) in each file."""
-    cold = project_cold(df).sortWithinPartitions(*COLD_ORDER)
-    _write_partition(cold, path, batch_id, max_records_per_file=max_records_per_file)
+    """K4: create-if-missing then append, physical order (ts, event_type) in each file. ``batch_id`` may be a column: rows of many batches
+    are then written in one job, each batch to its own partition, as one by one."""
+    by_batch = isinstance(batch_id, Column)
+    rows = df.withColumn("_batch", batch_id.cast("string")) if by_batch else df
+    cold = rows.select(*COLD_FIELDS, *(["_batch"] if by_batch else []))
+    cold = cold.sortWithinPartitions(*(["_batch"] if by_batch else []), *COLD_ORDER)
+    if by_batch:
+        out = cold.withColumnRenamed("_batch", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+        (out.option("maxRecordsPerFile", max_records_per_file) if max_records_per_file else out).parquet(path)
+    else:
+        _write_partition(cold, path, batch_id, max_records_per_file=max_records_per_file)
 
 
 def to_dead_letter_json(df: DataFrame, out_col: str = "line") -> DataFrame:

@@ -19,13 +19,13 @@ from keelson.schema import (ACK_OK, BATCH_ACK_PREFIX, BATCH_TOO_LARGE, COMPATIBL
 
 
 def read_event_topic(spark: SparkSession, brokers: str, topic: str, group_id: str,
-                     fmt: str = "kafka", path: str | None = None, schema=None) -> DataFrame:
+                     fmt: str = "kafka", path: str | None = None, schema=None, rows: DataFrame | None = None) -> DataFrame:
     """Stream of raw event bytes in column ``value``, starting at the earliest offset, with the topic's partition,
     offset and arrival timestamp, from which order-dependent operators make their ``seq`` and arrival time.
 
     Offsets are tracked by the query checkpoint (the reference auto-commits).
     ``fmt`` other than "kafka" reads a file stream (for tests, where the Kafka
-    connector is not on the classpath); such files must hold a ``value`` column.
+    connector is not on the classpath); such files must hold a ``value`` column. ``rows`` is a stream opened by the caller instead.
     """
     if fmt == "kafka":
         return (spark.readStream.format("kafka")
@@ -35,10 +35,9 @@ def read_event_topic(spark: SparkSession, brokers: str, topic: str, group_id: st
                 .option("startingOffsets", "earliest")
                 .load()
                 .select("value", "partition", "offset", "timestamp"))
-    reader = spark.readStream.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    rows = reader.load(path)
+    if rows is None:
+        reader = spark.readStream.format(fmt)
+        rows = (reader if schema is None else reader.schema(schema)).load(path)
     return rows.select("value", *[c for c in ("partition", "offset", "timestamp", "seq") if c in rows.columns])
 
 
