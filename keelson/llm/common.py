@@ -4,18 +4,21 @@
   executors and costs one copy).
 * ``text_chunks`` walks an Arrow batch in slices of bounded size, as one byte buffer plus row offsets, so numpy
   can work on many documents at once without holding more than one slice. A single text is never split.
-* ``PrefixHash`` gives the 64-bit hash of any byte span of a buffer in constant time (a polynomial over random
-  byte values modulo 2^64, finished by a bit mixer); ``word_spans`` finds words by byte class.
+* ``PrefixHash`` gives the 64-bit hash of any byte span of a buffer: of short spans in constant time (a polynomial over random
+  byte values modulo 2^64, finished by a bit mixer), of long ones, for which such polynomials have known collisions, by xxh3. ``word_spans``
+  finds words by byte class.
+* ``enter_task`` lets one operator's tasks give back what another operator cached in the same Python worker.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from keelson.session import scratch_path
@@ -67,27 +70,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["inv"]
 
 
+LONG_SPAN = 64      # a polynomial modulo 2^64 maps certain pairs of 1,024 bytes and more to one value, whatever its base; none so short
+
+
 class PrefixHash:
-    """Hashes of byte spans of one buffer. ``lower`` maps A-Z to a-z first."""
+    """Hashes of byte spans of one buffer. With ``lowered_values`` A-Z count as a-z."""
 
     def __init__(self, buf: np.ndarray, values: np.ndarray = _BYTE_VALUE):
         p, self._inv = _powers(len(buf) + 1)
+        self._buf, self._values = buf, values
         self._c = np.empty(len(buf) + 1, np.uint64)
         self._c[0] = 0
         np.cumsum(values[buf] * p[: len(buf)], out=self._c[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of buf[start:end] for arrays of positions."""
-        return mix64((self._c[end] - self._c[start]) * self._inv[start])
+        out = mix64((self._c[end] - self._c[start]) * self._inv[start])
+        long = np.flatnonzero(end - start > LONG_SPAN)
+        if len(long):
+            same = self._values[65] == self._values[97]
+            data = (_LOWERED[self._buf] if same else np.ascontiguousarray(self._buf)).data
+            out[long] = [xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(start[long].tolist(), end[long].tolist())]
+        return out
 
     def windows(self, width: int) -> np.ndarray:
-        """Hash of every window of ``width`` bytes, by start position."""
+        """Hash of every window of ``width`` (at most ``LONG_SPAN``) bytes, by start position."""
         n = len(self._c) - width
         if n <= 0:
             return np.empty(0, np.uint64)
         return mix64((self._c[width:] - self._c[:n]) * self._inv[:n])
 
 
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+
+
 def lowered_values() -> np.ndarray:
     """Byte values for ``PrefixHash`` under which A-Z equal a-z."""
     v = _BYTE_VALUE.copy()
@@ -166,5 +183,30 @@ def release_memory() -> None:
         pass
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Says how to drop what ``owner`` keeps in this Python worker between tasks."""
+    _CACHES[owner] = clear
+
+
+def enter_task(owner: str) -> None:
+    """To be called at the start of a task: caches of other operators, which may never be asked for again, go."""
+    others = [k for k in _CACHES if k != owner]
+    for k in others:
+        _CACHES.pop(k)()
+    if others:
+        release_memory()
+
+
+def known_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """An id column as int64 (0 where null, which no float touches) and where it is not null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    known = np.asarray(column.is_valid())
+    return np.asarray(pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), np.int64), known
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

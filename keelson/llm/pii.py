@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import bounded_batches, sha256_hex, string_array
+from keelson.llm.common import bounded_batches, enter_task, sha256_hex, string_array
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "phone_local")
@@ -222,6 +222,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
     overlapping spans become the first one's placeholder. All other columns are unchanged."""
 
     def run(batches):
+        enter_task("pii")
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = [None if t is None else _mask(t, min_score) for t in b.column(at).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm import training
-from keelson.llm.common import (PrefixHash, bounded_batches, byte_class, lowered_values, release_memory, string_array,
+from keelson.llm.common import (PrefixHash, bounded_batches, byte_class, enter_task, lowered_values, release_memory, string_array,
                                 text_chunks, word_spans)
 
 WIDTHS = (1, 2, 3)
@@ -67,6 +67,7 @@ def _thinned(ids: np.ndarray, words: int) -> np.ndarray:
 def _sample_rows(words: int):
     """Word ids of each row, thinned to ``words`` words."""
     def run(batches):
+        enter_task("toxicity")
         for b in batches:
             for at, buf, off in text_chunks(string_array(b, "text")):
                 ids, first = word_ids(buf, off)
@@ -288,6 +289,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        enter_task("toxicity")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(_text_scores(string_array(b, "text"), held.value), 6), pa.float64())],
                                              ["doc_id", "score"])
@@ -301,6 +303,7 @@ def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_c
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        enter_task("toxicity")
         m = held.value
         for b in batches:
             p = _text_scores(string_array(b, text_col), m)
