@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import (bounded_batches, PrefixHash, byte_class, lowered_values, mix64, scratch_table, sha256_hex, string_array,
+from keelson.llm.common import (bounded_batches, PrefixHash, byte_class, enter_task, lowered_values, mix64, scratch_table, sha256_hex, string_array,
                                 text_chunks, word_spans)
 
 WINDOW = 13
@@ -59,6 +59,9 @@ class WindowIndex:
     item_of: np.ndarray
     follows: np.ndarray                 # sorted (window << 32 | next window) of neighbours in an item
     leads: dict[int, np.ndarray]        # sorted keys of the first words, by how many there are
+    at_start: np.ndarray                # window -> its occurrences (item, word), in compressed rows
+    at_item: np.ndarray
+    at_word: np.ndarray
 
     @classmethod
     def build(cls, ids: list[str], texts: list[str]) -> "WindowIndex":
@@ -78,7 +81,7 @@ class WindowIndex:
                 owner.append(np.full(len(rows[-1]), first_row + r))
         if not rows:
             none = np.empty(0, np.int64)
-            return cls(ids, np.empty((0, WINDOW), np.uint64), none, np.zeros(1, np.int64), none, none, {})
+            return cls(ids, np.empty((0, WINDOW), np.uint64), none, np.zeros(1, np.int64), none, none, {}, np.zeros(1, np.int64), none, none)
         m, size, own = np.concatenate(rows), np.concatenate(sizes), np.concatenate(owner)
         matrix, at, inv = np.unique(m, axis=0, return_index=True, return_inverse=True)
         inv = inv.ravel()
@@ -89,7 +92,10 @@ class WindowIndex:
         for k in sorted(set(np.minimum(size[at], LEAD).tolist())):
             sel = matrix[np.minimum(size[at], LEAD) == k]
             leads[k] = np.unique(_lead_keys(sel.ravel(), np.arange(len(sel)) * WINDOW, k))
-        return cls(ids, matrix, size[at], np.searchsorted(pairs[:, 0], np.arange(len(matrix) + 1)), pairs[:, 1], follows, leads)
+        order = np.argsort(inv, kind="stable")
+        word = np.concatenate([np.arange(len(x)) for x in owner])
+        return cls(ids, matrix, size[at], np.searchsorted(pairs[:, 0], np.arange(len(matrix) + 1)), pairs[:, 1], follows, leads,
+                   np.searchsorted(inv[order], np.arange(len(matrix) + 1)), own[order], word[order])
 
 
 def _all_chunks(texts: list[str]):
@@ -147,6 +153,33 @@ def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
+def _occurrences(words: np.ndarray, end: np.ndarray, index: WindowIndex) -> tuple[np.ndarray, np.ndarray]:
+    """(window, word) of all places where a window of the index occurs."""
+    pos, m = _suffix_array(words, end, index)
+    window, at = _ragged(_bound(m, index, False), _bound(m, index, True))
+    return window, pos[at]
+
+
+def shard_matches(words: np.ndarray, first: np.ndarray, index: WindowIndex) -> np.ndarray:
+    """Maximal verbatim matches of a shard: rows of (row, first word in it, item, first word there, words)."""
+    if not len(index.matrix) or not len(words):
+        return np.empty((0, 5), np.int64)
+    end = np.repeat(first[1:], np.diff(first))
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    window, where = _occurrences(words, end, index)
+    of, at = _ragged(index.at_start[window], index.at_start[window + 1])
+    place, item, word, size = where[of], index.at_item[at], index.at_word[at], index.size[window[of]]
+    order = np.lexsort((place, place - word, item))         # along the diagonals of each item
+    place, item, word, size = place[order], item[order], word[order], size[order]
+    joined = np.zeros(len(place), bool)
+    joined[1:] = ((place[1:] == place[:-1] + 1) & (word[1:] == word[:-1] + 1) & (item[1:] == item[:-1]) & (doc[place[1:]] == doc[place[:-1]])
+                  & (size[1:] == WINDOW))
+    begin = np.flatnonzero(~joined)
+    runs = np.diff(np.append(begin, len(place)))
+    row = doc[place[begin]]
+    return np.column_stack([row, place[begin] - first[row], item[begin], word[begin], size[begin] + runs - 1])
+
+
 def shard_overlaps(words: np.ndarray, first: np.ndarray, indexes: list[WindowIndex]):
     """Hit flag of every word, [row, item] pairs by index, and each row's longest chain of matched words."""
     rows = len(first) - 1
@@ -159,10 +192,7 @@ def shard_overlaps(words: np.ndarray, first: np.ndarray, indexes: list[WindowInd
         if not len(index.matrix) or not len(words):
             pairs.append(np.empty((0, 2), np.int64))
             continue
-        pos, m = _suffix_array(words, end, index)
-        lo, hi = _bound(m, index, False), _bound(m, index, True)
-        window, at = _ragged(lo, hi)
-        where = pos[at]
+        window, where = _occurrences(words, end, index)
         np.add.at(delta, where, 1)
         np.add.at(delta, where + index.size[window], -1)
         dw = np.unique(np.stack([doc[where], window], axis=1), axis=0) if len(where) else np.empty((0, 2), np.int64)
@@ -193,7 +223,7 @@ def _item_indexes(benchmark: DataFrame, item_col: str, text_col: str):
         if ids and size + len(text) > BLOCK_BYTES:
             yield WindowIndex.build(ids, texts)
             ids, texts, size = [], [], 0
-        ids.append(item)
+        ids.append("" if item is None else item)
         texts.append(text)
         size += len(text)
     if ids:
@@ -249,8 +279,39 @@ def _columns(n_words: list[int], n_hit: list[int], names: list[list[str]], longe
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match per document."""
+    return _overlaps(docs, _passes(benchmark, item_col, item_text_col), id_col, text_col)
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Where the benchmark occurs: doc_id, item_id, doc_word, item_word (first words, from 0) and n_words of every maximal verbatim match of at least
+    ``WINDOW`` words, or of a whole shorter item. Map-only; a large benchmark takes a pass per group of blocks."""
+    src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
+
+    def located(held):
+        def run(batches):
+            for b in batches:
+                for at, buf, off in text_chunks(string_array(b, "text"), SHARD_BYTES):
+                    words, first = _words(buf, off)
+                    for index in held.value:
+                        m = shard_matches(words, first, index)
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array(m[:, 0] + at)), pa.array([index.items[k] for k in m[:, 2].tolist()], pa.string()),
+                             *(pa.array(m[:, k]) for k in (1, 3, 4))], names)
+        return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, item_id string, doc_word long, item_word long, n_words long")
+
+    out = None
+    for held in _passes(benchmark, item_col, item_text_col):
+        out = located(held) if out is None else out.unionByName(located(held))
+    return out
+
+
+_ROW = "_decontam_row"
+
+
+def _overlaps(docs: DataFrame, passes: list, id_col: str, text_col: str) -> DataFrame:
     src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    passes = _passes(benchmark, item_col, item_text_col)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"]
     ddl = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {_OUT}"
     if len(passes) == 1:
@@ -302,16 +363,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns unchanged. Map-only for one pass; a benchmark that
-    takes several passes drops the contaminated ids by an anti join."""
+    """The rows of ``docs`` that are not contaminated, all columns unchanged; each row is judged by its own text, whatever its id. Map-only for one
+    pass; for a benchmark that takes several, rows are written with a number first and the contaminated numbers go."""
     passes = _passes(benchmark, item_col, item_text_col)
     if len(passes) > 1:
-        bad = (find_overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col)
-               .where("contaminated").select(F.col("doc_id").alias(id_col)).distinct())
-        return docs.join(bad, id_col, "left_anti")
+        rows = scratch_table(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontam-numbered")
+        bad = _overlaps(rows, passes, _ROW, text_col).where("contaminated").select(F.col("doc_id").alias(_ROW))
+        return rows.join(bad, _ROW, "left_anti").drop(_ROW)
     held = passes[0]
 
     def run(batches):
+        enter_task("decontam")
         for b in batches:
             keep = []
             for _, first, hit, _, _ in _judge(string_array(b, text_col), held.value):

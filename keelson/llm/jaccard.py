@@ -24,7 +24,9 @@ reach the size-derived bound are ever formed. All bounds are exact, so no link i
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and no links; a text of fewer than five words is
 one shingle, its whole word sequence; equal sets are linked; repeated rows repeat and share a component; rows of one id
-with different texts are judged each by its text; extra columns are ignored by ``near_duplicate_groups`` and kept by ``keep_first``.
+with different texts are judged each by its text; a row without an id has its own count, no component and no links, and is kept; extra columns are
+ignored by ``near_duplicate_groups`` and kept by ``keep_first``. Different sets are told apart by 128 bits; if two should agree in the first half the run
+fails.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import (PrefixHash, bounded_batches, byte_class, lowered_values, mix64, release_memory, scratch_table,
-                                string_array, text_chunks, word_spans)
+from keelson.llm.common import (PrefixHash, bounded_batches, byte_class, enter_task, known_ids, lowered_values, mix64, release_memory,
+                                scratch_table, string_array, text_chunks, word_spans)
 from keelson.llm.graph import components
 
 SHINGLE = 5
@@ -102,9 +104,10 @@ def _pass_one(buckets: int):
 
     def run(batches):
         from pyspark import TaskContext
+        enter_task("jaccard")
         block = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
+            ids, marks = (known_ids(b.column(k))[0] for k in (0, 2))
             for at, buf, off in text_chunks(string_array(b, "text"), BLOCK_BYTES):
                 block += 1
                 h, cut = shingle_sets(buf, off)
@@ -113,7 +116,7 @@ def _pass_one(buckets: int):
                 row = np.repeat(np.arange(len(n), dtype=np.int32), n)
                 pick = h < limit
                 h, row = h[pick], row[pick]
-                info = np.stack([ids[at:at + len(n)], n, np.bincount(row, minlength=len(n)), cid, check])
+                info = np.stack([ids[at:at + len(n)], n, np.bincount(row, minlength=len(n)), cid, check, marks[at:at + len(n)]])
                 bucket = ((h & _U(0xFFFFF)) % _U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 keys = ((h >> _U(20)) & _U(0xFFFFFFFF)).astype(np.uint32)[order]
@@ -159,14 +162,14 @@ def _document_block(t: pa.Table) -> pa.Table:
     info, hits = None, []
     for is_info, rows in zip(t.column("info").to_pylist(), t.column("rows").to_pylist()):
         if is_info:
-            info = np.frombuffer(rows, np.int64).reshape(5, -1)
+            info = np.frombuffer(rows, np.int64).reshape(6, -1)
         else:
             hits.append(np.frombuffer(rows, np.int32))
-    ids, n, sampled, cid, check = info
+    ids, n, sampled, cid, check, mark = info
     hit = np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(len(ids), np.int64)
     keep = (n > 0) & (hit >= sampled - (n - _least_overlap(n)))
-    return pa.table([pa.array(ids), pa.array(n), pa.array(cid), pa.array(check), pa.array(keep)],
-                    names=["doc_id", "n", "cid", "check", "keep"])
+    return pa.table([pa.array(ids), pa.array(n), pa.array(cid), pa.array(check), pa.array(keep), pa.array(mark)],
+                    names=["doc_id", "n", "cid", "check", "keep", "mark"])
 
 
 def _set_rows(batches):
@@ -329,40 +332,73 @@ def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id of the component) per row."""
-    spark = docs.sparkSession
-    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _set_sizes(batches):
+    """Number of shingles of texts that are linked with nothing."""
+    for b in batches:
+        for at, buf, off in text_chunks(string_array(b, "text"), BLOCK_BYTES):
+            n = np.diff(shingle_sets(buf, off)[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n), pa.nulls(len(n), pa.int64())],
+                                             ["doc_id", "n_shingles", "component_id"])
+
+
+def _groups(src: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), n, component_id and label (the component's own name: components may share their smallest id) of every
+    row of (doc_id, text); ids are not null."""
+    spark = src.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(1 << 14, 8 * parts)
-    dealt = src.mapInArrow(_pass_one(buckets), "bucket int, block long, rows binary, keys binary").repartition(parts, "bucket")
+    buckets = min(1 << 20, 8 * parts)           # as many as the hash bits kept for them can tell apart
+    dealt = src.withColumn("mark", F.xxhash64("text")).mapInArrow(_pass_one(buckets), "bucket int, block long, rows binary, keys binary") \
+        .repartition(parts, "bucket")
     flags = dealt.groupBy("bucket").applyInArrow(_column_block(buckets), "block long, info boolean, rows binary")
     table = scratch_table(flags.groupBy("block").applyInArrow(
-        _document_block, "doc_id long, n long, cid long, check long, keep boolean"), "jaccard-docs")
-    classes = scratch_table(table.where("n > 0").groupBy("cid", "check")
-                            .agg(F.min("doc_id").alias("low"), F.max("keep").alias("keep")), "jaccard-classes")
+        _document_block, "doc_id long, n long, cid long, check long, keep boolean, mark long"), "jaccard-docs")
+    # a set is named by 64 bits; a second 64 show whether two sets share a name
+    classes = table.where("n > 0").groupBy("cid", "check").agg(F.min("doc_id").alias("low"), F.max("keep").alias("keep"))
+    classes = scratch_table(classes, "jaccard-classes")
+    if not classes.groupBy("cid").count().where("count > 1").isEmpty():
+        raise ValueError("two different shingle sets share a 64-bit name; change the salts of _class_keys")
     reps = classes.where("keep").select(F.col("low").alias("doc_id")).distinct()
     sets = scratch_table(src.join(_few(reps), "doc_id", "left_semi").select("text")
                          .mapInArrow(_set_rows, "cid long, n long, shingles array<long>"), "jaccard-sets")
     links = _links(sets)
-    low = classes.groupBy("cid").agg(F.min("low").alias("low"))
+    low = classes.select("cid", "low", F.col("cid").alias("label"))
     if links is not None and not links.isEmpty():
         comp = components(links, "jaccard")
-        named = low.join(comp, low["cid"] == comp["node"], "left").select("cid", "low", F.coalesce("label", "cid").alias("label"))
+        named = low.drop("label").join(comp, low["cid"] == comp["node"], "left").select("cid", "low", F.coalesce("label", "cid").alias("label"))
         least = named.groupBy("label").agg(F.min("low").alias("component_id"))
-        low = named.join(least, "label").select("cid", F.col("component_id").alias("low"))
+        low = named.join(least, "label").select("cid", F.col("component_id").alias("low"), "label")
     out = table.join(low, (table["cid"] == low["cid"]) & (table["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    return out.select("doc_id", "mark", "n", F.coalesce("low", "doc_id").alias("component_id"), "label")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id of the component) per row. A row without an id has no
+    component and links nothing."""
+    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    unknown = src.where("doc_id IS NULL").mapInArrow(_set_sizes, "doc_id long, n_shingles long, component_id long")
+    out = _groups(src.where("doc_id IS NOT NULL"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(unknown)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row with the smallest id stays (one of its copies,
-    if the id repeats). All columns unchanged."""
-    groups = scratch_table(near_duplicate_groups(docs, id_col, text_col), "jaccard-groups")
-    drop = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(_few(drop), id_col, "left_anti")
-    repeated = groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    if repeated.isEmpty():
-        return kept
-    again = _few(repeated)
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    """The rows of ``docs`` without near duplicates: of each group one row with the smallest id stays. Rows are judged each by its own text, also
+    where they share an id; rows without an id, and those linked with nothing, stay. All columns unchanged."""
+    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    groups = scratch_table(_groups(src.where("doc_id IS NOT NULL")).where("n > 0"), "jaccard-groups")
+    kept = groups.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("k")).select("k.*")
+    gone = groups.select("doc_id", "mark").distinct().join(kept, ["doc_id", "mark"], "left_anti")
+    again = groups.groupBy("doc_id", "mark").count().where("count > 1").join(kept, ["doc_id", "mark"], "left_semi")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return _few(rows.select(F.col("doc_id").alias("_jaccard_id"), F.col("mark").alias("_jaccard_mark")))
+
+    def same(rows: DataFrame, some: DataFrame):
+        return (rows[id_col].cast("long") == some["_jaccard_id"]) & (F.xxhash64(rows[text_col]) == some["_jaccard_mark"])
+
+    gone = named(gone)
+    rest = docs.join(gone, same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return rest
+    again = named(again)
+    return rest.join(again, same(rest, again), "left_anti").unionByName(
+        rest.join(again, same(rest, again), "left_semi").dropDuplicates([id_col, text_col]))

@@ -14,7 +14,8 @@ bucket), so a shuffle has few rows whatever the data.
 4. *Removal.* Each block gets its answers back and marks the bytes of windows whose answer is below the document's id.
 
 Defined cases: a null text counts as empty; texts under ``LENGTH`` bytes are kept whole; matches never cross documents;
-repetition inside one document, or between rows of one id, removes nothing; overlapping windows make one span. What is
+repetition inside one document, or between rows of one id, removes nothing; a row without an id has no place in the order, so it is kept whole and removes
+nothing; overlapping windows make one span. What is
 left may cut a UTF-8 character, so it is binary. Extra columns are ignored. A text is never split: memory follows the longest.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import PrefixHash, mix64, scratch_table, string_array, text_chunks
+from keelson.llm.common import PrefixHash, known_ids, mix64, scratch_table, string_array, text_chunks
 from keelson.llm.lyndon import ragged, suffix_arrays
 from keelson.session import scratch_path
 
@@ -58,7 +59,7 @@ def _blocks(batches):
     from pyspark import TaskContext
     block = TaskContext.get().partitionId() << 32
     for b in batches:
-        ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
+        ids, _ = known_ids(b.column(0))
         for at, buf, off in text_chunks(string_array(b, "text"), BLOCK_BYTES):
             block += 1
             n = len(off) - 1
@@ -382,9 +383,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, spans (removed, in bytes, end exclusive) and kept (binary) per row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(1 << 14, 4 * parts)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
+    buckets = min(1 << 20, 4 * parts)           # as many as the hash bits kept for them can tell apart
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = every.where("doc_id IS NOT NULL")
+    size = F.octet_length("text").cast("long")
+    unknown = every.where("doc_id IS NULL").select("doc_id", size.alias("n_bytes"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
+                                                   F.col("text").cast("binary").alias("kept"))
     digest = scratch_table(src.where(F.octet_length("text") >= LENGTH).select(
         "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.xxhash64("text").alias("mark"),
         F.octet_length("text").cast("long").alias("n_bytes")), "dedup-digests")
@@ -405,4 +409,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove, _RESULT)
     whole = copies.select("doc_id", "n_bytes", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"),
                           F.lit(b"").alias("kept"))
-    return judged.unionByName(whole)
+    return judged.unionByName(whole).unionByName(unknown)

@@ -12,7 +12,7 @@ Slots are range-partitioned and written ``shard_rows`` to a shard, one file each
 line end as wide as an id: fixed stride, so slot s is at byte (s mod shard_rows) * stride of shard s div shard_rows, and a reader can
 stop anywhere and resume. Spark's own committer writes the files, so a lost or repeated task leaves no partial shard.
 
-Defined cases: a null or empty text (or null or empty ids) is one sequence holding just ``END``; repeated rows get slots of their own (rows of one id
+Defined cases: a null or empty text (or null or empty ids) is one sequence holding just ``END``; rows without an id come first, ordered like rows of one id; repeated rows get slots of their own (rows of one id
 are ordered by a hash of their tokens); an empty table makes no shards; extra columns are ignored; an id outside the vocabulary
 fails the run. Texts are kept whole.
 """
@@ -174,7 +174,8 @@ def materialize(docs: DataFrame, key: int, path: str | None = None, length: int
 
     def slots(batches):
         for b in batches:
-            ids, _, size, parts, first = (c.to_numpy() for c in b.columns)
+            ids = b.column(0)
+            size, parts, first = (b.column(k).to_numpy() for k in (2, 3, 4))
             for lo in range(0, len(ids), 4096):
                 sl = slice(lo, lo + 4096)
                 n = parts[sl]
@@ -183,7 +184,7 @@ def materialize(docs: DataFrame, key: int, path: str | None = None, length: int
                 slot = permute(seq, total, key)
                 tokens = np.minimum(np.repeat(size[sl] + 1, n) - part * length, length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[sl], n)), pa.array(part), pa.array(seq), pa.array(slot), pa.array(slot // shard_rows),
+                    [ids.take(pa.array(np.repeat(np.arange(lo, lo + len(n)), n))), pa.array(part), pa.array(seq), pa.array(slot), pa.array(slot // shard_rows),
                      pa.array(slot % shard_rows * layout.stride), pa.array(tokens)],
                     ["doc_id", "part", "seq", "slot", "shard", "byte_offset", "n_tokens"])
 
@@ -196,7 +197,7 @@ def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int) -> Non
     if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
     # rows of one id and text have one entry with several numbers: the first row to come writes all of them
-    dealt = src.join(first, ["doc_id", "mark"]).select("payload", "firsts")
+    dealt = src.join(first, src["doc_id"].eqNullSafe(first["doc_id"]) & (src["mark"] == first["mark"])).select("payload", "firsts")
     type_, vocab_size, record = layout.type, layout.vocab_size, length * layout.type.itemsize
     end, pad = (np.array([x], type_).tobytes() for x in (layout.end, layout.pad))
 

@@ -1,12 +1,15 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
-``judge_pages`` reads each page's host and path, applies the longest fitting rule of a small allow/block list, and
+``judge_pages`` reads each page's host and path, applies the longest fitting rule of an allow/block list, and
 lets the other pages take the decision of their equivalence class: pages and link targets joined by redirect
 (``<meta http-equiv=refresh>``) and canonical (``<link rel=canonical>``) edges.
 
 Precedence: a page's own rule decides for it. In a class, an explicit allow of any member beats a block of any other;
 without either, pages are allowed.
 
+A short list is one expression. A longer one, or one given as a table (action, host, path), is joined: each distinct host is dealt to its suffixes, these meet
+the lengths of the paths that rules of that host have, and host and path prefix then meet the rules, all by equality.
+
 Classes are connected components (``graph.components``). Only pages with edges take part; the label table is joined
 to the pages at the end.
 
@@ -50,8 +53,6 @@ def parse_rules(lines: Sequence[str]) -> list[Rule]:
         if action not in ("allow", "block") or not host:
             raise ValueError(f"not a rule: {line!r}")
         out.append(Rule(action, host.lower(), slash + path))
-    if len(out) > MAX_EXPRESSION_RULES:
-        raise ValueError("more rules than one expression should hold")
     return out
 
 
@@ -79,6 +80,34 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def _rule_table(rules: DataFrame) -> DataFrame:
+    """Distinct rules: host (lower case), path, rule, action. Of rules with one text allow beats block."""
+    host = F.translate("host", UPPER, LOWER)
+    return rules.select(host.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").where("host <> ''") \
+        .groupBy("host", "path").agg(F.min("action").alias("action")).select("host", "path", F.concat("host", "path").alias("rule"), "action")
+
+
+def with_rule(df: DataFrame, host_col: str, path_col: str, rules: list[Rule] | DataFrame) -> DataFrame:
+    """``df`` with ``own``: struct(rule, action) of the longest fitting rule (of equally long ones the last by text), or null."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_EXPRESSION_RULES:
+            return df.withColumn("own", longest_rule(F.col(host_col), F.col(path_col), rules))
+        last = {(r.host, r.path): r.action for r in rules}      # a later rule of the same text replaces an earlier one
+        rules = df.sparkSession.createDataFrame([(a, h, p) for (h, p), a in last.items()], "action string, host string, path string")
+    table = scratch_table(_rule_table(rules), "url-rules")
+    sizes = table.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes")).withColumnRenamed("host", "_suffix")
+    places = df.select(F.col(host_col).alias("_host"), F.col(path_col).alias("_path")).where("_host <> ''").distinct()
+    parts = F.split("_host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    asked = places.withColumn("_suffix", F.explode(suffixes)).join(sizes, "_suffix") \
+        .withColumn("_size", F.explode("sizes")).where(F.col("_size") <= F.length("_path")) \
+        .select("_host", "_path", "_suffix", F.expr("left(_path, _size)").alias("_prefix"))
+    rule = table.select(F.col("host").alias("_suffix"), F.col("path").alias("_prefix"), "rule", "action")
+    best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), F.col("rule")))
+    found = asked.join(rule, ["_suffix", "_prefix"]).groupBy("_host", "_path").agg(best.alias("own"))
+    return df.join(found, (df[host_col] == found["_host"]) & (df[path_col] == found["_path"]), "left").drop("_host", "_path")
+
+
 def with_node(df: DataFrame, url_col: str, out: str) -> DataFrame:
     """Adds the name of a url's node: host (lower case), path and query; scheme and fragment don't matter. Null without
     a host. The parts are columns of their own, so that the plan computes each once."""
@@ -122,14 +151,14 @@ def link_edges(targets: DataFrame) -> DataFrame:
     return named.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
 
 
-def judge_pages(pages: DataFrame, rules: Sequence[str], id_col: str = "page_id", url_col: str = "url",
+def judge_pages(pages: DataFrame, rules: Sequence[str] | DataFrame, id_col: str = "page_id", url_col: str = "url",
                 html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
-    parsed = parse_rules(rules)
+    parsed = rules if isinstance(rules, DataFrame) else parse_rules(rules)
     url = F.col("url")
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     judged = src.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))
-    judged = judged.withColumn("own", longest_rule(F.col("host"), F.col("path"), parsed))
+    judged = with_rule(judged, "host", "path", parsed)
     targets = scratch_table(link_targets(src), "url-links")
     if targets.isEmpty():
         verdict = F.coalesce(F.col("own.action"), F.lit("allow"))
@@ -137,7 +166,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[str], id_col: str = "page_id",
     labels = components(link_edges(targets), "url")
     host = F.regexp_extract("node", r"^([^/?#]*)", 1)
     path = F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)
-    members = labels.select("node", "label", longest_rule(host, path, parsed)["action"].alias("action"))
+    members = with_rule(labels.select("node", "label", host.alias("host"), path.alias("path")), "host", "path", parsed)
+    members = members.select("node", "label", F.col("own.action").alias("action"))
     decided = members.groupBy("label").agg(
         F.when(F.max((F.col("action") == "allow").cast("int")) == 1, "allow")
         .when(F.max((F.col("action") == "block").cast("int")) == 1, "block").otherwise("allow").alias("class_verdict"))
