@@ -12,6 +12,7 @@ report the failing stage; callers filter.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -36,14 +37,17 @@ def repeated_ids(df: DataFrame, id_col: str | Sequence[str] = "event_id", seq_co
 
 def dedup_first(df: DataFrame, id_col: str | Sequence[str] = "event_id", seq_col: str = "seq",
                 out_col: str = "dedup_ok", with_plan_info: bool = False):
-    """Flag the first arrival of each id (Q1); ``id_col`` may list several key columns.
+    """Flag the first arrival of each id (Q1); ``id_col`` may list several key columns. NULL is an id like any other.
 
     With ``with_plan_info`` returns ``(df, map_only)``: whether the repeated ids
     were small enough to broadcast, i.e. the input is not shuffled.
     """
     require_seq(df, seq_col)
+    keys = _keys(id_col)
     repeated, small = materialize_small(repeated_ids(df, id_col, seq_col))
-    flagged = join_checked(df, repeated, on=_keys(id_col), how="left", already_checked=small)
+    repeated = repeated.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first_seq")
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    flagged = join_checked(df, repeated, on=same, how="left", already_checked=small)
     ok = F.col("_first_seq").isNull() | (F.col(seq_col) == F.col("_first_seq"))
-    out = flagged.withColumn(out_col, ok).drop("_first_seq")
+    out = flagged.withColumn(out_col, ok).drop("_first_seq", *[f"_k{i}" for i in range(len(keys))])
     return (out, small) if with_plan_info else out

@@ -112,5 +112,8 @@ def previous_seq(df: DataFrame, key_cols: Sequence[str], seq_col: str = "seq", o
     if biggest <= max_key_rows:
         return df.withColumn(out_col, F.lag(seq_col).over(Window.partitionBy(*keys).orderBy(seq_col)))
     idx = dense_index(df, seq_col, keys, out_col="_kidx", rows_per_range=max_key_rows)
-    prev = idx.select(*keys, (F.col("_kidx") + 1).alias("_kidx"), F.col(seq_col).alias(out_col))
-    return idx.join(prev, on=keys + ["_kidx"], how="left").drop("_kidx")
+    prev = idx.select(*[F.col(k).alias(f"_p_{k}") for k in keys], (F.col("_kidx") + 1).alias("_p_idx"), F.col(seq_col).alias(out_col))
+    same = F.col("_kidx") == F.col("_p_idx")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    return idx.join(prev, same, "left").drop("_kidx", "_p_idx", *[f"_p_{k}" for k in keys])

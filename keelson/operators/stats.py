@@ -77,7 +77,8 @@ def merge_latency_sketches(sketches: DataFrame, group_cols: Sequence[str] = ())
 def latency_from_sketch(sketches: DataFrame) -> DataFrame:
     """The columns of ``latency_stats`` from sketches: n, avg and max exact, percentiles by the sketch."""
     keep = [c for c in sketches.columns if c not in ("sketch", "n", "sum", "max")]
-    picks = [F.kll_sketch_get_quantile_bigint("sketch", F.lit(num / den)).alias(name) for name, num, den in PERCENTILES]
+    # just past the fraction: the element after a share of exactly num / den, as in sorted[floor(n * num / den)]
+    picks = [F.kll_sketch_get_quantile_bigint("sketch", F.lit(num / den + 1e-9)).alias(name) for name, num, den in PERCENTILES]
     return sketches.select(*keep, "n", F.round(F.col("sum").cast("double") / F.col("n"), 3).alias("avg"), *picks, "max")
 
 

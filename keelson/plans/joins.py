@@ -1,15 +1,14 @@
 """Join helpers that broadcast only behind a measured size bound.
 
-``materialize_small`` computes a (presumed small) side once, keeps it in cache
-and counts it; ``join_checked`` broadcasts it only when the count and the
-estimated bytes are under the limits, and otherwise leaves the choice to
-Catalyst/AQE (sort-merge join with skew splitting).  ``materialize`` cuts
+``materialize_small`` writes a (presumed small) side once, counting and measuring it on the way; ``join_checked`` broadcasts
+it only when rows and bytes are under the limits, and otherwise leaves the choice to Catalyst/AQE (sort-merge join with skew
+splitting).  ``materialize`` cuts
 lineage with a Parquet table in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 2_000_000
@@ -38,34 +37,34 @@ def materialize_observed(df: DataFrame, name: str = "stage", **metrics) -> tuple
     return out, obs.get
 
 
+_FIXED_BYTES = {"long": 8, "integer": 4, "boolean": 1, "double": 8, "short": 2, "byte": 1, "float": 4, "timestamp": 8, "date": 4}
+
+
 def row_bytes_estimate(df: DataFrame) -> int:
-    size = 0
+    return 16 + sum(_FIXED_BYTES.get(f.dataType.typeName(), 48) for f in df.schema.fields)
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of all rows: texts and binaries as long as they are, other columns by their type."""
+    size = F.lit(16)
     for f in df.schema.fields:
-        size += {"long": 8, "integer": 4, "boolean": 1, "double": 8, "short": 2,
-                 "byte": 1, "float": 4, "timestamp": 8, "date": 4}.get(f.dataType.typeName(), 48)
-    return size + 16
+        kind = f.dataType.typeName()
+        size = size + (8 + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if kind in ("string", "binary") else _FIXED_BYTES.get(kind, 48))
+    return F.coalesce(F.sum(size.cast("long")), F.lit(0))
 
 
 def materialize_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                       max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
-    """Compute ``df`` once (kept in cache), count it, and report whether it may be broadcast.
-
-    The cached side has a short lineage (typically one aggregate); if an
-    executor holding it is lost, Spark recomputes the lost blocks.
-    """
-    from pyspark import StorageLevel
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    ok = n <= max_rows and n * row_bytes_estimate(small) <= max_bytes
-    return small, ok
+    """Write ``df`` once to the shared folder, counted and measured as it is written, and report whether it may be broadcast."""
+    small, seen = materialize_observed(df, "small", n=F.count(F.lit(1)), bytes=_bytes(df))
+    return small, seen["n"] <= max_rows and seen["bytes"] <= max_bytes
 
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Compute ``df`` once (cached) and return it with its row count; derived tables
+    """Write ``df`` once and return it with its row count; derived tables
     of at most that many rows inherit the count as their size bound."""
-    from pyspark import StorageLevel
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return small, small.count()
+    small, seen = materialize_observed(df, "counted", n=F.count(F.lit(1)))
+    return small, seen["n"]
 
 
 def fits_broadcast(n_rows: int, df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,

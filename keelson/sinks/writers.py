@@ -15,7 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.plans.joins import materialize_small
+from keelson.plans.joins import materialize_observed, materialize_small
 from keelson.schema import COLD_FIELDS, COLD_ORDER, COLD_ROW, SINK_RETRIES, SINK_RETRY_PAUSE_S
 
 
@@ -80,24 +80,20 @@ def write_with_dead_letter(df: DataFrame, write: Callable[[DataFrame, int], None
     accounting dict (K9): rows, attempts, dead_lettered and error (that of the last failed attempt, also where a later
     one succeeded; None if none failed).
     """
-    rows = project_cold(df).persist()
-    error = None
-    try:
-        n = rows.count()
-        for attempt in range(1, retries + 1):
-            try:
-                write(rows, attempt)
-                return {"batch_id": batch_id, "rows": n, "attempts": attempt, "dead_lettered": 0, "error": error}
-            except (OSError, Py4JJavaError) as e:
-                error = str(e)[:500]
-                if attempt < retries:
-                    time.sleep(pause_s)
-        dl = to_dead_letter_json(rows)
-        dl.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").text(dead_letter_path)
-        return {"batch_id": batch_id, "rows": n, "attempts": retries, "dead_lettered": n, "error": error}
-    finally:
-        rows.unpersist()
+    rows, seen = materialize_observed(project_cold(df), "cold-batch", n=F.count(F.lit(1)))
+    n, error = seen["n"], None
+    for attempt in range(1, retries + 1):
+        try:
+            write(rows, attempt)
+            return {"batch_id": batch_id, "rows": n, "attempts": attempt, "dead_lettered": 0, "error": error}
+        except (OSError, Py4JJavaError) as e:
+            error = str(e)[:500]
+            if attempt < retries:
+                time.sleep(pause_s)
+    dl = to_dead_letter_json(rows)
+    dl.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").text(dead_letter_path)
+    return {"batch_id": batch_id, "rows": n, "attempts": retries, "dead_lettered": n, "error": error}
 
 
 def read_dead_letters(spark: SparkSession, dead_letter_path: str) -> DataFrame:

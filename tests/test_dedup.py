@@ -187,3 +187,12 @@ def test_idle_ttl_burst_at_one_time_vs_model(spark):
     exp = _idle_model(rows, 1000)
     assert _flags(dedup_idle_ttl(df, 1000, block_rows=16)) == exp
     assert _flags(dedup_idle_ttl(df, 1000, block_rows=16, method="chain")) == exp
+
+
+def test_null_ids_are_one_id_in_every_plan(spark):
+    rows = [(None, 1), ("a", 2), (None, 3), ("a", 4), ("b", 5)]
+    df = spark.createDataFrame(rows, "event_id string, seq bigint")
+    want = [True, True, False, False, True]
+    assert _flags(dedup_first(df)) == want
+    assert _flags(dedup_last_n(df, 10)) == want
+    assert _flags(dedup_last_n(df, 10, method="blocks", block_rows=3, halo_rows=1)) == want

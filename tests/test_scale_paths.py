@@ -89,3 +89,13 @@ def test_idle_ttl_over_ranges(spark):
     whole = {r.seq: r.dedup_ok for r in dedup_idle_ttl(rows).collect()}
     split = {r.seq: r.dedup_ok for r in dedup_idle_ttl(rows, rows_per_range=150, block_rows=100).collect()}
     assert split == whole
+
+
+def test_previous_rows_of_hot_and_null_keys(spark):
+    """The self-join form equals the window form; NULL is a key."""
+    from keelson.operators.order import previous_seq
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, "hot", "hot", "a"]), s) for s in rnd.sample(range(9999), 400)]
+    df = spark.createDataFrame(rows, "event_id string, seq bigint")
+    window, join = ({(r.event_id, r.seq): r._prev for r in previous_seq(df, ["event_id"], max_key_rows=n).collect()} for n in (10**6, 50))
+    assert window == join and sum(v is None for v in window.values()) == 3

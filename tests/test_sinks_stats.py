@@ -71,3 +71,24 @@ def test_percentiles_empty_gives_zeros(spark):
     df = spark.createDataFrame([(-1,)], "latency_us bigint")
     r = latency_stats(df).first()
     assert (r.n, r.avg, r.p50, r.p99, r.max) == (0, 0.0, 0, 0, 0)
+
+
+def test_merged_sketches_are_exact_while_small_and_bounded_when_large(spark):
+    import random
+
+    from keelson.operators import stats
+    rnd = random.Random(2)
+    rows = [(g, b, rnd.choice([-1, rnd.randrange(10**6)])) for g, n in (("a", 198), ("b", 1), ("c", 30_000), (None, 50)) for b in range(3) for _ in range(n // 3 + 1)]
+    df = spark.createDataFrame(rows, "event_type string, batch int, latency_us long")
+    merged = stats.merge_latency_sketches(stats.latency_sketch(df, group_cols=["event_type", "batch"]), ["event_type"])
+    got = {r.event_type: r for r in stats.rank_errors(df, stats.latency_from_sketch(merged), group_cols=["event_type"]).collect()}
+    want = {r.event_type: r for r in stats.latency_stats(df, group_cols=["event_type"]).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        errors = [r[f"{p}_error"] for p, _, _ in stats.PERCENTILES]
+        assert max(errors) <= (0.005 if g == "c" else 0)
+        if g in want:
+            assert (r.n, r.max) == (want[g].n, want[g].max) and abs(r.avg - want[g].avg) < 0.01
+    whole = stats.latency_from_sketch(stats.latency_sketch(df)).collect()
+    assert len(whole) == 1 and whole[0].n == sum(v >= 0 for _, _, v in rows)
+    assert stats.latency_from_sketch(stats.latency_sketch(df.limit(0))).collect() == []
