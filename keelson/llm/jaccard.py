@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents linked by the overlap of their word shingles, and the groups that links form.
 
-The join is a blocked sparse matrix product (documents x shingles times its transpose) of which only entries that can
-reach the size-derived bound are ever formed. All bounds are exact, so no link is lost:
+Links are the entries of a sparse matrix product (documents x shingles times its transpose) that reach a size-derived bound. A group of near copies has
+a square number of them, so the product is not formed as such: column blocks sieve out rows without links, and of the others only the
+entries that the components need are computed. All bounds are exact, so no link is lost:
 
 1. *Classes.* A document becomes the set of its 64-bit shingle hashes; equal sets form one class, so exact copies
    are never compared.
