@@ -115,7 +115,7 @@ def test_pipeline_equals_stage_models(spark, tmp_path):
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     want = con.sql(queries.ORACLES[name])
@@ -125,5 +125,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_queries_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
