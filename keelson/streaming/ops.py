@@ -155,15 +155,17 @@ def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint
     from keelson.operators.quality import verdict_columns, verify_hmac, with_defaults
     from keelson.operators.ring import assign_tenant, build_ring, members, prepare_ring
     from keelson.operators.route import classify_path, hot_with_fallback
-    from keelson.plans.joins import materialize_observed
+    from keelson.plans.joins import materialize, materialize_observed
     from keelson.plans.pipeline import STAGE_DECODE, hot_delivery
-    from keelson.schema import DEFAULT_TENANTS, STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK
+    from keelson.schema import DEFAULT_TENANTS, STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK, VIRTUAL_NODES
     from keelson.sinks.writers import _write_partition, write_cold, write_hot, write_with_dead_letter
     from keelson.sources.codec import decode_events
 
     spark = stream.sparkSession
-    ring = build_ring(members(spark, tenants or DEFAULT_TENANTS))
-    prepared = prepare_ring(ring)
+    names = tuple(tenants or DEFAULT_TENANTS)
+    ring = build_ring(members(spark, names))
+    segments, digits, small = prepare_ring(ring, n_points=len(names) * VIRTUAL_NODES)
+    prepared = (materialize(segments, "ring"), digits, small)      # once, not in every micro-batch
     if wire_col is not None:
         stream = decode_events(stream, wire_col, keep=tuple(c for c in stream.columns if c != wire_col))
     flagged = verify_hmac(with_defaults(stream), secret).drop("payload")
