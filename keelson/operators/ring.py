@@ -8,9 +8,10 @@ the smaller node name.  An empty ring gives "".
 Lookup is a range join made into an equi join: ring segments ``(lo, hi]`` are
 split by the leading hex digits of the hash (the bucket), so every key probes
 one bucket by hash-equality and checks the range as a residual.  The segment
-table grows only with ring membership; it is broadcast only under a bound
-computed from the point count (points + bucket splits + 1).
-The probe side is never shuffled.
+table grows only with ring membership.  It is broadcast if its size, known from
+the membership or measured as it is written, is under the limits; the probe side
+is then not shuffled.  Otherwise the joins are shuffled ones by hint: membership
+is a small file that ``explode`` makes large, which Spark's estimate doesn't see.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.fnv import fnv1a64_hex
-from keelson.plans.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize
+from keelson.plans.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize_observed, materialize_small
 from keelson.plans.parallel import ensure_parallelism
 from keelson.schema import VIRTUAL_NODES
 
@@ -69,23 +70,28 @@ def _bucket_digits(n_points: int) -> int:
     return digits
 
 
-def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
-    """Segments ``(lo, hi] -> node`` covering the whole hash space, split by bucket.
+def _distinct_points(ring: DataFrame) -> DataFrame:
+    return ring.groupBy("hash").agg(F.min("node").alias("node"))
+
+
+def ring_segments(points: DataFrame, digits: int) -> DataFrame:
+    """Segments ``(lo, hi] -> node`` covering the whole hash space, split by bucket; ``points`` has one row per hash.
 
     Points are ordered inside their bucket of leading digits only. The point before a bucket's first one is the last point
     of the nearest bucket with points, carried over a table of bucket edges (at most 16^digits rows) in two levels:
     inside groups of 256 buckets, then over the groups.
     """
     b = lambda c: F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
-    points = ring.groupBy("hash").agg(F.min("node").alias("node")).withColumn("_b", b(F.col("hash")))
+    points = points.select("hash", "node", b(F.col("hash")).alias("_b"))
     edges = points.groupBy("_b").agg(F.max("hash").alias("_last")).withColumn("_g", F.floor(F.col("_b") / 256))
     groups = edges.groupBy("_g").agg(F.max("_last").alias("_glast"))
     before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)      # at most 16^digits / 256 rows
     groups = groups.select("_g", F.max("_glast").over(before).alias("_gprev"))
     inside = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.join(groups, "_g").select("_b", F.coalesce(F.max("_last").over(inside), "_gprev").alias("_edge"))
+    edges = edges.join(F.broadcast(groups), "_g").select("_b", F.coalesce(F.max("_last").over(inside), "_gprev").alias("_edge"))
     w = Window.partitionBy("_b").orderBy("hash")
-    own = points.join(edges, "_b").select(F.coalesce(F.lag("hash").over(w), "_edge", F.lit("")).alias("lo"),
+    # as many edges as points where buckets hold one each: never a broadcast
+    own = points.join(edges.hint("merge"), "_b").select(F.coalesce(F.lag("hash").over(w), "_edge", F.lit("")).alias("lo"),
                                           F.col("hash").alias("hi"), "node")
     # hashes above the last point wrap to the first one
     wrap = points.agg(F.max("hash").alias("lo"), F.min(F.struct("hash", "node")).alias("f")).where("lo IS NOT NULL") \
@@ -96,20 +102,22 @@ def ring_segments(ring: DataFrame, digits: int) -> DataFrame:
 
 
 def prepare_ring(ring: DataFrame, n_points: int | None = None) -> tuple[DataFrame, int, bool]:
-    """Count the ring once and build its segment table (lazy; reused by many lookups).
+    """Count the ring once and build its segment table (reused by many lookups).
 
-    ``n_points`` may be given when the membership is known (members x virtual points). A ring of any size works: the
-    segments are broadcast only under a proven bound, otherwise the lookup is a shuffled equi join on the bucket.
+    ``n_points`` may be given when the membership is known (members x virtual points): a small ring's segments are then lazy.
+    A ring of any size works: points and segments are written once, and the segments are broadcast only if they measure
+    under the limits; otherwise the lookup is a shuffled equi join on the bucket.
     """
-    if n_points is None:
-        n_points = ring.count()
-    digits = _bucket_digits(n_points)
-    segs = ring_segments(ring, digits)
-    # segments <= points + one wrap segment + one split per bucket boundary: a proven bound
-    bound = n_points + 1 + 16 ** digits
-    small = bound <= BROADCAST_MAX_ROWS and bound * 80 <= BROADCAST_MAX_BYTES
-    if not small:
-        segs = materialize(segs)
+    points = _distinct_points(ring)
+    if n_points is not None:
+        digits = _bucket_digits(n_points)
+        # segments <= points + one wrap segment + one split per bucket boundary: a proven bound
+        bound = n_points + 1 + 16 ** digits
+        if bound <= BROADCAST_MAX_ROWS and bound * 160 <= BROADCAST_MAX_BYTES:
+            return ring_segments(points, digits), digits, True
+    points, seen = materialize_observed(points, "ring-points", n=F.count(F.lit(1)))
+    digits = _bucket_digits(seen["n"])
+    segs, small = materialize_small(ring_segments(points, digits), BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES)
     return segs, digits, small
 
 
@@ -122,7 +130,7 @@ def ring_lookup(df: DataFrame, ring: DataFrame, key_col: str, out_col: str = "no
     probe = probe.withColumn("_kb", F.conv(F.substring(F.col(h), 1, digits), 16, 10).cast("int"))
     s = segs.select(F.col("bucket").alias("_sb"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
                     F.col("node").alias("_node"))
-    s = F.broadcast(s) if small else s
+    s = F.broadcast(s) if small else s.hint("merge")
     cond = (F.col("_kb") == F.col("_sb")) & (F.col(h) > F.col("_lo")) & (F.col(h) <= F.col("_hi"))
     out = probe.join(s, cond, "left").withColumn(out_col, F.coalesce(F.col("_node"), F.lit("")))
     drop = ["_kb", "_sb", "_lo", "_hi", "_node"] + (["_kh"] if hash_col is None else [])
