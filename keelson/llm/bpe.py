@@ -11,7 +11,8 @@ compatible is the encoding. ``_incompatible`` walks all distinct pairs of a batc
 
 Texts are cut before every space that a non-space character follows; such a place is always a border of the
 pre-tokeniser's pattern, so a piece can be encoded by itself and kept in a bounded cache (``CACHE_PIECES``; dropping an
-entry costs time but changes nothing).
+entry costs time but changes nothing). A piece's entry is its ids, packed as ``id_type``. What leaves is made from the ids of a
+text alone: their decimal text and the decoded bytes are looked up id by id in tables of the vocabulary.
 
 Defined cases: a null text is an empty text; an empty text has no tokens; repeated rows repeat; extra input columns
 are ignored. Texts of any length are encoded whole.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import bounded_batches, enter_task, id_type, keeps_cache, sha256_hex, string_array
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 NEVER = np.int64(1) << 40
 LONG_WORD = 48
 
@@ -108,7 +109,8 @@ class BpeCodec:
             self.bytes_of[i] = b
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for text, i in self.added.items():
-            self.bytes_of[i] = text.encode()
+            # the decoder reads added tokens like others: by characters that stand for bytes, if all of them do
+            self.bytes_of[i] = bytes(chars[c] for c in text) if all(c in chars for c in text) else text.encode()
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.vocab = ids
         self.byte_id = [ids.get(bytes([b]), -1) for b in range(256)]
@@ -132,10 +134,12 @@ class BpeCodec:
         made = [self.merge[(k >> 32, k & 0xFFFFFFFF)][1] for k in keys]
         self.made_by = np.full(len(merges) + 1, -1, np.int64)      # token made by the merge of each rank
         self.made_by[ranks] = made
-        # every byte is a token: decoding gives back what was encoded, and entries need no bytes
-        self.lossless = min(self.byte_id) >= 0
+        if min(self.byte_id) < 0:
+            raise ValueError("not a byte-level vocabulary: a byte has no token")
         self.single = np.array(self.byte_id, np.int64)
-        self.text_of = [str(i) for i in range(size)]
+        self.type = id_type(size)
+        self.token_bytes = pa.array(self.bytes_of, pa.large_binary())
+        self.token_text = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
         self.trie, self.accepts = self._trie()
         self.own: dict[int, bool] = {}                     # is the token its own encoding?
         self.caches: dict[str, list[dict]] = {"": [{}, {}], " ": [{}, {}]}
@@ -354,23 +358,15 @@ class BpeCodec:
                 out[-1] += " " + p          # part of a run of white space: it stays with the piece before
         return out
 
-    def _learn(self, pieces: list[str], lead: str) -> dict[str, str | tuple[str, bytes]]:
-        """Encode pieces (each with ``lead`` before it): ids as text, with the decoded bytes unless the codec is lossless."""
+    def _learn(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Encode pieces (each with ``lead`` before it): their packed ids."""
         words: dict[str, int] = {}
         split = [[words.setdefault(w, len(words)) for w in _PRE.findall(lead + p)] for p in pieces]
         enc = self.encode_words([w.encode() for w in words])
-        text = [",".join([self.text_of[t] for t in e]) for e in enc]
-        if self.lossless:
-            return {p: text[ws[0]] if len(ws) == 1 else ",".join([text[w] for w in ws]) for p, ws in zip(pieces, split)}
-        raw = [b"".join([self.bytes_of[t] for t in e]) for e in enc]
-        out = {}
-        for p, ws in zip(pieces, split):
-            if len(ws) == 1:
-                w = ws[0]
-                out[p] = (text[w], raw[w])
-            else:
-                out[p] = (",".join([text[w] for w in ws]), b"".join([raw[w] for w in ws]))
-        return out
+        end = np.cumsum([0] + [len(e) for e in enc]) * self.type.itemsize
+        raw = np.fromiter(chain.from_iterable(enc), self.type).tobytes()
+        ids = [raw[a:b] for a, b in zip(end.tolist(), end[1:].tolist())]
+        return {p: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for p, ws in zip(pieces, split)}
 
     def _look_up(self, wanted: list[list[str]], lead: str) -> dict:
         """Entries of all wanted pieces. The cache has two generations: when the young one is full, the old one
@@ -396,18 +392,29 @@ class BpeCodec:
             cache[:] = [{}, young]
         return out
 
-    def _added_entry(self, i: int) -> str | tuple[str, bytes]:
-        return str(i) if self.lossless else (str(i), self.bytes_of[i])
-
-    def ids_text(self, entries: list) -> str:
-        """The ids of a text's entries, joined by commas."""
-        return ",".join([x for x in entries if x]) if self.lossless else ",".join([x[0] for x in entries if x[0]])
-
-    def decoded(self, entries: list, text: str) -> str:
-        """What the ids of a text's entries decode to."""
-        return text if self.lossless else b"".join([x[1] for x in entries]).decode("utf-8", "replace")
-
-    def encode_texts(self, texts: list[str]) -> list[list]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, packed."""
+        return [b"".join(e) for e in self.encode_texts(texts)]
+
+    def _looked_up(self, table: pa.Array, rows: list[bytes]) -> list[memoryview]:
+        """Per row of packed ids what ``table`` has for them, joined."""
+        ids = np.frombuffer(b"".join(rows), self.type)
+        if not len(ids):
+            return [memoryview(b"")] * len(rows)
+        got = table.take(pa.array(ids))
+        offsets, data = np.frombuffer(got.buffers()[1], np.int64)[got.offset:], memoryview(got.buffers()[2])
+        ends = offsets[np.cumsum([0] + [len(r) for r in rows]) // self.type.itemsize].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def ids_text(self, rows: list[bytes]) -> list[memoryview]:
+        """Per row of packed ids these in decimal, joined by commas."""
+        return [x[:-1] for x in self._looked_up(self.token_text, rows)]
+
+    def decoded(self, rows: list[bytes]) -> list[str]:
+        """What rows of packed ids decode to."""
+        return [str(x, "utf-8", "replace") for x in self._looked_up(self.token_bytes, rows)]
+
+    def encode_texts(self, texts: list[str]) -> list[list[bytes]]:
         """Per text the entries of its pieces, in order."""
         split: list[list[tuple[str, list[str]]]] = []
         for t in texts:
@@ -418,7 +425,7 @@ class BpeCodec:
                 split.append([("text", self._pieces(t))])
         heads = self._look_up([[ps[0] for kind, ps in row if kind == "text"] for row in split], "")
         rest = self._look_up([ps[1:] for row in split for kind, ps in row if kind == "text"], " ")
-        added = {a: self._added_entry(i) for a, i in self.added.items()}
+        added = {a: np.array([i], self.type).tobytes() for a, i in self.added.items()}
         out = []
         for row in split:
             entries = []
@@ -432,43 +439,22 @@ class BpeCodec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        ids = self.ids_text(self.encode_texts([text])[0])
-        return [int(i) for i in ids.split(",")] if ids else []
+        return np.frombuffer(self.packed([text])[0], self.type).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+        return self.decoded([np.array(ids, self.type).tobytes()])[0]
 
 
-class PackedCodec(BpeCodec):
-    """A codec whose entries are packed ids (``id_type``) alone: nothing is decoded or written as text."""
+_CODECS: dict[str, BpeCodec] = {}
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.type = id_type(len(self.bytes_of))
 
-    def _learn(self, pieces: list[str], lead: str) -> dict[str, bytes]:
-        words: dict[str, int] = {}
-        split = [[words.setdefault(w, len(words)) for w in _PRE.findall(lead + p)] for p in pieces]
-        enc = self.encode_words([w.encode() for w in words])
-        end = np.cumsum([0] + [len(e) for e in enc]) * self.type.itemsize
-        raw = np.fromiter(chain.from_iterable(enc), self.type).tobytes()
-        ids = [raw[a:b] for a, b in zip(end.tolist(), end[1:].tolist())]
-        return {p: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for p, ws in zip(pieces, split)}
-
-    def _added_entry(self, i: int) -> bytes:
-        return np.array([i], self.type).tobytes()
-
-
-_CODECS: dict[tuple[str, type], BpeCodec] = {}
-
-
-def codec(path: str, kind: type = BpeCodec) -> BpeCodec:
+def codec(path: str) -> BpeCodec:
     """The codec of a file, made once in each Python worker and kept, with its caches, until a task of another operator comes."""
     enter_task("bpe")
     keeps_cache("bpe", _CODECS.clear)
-    if (path, kind) not in _CODECS:
-        _CODECS[path, kind] = kind(path)
-    return _CODECS[path, kind]
+    if path not in _CODECS:
+        _CODECS[path] = BpeCodec(path)
+    return _CODECS[path]
 
 
 def vocab_size(path: str) -> int:
@@ -478,7 +464,7 @@ def vocab_size(path: str) -> int:
     return max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])]) + 1
 
 
-def _groups(arr: pa.Array, max_chars: int = 1 << 19):
+def _groups(arr: pa.Array, max_chars: int = 1 << 20):
     """Slices of rows holding a bounded amount of text (one row at least)."""
     row, size = [], 0
     for x in arr:
@@ -501,11 +487,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for b in batches:
             at = 0
             for texts in _groups(string_array(b, "text")):
-                enc = c.encode_texts(texts)
-                ids = [[int(i) for i in s.split(",")] if s else [] for s in map(c.ids_text, enc)]
-                dec = [c.decoded(e, t) for e, t in zip(enc, texts)]
+                rows = c.packed(texts)
+                ids = [np.frombuffer(r, c.type).astype(np.int32) for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(dec, pa.string())],
+                    [b.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(c.decoded(rows), pa.string())],
                     ["doc_id", "ids", "decoded"])
                 at += len(texts)
 
@@ -518,19 +503,19 @@ def packed_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        c = codec(path, PackedCodec)
+        c = codec(path)
         for b in batches:
             at = 0
             for texts in _groups(string_array(b, "text")):
-                ids = [b"".join(e) for e in c.encode_texts(texts)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(c.packed(texts), pa.binary())], ["doc_id", "ids"])
                 at += len(texts)
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; the id lists never leave the task."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: the ids are decoded again, and their
+    lists never leave the task."""
     src = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -538,11 +523,10 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for b in batches:
             n, ids, dec = [], [], []
             for texts in _groups(string_array(b, "text")):
-                for t, e in zip(texts, c.encode_texts(texts)):
-                    joined = c.ids_text(e)
-                    n.append(joined.count(",") + 1 if joined else 0)
-                    ids.append(sha256_hex(joined.encode()))
-                    dec.append(sha256_hex(c.decoded(e, t).encode()))
+                rows = c.packed(texts)
+                n += [len(r) // c.type.itemsize for r in rows]
+                ids += [sha256_hex(x) for x in c.ids_text(rows)]
+                dec += [sha256_hex(x.encode()) for x in c.decoded(rows)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
