@@ -80,10 +80,10 @@ def breaker_timeline(calls: DataFrame, sink_col: str = "sink", seq_col: str = "s
                      timeout_ms: int = BREAKER_TIMEOUT_MS,
                      success_threshold: int = BREAKER_SUCCESS_THRESHOLD,
                      method: str = "auto", block_rows: int = BLOCK_ROWS,
-                     initial: DataFrame | None = None) -> DataFrame:
+                     initial: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
     """R8 replay; ``method`` is "auto" (measure the largest sink), "fold" or "blocks".
 
-    ``initial`` optionally gives each sink's state before its first call
+    ``n_rows``, where known, is the number of calls or a bound on it. ``initial`` optionally gives each sink's state before its first call
     (columns sink, state, failure_count, success_count, last_failure), e.g. the
     ``breaker_final_state`` of the previous micro-batch; sinks not in it start CLOSED.
     """
@@ -92,7 +92,7 @@ def breaker_timeline(calls: DataFrame, sink_col: str = "sink", seq_col: str = "s
         largest = calls.groupBy(sink_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
         method = "fold" if (largest["m"] or 0) <= block_rows else "blocks"
     if method == "blocks":
-        return _timeline_blocks(calls, *args, block_rows=block_rows, initial=initial)
+        return _timeline_blocks(calls, *args, block_rows=block_rows, initial=initial, n_rows=n_rows)
     if initial is None:
         return _timeline_fold(calls, *args)
     init = initial.select(F.col("sink").alias("_i_sink"),
@@ -274,10 +274,11 @@ SCAN_FAN = 16               # summaries in one step of the scan: breakpoints may
 
 
 def _timeline_blocks(calls: DataFrame, sink_col, seq_col, t_col, ok_col, failure_threshold, timeout_ms,
-                     success_threshold, block_rows: int = BLOCK_ROWS, initial: DataFrame | None = None) -> DataFrame:
+                     success_threshold, block_rows: int = BLOCK_ROWS, initial: DataFrame | None = None,
+                     n_rows: int | None = None) -> DataFrame:
     fth, timeout, sth = failure_threshold, timeout_ms, success_threshold
     k = fth + sth
-    idx = dense_index(calls, seq_col, [sink_col])
+    idx = dense_index(calls, seq_col, [sink_col], n_rows=n_rows)
     blocked = materialize(idx.withColumn("_blk", F.floor(F.col("_idx") / block_rows).cast("bigint"))
                           .repartition(sink_col, "_blk"))
     sum_schema = T.StructType([blocked.schema[sink_col], T.StructField("_blk", T.LongType()), T.StructField("summary", T.BinaryType())])

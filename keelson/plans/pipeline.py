@@ -49,7 +49,7 @@ def hot_delivery(routed: DataFrame, write_ok: Column, t_col: str = "ts", seq_col
     tl = breaker_timeline(calls, sink_col="_sink", seq_col=seq_col, t_col="_t", ok_col="_ok",
                           failure_threshold=failure_threshold, timeout_ms=timeout_ms,
                           success_threshold=success_threshold, method=method, block_rows=block_rows,
-                          initial=initial)
+                          initial=initial, n_rows=n_calls)
     if return_state:
         tl = materialize(tl, "hot-calls")
     done = tl.withColumn("delivered", F.col("allowed") & F.col("_ok")) \

@@ -157,13 +157,13 @@ def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint
     from keelson.operators.route import classify_path, hot_with_fallback
     from keelson.plans.joins import materialize, materialize_observed
     from keelson.plans.pipeline import STAGE_DECODE, hot_delivery
-    from keelson.schema import DEFAULT_TENANTS, STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK, VIRTUAL_NODES
+    from keelson.schema import DEFAULT_TENANTS, HOT_EVENT_TYPES, STAGE_DEDUP, STAGE_HMAC, STAGE_WATERMARK, VIRTUAL_NODES
     from keelson.sinks.writers import _write_partition, write_cold, write_hot, write_with_dead_letter
     from keelson.sources.codec import decode_events
 
     spark = stream.sparkSession
     names = tuple(tenants or DEFAULT_TENANTS)
-    ring = build_ring(members(spark, names))
+    ring = materialize(build_ring(members(spark, names)), "ring-points")        # hashed once
     segments, digits, small = prepare_ring(ring, n_points=len(names) * VIRTUAL_NODES)
     prepared = (materialize(segments, "ring"), digits, small)      # once, not in every micro-batch
     if wire_col is not None:
@@ -183,17 +183,19 @@ def run_stream(stream: DataFrame, secret: str | bytes, out_root: str, checkpoint
                  for name, value in (("dedup", STAGE_DEDUP), ("watermark", STAGE_WATERMARK), ("hmac", STAGE_HMAC))}
         v, counted = materialize_observed(
             v, "stream-verdict", total=F.count_if(readable), rejected=F.count_if(readable & ~F.col("passed")), **stage,
-            passed=F.count_if("passed"), decode_rejected=F.count_if(~readable), engine_rejected=F.count_if(~F.col("passed")))
+            passed=F.count_if("passed"), decode_rejected=F.count_if(~readable), engine_rejected=F.count_if(~F.col("passed")),
+            hot_calls=F.count_if(F.col("passed") & F.col("event_type").isin(list(HOT_EVENT_TYPES))))
         _write_partition(v.select("event_id", "seq", "passed", "stage", "reason"), f"{out_root}/verdict", batch_id)
-        routed = classify_path(assign_tenant(v.where("passed"), ring, prepared=prepared))
+        routed = classify_path(v.where("passed"))
         if hot_write_ok is not None:
             state_root = f"{out_root}/_breaker"
             prior = read_state(spark, state_root, batch_id)
-            routed, state = hot_delivery(routed, hot_write_ok, initial=prior, return_state=True)
+            routed, state = hot_delivery(routed, hot_write_ok, initial=prior, return_state=True, n_calls=int(counted["hot_calls"] or 0))
             write_state(state, state_root, batch_id)
             routed = hot_with_fallback(routed, "delivered")
         else:
             routed = hot_with_fallback(routed, None)
+        routed = assign_tenant(routed, ring, prepared=prepared)  # after the breaker, whose passes need no tenant
         is_hot = F.col("path") == "hot"
         routed, sent = materialize_observed(                    # three writers follow
             routed, "stream-routed", hot_count=F.count_if(is_hot), cold_count=F.count_if(~is_hot), hot_fallback_cold=F.count_if("fallback"))

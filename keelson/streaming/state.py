@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators.order import dense_index
-from keelson.plans.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize_observed
+from keelson.plans.joins import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize, materialize_observed
 from keelson.schema import DEDUP_TTL_MS
 from keelson.session import child_names, delete_folder, folder_exists
 
@@ -122,7 +122,8 @@ def first_arrivals(batch: DataFrame, batch_id: int, root: str, id_col: str = "ev
     fresh.select("bucket", "id", "row", F.lit(now + ttl_ms).cast("long").alias("until")).sortWithinPartitions("bucket") \
         .write.mode("overwrite").parquet(path)
     accepted = spark.read.schema(_IDS).parquet(path).select(F.col("row").alias("_row"), F.lit(True).alias("dedup_ok"))
-    return rows.join(few(accepted), "_row", "left").withColumn("dedup_ok", F.coalesce("dedup_ok", F.lit(False))).drop("_id", "_row")
+    flagged = rows.join(few(accepted), "_row", "left").withColumn("dedup_ok", F.coalesce("dedup_ok", F.lit(False))).drop("_id", "_row")
+    return materialize(flagged, "flagged")                      # read several times: joined once
 
 
 # ------------------------------------------------------------------------------------------------ order
