@@ -9,9 +9,10 @@ than both parents' ranks (on equal rank the leftmost pair goes first, which is t
 the left makes the same merge). A token sequence whose tokens are each their own encoding and whose neighbours are all
 compatible is the encoding. ``_incompatible`` walks all distinct pairs of a batch at once in numpy.
 
-Texts are cut before every space that a non-space character follows; such a place is always a border of the
-pre-tokeniser's pattern, so a piece can be encoded by itself and kept in a bounded cache (``CACHE_PIECES``; dropping an
-entry costs time but changes nothing). A piece's entry is its ids, packed as ``id_type``. What leaves is made from the ids of a
+Texts are cut in bulk, by the classes of neighbouring bytes, where the pre-tokeniser's pattern has a border whatever else is
+in the text (``cut_places``), so a piece can be encoded by itself. Pieces of at most ``KEY_BYTES`` bytes are found again, all pieces of a block
+at once, in a bounded table of arrays (``PieceTable``, ``CACHE_PIECES``; dropping an entry costs time but changes nothing), longer
+ones in a dictionary. A piece's entry is its ids. What leaves is made from the ids of a
 text alone: their decimal text and the decoded bytes are looked up id by id in tables of the vocabulary.
 
 Defined cases: a null text is an empty text; an empty text has no tokens; repeated rows repeat; extra input columns
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 from itertools import chain
 
 import numpy as np
@@ -33,14 +33,37 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import bounded_batches, enter_task, id_type, keeps_cache, sha256_hex, string_array
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
+LONG_PIECES, LONG_BYTES = 100_000, 1 << 10     # kept pieces that are longer than KEY_BYTES, and what is too long to keep
+KEY_BYTES = 23
+BLOCK = 1 << 18                     # pieces that are looked up together
 NEVER = np.int64(1) << 40
 LONG_WORD = 48
+_NO_RANK = (1 << 31) - 1
 
 _WS = "\t-\r\x20\x85\xa0  -     　"
 _PRE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_SPACE_RUN = re.compile(r" \s| $")
+
+# classes of bytes in the pre-tokeniser's pattern: letter, digit, other, apostrophe, space, other white space, not ASCII
+_L, _N, _O, _Q, _S, _T, _X = range(7)
+_CLASS = np.full(256, _O, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = _L
+_CLASS[48:58] = _N
+_CLASS[39] = _Q
+_CLASS[32] = _S
+_CLASS[9:14] = _T
+_CLASS[128:] = _X
+_RUN = _CLASS.copy()                # alike in one token
+_RUN[39] = _O
+# a border wherever the second class follows the first
+_BORDER = np.zeros(64, bool)
+_BORDER[[a * 8 + b for a, after in ((_L, (_N, _O, _Q, _S, _T)), (_N, (_L, _O, _Q, _S, _T)), (_O, (_L, _N, _S, _T)), (_Q, (_N, _S, _T))) for b in after]] = True
+# bytes that begin a character which is certainly not white space
+_SOLID = _CLASS < _S
+_SOLID[0xC0:] = True
+_SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_chars() -> dict[str, int]:
@@ -93,6 +116,120 @@ class IntTable:
         return out
 
 
+def cut_places(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of pieces of the rows buf[offsets[i]:offsets[i + 1]]. A piece has the tokens it would have as a text of its own: it begins where
+    a row does, where ASCII letters, digits and others end, before a space that something else than white space follows,
+    and after a single other white space. An apostrophe stays with letters after it; beside other bytes than ASCII nothing is cut."""
+    n = len(buf)
+    kind = _CLASS[buf]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    cut = edge[:-1].copy()
+    cut[1:] |= _BORDER[kind[:-1] * np.uint8(8) + kind[1:]]
+    at = np.flatnonzero(kind[:-1] == _S)
+    cut[at[_SOLID[buf[at + 1]] & ~edge[at + 1]]] = True
+    at = np.flatnonzero((kind[:-1] == _T) & (kind[1:] < _S))
+    cut[at[edge[at] | (kind[at - 1] < _S)] + 1] = True
+    return np.flatnonzero(cut)
+
+
+class PieceTable:
+    """Ids of byte strings of at most ``KEY_BYTES`` bytes, found in bulk: three words (the bytes and their number) are the key, open
+    addressing and linear probing lead to an entry, and an entry is a span of one array of ids."""
+
+    def __init__(self, type_: np.dtype):
+        self.n, self.used = 0, 0
+        self.slots = np.full(1 << 10, -1, np.int32)
+        self.keys = np.empty((3, 512), np.uint64)
+        self.first, self.count = np.empty(512, np.int64), np.empty(512, np.int64)
+        self.hit = np.empty(512, bool)
+        self.ids = np.empty(1024, type_)
+
+    @staticmethod
+    def key(padded: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Keys of spans of a buffer that goes on for ``KEY_BYTES`` bytes after the last."""
+        word = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        out = np.empty((3, len(start)), np.uint64)
+        for k in range(3):
+            out[k] = word[start + 8 * k] & _MASK[np.clip(size - 8 * k, 0, 8)]
+        out[2] |= size.astype(np.uint64) << np.uint64(56)
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        h = ((h ^ (h >> np.uint64(29))) + keys[1]) * np.uint64(0xBF58476D1CE4E5B9)
+        h = ((h ^ (h >> np.uint64(32))) + keys[2]) * np.uint64(0x94D049BB133111EB)
+        return ((h ^ (h >> np.uint64(31))) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries by key; -1 where a key is absent."""
+        slot = self._slot(keys)
+        out = self.slots[slot]
+        todo = np.flatnonzero((out >= 0) & ~self._same(out, keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+            e = self.slots[slot[todo]]
+            out[todo] = e
+            todo = todo[(e >= 0) & ~self._same(e, keys[:, todo])]
+        self.hit[out[out >= 0]] = True
+        return out
+
+    def _same(self, entries: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return (self.keys[0][entries] == keys[0]) & (self.keys[1][entries] == keys[1]) & (self.keys[2][entries] == keys[2])
+
+    def room(self, ids: int) -> None:
+        """Makes room for so many more ids."""
+        if self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(self.used + ids, self.ids.dtype)])
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """New entries of absent, distinct keys, with their ids one after another."""
+        new = np.arange(self.n, self.n + len(count))
+        if new.size and new[-1] >= len(self.first):
+            grown = 2 * int(new[-1] + 1) - self.n
+            more = grown - len(self.first)
+            self.keys = np.concatenate([self.keys, np.empty((3, more), np.uint64)], axis=1)
+            self.first, self.count = (np.concatenate([a, np.empty(more, np.int64)]) for a in (self.first, self.count))
+            self.hit = np.concatenate([self.hit, np.empty(more, bool)])
+        self.room(len(ids))
+        self.keys[:, new], self.count[new], self.hit[new] = keys, count, True
+        self.first[new] = self.used + np.cumsum(count) - count
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.n += len(new)
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (2 * self.n).bit_length(), -1, np.int32)
+            self._enter(np.arange(self.n))
+        else:
+            self._enter(new)
+        return new
+
+    def _enter(self, entries: np.ndarray) -> None:
+        slot = self._slot(self.keys[:, entries])
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]              # one of those that claim a slot stays
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def trim(self, most: int) -> None:
+        """Where there are more than ``most`` entries, those not asked for since the last time go; then the oldest, down to half."""
+        if self.n <= most:
+            return
+        keep = np.flatnonzero(self.hit[:self.n])[-(most // 2 + 1):]
+        old, count = self.ids, self.count[keep]
+        ids = old[spread(self.first[keep], count)]
+        keys = self.keys[:, keep]
+        self.__init__(old.dtype)
+        self.add(keys, ids, count)
+        self.hit[:self.n] = False
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices first[i], first[i] + 1, ... (count[i] of them) of all i."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class BpeCodec:
     """Encoder and decoder of one byte-level BPE file (tokenizers JSON)."""
 
@@ -142,7 +279,8 @@ class BpeCodec:
         self.token_text = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
         self.trie, self.accepts = self._trie()
         self.own: dict[int, bool] = {}                     # is the token its own encoding?
-        self.caches: dict[str, list[dict]] = {"": [{}, {}], " ": [{}, {}]}
+        self.table = PieceTable(self.type)
+        self.long: list[dict[bytes, bytes]] = [{}, {}]     # two generations
 
     def _trie(self) -> tuple[IntTable, np.ndarray]:
         """Edges (node, byte) -> node of the vocabulary's prefix tree, and the token that ends at each node."""
@@ -258,42 +396,49 @@ class BpeCodec:
         order = np.argsort(w, kind="stable")
         return w[order], t[order]
 
-    def _exact_all(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of many short words in step: each round merges the first lowest-ranked pair of every word."""
-        width = max(map(len, words))
-        n = np.array([len(w) for w in words])
-        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(len(words), width)
-        ids = self.single[raw]
+    def _exact_all(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many short words in step: each round merges the first lowest-ranked pair of every word. All ids, and
+        the number of each word's."""
+        width = int(size.max())
         col = np.arange(width)
-        ranks = np.full(ids.shape, NEVER)
-        if width > 1:
-            ranks[:, :-1] = self._rank_of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), -1)
-        ranks[col[None, :] >= (n - 1)[:, None]] = NEVER
-        live = np.arange(len(words))
+        inside = col < size[:, None]
+        ids = np.where(inside, self.single[buf[np.minimum(start[:, None] + col, len(buf) - 1)]], -1)
+        ranks = np.full(ids.shape, _NO_RANK, np.int32)
+        pair = inside[:, 1:]
+        ranks[:, :-1][pair] = self._rank_of(ids[:, :-1][pair], ids[:, 1:][pair]).clip(max=_NO_RANK)
+        # a chain of tokens in each row; the place ``width`` stands for none
+        after = np.tile(np.append(col + 1, width).astype(np.int16), (len(size), 1))
+        after[np.arange(len(size)), size - 1] = width
+        before = np.tile(np.append(col - 1, width).astype(np.int16), (len(size), 1))
+        before[:, 0] = width
+        out, live = ids, np.arange(len(size))
         while len(live):
-            r = ranks[live]
-            j = r.argmin(axis=1)
-            low = r[np.arange(len(live)), j]
-            go = low < NEVER
-            live, j, low, r = live[go], j[go], low[go], r[go]
-            if not len(live):
-                break
             row = np.arange(len(live))
-            x = ids[live]
-            x[row, j] = self.made_by[low]
-            take = np.minimum(col[None, :] + (col[None, :] > j[:, None]), width - 1)
-            x = x[row[:, None], take]
-            r = r[row[:, None], np.minimum(col[None, :] + (col[None, :] >= j[:, None]), width - 1)]
-            n[live] -= 1
-            left = np.flatnonzero(j > 0)
-            r[left, j[left] - 1] = self._rank_of(x[left, j[left] - 1], x[left, j[left]])
-            right = j + 1 < n[live]
-            r[:, -1] = NEVER
-            r[row, j] = NEVER
-            i = np.flatnonzero(right)
-            r[i, j[i]] = self._rank_of(x[i, j[i]], x[i, j[i] + 1])
-            ids[live], ranks[live] = x, r
-        return [a[:k] for a, k in zip(ids.tolist(), n.tolist())]
+            j = ranks.argmin(axis=1)
+            low = ranks[row, j]
+            go = low < _NO_RANK
+            if 4 * go.sum() <= 3 * len(live):
+                # finished rows are put aside
+                out[live[~go]] = ids[~go]
+                live, ids, ranks, after, before = live[go], ids[go], ranks[go], after[go], before[go]
+                continue
+            row, j, low = row[go], j[go], low[go]
+            made = self.made_by[low]
+            right = after[row, j]
+            end = after[row, right]
+            ids[row, j] = made
+            ids[row, right] = -1
+            after[row, j] = end
+            before[row, end] = j
+            ranks[row, right] = _NO_RANK
+            ranks[row, j] = _NO_RANK
+            k = np.flatnonzero(end < width)
+            ranks[row[k], j[k]] = self._rank_of(made[k], ids[row[k], end[k]]).clip(max=_NO_RANK)
+            left = before[row, j]
+            k = np.flatnonzero(left < width)
+            ranks[row[k], left[k]] = self._rank_of(ids[row[k], left[k]], made[k]).clip(max=_NO_RANK)
+        kept = out >= 0
+        return out[kept], kept.sum(axis=1)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Encodings of pre-tokens: speculate, verify all adjacent pairs at once, repair the failures."""
@@ -327,74 +472,129 @@ class BpeCodec:
 
     def _encode_short(self, words: list[bytes]) -> list[list[int]]:
         size = np.array([len(w) for w in words], np.int64)
-        end = np.cumsum(size)
-        word, flat = self._greedy_all(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), end - size, end)
+        ids, count = self._encode_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+        ids, end = ids.tolist(), np.cumsum(count).tolist()
+        return [ids[a:b] for a, b in zip([0, *end], end)]
+
+    def _encode_spans(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words buf[start:start + size], and the number of each word's."""
+        word, flat = self._greedy_all(buf, start, start + size)
         if not len(flat):
-            return [[] for _ in words]
+            return flat, np.zeros(len(start), np.int64)
         last = np.append(word[1:] != word[:-1], True)
         fail = np.unique(word[self._suspect(flat, ~last)])
-        cut = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-        tokens = flat.tolist()
-        out = [tokens[a:b] for a, b in zip(cut, cut[1:])]
+        good = np.ones(len(start), bool)
+        good[fail] = False
+        count = np.bincount(word, minlength=len(start))
+        mended = []
         for lo, hi in ((0, 8), (8, 12), (12, 16), (16, 24), (24, LONG_WORD)):
-            some = fail[(size[fail] > lo) & (size[fail] <= hi)].tolist()
-            for k in range(0, len(some), 1 << 15):
-                part = some[k:k + (1 << 15)]
-                for i, ids in zip(part, self._exact_all([words[i] for i in part])):
-                    out[i] = ids
-        return out
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces that can be encoded one by one; each starts at a certain border of the pre-tokeniser. A piece
-        after the first stands for itself with a space before it."""
-        parts = text.split(" ")
-        if not _SPACE_RUN.search(text):
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] += " " + p          # part of a run of white space: it stays with the piece before
-        return out
-
-    def _learn(self, pieces: list[str], lead: str) -> dict[str, bytes]:
-        """Encode pieces (each with ``lead`` before it): their packed ids."""
+            some = fail[(size[fail] > lo) & (size[fail] <= hi)]
+            for k in range(0, len(some), 1 << 13):
+                part = some[k:k + (1 << 13)]
+                ids, count[part] = self._exact_all(buf, start[part], size[part])
+                mended.append((part, ids))
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        out[spread(first[good], count[good])] = flat[good[word]]
+        for part, ids in mended:
+            out[spread(first[part], count[part])] = ids
+        return out, count
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Encode pieces of any kind: their packed ids."""
         words: dict[str, int] = {}
-        split = [[words.setdefault(w, len(words)) for w in _PRE.findall(lead + p)] for p in pieces]
+        split = [[words.setdefault(w, len(words)) for w in _PRE.findall(str(p, "utf-8"))] for p in pieces]
         enc = self.encode_words([w.encode() for w in words])
         end = np.cumsum([0] + [len(e) for e in enc]) * self.type.itemsize
         raw = np.fromiter(chain.from_iterable(enc), self.type).tobytes()
         ids = [raw[a:b] for a, b in zip(end.tolist(), end[1:].tolist())]
-        return {p: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for p, ws in zip(pieces, split)}
-
-    def _look_up(self, wanted: list[list[str]], lead: str) -> dict:
-        """Entries of all wanted pieces. The cache has two generations: when the young one is full, the old one
-        goes; an entry found in the old one moves to the young one."""
-        cache = self.caches[lead]
-        need = set().union(*wanted) if wanted else set()
-        young, old = cache
-        out, new = {}, []
-        for p in need:
-            e = young.get(p)
-            if e is None:
-                e = old.get(p)
-                if e is None:
-                    new.append(p)
-                    continue
-                young[p] = e
-            out[p] = e
-        if new:
-            got = self._learn(new, lead)
-            out.update(got)
-            young.update(got)
-        if len(young) > CACHE_PIECES // 2:
-            cache[:] = [{}, young]
-        return out
+        return [b"".join([ids[w] for w in ws]) for ws in split]
+
+    def _long(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of long pieces. The cache has two generations: when the young one is full, the old one goes; an entry found in
+        the old one moves to the young one."""
+        young, old = self.long
+        got = {p: young.get(p) or old.get(p) for p in set(pieces)}
+        new = [p for p, e in got.items() if e is None]
+        got.update(zip(new, self._learn(new)))
+        young.update((p, e) for p, e in got.items() if len(p) <= LONG_BYTES)
+        if len(young) > LONG_PIECES // 2:
+            self.long = [{}, young]
+        return [got[p] for p in pieces]
+
+    def _new(self, padded: np.ndarray, start: np.ndarray, size: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of short pieces, and the number of each one's. ``turns``: how often the class has changed up to each byte."""
+        head = start + ((padded[start] == 32) & (size > 1))
+        # ASCII letters, digits or others alone, with or without a space before them, are one word
+        plain = (turns[start + size - 1] == turns[head]) & (_RUN[padded[head]] < _S)
+        odd = np.flatnonzero(~plain)
+        ids, count = self._encode_spans(padded, start[plain], size[plain])
+        if not len(odd):
+            return ids, count
+        rest = [np.frombuffer(x, self.type) for x in self._learn([padded[a:a + n].tobytes() for a, n in zip(start[odd].tolist(), size[odd].tolist())])]
+        all_count = np.empty(len(start), np.int64)
+        all_count[plain] = count
+        all_count[odd] = [len(x) for x in rest]
+        first = np.cumsum(all_count) - all_count
+        out = np.empty(int(all_count.sum()), np.int64)
+        out[spread(first[plain], count)] = ids
+        out[spread(first[odd], all_count[odd])] = np.concatenate(rest)
+        return out, all_count
+
+    def _block(self, padded: np.ndarray, start: np.ndarray, size: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and the number of each one's."""
+        table = self.table
+        at = np.flatnonzero(size <= KEY_BYTES)
+        keys = table.key(padded, start[at], size[at])
+        entry = table.find(keys)
+        absent = np.flatnonzero(entry < 0)
+        if len(absent):
+            order = absent[np.lexsort(keys[:, absent])]
+            sorted_ = keys[:, order]
+            lead = np.append(True, (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0))
+            new = order[lead]
+            made = table.add(keys[:, new], *self._new(padded, start[at[new]], size[at[new]], turns))
+            entry[order] = made[np.cumsum(lead) - 1]
+        first, count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        first[at], count[at] = table.first[entry], table.count[entry]
+        far = np.flatnonzero(size > KEY_BYTES)
+        if len(far):
+            # for this block alone, behind the table's ids
+            rows = self._long([padded[a:a + n].tobytes() for a, n in zip(start[far].tolist(), size[far].tolist())])
+            count[far] = [len(r) // self.type.itemsize for r in rows]
+            first[far] = table.used + np.cumsum(count[far]) - count[far]
+            ids = np.frombuffer(b"".join(rows), self.type)
+            table.room(len(ids))
+            table.ids[table.used:table.used + len(ids)] = ids
+        out = table.ids[spread(first, count)]
+        table.trim(CACHE_PIECES)
+        return out, count
+
+    def _rows(self, rows: list[bytes]) -> list[bytes]:
+        """The packed ids of UTF-8 texts without added tokens."""
+        offsets = np.cumsum([0] + [len(r) for r in rows])
+        n = int(offsets[-1])
+        if not n:
+            return [b""] * len(rows)
+        padded = np.frombuffer(b"".join([*rows, bytes(KEY_BYTES + 8)]), np.uint8)
+        start = cut_places(padded[:n], offsets)
+        size = np.diff(np.append(start, n))
+        run = _RUN[padded[:n]]
+        turns = np.cumsum(np.append(False, run[1:] != run[:-1]), dtype=np.int32 if n < 1 << 31 else np.int64)
+        ids, count = zip(*[self._block(padded, start[k:k + BLOCK], size[k:k + BLOCK], turns) for k in range(0, len(start), BLOCK)])
+        raw = memoryview(np.concatenate(ids)).cast("B")
+        end = np.append(0, np.cumsum(np.concatenate(count))) * self.type.itemsize
+        end = end[np.searchsorted(start, offsets)].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(end, end[1:])]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, packed."""
-        return [b"".join(e) for e in self.encode_texts(texts)]
+        if self.split_added is None or not any(a in t for t in texts for a in self.added):
+            return self._rows([t.encode() for t in texts])
+        parts = [self.split_added.split(t) for t in texts]              # every second part is an added token
+        got = iter(self._rows([p.encode() for row in parts for p in row[::2]]))
+        added = {a: np.array([i], self.type).tobytes() for a, i in self.added.items()}
+        return [b"".join([added[p] if k % 2 else next(got) for k, p in enumerate(row)]) for row in parts]
 
     def _looked_up(self, table: pa.Array, rows: list[bytes]) -> list[memoryview]:
         """Per row of packed ids what ``table`` has for them, joined."""
@@ -414,30 +614,6 @@ class BpeCodec:
         """What rows of packed ids decode to."""
         return [str(x, "utf-8", "replace") for x in self._looked_up(self.token_bytes, rows)]
 
-    def encode_texts(self, texts: list[str]) -> list[list[bytes]]:
-        """Per text the entries of its pieces, in order."""
-        split: list[list[tuple[str, list[str]]]] = []
-        for t in texts:
-            if self.split_added is not None and any(a in t for a in self.added):
-                split.append([("added", [p]) if k % 2 else ("text", self._pieces(p))
-                              for k, p in enumerate(self.split_added.split(t))])
-            else:
-                split.append([("text", self._pieces(t))])
-        heads = self._look_up([[ps[0] for kind, ps in row if kind == "text"] for row in split], "")
-        rest = self._look_up([ps[1:] for row in split for kind, ps in row if kind == "text"], " ")
-        added = {a: np.array([i], self.type).tobytes() for a, i in self.added.items()}
-        out = []
-        for row in split:
-            entries = []
-            for kind, ps in row:
-                if kind == "added":
-                    entries.append(added[ps[0]])
-                else:
-                    entries.append(heads[ps[0]])
-                    entries += [rest[p] for p in ps[1:]]
-            out.append(entries)
-        return out
-
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed([text])[0], self.type).tolist()
 

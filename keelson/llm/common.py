@@ -1,7 +1,7 @@
 """Helpers shared by the corpus operators.
 
 * ``scratch_table`` writes a DataFrame to the shared folder and reads it back (a lineage cut that survives lost
-  executors and costs one copy).
+  executors and costs one copy); ``frees_shuffles`` drops the shuffle files of queries that run once.
 * ``text_chunks`` walks an Arrow batch in slices of bounded size, as one byte buffer plus row offsets, so numpy
   can work on many documents at once without holding more than one slice. A single text is never split.
 * ``PrefixHash`` gives the 64-bit hash of any byte span of a buffer: of short spans in constant time (a polynomial over random
@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from keelson.session import scratch_path
 
@@ -40,6 +41,19 @@ def scratch_table(df: DataFrame, name: str, compression: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def frees_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside give up their shuffle files as soon as they end; else these stay until the driver happens to collect its
+    garbage. For queries that run once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finalizer (splitmix steps)."""
     x = x.astype(np.uint64, copy=True)

@@ -10,7 +10,8 @@ no sort of random numbers and no state, and can be inverted.
 
 Slots are range-partitioned and written ``shard_rows`` to a shard, one file each, as records of ``length`` ids and a
 line end as wide as an id: fixed stride, so slot s is at byte (s mod shard_rows) * stride of shard s div shard_rows, and a reader can
-stop anywhere and resume. Spark's own committer writes the files, so a lost or repeated task leaves no partial shard.
+stop anywhere and resume. Spark's own committer writes the files, so a lost or repeated task leaves no partial shard. The shards are written in
+``WRITES`` jobs, a range of slots each, that drop their shuffle files: beside the shards and the ids there is only a part of the ids once more.
 
 Defined cases: a null or empty text (or null or empty ids) is one sequence holding just ``END``; rows without an id come first, ordered like rows of one id; repeated rows get slots of their own (rows of one id
 are ordered by a hash of their tokens); an empty table makes no shards; extra columns are ignored; an id outside the vocabulary
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from keelson.llm.common import bounded_batches, id_type, mix64, scratch_table
-from keelson.session import scratch_path
+from keelson.llm.common import bounded_batches, frees_shuffles, id_type, mix64, scratch_table
+from keelson.session import delete_folder, scratch_path
 
 LENGTH = 512
 SHARD_ROWS = 1 << 16
@@ -39,6 +40,7 @@ END, PAD = 0xFE, 0xFF
 BROADCAST_ROWS = 1_000_000
 PACK_BYTES = 16 << 20               # text that is packed together by one task
 PACK_ROWS = 4096
+WRITES = 3
 _ZSTD = pa.Codec("zstd", compression_level=3)
 _U = np.uint64
 
@@ -165,12 +167,16 @@ def materialize(docs: DataFrame, key: int, path: str | None = None, length: int
     src = src.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
     width = 1 if vocab_size is None else id_type(vocab_size).itemsize
     src = src.select("doc_id", F.xxhash64("payload").alias("mark"), F.expr(f"div(octet_length(payload), {width})").alias("n_ids"), "payload")
-    if tokens_col is not None:          # encoded once: the ids are read twice
-        src = scratch_table(src, "order-ids", "zstd")
-    numbered, total = _numbered(src, length)
-    layout = Layout(path or scratch_path(spark, "shards"), total, length, shard_rows, vocab_size)
-    if total:
-        _write(src, numbered, layout, key)
+    with frees_shuffles(spark):
+        written = None
+        if tokens_col is not None:          # encoded once: the ids are read several times
+            written = scratch_path(spark, "order-ids")
+            src.write.parquet(written, compression="zstd")
+            src = spark.read.schema(src.schema).parquet(written)
+        numbered, total = _numbered(src, length)
+        layout = Layout(path or scratch_path(spark, "shards"), total, length, shard_rows, vocab_size)
+        if total:
+            _write(src, numbered, layout, key, written)
 
     def slots(batches):
         for b in batches:
@@ -191,17 +197,28 @@ def materialize(docs: DataFrame, key: int, path: str | None = None, length: int
     return numbered.mapInArrow(slots, "doc_id long, part long, seq long, slot long, shard long, byte_offset long, n_tokens long"), layout
 
 
-def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int) -> None:
+def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int, written: str | None) -> None:
+    """The shards. ``written``: where ``src`` is stored, if nothing else needs it."""
     length, total, shard_rows = layout.length, layout.sequences, layout.shard_rows
+    spark = src.sparkSession
     first = numbered.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
-    if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small:
         first = F.broadcast(first)
     # rows of one id and text have one entry with several numbers: the first row to come writes all of them
     dealt = src.join(first, src["doc_id"].eqNullSafe(first["doc_id"]) & (src["mark"] == first["mark"])).select("payload", "firsts")
+    # rows that repeat (same id and text) carry the same list of numbers; each number is written once
+    repeated = not numbered.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    if repeated:
+        dealt = dealt.dropDuplicates(["firsts"])
+    if repeated or not small:           # every job that writes shards would shuffle the ids for this again
+        dealt = scratch_table(dealt, "order-rows", "zstd")
+        if written is not None:
+            delete_folder(spark, written)
     type_, vocab_size, record = layout.type, layout.vocab_size, length * layout.type.itemsize
     end, pad = (np.array([x], type_).tobytes() for x in (layout.end, layout.pad))
 
-    def cut(batches):
+    def cut(batches, shards):
         for b in batches:
             seq, payload = [], []
             held = 0
@@ -219,39 +236,40 @@ def _write(src: DataFrame, numbered: DataFrame, layout: Layout, key: int) -> Non
                     payload += pieces
                     held += len(raw)
                 if held > PACK_BYTES:
-                    yield _packed(seq, payload, total, key, shard_rows)
+                    yield _packed(seq, payload, total, key, shard_rows, shards)
                     seq, payload, held = [], [], 0
             if seq:
-                yield _packed(seq, payload, total, key, shard_rows)
+                yield _packed(seq, payload, total, key, shard_rows, shards)
 
-    # rows that repeat (same id and text) carry the same list of numbers; each number is written once
-    repeated = not numbered.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
-    if repeated:
-        dealt = dealt.dropDuplicates(["firsts"])
-    spark = src.sparkSession
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(int(before), PACK_ROWS)))
     try:
-        packs = dealt.mapInArrow(cut, "shard long, slots binary, payload binary")
-        shards = -(-total // shard_rows)
-        parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        # ranges of shards of equal length: known beforehand, so nothing is sampled
-        rows = packs.repartitionById(parts, F.expr(f"cast(div(shard * {parts}, {shards}) as int)")).mapInArrow(_unpacked(record), "shard long, slot long, payload binary")
-        ordered = rows.sortWithinPartitions("shard", "slot")
-        ordered = ordered.select("shard", F.col("payload").cast("string").alias("value"))
-        ordered.write.partitionBy("shard").text(layout.path, lineSep="\n" * type_.itemsize)
+        n = -(-total // shard_rows)
+        bounds = [n * k // WRITES for k in range(WRITES + 1)]
+        done = False
+        for shards in (range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b):
+            packs = dealt.mapInArrow(lambda batches, shards=shards: cut(batches, shards), "shard long, slots binary, payload binary")
+            parts = min(len(shards), int(spark.conf.get("spark.sql.shuffle.partitions")))
+            # ranges of shards of equal length: known beforehand, so nothing is sampled
+            part = F.expr(f"cast(div((shard - {shards.start}) * {parts}, {len(shards)}) as int)")
+            rows = packs.repartitionById(parts, part).mapInArrow(_unpacked(record), "shard long, slot long, payload binary")
+            ordered = rows.sortWithinPartitions("shard", "slot")
+            ordered = ordered.select("shard", F.col("payload").cast("string").alias("value"))
+            ordered.write.mode("append" if done else "errorifexists").partitionBy("shard").text(layout.path, lineSep="\n" * type_.itemsize)
+            done = True
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def _packed(seq: list[tuple[int, int]], payload: list[bytes], total: int, key: int, shard_rows: int) -> pa.RecordBatch:
-    """Sequences of one task packed by shard, compressed together: what moves is far smaller than the sequences."""
+def _packed(seq: list[tuple[int, int]], payload: list[bytes], total: int, key: int, shard_rows: int, shards: range) -> pa.RecordBatch:
+    """Those sequences of one task that go to ``shards``, packed by shard, compressed together: what moves is far smaller than the sequences."""
     first, n = np.array(seq, np.int64).T
     s = permute(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), total, key)
     order = np.argsort(s, kind="stable")
+    order = order[slice(*np.searchsorted(s[order], [shards.start * shard_rows, shards.stop * shard_rows]))]
     shard = s[order] // shard_rows
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-    ends = np.append(cut[1:], len(s))
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(shard)])
+    ends = np.append(cut[1:], len(shard))
     # within a shard the text order compresses better than the slot order
     groups = [np.sort(order[a:b]) for a, b in zip(cut, ends)]
     return pa.RecordBatch.from_arrays(
