@@ -12,7 +12,7 @@ compatible is the encoding. ``_incompatible`` walks all distinct pairs of a batc
 Texts are cut in bulk, by the classes of neighbouring bytes, where the pre-tokeniser's pattern has a border whatever else is
 in the text (``cut_places``), so a piece can be encoded by itself. Pieces of at most ``KEY_BYTES`` bytes are found again, all pieces of a block
 at once, in a bounded table of arrays (``PieceTable``, ``CACHE_PIECES``; dropping an entry costs time but changes nothing), longer
-ones in a dictionary. A piece's entry is its ids. What leaves is made from the ids of a
+ones in a dictionary, which is bounded by its bytes too. A piece's entry is its ids. What leaves is made from the ids of a
 text alone: their decimal text and the decoded bytes are looked up id by id in tables of the vocabulary.
 
 Defined cases: a null text is an empty text; an empty text has no tokens; repeated rows repeat; extra input columns
@@ -31,10 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import bounded_batches, enter_task, id_type, keeps_cache, sha256_hex, string_array
+from keelson.llm.common import bounded_batches, enter_task, id_type, keeps_cache, releasing, sha256_hex, string_array
 
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 600_000
 LONG_PIECES, LONG_BYTES = 100_000, 1 << 10     # kept pieces that are longer than KEY_BYTES, and what is too long to keep
+LONG_CACHE = 16 << 20                          # bytes of such pieces and their ids
 KEY_BYTES = 23
 BLOCK = 1 << 18                     # pieces that are looked up together
 NEVER = np.int64(1) << 40
@@ -281,6 +282,7 @@ class BpeCodec:
         self.own: dict[int, bool] = {}                     # is the token its own encoding?
         self.table = PieceTable(self.type)
         self.long: list[dict[bytes, bytes]] = [{}, {}]     # two generations
+        self.long_size = 0                                 # bytes in the young one
 
     def _trie(self) -> tuple[IntTable, np.ndarray]:
         """Edges (node, byte) -> node of the vocabulary's prefix tree, and the token that ends at each node."""
@@ -517,9 +519,13 @@ class BpeCodec:
         got = {p: young.get(p) or old.get(p) for p in set(pieces)}
         new = [p for p, e in got.items() if e is None]
         got.update(zip(new, self._learn(new)))
-        young.update((p, e) for p, e in got.items() if len(p) <= LONG_BYTES)
-        if len(young) > LONG_PIECES // 2:
-            self.long = [{}, young]
+        for p, e in got.items():
+            if len(p) <= LONG_BYTES and p not in young:
+                young[p] = e
+                self.long_size += len(p) + len(e)
+                if len(young) > LONG_PIECES // 2 or self.long_size > LONG_CACHE // 2:
+                    self.long, self.long_size = [{}, young], 0
+                    young = self.long[0]
         return [got[p] for p in pieces]
 
     def _new(self, padded: np.ndarray, start: np.ndarray, size: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -660,7 +666,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in releasing(batches):
             at = 0
             for texts in _groups(string_array(b, "text")):
                 rows = c.packed(texts)
@@ -680,7 +686,7 @@ def packed_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in releasing(batches):
             at = 0
             for texts in _groups(string_array(b, "text")):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(c.packed(texts), pa.binary())], ["doc_id", "ids"])
@@ -696,7 +702,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in releasing(batches):
             n, ids, dec = [], [], []
             for texts in _groups(string_array(b, "text")):
                 rows = c.packed(texts)

@@ -7,13 +7,14 @@
 * ``PrefixHash`` gives the 64-bit hash of any byte span of a buffer: of short spans in constant time (a polynomial over random
   byte values modulo 2^64, finished by a bit mixer), of long ones, for which such polynomials have known collisions, by xxh3. ``word_spans``
   finds words by byte class.
-* ``enter_task`` lets one operator's tasks give back what another operator cached in the same Python worker.
+* ``enter_task`` lets one operator's tasks give back what another operator cached in the same Python worker; ``releasing`` walks batches
+  and gives back after each what its work has freed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -197,7 +198,16 @@ def release_memory() -> None:
         pass
 
 
+def releasing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each one, what its work has freed goes back to the system. Else a worker holds the most that any of its batches took,
+    in pieces between what is kept."""
+    for b in batches:
+        yield b
+        release_memory()
+
+
 _CACHES: dict[str, Callable[[], None]] = {}
+_TASKS = {"owner": ""}
 
 
 def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
@@ -206,11 +216,14 @@ def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
 
 
 def enter_task(owner: str) -> None:
-    """To be called at the start of a task: caches of other operators, which may never be asked for again, go."""
+    """To be called at the start of a task: caches of other operators, which may never be asked for again, go, and so does memory that the
+    last operator's tasks have freed."""
     others = [k for k in _CACHES if k != owner]
     for k in others:
         _CACHES.pop(k)()
-    if others:
+    if others or owner != _TASKS["owner"]:
+        _TASKS["owner"] = owner
+        _POWERS.update(p=np.ones(1, np.uint64), inv=np.ones(1, np.uint64))
         release_memory()
 
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import (bounded_batches, PrefixHash, byte_class, enter_task, lowered_values, mix64, scratch_table, sha256_hex, string_array,
-                                text_chunks, word_spans)
+from keelson.llm.common import (bounded_batches, PrefixHash, byte_class, enter_task, lowered_values, mix64, releasing, scratch_table, sha256_hex,
+                                string_array, text_chunks, word_spans)
 
 WINDOW = 13
 LEAD = 4                                # words by which suffixes are admitted to the suffix array
@@ -374,7 +374,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
     def run(batches):
         enter_task("decontam")
-        for b in batches:
+        for b in releasing(batches):
             keep = []
             for _, first, hit, _, _ in _judge(string_array(b, text_col), held.value):
                 keep += [not is_contaminated(h, w) for h, w in zip(_hits(first, hit).tolist(), np.diff(first).tolist())]
